@@ -224,10 +224,16 @@ def speaker_id(path: Column) -> Column:
     return F.when(number != "", number).otherwise(F.substring_index(stem, "_", 2))
 
 
+def hash_number(*parts: Column, seed: int = 0) -> Column:
+    """A repeatable 48-bit number from the given key columns, independent of row order."""
+    joined = F.concat_ws("|", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    digest = F.md5(joined.cast("binary"))
+    return F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
+
+
 def uniform_hash(*parts: Column, seed: int = 0) -> Column:
-    """A repeatable number in [0, 1) from the given key columns, independent of row order."""
-    digest = F.xxhash64(F.lit(seed), *parts)
-    return F.shiftrightunsigned(digest, 11).cast("double") / F.lit(float(1 << 53))
+    """The same number scaled to [0, 1)."""
+    return hash_number(*parts, seed=seed) / F.lit(float(1 << 48))
 
 
 def md5_order(key: Column, seed: int | str) -> Column:
