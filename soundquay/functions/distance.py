@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from soundquay.functions.bind import let
+
 
 def word_symbols(words: Column, vocabulary: Column) -> Column:
     """Write each word as one character: its place in ``vocabulary``.
@@ -22,8 +24,10 @@ def word_symbols(words: Column, vocabulary: Column) -> Column:
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Word-level edit distance of two token arrays (inserts, deletes, replacements)."""
-    vocabulary = F.array_distinct(F.concat(ref, hyp))
-    distance = F.levenshtein(word_symbols(ref, vocabulary), word_symbols(hyp, vocabulary))
+    distance = let(
+        F.array_distinct(F.concat(ref, hyp)),
+        lambda v: F.levenshtein(word_symbols(ref, v), word_symbols(hyp, v)),
+    )
     return (
         F.when(ref == hyp, F.lit(0))
         .when(F.size(ref) == 0, F.size(hyp))
@@ -45,8 +49,9 @@ def _common_by_rows(a: Column, b: Column) -> Column:
     right = F.filter(F.split(b, ""), lambda c: c != "")
     left = F.filter(F.split(a, ""), lambda c: c != "")
     zeros = F.array_repeat(F.lit(0), F.length(b) + 1)
+    pairs = F.transform(right, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
 
-    def next_row(row: Column, char: Column) -> Column:
+    def next_row(row: Column, char: Column, pairs: Column) -> Column:
         def cell(acc: Column, c_i: Column) -> Column:
             i = c_i["i"]
             best = F.when(c_i["c"] == char, F.get(row, i) + 1).otherwise(
@@ -54,10 +59,12 @@ def _common_by_rows(a: Column, b: Column) -> Column:
             )
             return F.concat(acc, F.array(best))
 
-        pairs = F.transform(right, lambda c, i: F.struct(c.alias("c"), i.alias("i")))
         return F.aggregate(pairs, F.array(F.lit(0)), cell)
 
-    return F.element_at(F.aggregate(left, zeros, next_row), -1)
+    last = let(
+        pairs, lambda ps: F.aggregate(left, zeros, lambda row, char: next_row(row, char, ps))
+    )
+    return F.element_at(last, -1)
 
 
 def _shift_left(places: Column) -> Column:
@@ -66,16 +73,12 @@ def _shift_left(places: Column) -> Column:
 
 def _common_by_bits(a: Column, b: Column) -> Column:
     """The row kept as the bits of one long: a cleared bit marks a step of the row."""
-    left = F.filter(F.split(a, ""), lambda c: c != "")
-    right = F.filter(F.split(b, ""), lambda c: c != "")
     full = _shift_left(F.length(a)) - 1
 
-    def places(char: Column) -> Column:
+    def places(left: Column, char: Column) -> Column:
         bits = F.transform(
             left,
-            lambda c, i: F.when(c == char, _shift_left(i)).otherwise(
-                F.lit(0).cast("long")
-            ),
+            lambda c, i: F.when(c == char, _shift_left(i)).otherwise(F.lit(0).cast("long")),
         )
         return F.aggregate(bits, F.lit(0).cast("long"), lambda acc, v: acc.bitwiseOR(v))
 
@@ -83,8 +86,12 @@ def _common_by_bits(a: Column, b: Column) -> Column:
         hit = row.bitwiseAND(mask)
         return (row + hit).bitwiseOR(row - hit).bitwiseAND(full)
 
-    last = F.aggregate(F.transform(right, places), full, step)
-    return (F.length(a) - F.bit_count(last)).cast("int")
+    right = F.filter(F.split(b, ""), lambda c: c != "")
+    masks = let(
+        F.filter(F.split(a, ""), lambda c: c != ""),
+        lambda left: F.transform(right, lambda c: places(left, c)),
+    )
+    return (F.length(a) - F.bit_count(F.aggregate(masks, full, step))).cast("int")
 
 
 def common_subsequence(a: Column, b: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
+from soundquay.functions.bind import let
 from soundquay.functions.text import raw_words
 
 
@@ -77,8 +78,7 @@ def join_segments(segments: Column) -> Column:
     return F.trim(F.array_join(F.transform(segments, lambda s: F.trim(s["text"])), " "))
 
 
-def first_repeat(words: Column, n: int, times: int) -> Column:
-    """Zero-based place of the first n-gram that comes ``times`` times in a row, or null."""
+def _first_repeat(words: Column, n: int, times: int) -> Column:
     last = F.size(words) - n * times
 
     def repeats(i: Column) -> Column:
@@ -90,16 +90,28 @@ def first_repeat(words: Column, n: int, times: int) -> Column:
     )
 
 
+def first_repeat(words: Column, n: int, times: int) -> Column:
+    """Zero-based place of the first n-gram that comes ``times`` times in a row, or null."""
+    return let(words, lambda w: _first_repeat(w, n, times))
+
+
 def cut_repetition(
     text: Column, n: int = fixed.REPEAT_NGRAM, times: int = fixed.REPEAT_TIMES
-) -> tuple[Column, Column]:
-    """Cut after the first copy of a repeated n-gram: ``(text, was_cut)``."""
-    words = raw_words(text)
-    at = first_repeat(words, n, times)
-    return (
-        F.when(at.isNotNull(), F.array_join(F.slice(words, 1, at + n), " ")).otherwise(text),
-        at.isNotNull(),
-    )
+) -> Column:
+    """Cut after the first copy of a repeated n-gram: ``struct<text, was_cut>``."""
+
+    def cut(words: Column) -> Column:
+        return let(
+            _first_repeat(words, n, times),
+            lambda at: F.struct(
+                F.when(at.isNotNull(), F.array_join(F.slice(words, 1, at + n), " "))
+                .otherwise(text)
+                .alias("text"),
+                at.isNotNull().alias("was_cut"),
+            ),
+        )
+
+    return let(raw_words(text), cut)
 
 
 def guard_fired(flags: Column) -> Column:
@@ -122,18 +134,19 @@ def apply_guard(
         keep_overlapping(F.col("_spoken"), F.col(intervals)) if intervals else F.col("_spoken")
     )
     joined = spoken.withColumn("_kept", kept).withColumn("_text", join_segments(F.col("_kept")))
-    text, was_cut = cut_repetition(F.col("_text"))
-    cut = joined.withColumn("_was_cut", was_cut).withColumn("text", text)
+    cut = joined.withColumn("_cut", cut_repetition(F.col("_text"))).withColumn(
+        "text", F.col("_cut.text")
+    )
     raised = F.array_compact(
         F.array(
             F.when(F.size("_spoken") < F.size(segments), fixed.FLAG_LOW_SPEECH),
             F.when(F.size("_kept") < F.size("_spoken"), fixed.FLAG_VAD),
-            F.when(F.col("_was_cut"), fixed.FLAG_REPEAT),
+            F.when(F.col("_cut.was_cut"), fixed.FLAG_REPEAT),
         )
     )
     before = F.col(flags) if flags in df.columns else F.array().cast("array<string>")
     return (
         cut.withColumn(flags, F.array_distinct(F.concat(before, raised)))
         .withColumn(segments, F.col("_kept"))
-        .drop("_spoken", "_kept", "_text", "_was_cut")
+        .drop("_spoken", "_kept", "_text", "_cut")
     )

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
+from soundquay.functions.bind import let
 
 _SILENCE = 1e-9
 _MIX_PEAK = 0.99
@@ -41,14 +42,16 @@ def speech_rms(x: Column, intervals: Column, rate: int) -> Column:
 
 
 def scale(x: Column, factor: Column) -> Column:
-    return F.transform(x, lambda v: v.cast("double") * factor)
+    return let(factor, lambda f: F.transform(x, lambda v: v.cast("double") * f))
 
 
 def limit_peak(x: Column, top: float) -> Column:
     """Scale the whole signal down when its peak is above ``top``."""
-    high = peak(x)
-    return F.when(high > top, scale(x, F.lit(top) / high)).otherwise(
-        F.transform(x, lambda v: v.cast("double"))
+    return let(
+        F.transform(x, lambda v: v.cast("double")),
+        lambda s: let(
+            peak(s), lambda high: F.when(high > top, scale(s, F.lit(top) / high)).otherwise(s)
+        ),
     )
 
 
@@ -62,7 +65,10 @@ def mix_gain(noise: Column, speech_level: Column, snr_db: Column) -> Column:
 
 def mix(clean: Column, noise: Column, gain: Column) -> Column:
     """``clean + gain * noise`` with the whole mix scaled below the peak limit."""
-    both = F.zip_with(clean, noise, lambda c, n: c.cast("double") + gain * n.cast("double"))
+    both = let(
+        gain,
+        lambda g: F.zip_with(clean, noise, lambda c, n: c.cast("double") + g * n.cast("double")),
+    )
     return F.when(gain == 0.0, F.transform(clean, lambda v: v.cast("double"))).otherwise(
         limit_peak(both, _MIX_PEAK)
     )
@@ -93,13 +99,19 @@ def fit_length(x: Column, n: Column) -> Column:
 
 def overlay(bed: Column, voice: Column, rel_db: float) -> Column:
     """Voice laid over a bed at ``rel_db`` against the bed; null when either is silent."""
-    fitted = tile(voice, F.size(bed))
-    bed_level, voice_level = rms(bed), rms(fitted)
-    gain = bed_level * (10.0 ** (rel_db / 20.0)) / voice_level
-    both = F.zip_with(bed, fitted, lambda b, v: b.cast("double") + gain * v.cast("double"))
-    return F.when(
-        (bed_level >= _SILENCE) & (voice_level >= _SILENCE), limit_peak(both, _OVERLAY_PEAK)
-    )
+
+    def lay(fitted: Column) -> Column:
+        bed_level, voice_level = rms(bed), rms(fitted)
+        both = let(
+            bed_level * (10.0 ** (rel_db / 20.0)) / voice_level,
+            lambda gain: F.zip_with(
+                bed, fitted, lambda b, v: b.cast("double") + gain * v.cast("double")
+            ),
+        )
+        audible = (bed_level >= _SILENCE) & (voice_level >= _SILENCE)
+        return F.when(audible, limit_peak(both, _OVERLAY_PEAK))
+
+    return let(tile(voice, F.size(bed)), lay)
 
 
 def cut_clips(
@@ -135,7 +147,7 @@ def mean_vector(windows: Column) -> Column:
 def decide(logits: Column, classes: list[str], min_confidence: float) -> tuple[Column, Column]:
     """Softmax and arg-max with the confidence gate: ``(subtype or null, confidence)``."""
     top = F.array_max(logits)
-    weights = F.transform(logits, lambda v: F.exp(v - top))
+    weights = let(top, lambda t: F.transform(logits, lambda v: F.exp(v - t)))
     confidence = F.lit(1.0) / F.aggregate(weights, F.lit(0.0), lambda acc, v: acc + v)
     label = F.element_at(
         F.array(*[F.lit(c) for c in classes]), F.array_position(logits, top).cast("int")

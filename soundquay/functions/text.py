@@ -142,6 +142,7 @@ _END = r"(?![^ ])"
 # read, upper-case letters (and 0) are codes already written, "~" is a letter that is silent
 # but still separates its neighbours.
 _EN_REWRITES = (
+    (r"[^a-z ]", "~"),
     (_START + r"(?:[kgp](?=n)|w(?=r)|a(?=e))", ""),
     (_START + r"([aeiou])(?=\1)", "~"),
     (r"([^ch \x7e])(?=\1)", ""),

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
+from soundquay.functions.bind import let
 from soundquay.functions.text import fold_diacritics, match_case, normalize, raw_words
 from soundquay.operators.lexicon import best_terms
 
@@ -31,12 +32,8 @@ def _is_stopword(word: Column, lang: Column) -> Column:
 
 def word_groups(texts: DataFrame, key: str) -> DataFrame:
     """Groups of one to three neighbouring words in normal form, with their place."""
-    worded = texts.select(key, "lang", raw_words(F.col("text")).alias("_raw")).withColumn(
-        "_norm", F.transform("_raw", lambda w: normalize(w, F.col("lang")))
-    )
-
-    def group(n: int) -> Column:
-        count = F.size("_raw") - n + 1
+    def group(raw: Column, norm: Column, n: int) -> Column:
+        count = F.size(raw) - n + 1
         return F.when(
             count > 0,
             F.transform(
@@ -44,15 +41,19 @@ def word_groups(texts: DataFrame, key: str) -> DataFrame:
                 lambda i: F.struct(
                     i.cast("int").alias("start"),
                     F.lit(n).alias("n"),
-                    F.array_join(F.slice("_norm", i + 1, n), " ").alias("gram"),
-                    F.array_join(F.slice("_raw", i + 1, n), " ").alias("before"),
+                    F.array_join(F.slice(norm, i + 1, n), " ").alias("gram"),
+                    F.array_join(F.slice(raw, i + 1, n), " ").alias("before"),
                 ),
             ),
         ).otherwise(F.array().cast("array<struct<start:int,n:int,gram:string,before:string>>"))
 
-    return worded.select(
-        key, "lang", F.inline(F.concat(group(1), group(2), group(3)))
-    )
+    def groups(raw: Column) -> Column:
+        return let(
+            F.transform(raw, lambda w: normalize(w, F.col("lang"))),
+            lambda norm: F.concat(*[group(raw, norm, n) for n in (1, 2, 3)]),
+        )
+
+    return texts.select(key, "lang", F.inline(let(raw_words(F.col("text")), groups)))
 
 
 def group_lookup(groups: DataFrame, terms: DataFrame) -> DataFrame:
@@ -154,24 +155,29 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
     """Places where a rule's words stand and its context gates pass."""
     ready = prepare_rules(rules, mode)
     reach = fixed.CONTEXT_REACH
-    worded = texts.select(key, "lang", raw_words(F.col("text")).alias("_raw")).withColumn(
-        "_folded",
-        F.transform("_raw", lambda w: fold_diacritics(normalize(w, F.col("lang")))),
-    )
+
     # each word carries only its neighbourhood, so long texts stay linear in size
-    places = F.transform(
-        "_folded",
-        lambda w, i: F.struct(
-            i.alias("start"),
-            w.alias("word"),
-            F.slice("_folded", i + 1, MAX_RULE_WORDS).alias("ahead"),
-            F.slice(
-                "_folded", F.greatest(i - reach, F.lit(0)) + 1, F.least(i, F.lit(reach)) + reach + 1
-            ).alias("window"),
-            F.slice("_raw", i + 1, MAX_RULE_WORDS).alias("raw"),
-        ),
-    )
-    words = worded.select(key, "lang", F.inline(places))
+    def places(raw: Column) -> Column:
+        folded = F.transform(raw, lambda w: fold_diacritics(normalize(w, F.col("lang"))))
+        return let(
+            folded,
+            lambda words: F.transform(
+                words,
+                lambda w, i: F.struct(
+                    i.alias("start"),
+                    w.alias("word"),
+                    F.slice(words, i + 1, MAX_RULE_WORDS).alias("ahead"),
+                    F.slice(
+                        words,
+                        F.greatest(i - reach, F.lit(0)) + 1,
+                        F.least(i, F.lit(reach)) + reach + 1,
+                    ).alias("window"),
+                    F.slice(raw, i + 1, MAX_RULE_WORDS).alias("raw"),
+                ),
+            ),
+        )
+
+    words = texts.select(key, "lang", F.inline(let(raw_words(F.col("text")), places)))
     n = F.size("wrong_words")
     return (
         words.join(ready, ["lang", "word"])

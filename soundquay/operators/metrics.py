@@ -11,6 +11,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from soundquay.functions.bind import let
 from soundquay.functions.distance import char_edits, contains_run, word_edits
 from soundquay.functions.text import normalize, phonetic_key, split_words
 
@@ -23,26 +24,27 @@ def keyword_hits(
     An empty keyword never counts as found. Sound keys are only worked out when some keyword
     is missing word for word.
     """
-    plain = F.transform(keywords, lambda k: normalize(k, lang))
     padded = F.concat(F.lit(" "), hyp_norm, F.lit(" "))
 
-    def present(text: Column, run: Column) -> Column:
-        return text.contains(F.concat(F.lit(" "), run, F.lit(" ")))
+    def present(run: Column) -> Column:
+        return padded.contains(F.concat(F.lit(" "), run, F.lit(" ")))
 
-    exact = F.filter(plain, lambda k: (k != "") & present(padded, k))
-    if not sound:
-        return F.size(exact).cast("long")
-    missing = F.filter(plain, lambda k: (k != "") & ~present(padded, k))
-    keys = F.when(hyp_norm == "", F.array().cast("array<string>")).otherwise(
-        F.split(phonetic_key(hyp_norm, lang), " ")
-    )
-    by_sound = F.filter(
-        F.transform(missing, lambda k: F.split(phonetic_key(k, lang), " ")),
-        lambda run: contains_run(keys, run),
-    )
-    return (
-        F.size(exact) + F.when(F.size(missing) > 0, F.size(by_sound)).otherwise(0)
-    ).cast("long")
+    def by_sound(missing: Column) -> Column:
+        keys = F.when(hyp_norm == "", F.array().cast("array<string>")).otherwise(
+            F.split(phonetic_key(hyp_norm, lang), " ")
+        )
+        runs = F.transform(missing, lambda k: F.split(phonetic_key(k, lang), " "))
+        found = let(keys, lambda ks: F.size(F.filter(runs, lambda run: contains_run(ks, run))))
+        return F.when(F.size(missing) > 0, found).otherwise(0)
+
+    def count(plain: Column) -> Column:
+        exact = F.size(F.filter(plain, lambda k: (k != "") & present(k)))
+        if not sound:
+            return exact
+        missing = F.filter(plain, lambda k: (k != "") & ~present(k))
+        return exact + let(missing, by_sound)
+
+    return let(F.transform(keywords, lambda k: normalize(k, lang)), count).cast("long")
 
 
 def measure(df: DataFrame, sound: bool = True) -> DataFrame:

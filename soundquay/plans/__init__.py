@@ -7,6 +7,7 @@ from importlib import import_module
 _MODULES = (
     "source_queries",
     "check_queries",
+    "text_queries",
 )
 
 
