@@ -8,6 +8,7 @@ _MODULES = (
     "source_queries",
     "check_queries",
     "text_queries",
+    "metric_queries",
 )
 
 
