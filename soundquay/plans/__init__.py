@@ -9,6 +9,8 @@ _MODULES = (
     "check_queries",
     "text_queries",
     "metric_queries",
+    "corpus_queries",
+    "loop_queries",
 )
 
 
