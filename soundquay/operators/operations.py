@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -193,14 +194,15 @@ def _busy_slots(events: DataFrame, window_s: int, limit: int) -> DataFrame:
     needs only the rows of one (store, slot): a store with most of the traffic is spread over
     all its slots.
     """
-    own = F.floor(F.col("_at") / window_s).cast("long")
+    width = window_s * 1_000_000
+    own = F.floor(F.col("_at") / width).cast("long")
     spread = events.select(
         "store_id", "trace_id", "_at", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_slot")
     )
     recent = (
         Window.partitionBy("store_id", "_slot")
         .orderBy("_at")
-        .rangeBetween(-float(window_s), 0.0)
+        .rangeBetween(-width, 0)
     )
     counted = spread.withColumn("_n", F.count(F.lit(1)).over(recent) - 1)
     return (
@@ -224,7 +226,8 @@ def rate_limit(
     run is walked on its own, starting from the quiet slot before it. The walk streams over
     sorted batches and keeps at most ``limit`` times.
     """
-    at = F.unix_micros(F.col(time).cast("timestamp")).cast("double") / 1e6
+    width = window_s * 1_000_000
+    at = F.unix_micros(F.col(time).cast("timestamp"))
     events = requests.select("store_id", "trace_id", at.alias("_at"))
     slots = _busy_slots(events, window_s, limit)
     # one row per store and slot that has events, far fewer than events
@@ -239,7 +242,7 @@ def rate_limit(
         .agg((F.min("_slot") - 1).alias("_slot"))
         .select("store_id", "_slot", "_run", F.lit(False).alias("_walk"))
     )
-    slot = F.floor(F.col("_at") / window_s).cast("long")
+    slot = F.floor(F.col("_at") / width).cast("long")
     placed = events.withColumn("_slot", slot)
     walked_rows = placed.join(busy.unionByName(lead_in), ["store_id", "_slot"])
     quiet = placed.join(busy.select("store_id", "_slot"), ["store_id", "_slot"], "left_anti").select(
@@ -248,14 +251,14 @@ def rate_limit(
     kinds = dict(requests.dtypes)
 
     def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, []
+        current, accepted = None, deque()
         for batch in batches:
             rows = []
             for store, run, when, trace, walked in batch.itertuples(index=False):
                 if (store, run) != current:
-                    current, accepted = (store, run), []
-                while accepted and accepted[0] < when - window_s:
-                    accepted.pop(0)
+                    current, accepted = (store, run), deque()
+                while accepted and accepted[0] < when - width:
+                    accepted.popleft()
                 ok = len(accepted) < limit
                 if ok:
                     accepted.append(when)

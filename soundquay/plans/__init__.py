@@ -11,6 +11,8 @@ _MODULES = (
     "metric_queries",
     "corpus_queries",
     "loop_queries",
+    "operation_queries",
+    "signal_queries",
 )
 
 

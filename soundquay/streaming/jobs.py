@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections import deque
 from collections.abc import Iterator
 
 import pandas as pd
@@ -93,32 +94,34 @@ def run_to_table(
 def _limiter(window_s: int, limit: int):
     from pyspark.sql.streaming.stateful_processor import StatefulProcessor
 
+    width = window_s * 1_000_000
+
     class Limiter(StatefulProcessor):
         """Keeps the accepted times of the last window per store (at most ``limit`` of them)."""
 
         def init(self, handle) -> None:
-            self.accepted = handle.getListState("accepted", "at double")
+            self.accepted = handle.getListState("accepted", "at long")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
-            times = [t[0] for t in self.accepted.get()] if self.accepted.exists() else []
-            for batch in rows:
-                batch = batch.sort_values(["at", "trace_id"])
-                marks = []
-                for at in batch["at"]:
-                    while times and times[0] < at - window_s:
-                        times.pop(0)
-                    marks.append(len(times) < limit)
-                    if marks[-1]:
-                        times.append(at)
-                yield pd.DataFrame(
-                    {
-                        "store_id": key[0],
-                        "trace_id": batch["trace_id"].to_numpy(),
-                        "accepted": marks,
-                    }
-                )
+            times = deque(t[0] for t in self.accepted.get()) if self.accepted.exists() else deque()
+            # the rows of one store in one trigger, two columns; bounded by the trigger's size
+            batch = pd.concat(list(rows)).sort_values(["at", "trace_id"])
+            marks = []
+            for at in batch["at"]:
+                while times and times[0] < at - width:
+                    times.popleft()
+                marks.append(len(times) < limit)
+                if marks[-1]:
+                    times.append(at)
+            yield pd.DataFrame(
+                {
+                    "store_id": key[0],
+                    "trace_id": batch["trace_id"].to_numpy(),
+                    "accepted": marks,
+                }
+            )
             if times:
-                self.accepted.put([(t,) for t in times])
+                self.accepted.put([(int(t),) for t in times])
             else:
                 self.accepted.clear()
 
@@ -133,9 +136,9 @@ def rate_limit_stream(
 ) -> DataFrame:
     """Live rate limit per store; needs the RocksDB state store.
 
-    Rows are taken in arrival order from batch to batch, in time order inside an Arrow batch.
+    Rows are taken in arrival order from trigger to trigger, in time order inside a trigger.
     """
-    at = F.unix_micros(F.col("ts").cast("timestamp")).cast("double") / 1e6
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
     kinds = dict(stream.dtypes)
     return (
         stream.select("store_id", "trace_id", at.alias("at"))
