@@ -13,10 +13,13 @@ from functools import lru_cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from soundquay.functions.bind import let
+
 # Marks that carry a composed Latin, Greek or Cyrillic letter; the tables below are derived
 # from the Unicode database rather than listed.
 _INNER_APOSTROPHE = "\ue000"  # private-use stand-ins while a text is being rewritten
 _ENYE = "\ue001"
+_SEPARATOR = "\ue004"
 _LETTER_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000))
 
 
@@ -60,28 +63,52 @@ def _literal_map(pairs: tuple[tuple[str, str], ...]) -> Column:
 
 def nfc(text: Column) -> Column:
     """Compose letter + mark sequences. Rows without any combining mark pass untouched."""
-    units = F.regexp_extract_all(text, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
     table = _literal_map(_compositions())
-    composed = F.array_join(
-        F.transform(units, lambda u: F.coalesce(F.element_at(table, u), u)), ""
+
+    def compose(value: Column) -> Column:
+        units = F.regexp_extract_all(value, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
+        composed = F.array_join(
+            F.transform(units, lambda u: F.coalesce(F.element_at(table, u), u)), ""
+        )
+        return F.when(value.rlike(r"\p{M}"), composed).otherwise(value)
+
+    return let(text, compose)
+
+
+def _clean(text: Column, lang: Column, keep: str = "") -> Column:
+    def guard_apostrophes(low: Column) -> Column:
+        marked = F.regexp_replace(
+            low, r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])", _INNER_APOSTROPHE
+        )
+        return F.when((lang == "en") & low.rlike("['’]"), marked).otherwise(low)
+
+    marked = let(F.translate(F.lower(nfc(text)), _INNER_APOSTROPHE, " "), guard_apostrophes)
+    blanked = F.regexp_replace(
+        marked, r"[^\p{L}\p{N}" + _INNER_APOSTROPHE + keep + "]+", " "
     )
-    return F.when(text.rlike(r"\p{M}"), composed).otherwise(text)
+    return F.trim(F.translate(blanked, _INNER_APOSTROPHE, "'"))
 
 
 def normalize(text: Column, lang: Column) -> Column:
     """Lower case, punctuation to blanks, blanks collapsed; English keeps inner apostrophes."""
-    low = F.translate(F.lower(nfc(text)), _INNER_APOSTROPHE, " ")
-    kept = F.regexp_replace(
-        low, r"(?<=[\p{L}\p{N}])['’](?=[\p{L}\p{N}])", _INNER_APOSTROPHE
-    )
-    marked = F.when(lang == "en", kept).otherwise(low)
-    blanked = F.regexp_replace(marked, r"[^\p{L}\p{N}" + _INNER_APOSTROPHE + "]+", " ")
-    return F.trim(F.translate(blanked, _INNER_APOSTROPHE, "'"))
+    return _clean(text, lang)
+
+
+def normalized_words(raw: Column, lang: Column, fold: bool = False) -> Column:
+    """The normal form (optionally without accents) of each word of an array.
+
+    The words are cleaned as one string with a separator between them: one pass per text
+    instead of one call per word. A word may come out empty or as several words.
+    """
+    joined = F.array_join(raw, _SEPARATOR)
+    cleaned = F.regexp_replace(_clean(joined, lang, _SEPARATOR), f" ?{_SEPARATOR} ?", _SEPARATOR)
+    plain = fold_diacritics(cleaned) if fold else cleaned
+    return F.slice(F.split(plain, _SEPARATOR), F.lit(1), F.size(raw))  # no words, no parts
 
 
 def split_words(text: Column) -> Column:
     """Words of a text that holds single blanks only; an empty text gives an empty array."""
-    return F.when(text == "", F.array().cast("array<string>")).otherwise(F.split(text, " "))
+    return F.array_remove(F.split(text, " "), "")
 
 
 def raw_words(text: Column) -> Column:
@@ -96,13 +123,16 @@ def tokens(text: Column, lang: Column) -> Column:
 def fold_diacritics(text: Column) -> Column:
     """Compatibility-decompose and drop the marks: ``café`` -> ``cafe``, ``ñ`` -> ``n``."""
     source, target, longer = _foldings()
-    folded = F.regexp_replace(F.translate(text, source, target), r"\p{M}+", "")
     table = _literal_map(longer)
-    expanded = F.array_join(
-        F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
-    )
     chars = "[" + "".join(c for c, _ in longer) + "]"
-    return F.when(folded.rlike(chars), expanded).otherwise(folded)
+
+    def finish(folded: Column) -> Column:
+        expanded = F.array_join(
+            F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
+        )
+        return F.when(folded.rlike(chars), expanded).otherwise(folded)
+
+    return let(F.regexp_replace(F.translate(text, source, target), r"\p{M}+", ""), finish)
 
 
 def _fold_keeping_enye(text: Column) -> Column:

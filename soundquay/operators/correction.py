@@ -12,8 +12,16 @@ from pyspark.sql import functions as F
 
 from soundquay import fixed
 from soundquay.functions.bind import let
-from soundquay.functions.text import fold_diacritics, match_case, normalize, raw_words
-from soundquay.operators.lexicon import best_terms
+from soundquay.functions.text import (
+    fold_diacritics,
+    match_case,
+    normalize,
+    normalized_words,
+    raw_words,
+)
+from soundquay.functions.distance import similarity
+from soundquay.operators.lexicon import distance_share, group_keys, similar_enough, term_pieces
+from soundquay.sources.stage import stage_table
 
 MAX_RULE_WORDS = 8
 
@@ -21,6 +29,7 @@ _HIT = (
     "struct<start:int,end:int,rule_id:string,before:string,after:string,confidence:double>"
 )
 CORRECTIONS = f"array<{_HIT}>"
+_HITS = "array<struct<start:int,end:int,rule_id:string,after:string,confidence:double>>"
 
 
 def _is_stopword(word: Column, lang: Column) -> Column:
@@ -30,78 +39,96 @@ def _is_stopword(word: Column, lang: Column) -> Column:
     return hit
 
 
-def word_groups(texts: DataFrame, key: str) -> DataFrame:
-    """Groups of one to three neighbouring words in normal form, with their place."""
-    def group(raw: Column, norm: Column, n: int) -> Column:
-        count = F.size(raw) - n + 1
-        return F.when(
-            count > 0,
-            F.transform(
-                F.sequence(F.lit(0), count - 1),
-                lambda i: F.struct(
-                    i.cast("int").alias("start"),
-                    F.lit(n).alias("n"),
-                    F.array_join(F.slice(norm, i + 1, n), " ").alias("gram"),
-                    F.array_join(F.slice(raw, i + 1, n), " ").alias("before"),
-                ),
-            ),
-        ).otherwise(F.array().cast("array<struct<start:int,n:int,gram:string,before:string>>"))
+def word_groups(texts: DataFrame, key: str, wanted: Column | None = None) -> DataFrame:
+    """Groups of one to three neighbouring words in normal form, with their place.
 
-    def groups(raw: Column) -> Column:
-        return let(
-            F.transform(raw, lambda w: normalize(w, F.col("lang"))),
-            lambda norm: F.concat(*[group(raw, norm, n) for n in (1, 2, 3)]),
+    ``wanted`` is a condition on ``lang``, ``n`` and ``length`` (columns of the result).
+    """
+
+    def group(norm: Column, n: int) -> Column:
+        count = F.size(norm) - n + 1
+
+        def at(i: Column) -> Column:
+            words = [F.get(norm, i + k) for k in range(n)]
+            return F.struct(
+                i.cast("int").alias("start"),
+                F.lit(n).alias("n"),
+                F.concat_ws(" ", *words).alias("gram"),
+            )
+
+        return F.when(count > 0, F.transform(F.sequence(F.lit(0), count - 1), at)).otherwise(
+            F.array().cast("array<struct<start:int,n:int,gram:string>>")
         )
 
-    return texts.select(key, "lang", F.inline(let(raw_words(F.col("text")), groups)))
+    groups = let(
+        normalized_words(raw_words(F.col("text")), F.col("lang")),
+        lambda norm: F.concat(*[group(norm, n) for n in (1, 2, 3)]),
+    )
+    out = texts.select(key, "lang", F.inline(groups)).withColumn("length", F.length("gram"))
+    return out if wanted is None else out.filter(wanted)
+
+
+def _spans(df: DataFrame, length: str) -> dict[tuple[str, int], tuple[int, int]]:
+    """Shortest and longest form per language and number of words: at most six rows."""
+    rows = df.groupBy("lang", "n").agg(F.min(length).alias("lo"), F.max(length).alias("hi"))
+    return {(r["lang"], r["n"]): (r["lo"], r["hi"]) for r in rows.collect()}
 
 
-def group_lookup(groups: DataFrame, terms: DataFrame) -> DataFrame:
-    """What to do with a word group: lock it (it is a term) or replace it (it is close to one).
+def _within(spans: dict[tuple[str, int], tuple[int, int]], any_n: bool) -> Column:
+    inside = F.lit(False)
+    for (lang, n), (low, high) in spans.items():
+        fits = (F.col("lang") == lang) & F.col("length").between(low, high)
+        inside = inside | (fits if any_n else fits & (F.col("n") == n))
+    return inside
 
-    The fuzzy search runs over the distinct groups near a term's length, so a phrase said a
-    billion times is compared once.
+
+def lexicon_candidates(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
+    """Exact groups (they only lock their words) and fuzzy groups with the term to put in.
+
+    Texts are read once. Word groups are cut down to lengths that occur in the lexicon, met with
+    the exact forms, and only what is no term itself is looked up by its pieces. Only groups that
+    hit a term leave this step. A group can come up for several terms and pieces, best first in
+    the order of ``far, ord``.
     """
-    exact = terms.select(
-        "lang",
-        F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("n"),
-        F.col("norm").alias("gram"),
-        F.lit(True).alias("exact"),
-        F.lit(None).cast("string").alias("after"),
-        F.lit(None).cast("double").alias("confidence"),
+    dims = stage_table(terms.select("lang", "n", "norm", "ord", "canonical"), "lexicon")
+    pieces = stage_table(term_pieces(dims), "lexicon-pieces")
+    whole = dims.select(
+        "lang", F.col("norm").alias("gram"), F.length("norm").alias("_len"), "n"
     )
-    gap = fixed.MAX_LENGTH_GAP
-    lengths = terms.select(
+    can_equal = _within(_spans(whole, "_len"), any_n=True)
+    can_match = _within(_spans(pieces, "q_len"), any_n=False) & ~(
+        (F.col("n") == 1) & _is_stopword(F.col("gram"), F.col("lang"))
+    )
+    groups = word_groups(texts, key, can_equal | can_match).withColumn("_fuzzy", can_match)
+    known = groups.join(
+        whole.select("lang", "gram", F.lit(True).alias("exact")), ["lang", "gram"], "left"
+    ).withColumn("exact", F.coalesce("exact", F.lit(False)))
+    keyed = known.filter("exact or _fuzzy").select(
+        key,
         "lang",
+        "start",
         "n",
-        F.explode(F.sequence(F.length("norm") - gap, F.length("norm") + gap)).alias("g_len"),
-    ).distinct()
-    likely = (
-        groups.select("lang", "n", "gram")
-        .filter(~((F.col("n") == 1) & _is_stopword(F.col("gram"), F.col("lang"))))
-        .withColumn("g_len", F.length("gram"))
-        .join(lengths, ["lang", "n", "g_len"], "left_semi")
-        .drop("g_len")
+        "gram",
+        "exact",
+        F.inline(group_keys(F.col("gram"), F.col("n"), F.col("exact"))),
     )
-    fuzzy = (
-        best_terms(likely, terms)
-        .join(exact, ["lang", "n", "gram"], "left_anti")
-        .select(
-            "lang",
-            "n",
-            "gram",
-            F.lit(False).alias("exact"),
-            F.col("canonical").alias("after"),
-            "confidence",
-        )
+    met = keyed.join(pieces, ["lang", "n", "q_len", "piece_no", "piece"], "left").filter(
+        F.col("exact") | F.col("norm").isNotNull()
     )
-    return exact.unionByName(fuzzy)
-
-
-def lexicon_candidates(texts: DataFrame, terms: DataFrame, key: str) -> DataFrame:
-    groups = word_groups(texts, key)
-    return groups.join(group_lookup(groups, terms), ["lang", "n", "gram"]).select(
-        key, "start", "n", "exact", "before", "after", "confidence"
+    hits = met.filter(
+        F.col("exact") | similar_enough(F.col("gram"), F.col("norm"), F.col("n"))
+    )
+    sure = similarity(F.col("gram"), normalize(F.col("canonical"), F.col("lang"))) / 100.0
+    fuzzy = ~F.col("exact")
+    return hits.select(
+        key,
+        "start",
+        "n",
+        "exact",
+        F.when(fuzzy, distance_share(F.col("gram"), F.col("norm"))).otherwise(0.0).alias("far"),
+        F.col("ord").cast("string").alias("ord"),
+        F.when(fuzzy, F.col("canonical")).alias("after"),
+        F.when(fuzzy, F.round(sure, 3)).alias("confidence"),
     )
 
 
@@ -158,9 +185,8 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
 
     # each word carries only its neighbourhood, so long texts stay linear in size
     def places(raw: Column) -> Column:
-        folded = F.transform(raw, lambda w: fold_diacritics(normalize(w, F.col("lang"))))
         return let(
-            folded,
+            normalized_words(raw, F.col("lang"), fold=True),
             lambda words: F.transform(
                 words,
                 lambda w, i: F.struct(
@@ -172,12 +198,13 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
                         F.greatest(i - reach, F.lit(0)) + 1,
                         F.least(i, F.lit(reach)) + reach + 1,
                     ).alias("window"),
-                    F.slice(raw, i + 1, MAX_RULE_WORDS).alias("raw"),
+                    F.get(raw, i).alias("raw"),
                 ),
             ),
         )
 
     words = texts.select(key, "lang", F.inline(let(raw_words(F.col("text")), places)))
+    ready = stage_table(ready, "rules")
     n = F.size("wrong_words")
     return (
         words.join(ready, ["lang", "word"])
@@ -189,8 +216,7 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
             n.alias("n"),
             "rule_id",
             "rule_ord",
-            F.array_join(F.slice("raw", 1, n), " ").alias("before"),
-            match_case(F.col("raw")[0], F.col("right")).alias("after"),
+            match_case(F.col("raw"), F.col("right")).alias("after"),
         )
     )
 
@@ -204,6 +230,7 @@ def _clashes(spans: Column, c: Column) -> Column:
 def resolve(candidates: Column) -> Column:
     """Walk the candidates in order and keep those whose words are still free.
 
+    Several candidates for the same words stand best first: the later ones find them taken.
     Exact lexicon groups lock words for the lexicon only; corrections lock words for all. A rule
     fires at most once per text.
     """
@@ -212,7 +239,7 @@ def resolve(candidates: Column) -> Column:
         F.array().cast(spans).alias("lexicon"),
         F.array().cast(spans).alias("used"),
         F.array().cast("array<string>").alias("fired"),
-        F.array().cast(CORRECTIONS).alias("hits"),
+        F.array().cast(_HITS).alias("hits"),
     )
 
     def step(acc: Column, c: Column) -> Column:
@@ -228,7 +255,6 @@ def resolve(candidates: Column) -> Column:
                 c["start"].alias("start"),
                 (c["start"] + c["n"]).alias("end"),
                 c["rule_id"].alias("rule_id"),
-                c["before"].alias("before"),
                 c["after"].alias("after"),
                 c["confidence"].alias("confidence"),
             )
@@ -246,6 +272,27 @@ def resolve(candidates: Column) -> Column:
     return F.array_sort(F.aggregate(candidates, empty, step, lambda acc: acc["hits"]))
 
 
+def _with_source(text: Column, hits: Column) -> Column:
+    """Add the words each hit stands for."""
+
+    def fill(words: Column) -> Column:
+        return F.transform(
+            hits,
+            lambda h: F.struct(
+                h["start"].alias("start"),
+                h["end"].alias("end"),
+                h["rule_id"].alias("rule_id"),
+                F.array_join(F.slice(words, h["start"] + 1, h["end"] - h["start"]), " ").alias(
+                    "before"
+                ),
+                h["after"].alias("after"),
+                h["confidence"].alias("confidence"),
+            ),
+        )
+
+    return F.when(hits.isNotNull(), let(raw_words(text), fill))
+
+
 def rewrite(words: Column, hits: Column) -> Column:
     """Put each hit's replacement at its first word and drop its other words."""
     kept = F.transform(
@@ -278,10 +325,12 @@ def correct(
                 (-F.col("n")).alias("order"),
                 F.col("start").cast("int").alias("start"),
                 F.col("n").cast("int").alias("n"),
+                (~F.col("exact")).alias("inexact"),
+                "far",
+                "ord",
                 "exact",
                 F.lit("lexicon").alias("rule_id"),
                 F.lit(-1).alias("rule_ord"),
-                "before",
                 "after",
                 "confidence",
             ).alias("c"),
@@ -294,10 +343,12 @@ def correct(
                 F.col("rule_ord").cast("int").alias("order"),
                 F.col("start").cast("int").alias("start"),
                 F.col("n").cast("int").alias("n"),
+                F.lit(True).alias("inexact"),
+                F.lit(0.0).alias("far"),
+                F.lit("").alias("ord"),
                 F.lit(False).alias("exact"),
                 "rule_id",
                 F.col("rule_ord").cast("int").alias("rule_ord"),
-                "before",
                 "after",
                 F.lit(1.0).alias("confidence"),
             ).alias("c"),
@@ -313,7 +364,7 @@ def correct(
         .filter(F.size("_hits") > 0)
     )
     joined = texts.join(hits, key, "left").withColumn(
-        "corrections", F.coalesce(F.col("_hits"), none)
+        "corrections", F.coalesce(_with_source(F.col("text"), F.col("_hits")), none)
     )
     blank = F.trim(F.regexp_replace("text", r"\s+", " ")) == ""
     if mode == "replace":

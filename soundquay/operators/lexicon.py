@@ -5,8 +5,8 @@ A word group of length q may differ from its term by at most ``d`` inserted or d
 must stand in the term unchanged, moved by no more than the edits around it. The group side of
 the join therefore holds d + 1 rows, the term side every place where such a piece may stand, and
 the join is an equality on (language, words, length, piece number, piece). Only pairs sharing a
-piece are compared. No hint is given: Spark broadcasts the term side when its measured size is
-below the threshold and shuffles both sides otherwise.
+piece are compared. No hint is given: the term side is staged as a table where texts are joined
+with it, so Spark knows its size and broadcasts it or shuffles both sides.
 """
 
 from __future__ import annotations
@@ -34,30 +34,39 @@ def _cut(length: Column, pieces: Column, j: Column) -> Column:
     return F.floor(length * j / pieces).cast("int")
 
 
-def query_pieces(grams: DataFrame, gram: str = "gram") -> DataFrame:
-    """One row per piece of each word group that can have a fuzzy match at all."""
-    sized = grams.withColumn("q_len", F.length(gram)).withColumn(
-        "_limit", _edit_limit(F.col("q_len"), F.col("n"))
-    )
-    pieces = F.transform(
-        F.sequence(F.lit(0), F.col("_limit")),
-        lambda j: F.struct(
-            j.alias("piece_no"),
-            F.substring(
-                F.col(gram),
-                _cut(F.col("q_len"), F.col("_limit") + 1, j) + 1,
-                _cut(F.col("q_len"), F.col("_limit") + 1, j + 1)
-                - _cut(F.col("q_len"), F.col("_limit") + 1, j),
-            ).alias("piece"),
-        ),
+def _piece_rows(gram: Column, limit: Column) -> Column:
+    size = F.length(gram)
+
+    def piece(j: Column) -> Column:
+        start, end = _cut(size, limit + 1, j), _cut(size, limit + 1, j + 1)
+        return F.struct(
+            size.alias("q_len"),
+            j.cast("int").alias("piece_no"),
+            F.substring(gram, start + 1, end - start).alias("piece"),
+        )
+
+    return F.transform(F.sequence(F.lit(0), limit), piece)
+
+
+def group_keys(gram: Column, n: Column, exact_only: Column) -> Column:
+    """Join keys of a word group: its whole form, and its pieces if it may match fuzzily."""
+    whole = F.array(
+        F.struct(
+            F.length(gram).alias("q_len"), F.lit(-1).alias("piece_no"), gram.alias("piece")
+        )
     )
-    return (
-        sized.filter("_limit > 0")
-        .withColumn("_p", F.explode(pieces))
-        .select(*grams.columns, "q_len", "_p.piece_no", "_p.piece")
+    limit = _edit_limit(F.length(gram), n)
+    return F.when(exact_only | (limit < 1), whole).otherwise(
+        F.concat(whole, _piece_rows(gram, limit))
     )
 
 
+def query_pieces(grams: DataFrame, gram: str = "gram") -> DataFrame:
+    """One row per piece of each word group that can have a fuzzy match at all."""
+    limit = _edit_limit(F.length(gram), F.col("n"))
+    return grams.filter(limit > 0).select("*", F.inline(_piece_rows(F.col(gram), limit)))
+
+
 def term_pieces(terms: DataFrame) -> DataFrame:
     """Every place of a term where a piece of a matching word group may stand."""
     gap = fixed.MAX_LENGTH_GAP
@@ -97,25 +106,33 @@ def term_pieces(terms: DataFrame) -> DataFrame:
     )
 
 
+def similar_enough(gram: Column, norm: Column, n: Column) -> Column:
+    """Different strings of at least the wanted similarity.
+
+    An edit script with replacements is never longer than one without, so the bounded edit
+    distance is a cheap first test; the exact distance is worked out for what is left.
+    """
+    total = F.length(gram) + F.length(norm)
+    limit = F.floor(total * (100 - _percent(n)) / 100).cast("int")
+    near = F.call_function("levenshtein", gram, norm, limit) >= 0
+    close = 100 * indel_distance(gram, norm) <= (100 - _percent(n)) * total
+    return (gram != norm) & near & close
+
+
+def distance_share(gram: Column, norm: Column) -> Column:
+    return indel_distance(gram, norm) / (F.length(gram) + F.length(norm))
+
+
 def similar_pairs(grams: DataFrame, terms: DataFrame, gram: str = "gram") -> DataFrame:
     """All (group, term) pairs of at least the wanted similarity; equal strings excluded.
 
-    A pair can come up once per shared piece. Adds ``norm, ord, canonical, distance``.
+    A pair can come up once per shared piece. Adds ``norm, ord, canonical``.
     """
     sides = query_pieces(grams, gram).join(
         term_pieces(terms.select("lang", "n", "norm", "ord", "canonical")), _BLOCK
     )
-    total = F.length(gram) + F.length("norm")
-    limit = F.floor(total * (100 - _percent(F.col("n"))) / 100).cast("int")
-    # an edit with replacements is never longer than one without: cheap bounded test first
-    near = (F.col(gram) != F.col("norm")) & (
-        F.call_function("levenshtein", F.col(gram), F.col("norm"), limit) >= 0
-    )
-    return (
-        sides.filter(near)
-        .withColumn("distance", indel_distance(F.col(gram), F.col("norm")))
-        .filter(100 * F.col("distance") <= (100 - _percent(F.col("n"))) * total)
-        .drop("q_len", "piece_no", "piece")
+    return sides.filter(similar_enough(F.col(gram), F.col("norm"), F.col("n"))).drop(
+        "q_len", "piece_no", "piece"
     )
 
 
@@ -123,8 +140,7 @@ def best_terms(grams: DataFrame, terms: DataFrame, gram: str = "gram") -> DataFr
     """The most similar term per distinct word group (ties: the earliest term)."""
     keys = ["lang", "n", gram]
     pairs = similar_pairs(grams.select(*keys).distinct(), terms, gram)
-    total = F.length(gram) + F.length("norm")
-    ranked = pairs.withColumn("_far", F.col("distance") / total)
+    ranked = pairs.withColumn("_far", distance_share(F.col(gram), F.col("norm")))
     return (
         ranked.groupBy(*keys)
         .agg(F.min(F.struct("_far", "ord", "norm", "canonical")).alias("_best"))

@@ -5,12 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
 from soundquay.functions.text import tokens
-from soundquay.operators.order import first_k
+from soundquay.operators.order import first_k, number_rows
 
 
 def _substitutions(ref: list[str], hyp: list[str]) -> list[tuple[int, str, str]]:
@@ -158,9 +158,8 @@ def context_terms(
 
 def rule_rows(mined: DataFrame, terms: DataFrame, cycle_id: str) -> DataFrame:
     """Candidate rules in order of evidence, with provenance and gate words."""
-    window = Window.orderBy(F.desc("evidence"), "lang", "wrong", "right")
-    # mined rules are reviewed by people: a list of at most thousands after the thresholds
-    numbered = mined.withColumn("_no", F.row_number().over(window) - 1)
+    ranked = mined.withColumn("_rank", -F.col("evidence"))
+    numbered = number_rows(ranked, ["_rank", "lang", "wrong", "right"], (), "_no")
     return numbered.join(terms, ["lang", "wrong", "right"], "left").select(
         F.concat(F.lit(f"mined-{cycle_id}-"), F.format_string("%03d", F.col("_no"))).alias("id"),
         "lang",

@@ -12,7 +12,7 @@ from soundquay.operators.damage import languages_without_clean, metric_matrix
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.source_queries import _MATRIX
-from soundquay.plans.views import table, view
+from soundquay.plans.views import spread, table, view
 
 
 def _reason_list(*pairs: tuple[str, str]) -> str:
@@ -164,7 +164,7 @@ def uncovered_targets(spark, sf_dir):
         .distinct()
     )
     carried = (
-        table(spark, sf_dir, "documents")
+        spread(table(spark, sf_dir, "documents"))
         .filter(F.col("lang") == "en")
         .select("lang", tokens(F.col("text"), F.col("lang")).alias("keywords"))
     )

@@ -18,8 +18,8 @@ _SEED = fixed.SEED
 @query(
     "W1",
     q.cte("v_utt")
-    + """SELECT doc_id, 'cl-' || lang || '-' || lpad(CAST(row_number() OVER (PARTITION BY lang
-  ORDER BY source, path) - 1 AS VARCHAR), 5, '0') AS utterance_id FROM v_utt""",
+    + """SELECT doc_id, 'cl-' || lang || '-' || printf('%05d', row_number() OVER (PARTITION BY lang
+  ORDER BY source, path) - 1) AS utterance_id FROM v_utt""",
 )
 def renumbered_manifest(spark, sf_dir):
     return corpus.renumber(view(spark, sf_dir, "v_utt").drop("utterance_id")).select(
@@ -30,8 +30,8 @@ def renumbered_manifest(spark, sf_dir):
 @query(
     "W2",
     q.cte("v_bank")
-    + """SELECT vec_id, 'nz-' || subtype || '-' || lpad(CAST(row_number() OVER (
-  PARTITION BY subtype ORDER BY recording_id, vec_id) - 1 AS VARCHAR), 4, '0') AS clip_id
+    + """SELECT vec_id, 'nz-' || subtype || '-' || printf('%04d', row_number() OVER (
+  PARTITION BY subtype ORDER BY recording_id, vec_id) - 1) AS clip_id
   FROM v_bank""",
 )
 def numbered_clips(spark, sf_dir):
@@ -168,7 +168,7 @@ cells AS (SELECT p.lang, p.n AS pn, s.subtype, s.n AS cn, l.*, slot FROM
   (SELECT DISTINCT lang, n FROM pool) p, (SELECT DISTINCT subtype, n FROM clips) s, lv l,
   (SELECT unnest(range(0, 40)) AS slot))
 SELECT 'en-' || c.lang || '-' || c.subtype || '-' || c.level || '-' ||
-    lpad(CAST(c.slot AS VARCHAR), 3, '0') AS utterance_id, p.utterance_id AS clean_id,
+    printf('%03d', c.slot) AS utterance_id, p.utterance_id AS clean_id,
   k.clip_id AS noise_clip_id, round(lo + {q.uniform('c.lang', 'c.subtype', 'c.level',
     'CAST(c.slot AS VARCHAR)', seed=_SEED)} * (hi - lo), 2)::DOUBLE AS snr_db_target
   FROM cells c JOIN pool p ON p.lang = c.lang AND p.idx = c.slot % c.pn
@@ -276,7 +276,7 @@ clips AS (SELECT subtype, clip_id, row_number() OVER (PARTITION BY subtype ORDER
   AS idx, count(*) OVER (PARTITION BY subtype) AS n FROM v_bank WHERE split = 'train'),
 lv AS (SELECT * FROM (VALUES (0, '05', 8.0, 15.0), (1, '10', -2.0, 2.0), (2, '15', -7.0, -3.0))
   t(lp, level, lo, hi))
-SELECT 'tn-' || k.lang || '-' || lpad(CAST(k.draw AS VARCHAR), 6, '0') AS utterance_id,
+SELECT 'tn-' || k.lang || '-' || printf('%06d', k.draw) AS utterance_id,
   k.utterance_id AS clean_id, CASE WHEN is_clean THEN NULL ELSE st END AS noise_subtype,
   CASE WHEN is_clean THEN NULL ELSE level END AS noise_band,
   CASE WHEN is_clean THEN NULL ELSE clip_id END AS noise_clip_id,

@@ -9,7 +9,7 @@ from soundquay.operators import feedback, gates, mining
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import pairs, table, utterances, view
-from soundquay.streaming.jobs import work_folder
+from soundquay.sources.stage import work_folder
 
 _ROUTED = """routed AS (SELECT transcription_id, CASE WHEN verdict = 'correct' AND order_core_match
   THEN 'training' WHEN verdict = 'minor_errors' AND coalesce(corrected_reference, '') <> ''
@@ -283,8 +283,8 @@ def confusion_contexts(spark, sf_dir):
 
 @query(
     "A30",
-    f"""WITH {_PAIRS} SELECT 'mined-c1-' || lpad(CAST(row_number() OVER (ORDER BY evidence DESC, lang,
-  wrong, right_) - 1 AS VARCHAR), 3, '0') AS id, lang, wrong, right_ AS "right",
+    f"""WITH {_PAIRS} SELECT 'mined-c1-' || printf('%03d', row_number() OVER (ORDER BY evidence DESC, lang,
+  wrong, right_) - 1) AS id, lang, wrong, right_ AS "right",
   'candidate' AS status, evidence AS evidence_count FROM mined""",
 )
 def mined_rules(spark, sf_dir):

@@ -8,6 +8,7 @@ from soundquay.operators import operations
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import VIEWS, table, view
+from soundquay.sources.stage import work_folder
 from soundquay.streaming import jobs
 
 _HALF = "TIMESTAMP '2024-01-16 00:00:00'"
@@ -253,7 +254,7 @@ def telemetry_stream_by_day(spark, sf_dir):
         F.array_compact(F.array("rule_fired")).alias("rules_fired"),
         F.struct(F.col("total_ms").alias("total")).alias("latency_ms"),
     )
-    base = jobs.work_folder(spark, "day-stream")
+    base = work_folder(spark, "day-stream")
     jobs.append_by_day(lines, f"{base}/lines", f"{base}/checkpoint").awaitTermination()
     back = spark.read.schema("trace_id string, rules_fired array<string>, day string").json(
         f"{base}/lines"

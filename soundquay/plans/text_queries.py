@@ -11,7 +11,7 @@ from soundquay.operators.metrics import false_correction_rate
 from soundquay.operators.operations import stage_total
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
-from soundquay.plans.views import segments, table, utterances, view
+from soundquay.plans.views import segments, spread, table, utterances, view
 
 
 @query(
@@ -23,7 +23,7 @@ SELECT doc_id, md5(norm) AS norm_md5, CAST(length(norm) AS BIGINT) AS n_chars,
   FROM n""",
 )
 def normalized_texts(spark, sf_dir):
-    docs = view(spark, sf_dir, "v_utt")
+    docs = spread(view(spark, sf_dir, "v_utt"))
     norm = docs.select("doc_id", t.normalize(F.col("text"), F.col("lang")).alias("norm"))
     return norm.select(
         "doc_id",
@@ -38,7 +38,7 @@ def normalized_texts(spark, sf_dir):
     "SELECT doc_id, md5(strip_accents(text)) AS folded_md5 FROM documents",
 )
 def folded_texts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     return docs.select(
         "doc_id", F.md5(t.fold_diacritics(F.col("text")).cast("binary")).alias("folded_md5")
     )
@@ -50,7 +50,7 @@ def _vocabulary_sql(lang: str) -> str:
 
 
 def _vocabulary(spark, sf_dir, lang):
-    docs = table(spark, sf_dir, "documents").filter(F.col("lang") == lang)
+    docs = spread(table(spark, sf_dir, "documents").filter(F.col("lang") == lang))
     return docs.select(
         F.explode(t.tokens(F.col("text"), F.col("lang"))).alias("word")
     ).distinct()
@@ -413,7 +413,8 @@ def fuzzy_terms(spark, sf_dir):
 
 # orders said over a bad line: the item is damaged in every third line
 _SAID = """said AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR) || '-'
-  || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) AS uid, l_linenumber,
+  || CAST(l_partkey AS VARCHAR) || '-' || CAST(l_suppkey AS VARCHAR) || '-' ||
+  CAST(CAST(round(l_extendedprice * 100) AS BIGINT) AS VARCHAR) AS uid, l_linenumber,
   CASE WHEN l_linenumber % 3 = 0 THEN substr(p_name, 1, 2) || substr(p_name, 4) ELSE p_name END
     AS item,
   CASE WHEN l_linenumber % 4 = 0 THEN 'some flies' WHEN l_linenumber % 4 = 1 THEN 'Flies swarm'
@@ -423,7 +424,11 @@ _SAID = """said AS (SELECT CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumb
 
 def _said(spark, sf_dir):
     line = table(spark, sf_dir, "lineitem").select(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"
+        "l_orderkey",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        F.round(F.col("l_extendedprice") * 100).cast("long").alias("cents"),
     )
     part = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     name = F.col("p_name")
@@ -436,13 +441,15 @@ def _said(spark, sf_dir):
         .otherwise("a folk")
     )
     return (
-        line.join(part, F.col("l_partkey") == F.col("p_partkey"))
+        spread(line)
+        .join(part, F.col("l_partkey") == F.col("p_partkey"))
         .select(
-            F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("uid"),
+            F.concat_ws(
+                "-", "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "cents"
+            ).alias("uid"),
             F.lit("en").alias("lang"),
             F.concat(F.lit("order "), item, F.lit(" with  "), side, F.lit(" please")).alias("text"),
         )
-        .distinct()
     )
 
 

@@ -41,6 +41,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give a small input to all cores before heavy per-row work.
+
+    A table of one small file arrives as one task. Anything with at least as many splits as
+    there are cores, so every table of a size that matters, is left as it is: no shuffle there.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df._jdf.rdd().getNumPartitions() >= cores else df.repartition(cores)
+
+
 VIEWS: dict[str, View] = {
     # utterance manifest, one row per Spanish or English document
     "v_utt": View(
@@ -233,7 +243,7 @@ def raw_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A long document becomes many short rows at once, so no later step depends on document size.
     """
-    docs = table(spark, sf_dir, "documents").where("lang IN ('es', 'en')")
+    docs = spread(table(spark, sf_dir, "documents").where("lang IN ('es', 'en')"))
     words = docs.select("doc_id", "lang", "source", raw_words(F.col("text")).alias("_w"))
     windows = F.transform(
         F.sequence(F.lit(0), F.ceil(F.size("_w") / WINDOW_WORDS).cast("int") - 1),

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections import deque
 from collections.abc import Iterator
 
@@ -14,20 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from soundquay import fixed
 from soundquay.operators.operations import telemetry_lines
-
-
-def work_folder(spark: SparkSession, name: str) -> str:
-    """A fresh folder below the shared checkpoint folder of the session.
-
-    A local session without that setting (tests) gets a temporary one; a cluster must name one.
-    """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = tempfile.mkdtemp(prefix="soundquay-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from soundquay.sources.stage import work_folder
 
 
 def append_by_day(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:

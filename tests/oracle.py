@@ -14,6 +14,8 @@ import duckdb
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
+took: dict[str, float] = {}
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents embeddings pages "
     "benchmark labels conversations"
@@ -54,9 +56,11 @@ def _kind(name):
 
 def compare(spark, con, name, build, sql, sf_dir):
     """Returns (message or None, number of rows)."""
+    took.setdefault("start", time.time())
     df = build(spark, sf_dir)
     cols = sorted(df.columns)
     got = [tuple(_cell(r[c]) for c in cols) for r in df.collect()]
+    took["spark"] = time.time() - took["start"]
     if sql is None:
         return None, len(got)
     res = con.execute(sql)
@@ -102,15 +106,16 @@ def main():
     for name, item in load_catalogue().items():
         if wanted and not any(w in name for w in wanted):
             continue
-        start = time.time()
+        took["start"] = time.time()
+        took["spark"] = -1.0
         try:
             message, n = compare(spark, con, name, item.build, item.sql, sf_dir)
         except Exception as error:  # report and go on
             message, n = f"{type(error).__name__}: {str(error)[:1500]}", -1
-        took = time.time() - start
+        total = time.time() - took["start"]
         bad += message is not None
         kind = "sql " if item.sql else "rows"
-        print(f"{'ok  ' if message is None else 'FAIL'} {kind} {name} n={n} {took:.1f}s", message or "",
+        print(f"{'ok  ' if message is None else 'FAIL'} {kind} {name} n={n} spark={took['spark']:.1f}s all={total:.1f}s", message or "",
               flush=True)
     print("failures:", bad)
 
