@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from soundquay import fixed
 from soundquay.functions.text import hash_number, md5_order, uniform_hash
 from soundquay.operators.order import first_k, number_rows
+from soundquay.sources.constants import constant_table
 
 
 def levels_table(spark: SparkSession, levels: Sequence[str] = fixed.CANONICAL_LEVELS) -> DataFrame:
@@ -17,7 +18,8 @@ def levels_table(spark: SparkSession, levels: Sequence[str] = fixed.CANONICAL_LE
         (i, level, fixed.LEVEL_SNR_DB[level], *fixed.SNR_BANDS_DB.get(level, (None, None)))
         for i, level in enumerate(levels)
     ]
-    return spark.createDataFrame(
+    return constant_table(
+        spark,
         rows, "level_pos long, noise_level string, snr_db double, snr_low double, snr_high double"
     )
 

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
+from soundquay.functions.bind import let
 from soundquay.functions.distance import indel_distance, similarity
 from soundquay.functions.text import normalize
 
@@ -27,44 +28,44 @@ def _percent(n: Column) -> Column:
 
 def _edit_limit(length: Column, n: Column) -> Column:
     """The most inserted or deleted letters that can still reach the wanted similarity."""
-    return F.floor(2 * length * (100 - _percent(n)) / _percent(n)).cast("int")
+    return F.call_function("div", 2 * length * (100 - _percent(n)), _percent(n)).cast("int")
 
 
 def _cut(length: Column, pieces: Column, j: Column) -> Column:
-    return F.floor(length * j / pieces).cast("int")
+    return F.call_function("div", length * j, pieces).cast("int")
 
 
-def _piece_rows(gram: Column, limit: Column) -> Column:
-    size = F.length(gram)
+def _piece_rows(gram: Column, size: Column, limit: Column) -> Column:
+    """``limit + 1`` pieces of the group; ``size`` and ``limit`` must be cheap to repeat."""
 
     def piece(j: Column) -> Column:
-        start, end = _cut(size, limit + 1, j), _cut(size, limit + 1, j + 1)
+        start = _cut(size, limit + 1, j)
         return F.struct(
             size.alias("q_len"),
-            j.cast("int").alias("piece_no"),
-            F.substring(gram, start + 1, end - start).alias("piece"),
+            j.alias("piece_no"),
+            F.substring(gram, start + 1, _cut(size, limit + 1, j + 1) - start).alias("piece"),
         )
 
     return F.transform(F.sequence(F.lit(0), limit), piece)
 
 
 def group_keys(gram: Column, n: Column, exact_only: Column) -> Column:
-    """Join keys of a word group: its whole form, and its pieces if it may match fuzzily."""
-    whole = F.array(
-        F.struct(
-            F.length(gram).alias("q_len"), F.lit(-1).alias("piece_no"), gram.alias("piece")
-        )
+    """Join keys of a word group: its pieces, or one key without a piece for a known term."""
+    alone = F.array(
+        F.struct(F.length(gram).alias("q_len"), F.lit(-1).alias("piece_no"), F.lit("").alias("piece"))
     )
-    limit = _edit_limit(F.length(gram), n)
-    return F.when(exact_only | (limit < 1), whole).otherwise(
-        F.concat(whole, _piece_rows(gram, limit))
+    pieces = let(
+        F.length(gram),
+        lambda size: let(_edit_limit(size, n), lambda limit: _piece_rows(gram, size, limit)),
     )
+    return F.when(exact_only, alone).otherwise(pieces)
 
 
 def query_pieces(grams: DataFrame, gram: str = "gram") -> DataFrame:
     """One row per piece of each word group that can have a fuzzy match at all."""
     limit = _edit_limit(F.length(gram), F.col("n"))
-    return grams.filter(limit > 0).select("*", F.inline(_piece_rows(F.col(gram), limit)))
+    pieces = let(limit, lambda lim: _piece_rows(F.col(gram), F.length(gram), lim))
+    return grams.filter(limit > 0).select("*", F.inline(pieces))
 
 
 def term_pieces(terms: DataFrame) -> DataFrame:

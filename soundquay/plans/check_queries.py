@@ -13,6 +13,7 @@ from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.source_queries import _MATRIX
 from soundquay.plans.views import spread, table, view
+from soundquay.sources.constants import constant_table
 
 
 def _reason_list(*pairs: tuple[str, str]) -> str:
@@ -97,7 +98,7 @@ SELECT c.lang, c.noise_subtype, c.noise_level, coalesce(k.n, 0) AS n, e.n AS exp
  WHERE coalesce(k.n, 0) <> e.n""",
 )
 def incomplete_grid(spark, sf_dir):
-    subtypes = spark.createDataFrame([(s,) for s in fixed.BANK_SUBTYPES], "noise_subtype string")
+    subtypes = constant_table(spark, [(s,) for s in fixed.BANK_SUBTYPES], "noise_subtype string")
     return checks.incomplete_cells(view(spark, sf_dir, "v_rec"), subtypes, levels_table(spark))
 
 

@@ -11,6 +11,7 @@ from soundquay.operators.order import number_rows
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import pairs, table, utterances, view
+from soundquay.sources.constants import constant_table
 
 _SEED = fixed.SEED
 
@@ -235,7 +236,7 @@ _WEIGHTS = """weights AS (SELECT * FROM (VALUES ('es','AA',0.1), ('es','BB',0.6)
 def _weights(spark):
     rows = [("es", "AA", 0.1), ("es", "BB", 0.6), ("es", "CA", 0.3),
             ("en", "AA", 0.25), ("en", "BB", 0.25), ("en", "CA", 0.5)]
-    return spark.createDataFrame(rows, "lang string, noise_subtype string, weight double")
+    return constant_table(spark, rows, "lang string, noise_subtype string, weight double")
 
 
 @query(
@@ -362,7 +363,7 @@ SELECT c.o_orderkey, replace(replace(template, '{{a}}', x.term), '{{b}}', y.term
 )
 def order_sentences(spark, sf_dir):
     """One sentence per order from templates and menu items."""
-    templates = spark.createDataFrame(_TEMPLATES, "lang string, template_no long, template string")
+    templates = constant_table(spark, _TEMPLATES, "lang string, template_no long, template string")
     names = number_rows(
         table(spark, sf_dir, "part").select(F.col("p_name").alias("term")).distinct(),
         ["term"],
@@ -386,7 +387,8 @@ SELECT target, replace(template, '{{a}}', target) AS text FROM c JOIN tpl
 )
 def coverage_sentences(spark, sf_dir):
     """Every menu item is said at least once."""
-    templates = spark.createDataFrame(
+    templates = constant_table(
+        spark,
         [(lang, no, text.replace("{a}", "{w}")) for lang, no, text in _TEMPLATES],
         "lang string, template_no long, template string",
     )

@@ -10,6 +10,7 @@ from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.source_queries import _MATRIX
 from soundquay.plans.views import pairs, table, view
+from soundquay.sources.constants import constant_table
 
 _SIX = 6
 
@@ -292,7 +293,7 @@ policy AS (SELECT s.subtype, coalesce(b.chain, 'none') AS chain FROM (
 
 
 def _bank_subtypes(spark):
-    return spark.createDataFrame([(s,) for s in fixed.BANK_SUBTYPES], "subtype string")
+    return constant_table(spark, [(s,) for s in fixed.BANK_SUBTYPES], "subtype string")
 
 
 def _policy(spark, sf_dir):

@@ -12,6 +12,7 @@ from soundquay.operators.operations import stage_total
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import segments, spread, table, utterances, view
+from soundquay.sources.constants import constant_table
 
 
 @query(
@@ -472,7 +473,8 @@ _RULES = [
 
 
 def _rules(spark):
-    return spark.createDataFrame(
+    return constant_table(
+        spark,
         _RULES,
         "rule_ord int, id string, lang string, wrong string, right string, "
         "context_any array<string>, context_none array<string>, status string",
@@ -621,7 +623,8 @@ def cleaned_transcripts(spark, sf_dir):
         "speech_ratio", F.when(F.col("doc_id") % 10 == 0, 0.1).otherwise(0.9)
     )
     gated = g.gate_low_speech(guarded.withColumn("language", F.col("lang")))
-    rules = spark.createDataFrame(
+    rules = constant_table(
+        spark,
         [(0, "es-9001", "es", "que", "queda", [], [], "active")],
         "rule_ord int, id string, lang string, wrong string, right string, "
         "context_any array<string>, context_none array<string>, status string",
