@@ -102,8 +102,16 @@ def common_subsequence(a: Column, b: Column) -> Column:
 
 
 def indel_distance(a: Column, b: Column) -> Column:
-    """Distance with inserts and deletes only."""
-    return (F.length(a) + F.length(b) - 2 * common_subsequence(a, b)).cast("int")
+    """Distance with inserts and deletes only.
+
+    When the plain edit distance equals the difference in length, its script has no replacement
+    and both distances are the same; the common subsequence is only needed otherwise.
+    """
+    by_common = F.length(a) + F.length(b) - 2 * common_subsequence(a, b)
+    gap = F.abs(F.length(a) - F.length(b))
+    return let(
+        F.levenshtein(a, b), lambda plain: F.when(plain == gap, plain).otherwise(by_common)
+    ).cast("int")
 
 
 def similarity(a: Column, b: Column) -> Column:

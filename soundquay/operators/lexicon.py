@@ -116,8 +116,10 @@ def similar_enough(gram: Column, norm: Column, n: Column) -> Column:
     total = F.length(gram) + F.length(norm)
     limit = F.floor(total * (100 - _percent(n)) / 100).cast("int")
     near = F.call_function("levenshtein", gram, norm, limit) >= 0
+    # one single edit changes the length; two strings of one length are at least two edits apart
+    possible = (limit >= 2) | (F.abs(F.length(gram) - F.length(norm)) == 1)
     close = 100 * indel_distance(gram, norm) <= (100 - _percent(n)) * total
-    return (gram != norm) & near & close
+    return (gram != norm) & possible & near & close
 
 
 def distance_share(gram: Column, norm: Column) -> Column:
