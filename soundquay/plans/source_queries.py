@@ -57,7 +57,7 @@ def _telemetry_frame(spark, sf_dir):
         F.col("speech_ratio").alias("noise_confidence"),
         F.array().cast("array<string>").alias("chain_applied"),
         F.lit("es").alias("language"),
-        (F.col("avg_logprob") / 7).alias("avg_logprob"),
+        (F.col("avg_logprob") * 0.7310585786).alias("avg_logprob"),
         F.when(F.col("guarded") == 1, F.array(F.lit("vad_dropped")))
         .otherwise(F.array().cast("array<string>"))
         .alias("guard_flags"),
@@ -98,7 +98,7 @@ def telemetry_files_by_day(spark, sf_dir):
     "P18",
     q.cte("v_tel")
     + """SELECT CAST(trace_id AS VARCHAR) AS trace_id, store_id, round(speech_ratio, 3) AS speech_ratio,
-       round(avg_logprob / 7, 3) AS avg_logprob,
+       round(avg_logprob * CAST(0.7310585786 AS DOUBLE), 3) AS avg_logprob,
        CASE WHEN trace_id % 25 <> 0 THEN round(total_ms, 1) END AS total_ms,
        CASE WHEN guarded = 1 THEN 'vad_dropped' ELSE '' END AS guard_flags,
        coalesce(rule_fired, '') AS rules_fired
