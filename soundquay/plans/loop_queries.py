@@ -9,7 +9,7 @@ from soundquay.operators import feedback, gates, mining
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import pairs, table, utterances, view
-from soundquay.sources.stage import work_folder
+from soundquay.sources.stage import stage_table, work_folder
 
 _ROUTED = """routed AS (SELECT transcription_id, CASE WHEN verdict = 'correct' AND order_core_match
   THEN 'training' WHEN verdict = 'minor_errors' AND coalesce(corrected_reference, '') <> ''
@@ -244,7 +244,8 @@ def _menu_words(spark, sf_dir):
 
 def _mined(spark, sf_dir):
     both = _same_length(_aligned(spark, sf_dir))
-    subs = mining.substitutions(both)
+    # read several times below: align once
+    subs = stage_table(mining.substitutions(both), "substitutions")
     return both, subs, mining.candidates(subs, _menu_words(spark, sf_dir))
 
 
