@@ -8,16 +8,21 @@ over the buckets. The rank inside a bucket plus the offset of the bucket is the
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from soundquay.functions.bind import let
+
 _SAMPLES_PER_BUCKET = 20
+_MAX_BUCKETS = 1024
 
 
 def _bucket_count(df: DataFrame) -> int:
-    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200")))
+    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
+    return min(max(1, wanted), _MAX_BUCKETS)
 
 
 def split_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
@@ -46,10 +51,25 @@ def _bucket(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
     if not limits:
         return F.lit(0)
     kinds = {f.name: f.dataType for f in df.schema.fields}
-    literal = F.array(
-        *[F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in order]) for row in limits]
+    literals = [
+        F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in order]) for row in limits
+    ]
+    # two steps of about sqrt(n) comparisons each: first the chunk of limits, then inside it
+    width = math.isqrt(len(literals) - 1) + 1
+    chunks = [literals[i : i + width] for i in range(0, len(literals), width)]
+
+    def passed(points: Column, key: Column) -> Column:
+        return F.size(F.filter(points, lambda point: point <= key))
+
+    heads = F.array(*[chunk[0] for chunk in chunks])
+    rows = F.array(*[F.array(*chunk) for chunk in chunks])
+    key = F.struct(*order)
+    return let(
+        passed(heads, key),
+        lambda c: F.when(c == 0, 0).otherwise(
+            (c - 1) * width + passed(F.get(rows, c - 1), key)
+        ),
     )
-    return F.size(F.filter(literal, lambda limit: limit <= F.struct(*order)))
 
 
 def number_rows(
