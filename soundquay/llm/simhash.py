@@ -233,11 +233,13 @@ def _meet(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
     return a.join(b, ["i", "key"]).filter(_near("a", "b", bits) & F.expr("a <> b")).select("a", "b")
 
 
-def links(prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL) -> DataFrame:
+def links(
+    prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL, exact_pairs: bool = False
+) -> DataFrame:
     """Pairs a, b that connect all distinct fingerprints ``fp`` within ``bits`` bits.
 
     Every pair within ``bits`` bits is joined by these links, directly or over fingerprints within
-    that distance of each other; pairs may repeat.
+    that distance of each other; pairs may repeat. With ``exact_pairs`` every pair itself is there.
     """
     layout = plan(prints, bits)
     own = F.array(*[
@@ -260,7 +262,7 @@ def links(prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL)
     rest = _meet(
         probes.join(crowded, ["i", "key"], "left_anti"), index.join(crowded, ["i", "key"], "left_anti"), bits
     )
-    return rest.unionByName(_by_neighbours(hot) if bits == 2 else _by_longer_keys(hot, bits))
+    return rest.unionByName(_by_neighbours(hot) if bits == 2 and not exact_pairs else _by_longer_keys(hot, bits))
 
 
 def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -293,3 +295,136 @@ def hexadecimal(fp: Column) -> Column:
 
 def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+#: Least hashes of the shingles that stand for a text when a pair is verified.
+SKETCH = 128
+
+
+def _prints(words: int, seeds: int):
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        out = []
+        for t in texts:
+            hashes = shingle_hashes(t, words)
+            out.append([majority(remix(hashes, k)) for k in range(seeds)])
+        return pd.Series(out)
+
+    return of
+
+
+def _sketch(words: int):
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words))[:SKETCH].astype(np.int64) for t in texts])
+
+    return of
+
+
+@F.pandas_udf("double")
+def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
+    """Jaccard similarity by the least hashes of the union; exact for sets of up to SKETCH shingles."""
+    out = []
+    for a, b in zip(left, right, strict=True):
+        a, b = np.asarray(a).astype(np.uint64), np.asarray(b).astype(np.uint64)
+        union = np.union1d(a, b)
+        if len(a) >= SKETCH or len(b) >= SKETCH:
+            union = union[:SKETCH]
+        both = np.intersect1d(a, b, assume_unique=True)
+        out.append(np.isin(both, union).sum() / len(union) if len(union) else 1.0)
+    return pd.Series(out)
+
+
+def near_groups(
+    docs: DataFrame, words: int = 5, bits: int = 6, seeds: int = 4, similarity: float = 0.8
+) -> DataFrame:
+    """doc_id and component_id of every row of docs, by verified near copies.
+
+    A text has ``seeds`` fingerprints from independent hashes of its shingles; texts within ``bits``
+    bits in any of them are candidates, which widens what one fingerprint finds. A candidate pair is
+    kept when the shingle sets of the two texts have a Jaccard similarity of at least
+    ``similarity``, measured on sketches (exact for short texts). Texts with the same fingerprints
+    under all seeds count as one text. Texts without words are one group. Null ids as in groups().
+    """
+    spark = docs.sparkSession
+    work = Staged(spark, "near")
+    body = F.coalesce(F.col("text"), F.lit(""))
+    rows = work.keep(
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body_key"),
+            _prints(words, seeds)(body).alias("prints"),
+        ).withColumn("text_key", F.xxhash64("prints")),
+        "fingerprints",
+    )
+    texts = work.keep(
+        rows.groupBy("text_key").agg(
+            F.first("prints").alias("prints"), F.min("doc_id").alias("least"),
+            F.min(F.struct("doc_id", "body_key")).alias("owner"),
+        ),
+        "texts",
+    )
+    pairs = None
+    for k in range(seeds):
+        of_seed = texts.select(F.get("prints", F.lit(k)).alias("fp"), "text_key")
+        prints = work.keep(of_seed.select("fp").distinct(), f"prints-{k}")
+        #: texts that share a fingerprint are a chain to the least; near prints link their leasts
+        least = of_seed.groupBy("fp").agg(F.min("text_key").alias("least_key"))
+        same = of_seed.join(least, "fp").filter("text_key <> least_key").select(
+            F.col("least_key").alias("a"), F.col("text_key").alias("b")
+        )
+        near = (
+            links(prints, bits, work, exact_pairs=True)
+            .join(least.select(F.col("fp").alias("a"), F.col("least_key").alias("ka")), "a")
+            .join(least.select(F.col("fp").alias("b"), F.col("least_key").alias("kb")), "b")
+            .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+        )
+        found = same.unionByName(near)
+        pairs = found if pairs is None else pairs.unionByName(found)
+    pairs = work.keep(pairs.distinct(), "pairs")
+    involved = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+    #: one document for each involved text
+    owners = texts.join(involved, "text_key", "left_semi").select("text_key", "owner")
+    mine = F.col("owner.doc_id").eqNullSafe(F.col("id")) & (F.col("owner.body_key") == F.xxhash64("body"))
+    sketches = work.keep(
+        docs.select(F.col("doc_id").cast("long").alias("id"), body.alias("body"))
+        .join(owners, mine)
+        .select("text_key", _sketch(words)(F.col("body")).alias("sketch"))
+        .groupBy("text_key").agg(F.min("sketch").alias("sketch")),
+        "sketches",
+    )
+    near = (
+        pairs.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("sb")), "b")
+        .filter(_similarity("sa", "sb") >= similarity)
+        .select("a", "b")
+    )
+    roots = components(near, work)
+    placed = work.keep(
+        texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
+        .select("text_key", "least", F.coalesce("root", "text_key").alias("root")),
+        "placed",
+    )
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_text = work.keep(placed.join(least, "root").select("text_key", "component_id"), "components")
+    return rows.join(of_text, "text_key").select("doc_id", "component_id")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """One document of each group of near copies, that with the smallest doc_id, with all columns.
+
+    Of rows that repeat a kept doc_id one stays. Rows without an id stay only when no row of their
+    group has one, one of them for all such rows.
+    """
+    placed = near_groups(docs)
+    work = Staged(docs.sparkSession, "kept")
+    counts = work.keep(placed.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "counts")
+    gone = counts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
+    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
+    again = counts.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
+    again = work.keep(again, "again")
+    if again.isEmpty():
+        return left
+    same = F.col("doc_id").eqNullSafe(F.col("_again"))
+    return left.join(again, same, "left_anti").unionByName(
+        left.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+    )
