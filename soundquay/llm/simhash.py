@@ -210,11 +210,12 @@ def _near(a: str, b: str, bits: int) -> Column:
 def _by_neighbours(hot: DataFrame) -> DataFrame:
     """Links within two bits: all fingerprints one bit around a value are linked to their least."""
     flips = F.array(F.lit(0).cast("long"), *[F.lit(_signed(1 << b)).cast("long") for b in range(BITS)])
-    around = hot.select("fp", F.explode(flips).alias("flip")).select(
-        "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")
+    around = hot.select("seed", "fp", F.explode(flips).alias("flip")).select(
+        "seed", "fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("at")
     )
-    met = around.groupBy("at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
-    return met.filter(F.size("all") > 1).select("a", F.explode("all").alias("b")).filter("a <> b")
+    met = around.groupBy("seed", "at").agg(F.min("fp").alias("a"), F.collect_set("fp").alias("all"))
+    found = met.filter(F.size("all") > 1).select("seed", "a", F.explode("all").alias("b"))
+    return found.filter("a <> b")
 
 
 def _by_longer_keys(hot: DataFrame, bits: int) -> DataFrame:
@@ -224,44 +225,44 @@ def _by_longer_keys(hot: DataFrame, bits: int) -> DataFrame:
         F.struct(F.lit(i).alias("i"), _key(F.col("fp"), [b for p in chosen for b in p]).alias("key"))
         for i, chosen in enumerate(combinations(parts, 2 * bits))
     ])
-    rows = hot.select("fp", F.explode(keys).alias("k")).select("k.*", "fp")
+    rows = hot.select("seed", "fp", F.explode(keys).alias("k")).select("seed", "k.*", "fp")
     return _meet(rows, rows, bits)
 
 
 def _meet(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
     a, b = left.withColumnRenamed("fp", "a"), right.withColumnRenamed("fp", "b")
-    return a.join(b, ["i", "key"]).filter(_near("a", "b", bits) & F.expr("a <> b")).select("a", "b")
+    return a.join(b, CELL).filter(_near("a", "b", bits) & F.expr("a <> b")).select("seed", "a", "b")
+
+
+CELL = ["seed", "i", "key"]
 
 
 def links(
     prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL, exact_pairs: bool = False
 ) -> DataFrame:
-    """Pairs a, b that connect all distinct fingerprints ``fp`` within ``bits`` bits.
+    """Pairs a, b that connect all distinct fingerprints ``fp`` of a ``seed`` within ``bits`` bits.
 
     Every pair within ``bits`` bits is joined by these links, directly or over fingerprints within
     that distance of each other; pairs may repeat. With ``exact_pairs`` every pair itself is there.
     """
-    layout = plan(prints, bits)
+    layout = plan(prints.filter("seed = 0"), bits)
     own = F.array(*[
         F.struct(F.lit(i).alias("i"), _key(F.col("fp"), part).alias("key")) for i, part, _ in layout.used()
     ])
-    index = prints.select("fp", F.explode(own).alias("k")).select("k.*", "fp")
+    index = prints.select("seed", "fp", F.explode(own).alias("k")).select("seed", "k.*", "fp")
     probes = None
     for i, part, t in layout.used():
         flips = F.array(*[F.lit(_signed(x)).cast("long") for x in _patterns(part, t)])
-        found = prints.select("fp", F.explode(flips).alias("flip")).select(
-            F.lit(i).alias("i"), _key(F.col("fp"), part).bitwiseXOR(F.col("flip")).alias("key"), "fp"
+        found = prints.select("seed", "fp", F.explode(flips).alias("flip")).select(
+            "seed", F.lit(i).alias("i"), _key(F.col("fp"), part).bitwiseXOR(F.col("flip")).alias("key"), "fp"
         )
         probes = found if probes is None else probes.unionByName(found)
-    crowded = work.keep(index.groupBy("i", "key").count().filter(F.col("count") > hot_cell).drop("count"), "crowded")
+    crowded = index.groupBy(*CELL).count().filter(F.col("count") > hot_cell).drop("count")
+    crowded = work.keep(crowded, "crowded")
     if crowded.isEmpty():
         return _meet(probes, index, bits)
-    hot = work.keep(
-        probes.join(crowded, ["i", "key"], "left_semi").select("fp").distinct(), "hot"
-    )
-    rest = _meet(
-        probes.join(crowded, ["i", "key"], "left_anti"), index.join(crowded, ["i", "key"], "left_anti"), bits
-    )
+    hot = work.keep(probes.join(crowded, CELL, "left_semi").select("seed", "fp").distinct(), "hot")
+    rest = _meet(probes.join(crowded, CELL, "left_anti"), index.join(crowded, CELL, "left_anti"), bits)
     return rest.unionByName(_by_neighbours(hot) if bits == 2 and not exact_pairs else _by_longer_keys(hot, bits))
 
 
@@ -278,9 +279,11 @@ def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), words).alias("fp")),
         "fingerprints",
     )
-    prints = work.keep(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    prints = work.keep(
+        rows.groupBy("fp").agg(F.min("doc_id").alias("least")).withColumn("seed", F.lit(0)), "distinct"
+    )
     roots = components(links(prints, bits, work), work)
-    placed = prints.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+    placed = prints.drop("seed").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
     placed = work.keep(placed, "placed")
@@ -336,7 +339,7 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_groups(
-    docs: DataFrame, words: int = 5, bits: int = 6, seeds: int = 4, similarity: float = 0.8
+    docs: DataFrame, words: int = 5, bits: int = 6, seeds: int = 8, similarity: float = 0.8
 ) -> DataFrame:
     """doc_id and component_id of every row of docs, by verified near copies.
 
@@ -363,23 +366,19 @@ def near_groups(
         ),
         "texts",
     )
-    pairs = None
-    for k in range(seeds):
-        of_seed = texts.select(F.get("prints", F.lit(k)).alias("fp"), "text_key")
-        prints = work.keep(of_seed.select("fp").distinct(), f"prints-{k}")
-        #: texts that share a fingerprint are a chain to the least; near prints link their leasts
-        least = of_seed.groupBy("fp").agg(F.min("text_key").alias("least_key"))
-        same = of_seed.join(least, "fp").filter("text_key <> least_key").select(
-            F.col("least_key").alias("a"), F.col("text_key").alias("b")
-        )
-        near = (
-            links(prints, bits, work, exact_pairs=True)
-            .join(least.select(F.col("fp").alias("a"), F.col("least_key").alias("ka")), "a")
-            .join(least.select(F.col("fp").alias("b"), F.col("least_key").alias("kb")), "b")
-            .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-        )
-        found = same.unionByName(near)
-        pairs = found if pairs is None else pairs.unionByName(found)
+    of_seed = texts.select("text_key", F.posexplode("prints").alias("seed", "fp"))
+    #: texts that share a fingerprint form a chain to the least key; near fingerprints link these
+    least = work.keep(of_seed.groupBy("seed", "fp").agg(F.min("text_key").alias("key")), "distinct")
+    same = of_seed.join(least, ["seed", "fp"]).filter("text_key <> key").select(
+        F.col("key").alias("a"), F.col("text_key").alias("b")
+    )
+    near = (
+        links(least.select("seed", "fp"), bits, work, exact_pairs=True)
+        .join(least.select("seed", F.col("fp").alias("a"), F.col("key").alias("ka")), ["seed", "a"])
+        .join(least.select("seed", F.col("fp").alias("b"), F.col("key").alias("kb")), ["seed", "b"])
+        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
+    )
+    pairs = same.unionByName(near)
     pairs = work.keep(pairs.distinct(), "pairs")
     involved = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
     #: one document for each involved text
