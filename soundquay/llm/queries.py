@@ -13,6 +13,7 @@ from soundquay.llm import (
     quality,
     sharding,
     simhash,
+    suffix,
     topk,
     toxicity,
     warc,
@@ -32,6 +33,10 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.report(table(spark, sf_dir, "documents"))
 
 
+def op4_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.report(table(spark, sf_dir, "documents"))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -60,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
     "op3_pii": op3_pii,
+    "op4_suffix": op4_suffix,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op7_decontamination": op7_decontamination,
