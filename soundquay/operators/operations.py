@@ -187,6 +187,10 @@ def latest_runs(runs: DataFrame, keep: int = 1) -> DataFrame:
     return runs.filter(F.col("run_id").startswith("run-")).orderBy(F.desc("run_id")).limit(keep)
 
 
+#: The name under which requests without a store are limited.
+UNNAMED_STORE = "_anon"
+
+
 def _busy_slots(events: DataFrame, window_s: int, limit: int) -> DataFrame:
     """Number the time slots of a store and find those where the limit could ever be reached.
 
@@ -197,17 +201,17 @@ def _busy_slots(events: DataFrame, window_s: int, limit: int) -> DataFrame:
     width = window_s * 1_000_000
     own = F.floor(F.col("_at") / width).cast("long")
     spread = events.select(
-        "store_id", "trace_id", "_at", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_slot")
+        "_store", "trace_id", "_at", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_slot")
     )
     recent = (
-        Window.partitionBy("store_id", "_slot")
+        Window.partitionBy("_store", "_slot")
         .orderBy("_at")
         .rangeBetween(-width, 0)
     )
     counted = spread.withColumn("_n", F.count(F.lit(1)).over(recent) - 1)
     return (
         counted.filter(F.col("_slot") == F.col("_own"))
-        .groupBy("store_id", "_slot")
+        .groupBy("_store", "_slot")
         .agg(F.max((F.col("_n") >= limit).cast("int")).alias("_busy"))
     )
 
@@ -224,28 +228,30 @@ def rate_limit(
     limit: an event with fewer than ``limit`` events of any kind before it in the window is
     accepted for sure. Runs of busy slots are found first; quiet slots need no Python, and each
     run is walked on its own, starting from the quiet slot before it. The walk streams over
-    sorted batches and keeps at most ``limit`` times.
+    sorted batches and keeps at most ``limit`` times. Requests without a store are limited together,
+    under one name.
     """
     width = window_s * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
-    events = requests.select("store_id", "trace_id", at.alias("_at"))
+    store = F.coalesce(F.col("store_id").cast("string"), F.lit(UNNAMED_STORE))
+    events = requests.select(store.alias("_store"), "store_id", "trace_id", at.alias("_at"))
     slots = _busy_slots(events, window_s, limit)
     # one row per store and slot that has events, far fewer than events
-    in_order = Window.partitionBy("store_id").orderBy("_slot")
+    in_order = Window.partitionBy("_store").orderBy("_slot")
     before = F.lag(F.when(F.col("_busy") == 1, F.col("_slot"))).over(in_order)
     starts = (F.col("_busy") == 1) & ~F.coalesce(before == F.col("_slot") - 1, F.lit(False))
     runs = slots.withColumn("_run", F.sum(starts.cast("long")).over(in_order))
-    busy = runs.filter("_busy = 1").select("store_id", "_slot", "_run", F.lit(True).alias("_walk"))
+    busy = runs.filter("_busy = 1").select("_store", "_slot", "_run", F.lit(True).alias("_walk"))
     # the slot in front of a run gives the walk its first accepted times
     lead_in = (
-        busy.groupBy("store_id", "_run")
+        busy.groupBy("_store", "_run")
         .agg((F.min("_slot") - 1).alias("_slot"))
-        .select("store_id", "_slot", "_run", F.lit(False).alias("_walk"))
+        .select("_store", "_slot", "_run", F.lit(False).alias("_walk"))
     )
     slot = F.floor(F.col("_at") / width).cast("long")
     placed = events.withColumn("_slot", slot)
-    walked_rows = placed.join(busy.unionByName(lead_in), ["store_id", "_slot"])
-    quiet = placed.join(busy.select("store_id", "_slot"), ["store_id", "_slot"], "left_anti").select(
+    walked_rows = placed.join(busy.unionByName(lead_in), ["_store", "_slot"])
+    quiet = placed.join(busy.select("_store", "_slot"), ["_store", "_slot"], "left_anti").select(
         "store_id", "trace_id", F.lit(True).alias("accepted")
     )
     kinds = dict(requests.dtypes)
@@ -254,22 +260,22 @@ def rate_limit(
         current, accepted = None, deque()
         for batch in batches:
             rows = []
-            for store, run, when, trace, walked in batch.itertuples(index=False):
-                if (store, run) != current:
-                    current, accepted = (store, run), deque()
+            for key, store, run, when, trace, walked in batch.itertuples(index=False):
+                if (key, run) != current:
+                    current, accepted = (key, run), deque()
                 while accepted and accepted[0] < when - width:
                     accepted.popleft()
                 ok = len(accepted) < limit
                 if ok:
                     accepted.append(when)
                 if walked:
-                    rows.append((store, trace, ok))
+                    rows.append((None if pd.isna(store) else store, trace, ok))
             yield pd.DataFrame(rows, columns=["store_id", "trace_id", "accepted"])
 
     walked = (
-        walked_rows.select("store_id", "_run", "_at", "trace_id", "_walk")
-        .repartition("store_id", "_run")
-        .sortWithinPartitions("store_id", "_run", "_at", "trace_id")
+        walked_rows.select("_store", "store_id", "_run", "_at", "trace_id", "_walk")
+        .repartition("_store", "_run")
+        .sortWithinPartitions("_store", "_run", "_at", "trace_id")
         .mapInPandas(
             walk,
             f"store_id {kinds['store_id']}, trace_id {kinds['trace_id']}, accepted boolean",

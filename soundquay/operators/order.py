@@ -1,75 +1,20 @@
 """Numbering and running totals over a total order, without one task seeing all rows.
 
 ``row_number() over (order by ...)`` or over a handful of partitions puts a whole table (or a
-whole language, subtype, ...) on one task. Here rows are first put into ordered buckets of about
-equal size; only the per-bucket counts, a table with a bounded number of rows, are accumulated
-over the buckets. The rank inside a bucket plus the offset of the bucket is the global rank.
+whole language, subtype, ...) on one task. Here Spark's own range partitioning deals the rows out in
+order, with a hash of the row as the last key, so that a value that many rows share is split as
+well. The dealt rows are written once; the counts of the partitions are accumulated, and the rank
+inside a partition plus what lies before it is the rank in the whole.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from soundquay.functions.bind import let
-
-_SAMPLES_PER_BUCKET = 20
-_MAX_BUCKETS = 1024
-
-
-def _bucket_count(df: DataFrame) -> int:
-    wanted = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "200"))
-    return min(max(1, wanted), _MAX_BUCKETS)
-
-
-def split_points(df: DataFrame, order: Sequence[str], buckets: int) -> list:
-    """Bucket limits from a repeatable sample of the order key, of bounded size.
-
-    The limits only steer how evenly rows spread; any limits give the same ranks.
-    """
-    if buckets <= 1:
-        return []
-    wanted = buckets * _SAMPLES_PER_BUCKET
-    keys = df.select(*order)
-    sample = keys.orderBy(F.xxhash64(*order)).limit(wanted).select(F.struct(*order).alias("key"))
-    ordered = (
-        sample.agg(F.array_sort(F.array_distinct(F.collect_list("key"))).alias("keys"))
-        .selectExpr(
-            "transform(filter(sequence(1, {b} - 1), i -> size(keys) > 0), "
-            "i -> keys[cast(floor(i * size(keys) / {b}) as int)]) as limits".format(b=buckets)
-        )
-        .first()
-    )
-    return ordered["limits"] if ordered else []
-
-
-def _bucket(df: DataFrame, order: Sequence[str], buckets: int) -> Column:
-    limits = split_points(df, order, buckets)
-    if not limits:
-        return F.lit(0)
-    kinds = {f.name: f.dataType for f in df.schema.fields}
-    literals = [
-        F.struct(*[F.lit(row[c]).cast(kinds[c]).alias(c) for c in order]) for row in limits
-    ]
-    # two steps of about sqrt(n) comparisons each: first the chunk of limits, then inside it
-    width = math.isqrt(len(literals) - 1) + 1
-    chunks = [literals[i : i + width] for i in range(0, len(literals), width)]
-
-    def passed(points: Column, key: Column) -> Column:
-        return F.size(F.filter(points, lambda point: point <= key))
-
-    heads = F.array(*[chunk[0] for chunk in chunks])
-    rows = F.array(*[F.array(*chunk) for chunk in chunks])
-    key = F.struct(*order)
-    return let(
-        passed(heads, key),
-        lambda c: F.when(c == 0, 0).otherwise(
-            (c - 1) * width + passed(F.get(rows, c - 1), key)
-        ),
-    )
+from soundquay.sources.stage import stage_table
 
 
 def number_rows(
@@ -83,66 +28,75 @@ def number_rows(
 ) -> DataFrame:
     """Add the zero-based ``position`` in ``order`` (inside ``within``).
 
-    With ``value`` also add ``before``, the sum of ``value`` over the earlier rows. The order
-    key should be unique; equal keys get an arbitrary but complete numbering.
+    With ``value`` also add ``before``, the sum of ``value`` over the earlier rows. Rows with equal
+    order keys follow a hash of the row. ``buckets`` is the number of range partitions (None: as
+    many as Spark's shuffles have); it steers how evenly rows spread and never the numbers.
     """
     within = list(within)
-    placed = df.withColumn("_bucket", _bucket(df, order, buckets or _bucket_count(df)))
-    amount = value if value is not None else F.lit(0)
-    placed = placed.withColumn("_amount", amount)
-    sizes = placed.groupBy(*within, "_bucket").agg(
-        F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_total")
-    )
+    group = F.to_json(F.struct(*within)) if within else F.lit("")
+    hashable = [name for name, kind in df.dtypes if "map<" not in kind]
+    keyed = df.withColumn("_tie", F.xxhash64(*hashable)).withColumn("_group", group)
+    keyed = keyed.withColumn("_amount", value if value is not None else F.lit(0))
+    ranges = ["_group", *order, "_tie"]
+    dealt = keyed.repartitionByRange(buckets, *ranges) if buckets else keyed.repartitionByRange(*ranges)
+    placed = stage_table(dealt.withColumn("_bucket", F.spark_partition_id()), "numbered")
     earlier = (
-        Window.partitionBy(*within)
+        Window.partitionBy("_group")
         .orderBy("_bucket")
         .rowsBetween(Window.unboundedPreceding, -1)
     )
-    offsets = sizes.select(
-        *[F.col(c).alias(f"_k_{c}") for c in within],
-        F.col("_bucket").alias("_k_bucket"),
-        F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
-        F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset_total"),
+    # one row per group and partition
+    offsets = (
+        placed.groupBy("_group", "_bucket")
+        .agg(F.count(F.lit(1)).alias("_n"), F.sum("_amount").alias("_total"))
+        .select(
+            "_group",
+            "_bucket",
+            F.coalesce(F.sum("_n").over(earlier), F.lit(0)).alias("_offset"),
+            F.coalesce(F.sum("_total").over(earlier), F.lit(0)).alias("_offset_total"),
+        )
     )
-    local = Window.partitionBy(*within, "_bucket").orderBy(*order)
+    local = Window.partitionBy("_group", "_bucket").orderBy(*order, "_tie")
     running = local.rowsBetween(Window.unboundedPreceding, -1)
-    ranked = placed.withColumn("_local", F.row_number().over(local) - 1)
+    ranked = placed.join(offsets, ["_group", "_bucket"]).withColumn("_local", F.row_number().over(local) - 1)
+    out = [*df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(position)]
     if value is not None:
         ranked = ranked.withColumn(
             "_local_total", F.coalesce(F.sum("_amount").over(running), F.lit(0))
         )
-    match = F.col("_bucket") == F.col("_k_bucket")
-    for c in within:
-        match = match & F.col(c).eqNullSafe(F.col(f"_k_{c}"))
-    joined = ranked.join(offsets, match)
-    out = [*df.columns, (F.col("_offset") + F.col("_local")).cast("long").alias(position)]
-    if value is not None:
         out.append((F.col("_offset_total") + F.col("_local_total")).alias(before))
-    return joined.select(*out)
+    return ranked.select(*out)
 
 
 def values_at_shares(
     df: DataFrame, value: str, shares: dict[str, float], within: Sequence[str] = ()
 ) -> DataFrame:
-    """The sorted value at index ``min(n - 1, floor(share * n))`` for each named share."""
+    """The sorted value at index ``min(n - 1, floor(share * n))`` for each named share.
+
+    Rows are counted per distinct value first (combined on the map side); only the distinct values
+    are put in order, with the counts before them.
+    """
     within = list(within)
-    ranked = number_rows(df.select(*within, value), [value], within, "_at")
-    sizes = df.groupBy(*within).agg(F.count(F.lit(1)).alias("_count"))
+    counted = df.groupBy(*within, value).agg(F.count(F.lit(1)).alias("_rows"))
+    ordered = stage_table(
+        number_rows(counted, [value], within, "_at", F.col("_rows"), "_before"), "shares"
+    )
+    sizes = ordered.groupBy(*within).agg(F.sum("_rows").alias("_count"))
     if within:
-        together = ranked.join(sizes, within)
+        same = [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in within]
+        keyed = sizes.select(*[F.col(c).alias(f"_k_{c}") for c in within], "_count")
+        match = same[0]
+        for more in same[1:]:
+            match = match & more
+        together = ordered.join(keyed, match)
     else:
-        together = ranked.crossJoin(F.broadcast(sizes))  # one row: a global count
-    picks = [
-        F.max(
-            F.when(
-                F.col("_at")
-                == F.least(F.col("_count") - 1, F.floor(F.lit(share) * F.col("_count"))),
-                F.col(value),
-            )
-        ).alias(name)
-        for name, share in shares.items()
-    ]
-    return together.groupBy(*within).agg(F.max("_count").alias("n"), *picks)
+        together = ordered.crossJoin(F.broadcast(sizes))  # one row: a global count
+    picks = []
+    for name, share in shares.items():
+        index = F.least(F.col("_count") - 1, F.floor(F.lit(share) * F.col("_count")))
+        inside = (F.col("_before") <= index) & (index < F.col("_before") + F.col("_rows"))
+        picks.append(F.max(F.when(inside, F.col(value))).alias(name))
+    return together.groupBy(*within).agg(F.max("_count").cast("long").alias("n"), *picks)
 
 
 def latest_by_key(df: DataFrame, key: Sequence[str], sequence: Sequence[str]) -> DataFrame:

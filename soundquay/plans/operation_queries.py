@@ -194,10 +194,13 @@ def rate_limited_requests(spark, sf_dir):
     return operations.rate_limit(tel, window_s=7200, limit=3)
 
 
-def _event_stream(spark, sf_dir):
+def _event_stream(spark, sf_dir, files_per_trigger=64):
     schema = table(spark, sf_dir, "events").schema
     raw = (
-        spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+        spark.readStream.schema(schema)
+        .option("maxFilesPerTrigger", files_per_trigger)
+        # a pattern, as the table may be one file or a folder of files
+        .parquet(f"{sf_dir}/event[s].parquet")
     )
     columns = [f"{expr} AS {name}" for name, expr in VIEWS["v_tel"].columns.items()]
     return raw.selectExpr(*columns).withColumn("ts", F.col("ts").cast("timestamp"))
@@ -209,11 +212,8 @@ def _event_stream(spark, sf_dir):
 )
 def rate_limited_stream(spark, sf_dir):
     """The same limit on a stream with keyed state."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    limited = jobs.rate_limit_stream(_event_stream(spark, sf_dir), window_s=7200, limit=3)
+    own = jobs.stateful_session(spark)
+    limited = jobs.rate_limit_stream(_event_stream(own, sf_dir), window_s=7200, limit=3)
     return jobs.run_to_table(spark, limited, "rate-limit", "append")
 
 
@@ -228,12 +228,9 @@ SELECT store_id, n, l[CAST(floor(n * 0.5) AS BIGINT) + 1] AS p50,
 )
 def rolling_service_stats(spark, sf_dir):
     """Figures over the newest hundred requests of each store, kept in stream state."""
-    spark.conf.set(
-        "spark.sql.streaming.stateStore.providerClass",
-        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
-    )
-    stats = jobs.rolling_stats(_event_stream(spark, sf_dir), keep=100)
-    return jobs.run_to_table(spark, stats, "rolling-stats", "update")
+    own = jobs.stateful_session(spark)
+    stats = jobs.rolling_stats(_event_stream(own, sf_dir), keep=100)
+    return jobs.run_to_table(spark, stats, "rolling-stats", "update", ["store_id"])
 
 
 @query(
@@ -268,7 +265,7 @@ def telemetry_stream_by_day(spark, sf_dir):
 @query(
     "R4 A34",
     q.cte("v_tel")
-    + """, w AS (SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-01'), '%Y-%m-%d')
+    + """, w AS (SELECT strftime(time_bucket(INTERVAL 7 DAY, ts, TIMESTAMP '1970-01-05'), '%Y-%m-%d')
   AS week_start, store_id, noise_pred, count(*) AS n FROM v_tel WHERE noise_pred IS NOT NULL
   GROUP BY ALL)
 SELECT week_start, store_id, noise_pred, n, round(CAST(n AS DOUBLE) / sum(n) OVER (
@@ -278,7 +275,11 @@ def weekly_noise_stream(spark, sf_dir):
     """Weekly windows over the event stream; the batch figures are the check."""
     stream = _event_stream(spark, sf_dir).filter(F.col("noise_pred").isNotNull())
     counts = jobs.run_to_table(
-        spark, jobs.weekly_counts(stream, ["store_id", "noise_pred"]), "weekly"
+        spark,
+        jobs.weekly_counts(stream, ["store_id", "noise_pred"]),
+        "weekly",
+        "update",
+        ["week_start", "store_id", "noise_pred"],
     )
     shares = jobs.weekly_shares(counts, ["store_id"])
     return shares.select(

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from soundquay import fixed
-from soundquay.operators.operations import telemetry_lines
+from soundquay.operators.operations import UNNAMED_STORE, telemetry_lines
+from soundquay.operators.order import latest_by_key
 from soundquay.sources.stage import work_folder
 
 
@@ -28,13 +29,12 @@ def append_by_day(stream: DataFrame, path: str, checkpoint: str) -> StreamingQue
     )
 
 
-def weekly_counts(
-    stream: DataFrame, key: list[str], late: str = "1 day", width: str = "7 days"
-) -> DataFrame:
-    """Tumbling weekly counts; rows later than ``late`` behind the newest event are left out."""
+def weekly_counts(stream: DataFrame, key: list[str], late: str = "1 day") -> DataFrame:
+    """Counts per week from Monday on; weeks closed for ``late`` behind the newest event take no
+    more rows. Run it in update mode, keeping the newest count of each week and key."""
     return (
         stream.withWatermark("ts", late)
-        .groupBy(F.window("ts", width), *key)
+        .groupBy(F.window("ts", "7 days", startTime="4 days"), *key)
         .agg(F.count(F.lit(1)).alias("n"))
         .select(F.col("window.start").alias("week_start"), *key, "n")
     )
@@ -48,14 +48,36 @@ def weekly_shares(counts: DataFrame, within: list[str]) -> DataFrame:
     ).drop("_total")
 
 
+#: The state store that keyed state needs.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass": (
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+    )
+}
+
+
+def stateful_session(spark: SparkSession) -> SparkSession:
+    """A session of its own with the state store for keyed state; the caller's stays as it is."""
+    own = spark.newSession()
+    for name, value in STATE_STORE.items():
+        own.conf.set(name, value)
+    return own
+
+
 def run_to_table(
-    spark: SparkSession, stream: DataFrame, name: str, output_mode: str = "complete"
+    spark: SparkSession,
+    stream: DataFrame,
+    name: str,
+    output_mode: str = "append",
+    key: list[str] | None = None,
 ) -> DataFrame:
     """Run a stream over all input there is and read its result back.
 
     Results go through ``foreachBatch`` to a folder per batch. A batch that is repeated after a
-    failure overwrites its own folder.
+    failure overwrites its own folder. In update mode the newest row of each ``key`` counts.
     """
+    if output_mode == "update" and not key:
+        raise ValueError("update mode needs the key whose newest row counts")
     base = work_folder(spark, name)
 
     def sink(batch: DataFrame, batch_id: int) -> None:
@@ -69,10 +91,9 @@ def run_to_table(
         .start()
     )
     query.awaitTermination()
-    out = spark.read.parquet(f"{base}/out")
-    if output_mode == "complete":
-        last = out.agg(F.max("batch")).first()[0]
-        out = out.filter(F.col("batch") == last)
+    out = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{base}/out")
+    if output_mode == "update":
+        out = latest_by_key(out, key, ["batch"])
     return out.drop("batch")
 
 
@@ -89,8 +110,8 @@ def _limiter(window_s: int, limit: int):
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues):  # noqa: N802, N803
             times = deque(t[0] for t in self.accepted.get()) if self.accepted.exists() else deque()
-            # the rows of one store in one trigger, two columns; bounded by the trigger's size
-            batch = pd.concat(list(rows)).sort_values(["at", "trace_id"])
+            # two columns of the rows of one store in one trigger; limit the trigger's size
+            batch = pd.concat([r[["at", "trace_id"]] for r in rows]).sort_values(["at", "trace_id"])
             marks = []
             for at in batch["at"]:
                 while times and times[0] < at - width:
@@ -100,7 +121,7 @@ def _limiter(window_s: int, limit: int):
                     times.append(at)
             yield pd.DataFrame(
                 {
-                    "store_id": key[0],
+                    "store_id": None if key[0] == UNNAMED_STORE else key[0],
                     "trace_id": batch["trace_id"].to_numpy(),
                     "accepted": marks,
                 }
@@ -119,19 +140,26 @@ def _limiter(window_s: int, limit: int):
 def rate_limit_stream(
     stream: DataFrame, window_s: int = fixed.RATE_WINDOW_S, limit: int = fixed.RATE_LIMIT
 ) -> DataFrame:
-    """Live rate limit per store; needs the RocksDB state store.
+    """Live rate limit per store; needs the state store of ``STATE_STORE``.
 
-    Rows are taken in arrival order from trigger to trigger, in time order inside a trigger.
+    Rows are taken in arrival order from trigger to trigger, in time order inside a trigger, so the
+    result is that of the batch form when triggers follow each other in time. The rows of a store
+    in one trigger are sorted in memory: set ``maxBytesPerTrigger`` on the source. Rows without a
+    store are limited together; stores are text.
     """
     at = F.unix_micros(F.col("ts").cast("timestamp"))
     kinds = dict(stream.dtypes)
     return (
-        stream.select("store_id", "trace_id", at.alias("at"))
+        stream.select(
+            F.coalesce(F.col("store_id").cast("string"), F.lit(UNNAMED_STORE)).alias("store_id"),
+            "trace_id",
+            at.alias("at"),
+        )
         .groupBy("store_id")
         .transformWithStateInPandas(
             statefulProcessor=_limiter(window_s, limit),
             outputStructType=(
-                f"store_id {kinds['store_id']}, trace_id {kinds['trace_id']}, accepted boolean"
+                f"store_id string, trace_id {kinds['trace_id']}, accepted boolean"
             ),
             outputMode="Append",
             timeMode="None",
