@@ -26,7 +26,7 @@ PIVOTS = 48
 #: Rows and queries that meet in one task at most (blocks of rows, groups of queries).
 BLOCK_ROWS = 2048
 GROUP_QUERIES = 4096
-#: Candidates evaluated at once; the order of bounds holds between pieces.
+#: Queries whose bounds are computed at once; rows evaluated first in a block.
 _PIECE = 64
 _FOUND = "query_id long, vec_id long, score long"
 
@@ -46,11 +46,10 @@ def _matrix(vectors, width: int) -> np.ndarray:
     return out
 
 
-def _scores(q: np.ndarray, x: np.ndarray) -> np.ndarray:
-    """Exact inner products of one query with rows."""
-    top = float(np.abs(q).max(initial=0)) * float(np.abs(x).max(initial=0)) * max(1, len(q))
-    if top < 2.0**53:
-        return (x.astype(np.float64) @ q.astype(np.float64)).astype(np.int64)
+def _scores(q: np.ndarray, x: np.ndarray, x_float: np.ndarray, top: float) -> np.ndarray:
+    """Exact inner products of one query with rows; top bounds the absolute value of a component of x."""
+    if float(np.abs(q).max(initial=0)) * top * max(1, len(q)) < 2.0**53:
+        return (x_float @ q.astype(np.float64)).astype(np.int64)
     return (x.astype(object) @ q.astype(object)).astype(np.int64)
 
 
@@ -76,7 +75,7 @@ class Space:
 
     def most(self, q_size, lower) -> np.ndarray:
         """The largest score that a lower bound of the distance leaves possible."""
-        lower = np.maximum(lower - 1e-6 * (1 + np.sqrt(self.reach + q_size)), 0.0)
+        lower = np.maximum(lower - 1e-5 * (1 + np.sqrt(self.reach + q_size)), 0.0)
         return (q_size + self.reach - lower**2) / 2 + 1e-6 * (1 + self.reach + q_size)
 
 
@@ -88,33 +87,51 @@ def _search(space: Space, k: int):
         if len(queries) and len(rows):
             rows = rows.sort_values("vec_id", kind="stable")
             x, ids = _matrix(rows["v"], space.width), rows["vec_id"].to_numpy()
-            table = np.stack(rows["far"].to_numpy())
-            for query_id, v, floor in zip(queries["query_id"], queries["v"], queries["floor"], strict=True):
-                q = _matrix([v], space.width)
-                size = float((q.astype(np.float64) ** 2).sum())
-                lower = np.abs(table - space.queries(q)[0]).max(axis=1)
-                order = np.argsort(lower, kind="stable")
-                most = space.most(size, lower[order])
-                best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-                need = -np.inf if pd.isna(floor) else floor
-                for at in range(0, len(order), _PIECE):
-                    if most[at] < need:
-                        break
-                    piece = order[at : at + _PIECE]
-                    piece = piece[(most[at : at + _PIECE] >= need) & (ids[piece] != query_id)]
-                    best = np.concatenate([best, _scores(q[0], x[piece])])
-                    best_ids = np.concatenate([best_ids, ids[piece]])
-                    top = np.lexsort((best_ids, -best))[:k]
-                    best, best_ids = best[top], best_ids[top]
-                    if len(best) == k:
-                        need = max(need, float(best[-1]))
-                out.append((np.full(len(best), query_id, np.int64), best_ids, best))
+            x_float, top = x.astype(np.float64), float(np.abs(x).max(initial=0))
+            table = np.stack(rows["far"].to_numpy()).astype(np.float32).T.copy()
+            asked = _matrix(queries["v"], space.width)
+            far, sizes = space.queries(asked).astype(np.float32), (asked.astype(np.float64) ** 2).sum(1)
+            who = queries["query_id"].to_numpy()
+            floors = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
+            for at in range(0, len(asked), _PIECE):
+                some = slice(at, at + _PIECE)
+                lower = np.zeros((len(asked[some]), len(ids)), np.float32)
+                gap = np.empty_like(lower)
+                for j in range(len(table)):
+                    np.abs(np.subtract(table[j], far[some, j : j + 1], out=gap), out=gap)
+                    np.maximum(lower, gap, out=lower)
+                most = space.most(sizes[some, None], lower.astype(np.float64))
+                for i, q in enumerate(asked[some]):
+                    found = _best(q, who[at + i], most[i], floors[at + i], ids, x, x_float, top, k)
+                    out.append((np.full(len(found[0]), who[at + i]), *found))
         cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
         return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
 
     return of
 
 
+def _best(q, query_id, most, need, ids, x, x_float, top, k):
+    """The k best rows of a block for one query: the rows with the best bounds first, then, against
+    the k-th best of these, all whose bound can still reach it."""
+    best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    open_ = np.flatnonzero((most >= need) & (ids != query_id))
+    while len(open_):
+        piece, open_ = open_, open_[:0]
+        if not len(best) and len(piece) > 4 * _PIECE:
+            order = np.argpartition(-most[piece], _PIECE)
+            piece, open_ = piece[order[:_PIECE]], piece[order[_PIECE:]]
+        best = np.concatenate([best, _scores(q, x[piece], x_float[piece], top)])
+        best_ids = np.concatenate([best_ids, ids[piece]])
+        if len(best) > k:
+            near = np.flatnonzero(best >= np.partition(best, -k)[-k])
+            order = near[np.lexsort((best_ids[near], -best[near]))[:k]]
+            best, best_ids = best[order], best_ids[order]
+        if len(best) == k:
+            need = max(need, float(best.min()))
+            open_ = open_[most[open_] >= need]
+    return best_ids, best
+
+
 def _route(space: Space, blocks: list[tuple[int, np.ndarray, np.ndarray]]):
     """For each query the blocks (by number) with the largest score each may hold, best first."""
     numbers = np.array([b for b, _, _ in blocks])
