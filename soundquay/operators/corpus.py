@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from soundquay import fixed
 from soundquay.functions.text import hash_number, md5_order, uniform_hash
 from soundquay.operators.order import first_k, number_rows
+from soundquay.sources.stage import stage_table
 from soundquay.sources.constants import constant_table
 
 
@@ -291,12 +292,27 @@ def weighted_pick(df: DataFrame, u: str, weights: DataFrame, pick: str) -> DataF
     return df.join(F.broadcast(table), "lang").withColumn(pick, chosen).drop("_cumulative")
 
 
+def _drawn(pool: DataFrame, n_draws: int, u, clean_share: float) -> DataFrame:
+    """The first ``n_draws`` draws with the pool utterance that each takes."""
+    draws = (
+        pool.sparkSession.range(n_draws)
+        .withColumnRenamed("id", "draw")
+        .withColumn("lang", F.when(u(0) < 0.5, "es").otherwise("en"))
+        .withColumn("is_clean", u(1) < clean_share)
+        .withColumn("_u_subtype", u(2))
+    )
+    sizes = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("_pool_n"))
+    picked = draws.join(F.broadcast(sizes), "lang").withColumn(
+        "_pool_idx", F.floor(u(3) * F.col("_pool_n"))
+    )
+    return picked.join(pool, ["lang", "_pool_idx"])
+
+
 def draw_training(
     pool: DataFrame,
     clips: DataFrame,
     weights: DataFrame,
     levels: DataFrame,
-    n_draws: int,
     target_hours: float,
     seed: int = fixed.SEED,
     clean_share: float = fixed.CLEAN_SHARE,
@@ -304,43 +320,49 @@ def draw_training(
     """Damage-weighted training rows until ``target_hours`` of audio are drawn.
 
     Every choice of draw ``i`` is a hash of (seed, i, choice), so draws are independent of
-    partitioning and a lost executor recomputes the same rows. ``n_draws`` bounds the sequence
-    and must be large enough to reach the target.
+    partitioning and a lost executor recomputes the same rows. The sequence is drawn in rounds,
+    each twice as long, until it reaches the target. Clean rows need no noise clip; a subtype with
+    a weight but without clips is an error, and so is a pool without audio.
     """
-    spark = pool.sparkSession
 
     def u(k: int) -> Column:
         return uniform_hash(F.col("draw"), F.lit(k), seed=seed)
 
-    draws = (
-        spark.range(n_draws)
-        .withColumnRenamed("id", "draw")
-        .withColumn("lang", F.when(u(0) < 0.5, "es").otherwise("en"))
-        .withColumn("is_clean", u(1) < clean_share)
-        .withColumn("_u_subtype", u(2))
-    )
-    people = number_rows(
-        pool.select("lang", "utterance_id", "text", "duration_s"), ["utterance_id"], ["lang"],
-        "_pool_idx",
+    missing = weights.filter("weight > 0").join(
+        clips.select(F.col("subtype").alias("noise_subtype")).distinct(), "noise_subtype", "left_anti"
     )
-    pool_sizes = pool.groupBy("lang").agg(F.count(F.lit(1)).alias("_pool_n"))
-    picked = draws.join(F.broadcast(pool_sizes), "lang").withColumn(
-        "_pool_idx", F.floor(u(3) * F.col("_pool_n"))
+    lacking = sorted({r["noise_subtype"] for r in missing.select("noise_subtype").collect()})
+    if lacking:
+        raise ValueError(f"weighted subtypes without clips: {', '.join(lacking)}")
+    people = stage_table(
+        number_rows(
+            pool.select("lang", "utterance_id", "text", "duration_s"), ["utterance_id"], ["lang"],
+            "_pool_idx",
+        ),
+        "training-pool",
     )
-    timed = picked.join(people, ["lang", "_pool_idx"])
-    kept = take_until(timed, ["draw"], "duration_s", target_hours * 3600.0)
+    mean = people.agg(F.avg("duration_s")).first()[0]
+    if not mean or mean <= 0:
+        raise ValueError("the pool holds no audio")
+    target = target_hours * 3600.0
+    n_draws = int(target / mean * 1.1) + 64
+    while (
+        _drawn(people, n_draws, u, clean_share).agg(F.sum("duration_s")).first()[0] or 0.0
+    ) < target:
+        n_draws *= 2
+    kept = take_until(_drawn(people, n_draws, u, clean_share), ["draw"], "duration_s", target)
     noisy = weighted_pick(kept, "_u_subtype", weights, "noise_subtype")
     sizes = clips.groupBy("subtype").agg(F.count(F.lit(1)).alias("_n"))
     dealt = number_rows(clips.select("subtype", "clip_id"), ["clip_id"], ["subtype"], "_idx")
     banded = (
         noisy.withColumn("_level_pos", F.floor(u(4) * F.lit(levels.count())))
         .join(F.broadcast(levels), F.col("_level_pos") == F.col("level_pos"))
-        .join(F.broadcast(sizes), F.col("noise_subtype") == F.col("subtype"))
+        .join(F.broadcast(sizes), F.col("noise_subtype") == F.col("subtype"), "left")
         .withColumn("_idx", F.floor(u(5) * F.col("_n")))
         .drop("subtype")
     )
     clipped = banded.join(
-        dealt.withColumnRenamed("subtype", "noise_subtype"), ["noise_subtype", "_idx"]
+        dealt.withColumnRenamed("subtype", "noise_subtype"), ["noise_subtype", "_idx"], "left"
     )
 
     def noisy_only(value: Column) -> Column:

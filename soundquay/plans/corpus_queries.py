@@ -288,14 +288,13 @@ SELECT 'tn-' || k.lang || '-' || printf('%06d', k.draw) AS utterance_id,
 def training_draw(spark, sf_dir):
     """Half of the pool's hours drawn by damage weights, with clean anchors."""
     pool = view(spark, sf_dir, "v_utt").select("utterance_id", "lang", "text", "duration_s")
-    size = pool.agg(F.count(F.lit(1)).alias("n"), F.sum("duration_s").alias("s")).first()
+    size = pool.agg(F.sum("duration_s").alias("s")).first()
     clips = view(spark, sf_dir, "v_bank").filter(F.col("split") == "train")
     drawn = corpus.draw_training(
         pool,
         clips,
         _weights(spark),
         corpus.levels_table(spark),
-        n_draws=size["n"] * 4,
         target_hours=size["s"] / 2 / 3600.0,
     )
     return drawn.select(
