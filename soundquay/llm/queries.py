@@ -13,6 +13,7 @@ from soundquay.llm import (
     quality,
     sharding,
     simhash,
+    sql,
     suffix,
     topk,
     toxicity,
@@ -74,4 +75,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_packing": op10_packing,
 }
 
-SQL: dict[str, str] = {}
+SQL: dict[str, str] = {
+    "op1_warc": sql.WARC,
+    "op2_topk": sql.TOPK,
+    "op4_suffix": sql.REPEATS,
+    "op6_sharding": sql.SHARDS,
+}
