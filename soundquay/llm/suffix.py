@@ -1,24 +1,22 @@
 """Repeated substrings by a distributed difference-cover algorithm, bounded at the length sought.
 
-A byte goes when a string of LENGTH bytes that covers it also starts earlier in the corpus. Starts
-of such strings are found in three steps, all of them joins and sorts of Spark:
+A byte goes when a string of LENGTH bytes that covers it also starts earlier in the corpus.
 
 1. Windows. Each LENGTH-byte window has an anchor, the k-mer of least hash in it; equal windows
    have equal anchors. Neighbouring windows with one anchor form a cell. A cell whose anchor occurs
    nowhere else holds no repeat. Cells of equal bytes collapse to the first of them: the windows of
    the others repeat it. What is left open are cells that share an anchor with different cells.
-   They are sorted by the bytes after the anchor and by the reversed bytes before it; adjacent
-   prefixes bound what a window can share, and windows that share less than LENGTH are closed.
 2. Difference cover. Of the open windows, positions 1 and 2 modulo 3 are sampled. Their strings of
    98 bytes are triples of strings of 35 bytes at sampled positions; the 35-byte strings are sorted
    and named in order, then the triples of names are sorted and named in order.
 3. Merge. Windows of different classes compare by one or two bytes and a name of a sampled position
    on either side, as suffixes of different classes do: (1 byte, name, 1 byte), (name, 2 bytes) or
-   (2 bytes, name). Under each of these keys the first start is the one that stays; later starts
-   with an equal key repeat it.
+   (2 bytes, name). In the merged order, adjacent windows with an equal key repeat the first.
 
-The steps after the first see only open cells. Keys shared by very many windows are aggregated
-before they are shuffled, and the joins on them may be split by Spark.
+Only cells with one anchor need one order, so Spark deals the open cells out by anchor and each task
+runs steps 2 and 3 over runs of whole anchors. An anchor with more than CROWDED different cells is
+dealt out in pieces; what remains first in its piece goes through steps 2 and 3 once more as joins
+and range sorts over the whole cluster.
 """
 
 from __future__ import annotations
@@ -29,8 +27,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundquay.llm.tables import Staged
@@ -40,15 +37,17 @@ ANCHOR = 32
 GRAM = 35
 NAMED = 98
 _PARTS = (0, 33, 63)
-#: Anchors with more different cells than this are not narrowed by adjacent prefixes.
+#: Different cells of an anchor that one task orders; more are ordered in pieces, then together.
 CROWDED = 1000
+#: Cells that a task orders at once; anchors are kept whole.
+_CELLS = 16_384
 _CHUNK = 1 << 23
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 24) - 1)
 
 
-def cells(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-    """First and last window, anchor position and anchor hash of the cells of a text, by chunks."""
+def cells(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """First and last window and anchor of the cells of a text, by chunks."""
     for at in range(0, len(data) - LENGTH + 1, _CHUNK):
         piece = data[at : at + _CHUNK + LENGTH - 1]
         n = len(piece)
@@ -68,12 +67,12 @@ def cells(data: bytes) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.
         where = (least & _LOW).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
         last = np.concatenate([first[1:], [len(where)]]) - 1
-        yield first + at, last + at, where[first] + at, h[where[first]].view(np.int64)
+        yield first + at, last + at, h[where[first]].view(np.int64)
 
 
 def _anchors(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
-        found = [a for t in part["text"] for _, _, _, a in cells(t.encode("utf-8", "surrogatepass"))]
+        found = [a for t in part["text"] for _, _, a in cells(t.encode("utf-8", "surrogatepass"))]
         yield pd.DataFrame({"anchor": np.concatenate(found) if found else np.zeros(0, np.int64)})
 
 
@@ -84,41 +83,126 @@ def _cells(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out: list[tuple] = []
         for doc, text in zip(part["doc"], part["text"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            for first, last, where, anchor in cells(data):
+            for first, last, anchor in cells(data):
                 spans = zip(first.tolist(), last.tolist(), strict=True)
                 same = np.array([of(data[a : b + LENGTH]) for a, b in spans], np.uint64).view(np.int64)
-                size = ((where - first) << 8) | (last - first + 1)
-                out.append((anchor, same, np.full(len(first), doc), first, size))
+                out.append((anchor, same, np.full(len(first), doc), first, last - first + 1))
         cols = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
         yield pd.DataFrame(dict(zip(("anchor", "same", "doc", "first", "size"), cols, strict=True)))
 
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """The bytes of open cells: from the anchor on, and the bytes before it reversed."""
+    """The bytes of open cells."""
     for part in parts:
         rows = []
         for doc, text, spans in zip(part["doc"], part["text"], part["spans"], strict=True):
             data = text.encode("utf-8", "surrogatepass")
-            for s in spans:
-                first, size = s["first"], s["size"]
-                where, last = first + (size >> 8), first + (size & 255) - 1
-                rows.append(
-                    (doc, s["anchor"], s["crowded"], first, last, where, data[where : last + LENGTH], data[first:where][::-1])
-                )
-        yield pd.DataFrame(rows, columns=["doc", "anchor", "crowded", "first", "last", "mid", "after", "before"])
+            for x in spans:
+                first, n = x["first"], x["size"]
+                rows.append((x["anchor"], x["pieces"], doc, first, first + n - 1, data[first : first + n + LENGTH - 1]))
+        yield pd.DataFrame(rows, columns=["anchor", "pieces", "doc", "first", "last", "data"])
 
 
-def _common(a: bytes | None, b: bytes | None) -> int:
-    if a is None or b is None:
-        return 0
-    n = min(len(a), len(b))
-    x = int.from_bytes(a[:n], "big") ^ int.from_bytes(b[:n], "big")
-    return n - (x.bit_length() + 7) // 8
+def _ranks(*keys: np.ndarray) -> np.ndarray:
+    """Names of rows in the order of their keys (the first key counts most); equal rows share one."""
+    order = np.lexsort(keys[::-1])
+    new = np.zeros(len(order), bool)
+    for k in keys:
+        new[1:] |= k[order][1:] != k[order][:-1]
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(new)
+    return out
 
 
-@F.pandas_udf("int")
-def _shared(own: pd.Series, left: pd.Series, right: pd.Series) -> pd.Series:
-    return pd.Series([max(_common(o, a), _common(o, b)) for o, a, b in zip(own, left, right, strict=True)])
+def _runs(flags: np.ndarray, cell: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First and last index of the runs of set flags inside a cell."""
+    at = np.flatnonzero(flags)
+    cuts = np.flatnonzero((np.diff(at) > 1) | (np.diff(cell[at]) != 0)) + 1
+    return at[np.concatenate([[0], cuts])] if len(at) else at, at[np.concatenate([cuts - 1, [len(at) - 1]])] if len(at) else at
+
+
+def order_cells(group, doc, first, last, data) -> tuple[np.ndarray, ...]:
+    """Difference cover and merge over the windows of some cells.
+
+    Returns, for every window, the cell's index, its position and whether an earlier window of the
+    same group (by doc, then position) has equal bytes.
+    """
+    sizes = np.array([len(d) for d in data])
+    begin = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    buffer = b"".join(data) + bytes(8)
+    raw = np.frombuffer(buffer, np.uint8)
+    words = np.ndarray((len(buffer) - 7,), "<u8", buffer, 0, (1,))
+
+    def spread(extra: int):
+        n = last - first + 1 + extra
+        cell = np.repeat(np.arange(len(n)), n)
+        step = np.arange(len(cell)) - np.repeat(np.cumsum(n) - n, n)
+        return cell, step
+
+    cell, step = spread(2)
+    q = first[cell] + step
+    sampled = q % 3 != 0
+    cell, at = cell[sampled], (begin[cell] + step)[sampled]
+    need = np.zeros(len(raw), bool)
+    owner = np.zeros(len(raw), np.int64)
+    for k in _PARTS:
+        need[at + k] = True
+        owner[at + k] = group[cell]
+    ids = np.flatnonzero(need)
+    names = np.zeros(len(raw), np.int64)
+    names[ids] = _ranks(owner[ids], *[words[ids + k].byteswap() for k in (0, 8, 16, 24, GRAM - 8)])
+    named = np.zeros(len(raw), np.int64)
+    named[at] = _ranks(*[names[at + k] for k in _PARTS])
+    cell, step = spread(0)
+    at, p = begin[cell] + step, first[cell] + step
+    keys, of = [], []
+    for kind, (left_out, i, j, k) in enumerate(((2, 0, 99, 1), (0, 98, 99, 0), (1, 0, 1, 2))):
+        mine = np.flatnonzero(p % 3 != left_out)
+        x = at[mine]
+        pair = raw[x + i].astype(np.int64) << 8 | raw[x + j]
+        keys.append(named[x + k] << 18 | kind << 16 | pair)
+        of.append(mine)
+    keys, of = np.concatenate(keys), np.concatenate(of)
+    order = np.lexsort((p[of], doc[cell[of]], keys))
+    again = keys[order][1:] == keys[order][:-1]
+    repeated = np.zeros(len(p), bool)
+    repeated[of[order[1:][again]]] = True
+    return cell, p, repeated
+
+
+def _ordered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Repeated runs of windows (data null); of anchors in pieces, also what stays first, with bytes."""
+    held: list[pd.DataFrame] = []
+    n = 0
+    for part in parts:
+        held.append(part)
+        n += len(part)
+        if n >= _CELLS:
+            whole = pd.concat(held, ignore_index=True)
+            marks = (whole["anchor"] != whole["anchor"].iloc[-1]) | (whole["piece"] != whole["piece"].iloc[-1])
+            cut = int(np.flatnonzero(marks.to_numpy())[-1]) + 1 if marks.any() else 0
+            if cut:
+                yield _order_rows(whole.iloc[:cut])
+            held, n = [whole.iloc[cut:]], len(whole) - cut
+    if n:
+        yield _order_rows(pd.concat(held, ignore_index=True))
+
+
+def _order_rows(rows: pd.DataFrame) -> pd.DataFrame:
+    anchor, piece = rows["anchor"].to_numpy(), rows["piece"].to_numpy()
+    doc, first, last = (rows[c].to_numpy(np.int64) for c in ("doc", "first", "last"))
+    data, pieces = rows["data"].tolist(), rows["pieces"].to_numpy()
+    change = (anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])
+    group = np.concatenate([[0], np.cumsum(change)])
+    cell, p, repeated = order_cells(group, doc, first, last, data)
+    start, stop = _runs(repeated, cell)
+    out = [pd.DataFrame({"doc": doc[cell[start]], "first": p[start], "last": p[stop], "data": None})]
+    start, stop = _runs(~repeated & (pieces > 1)[cell], cell)
+    kept = [
+        data[c][a - first[c] : b - first[c] + LENGTH] for c, a, b in zip(cell[start], p[start], p[stop], strict=True)
+    ]
+    out.append(pd.DataFrame({"doc": doc[cell[start]], "first": p[start], "last": p[stop], "data": kept}))
+    return pd.concat(out)
 
 
 def _sampled(first: int, last: int) -> np.ndarray:
@@ -218,53 +302,37 @@ def repeated_starts(texts: DataFrame, work: Staged) -> DataFrame:
     later = (
         found.join(firsts.filter("n > 1").select("anchor", "same", "top"), ["anchor", "same"])
         .filter(place != F.col("top"))
-        .select("doc", "first", (F.col("first") + F.col("size").bitwiseAND(F.lit(255)) - 1).alias("last"))
+        .select("doc", "first", (F.col("first") + F.col("size") - 1).alias("last"))
     )
     shared = firsts.groupBy("anchor").agg(F.count("*").alias("m")).filter("m > 1")
+    pieces = F.ceil(F.col("m") / CROWDED).cast("int")
     spans = (
         firsts.join(shared, "anchor")
         .select(
             F.col("top.doc").alias("doc"),
-            F.struct("anchor", (F.col("m") > CROWDED).alias("crowded"), F.col("top.first").alias("first"), "size").alias("s"),
+            F.struct("anchor", pieces.alias("pieces"), F.col("top.first").alias("first"), "size").alias("s"),
         )
         .groupBy("doc").agg(F.collect_list("s").alias("spans"))
     )
-    shape = "doc long, anchor long, crowded boolean, first long, last long, mid long, after binary, before binary"
-    cut = work.keep(
+    shape = "anchor long, pieces int, doc long, first long, last long, data binary"
+    keys = ["anchor", "piece"]
+    ordered = work.keep(
         texts.select("doc", "text").join(spans, "doc").mapInPandas(_cut, shape)
-        .withColumn("cell", F.monotonically_increasing_id()),
-        "open-cells",
+        .withColumn("piece", F.pmod(F.xxhash64("doc", "first"), F.col("pieces")))
+        .repartition(*keys).sortWithinPartitions(*keys)
+        .mapInPandas(_ordered, "doc long, first long, last long, data binary"),
+        "ordered",
     )
-    return later.unionByName(_difference_cover(_narrowed(cut), work))
-
+    found = later.unionByName(ordered.filter("data is null").drop("data"))
+    rest = ordered.filter("data is not null")
+    if rest.isEmpty():
+        return found
+    return found.unionByName(_difference_cover(rest.withColumn("cell", F.monotonically_increasing_id()), work))
 
-def _narrowed(cut: DataFrame) -> DataFrame:
-    """Open cells with the windows that adjacent prefixes leave possible, and their bytes."""
 
-    def most(side: str) -> Column:
-        order = W.partitionBy("anchor").orderBy(side, "cell")
-        return _shared(F.col(side), F.lag(side).over(order), F.lead(side).over(order))
-
-    few = cut.filter(~F.col("crowded")).withColumn("forth", most("after")).withColumn("back", most("before"))
-    #: a window that starts o bytes before the anchor shares o bytes before and LENGTH - o after it
-    few = few.filter("forth + back >= %d" % LENGTH).withColumns({
-        "first": F.greatest("first", F.col("mid") - F.col("back")),
-        "last": F.least("last", F.col("mid") - LENGTH + F.col("forth")),
-    }).filter("first <= last").drop("forth", "back")
-    return few.unionByName(cut.filter("crowded"))
-
-
-@F.pandas_udf("binary")
-def _joined(before: pd.Series, after: pd.Series) -> pd.Series:
-    return pd.Series([b[::-1] + a for b, a in zip(before, after, strict=True)])
-
-
-def _difference_cover(narrowed: DataFrame, work: Staged) -> DataFrame:
-    base = F.col("mid") - F.octet_length("before")
-    rows = work.keep(
-        narrowed.select("cell", "first", "last", base.cast("long").alias("base"), _joined("before", "after").alias("data"), "doc"),
-        "windows",
-    )
+def _difference_cover(rest: DataFrame, work: Staged) -> DataFrame:
+    """Steps 2 and 3 over the whole cluster."""
+    rows = work.keep(rest.select("cell", "first", "last", F.col("first").alias("base"), "data", "doc"), "windows")
     grams = rows.select("cell", "first", "last", "base", "data").mapInArrow(_grams, "cell long, at long, gram binary")
     named = _named(grams, _in_order(grams, ["gram"], work, "grams"), ["gram"], "cell")
     triples = rows.select("cell", "first", "last").join(named, "cell").mapInPandas(
