@@ -26,6 +26,7 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from soundquay.llm.components import components
 from soundquay.llm.tables import Staged
@@ -34,6 +35,10 @@ BITS = 64
 SEED = 42
 #: Fingerprints in a cell from which it is looked up by neighbours or longer keys.
 HOT_CELL = 128
+#: Candidates that cost as much as a probe.
+PROBE_COST = 20
+#: Thresholds with more probes for a fingerprint are not considered; the plan names each of them.
+MOST_PROBES = 1000
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -156,7 +161,7 @@ def _bit_pairs(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def plan(prints: DataFrame, bits: int) -> Layout:
     """Choose the partitions and thresholds for a table of distinct fingerprints ``fp``.
 
-    A probe costs one unit, a candidate one; the candidates of a partition at threshold t follow
+    A probe, which is shuffled and sorted, costs PROBE_COST candidates; the candidates of a partition at threshold t follow
     from the bits' own frequencies (as if independent), raised by the ratio of the pairs that share
     a key in the data to those expected.
     """
@@ -192,7 +197,7 @@ def plan(prints: DataFrame, bits: int) -> Layout:
         cost, probes = [0.0], 0
         for t in range(min(bits, len(part)) + 1):
             probes += comb(len(part), t)
-            cost.append(n * probes + min(n * n, n * n * chance[t] * raised) if probes <= 50_000 else float("inf"))
+            cost.append(PROBE_COST * n * probes + min(n * n, n * n * chance[t] * raised) if probes <= MOST_PROBES else float("inf"))
         costs.setdefault(m, []).append(cost)
     best = min((allocate(costs[m], bits + 1), m) for m in grouped)
     (_, thresholds), m = best
@@ -324,7 +329,7 @@ def _sketch(words: int):
     return of
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     """Jaccard similarity by the least hashes of the union; exact for sets of up to SKETCH shingles."""
     out = []
@@ -339,9 +344,10 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
 
 
 def near_groups(
-    docs: DataFrame, words: int = 5, bits: int = 6, seeds: int = 8, similarity: float = 0.8
+    docs: DataFrame, words: int = 5, bits: int = 4, seeds: int = 8, similarity: float = 0.8
 ) -> DataFrame:
-    """doc_id and component_id of every row of docs, by verified near copies.
+    """doc_id, body_key (hash of the text), root and component_id of every row of docs, by verified
+    near copies; root names the group.
 
     A text has ``seeds`` fingerprints from independent hashes of its shingles; texts within ``bits``
     bits in any of them are candidates, which widens what one fingerprint finds. A candidate pair is
@@ -404,26 +410,33 @@ def near_groups(
         "placed",
     )
     least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_text = work.keep(placed.join(least, "root").select("text_key", "component_id"), "components")
-    return rows.join(of_text, "text_key").select("doc_id", "component_id")
+    of_text = work.keep(placed.join(least, "root").select("text_key", "root", "component_id"), "components")
+    return rows.join(of_text, "text_key").select("doc_id", "body_key", "root", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id, with all columns.
 
-    Of rows that repeat a kept doc_id one stays. Rows without an id stay only when no row of their
-    group has one, one of them for all such rows.
+    Where that id has several texts in the group, one of them stays, and of rows that repeat it one.
+    Rows without an id come last: one of them stays when no row of their group has an id.
     """
-    placed = near_groups(docs)
     work = Staged(docs.sparkSession, "kept")
-    counts = work.keep(placed.groupBy("doc_id", "component_id").agg(F.count("*").alias("n")), "counts")
-    gone = counts.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone"))
-    left = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_gone")), "left_anti")
-    again = counts.groupBy("doc_id").agg(F.sum("n").alias("n")).filter("n > 1").select(F.col("doc_id").alias("_again"))
-    again = work.keep(again, "again")
+    rows = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "body_key")
+    placed = work.keep(near_groups(docs).select("root", rows.alias("row")), "placed")
+    top = placed.groupBy("root").agg(F.min("row").alias("top"))
+    texts = placed.groupBy("root", "row").agg(F.count("*").alias("n")).join(top, "root")
+    texts = work.keep(texts.filter("row <> top or n > 1").select("row", (F.col("row") == F.col("top")).alias("stays")), "copies")
+
+    def mine(part: DataFrame) -> tuple[DataFrame, object]:
+        named = part.select(F.col("row.doc_id").alias("_id"), F.col("row.body_key").alias("_body"))
+        body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (body == F.col("_body"))
+
+    gone, is_gone = mine(texts.filter("not stays"))
+    left = docs.join(gone, is_gone, "left_anti")
+    again, is_again = mine(texts.filter("stays"))
     if again.isEmpty():
         return left
-    same = F.col("doc_id").eqNullSafe(F.col("_again"))
-    return left.join(again, same, "left_anti").unionByName(
-        left.join(again, same, "left_semi").dropDuplicates(["doc_id"])
+    return left.join(again, is_again, "left_anti").unionByName(
+        left.join(again, is_again, "left_semi").dropDuplicates(["doc_id", "text"])
     )

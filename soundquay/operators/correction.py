@@ -314,8 +314,13 @@ def correct(
 ) -> DataFrame:
     """Add ``corrections`` and ``corrected``; in ``log_only`` the text stays as it is.
 
-    Works as a transform: ``df.transform(correct, terms, rules, "replace")``.
+    Works as a transform: ``df.transform(correct, terms, rules, "replace")``. Keys may repeat: texts
+    are told apart by key and text.
     """
+    columns = texts.columns
+    body = F.hex(F.xxhash64("lang", "text"))
+    texts = texts.withColumn("_row", F.concat_ws(" ", F.col(key).cast("string"), body))
+    key = "_row"
     found: DataFrame | None = None
     if terms is not None:
         found = lexicon_candidates(texts, terms, key).select(
@@ -356,7 +361,8 @@ def correct(
         found = from_rules if found is None else found.unionByName(from_rules)
     none = F.array().cast(CORRECTIONS)
     if found is None:
-        return texts.withColumn("corrections", none).withColumn("corrected", F.col("text"))
+        plain = texts.withColumn("corrections", none).withColumn("corrected", F.col("text"))
+        return plain.select(*columns, "corrections", "corrected")
     hits = (
         found.groupBy(key)
         .agg(F.array_sort(F.collect_list("c")).alias("_c"))
@@ -373,4 +379,4 @@ def correct(
         )
     else:
         text = F.col("text")
-    return joined.withColumn("corrected", text).drop("_hits")
+    return joined.withColumn("corrected", text).select(*columns, "corrections", "corrected")

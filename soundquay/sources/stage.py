@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -11,13 +13,15 @@ from pyspark.sql import DataFrame, SparkSession
 def work_folder(spark: SparkSession, name: str) -> str:
     """A fresh folder below the shared checkpoint folder of the session.
 
-    A local session without that setting (tests) gets a temporary one; a cluster must name one.
+    The folder is ``spark.checkpoint.dir``, which all executors must share. A local session without
+    that setting gets a temporary one that goes when the program ends; a cluster must name one.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        if not spark.sparkContext.master.startswith("local"):
+        if not spark.sparkContext.master.split("[")[0] == "local":
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="soundquay-")
+        atexit.register(shutil.rmtree, root, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", root)
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 

@@ -173,3 +173,15 @@ def test_prompts(spark, menu):
     assert prompt["es"] == "hamburguesa clásica, hamburguesa, burger"  # the next term needs 3 words
     both = bilingual_prompt(menu, 5).first()["prompt"]
     assert both == "hamburguesa clásica, classic burger, hamburguesa"
+
+
+def test_texts_with_one_key_do_not_mix(spark, menu, rules):
+    texts = [("es", "me da un tejedor y un plato"), ("es", "quiero un plazo de comida"), ("es", "nada de eso")]
+    apart = run(spark, menu, rules, texts, "replace")
+    df = spark.createDataFrame(
+        [(7, lang, text) for lang, text in [*texts, texts[0]]], "utterance_id int, lang string, text string"
+    )
+    out = df.transform(correct, lexicon(menu), rules, "replace")
+    assert out.columns == ["utterance_id", "lang", "text", "corrections", "corrected"]
+    got = {r["text"]: r["corrected"] for r in out.collect()}
+    assert out.count() == 4 and got == {text: fixed for (_, text), (fixed, _) in zip(texts, apart)}
