@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from soundquay.functions.bind import let
 
 
+#: Characters that can stand for a word; a pair with more distinct words is an error.
+MOST_SYMBOLS = 1_000_000
+
+
 def word_symbols(words: Column, vocabulary: Column) -> Column:
     """Write each word as one character: its place in ``vocabulary``.
 
@@ -24,9 +28,12 @@ def word_symbols(words: Column, vocabulary: Column) -> Column:
 
 def word_edits(ref: Column, hyp: Column) -> Column:
     """Word-level edit distance of two token arrays (inserts, deletes, replacements)."""
+    too_many = F.raise_error(f"a pair holds more than {MOST_SYMBOLS} distinct words").cast("int")
     distance = let(
         F.array_distinct(F.concat(ref, hyp)),
-        lambda v: F.levenshtein(word_symbols(ref, v), word_symbols(hyp, v)),
+        lambda v: F.when(F.size(v) > MOST_SYMBOLS, too_many).otherwise(
+            F.levenshtein(word_symbols(ref, v), word_symbols(hyp, v))
+        ),
     )
     return (
         F.when(ref == hyp, F.lit(0))

@@ -113,8 +113,11 @@ def hallucination_rate() -> Column:
     return F.coalesce(F.sum("hallucinated") / F.count(F.lit(1)), F.lit(0.0))
 
 
-def bundle(measured: DataFrame, by: Sequence[str] = ("lang",)) -> DataFrame:
-    """All rates per group; a null group key (clean audio) is a group of its own."""
+def bundle(
+    measured: DataFrame, by: Sequence[str] = ("lang",), more: Sequence[Column] = ()
+) -> DataFrame:
+    """All rates per group, and ``more`` aggregates; a null group key (clean audio) is a group of
+    its own."""
     rates = [wer().alias("wer")]
     if "char_edits" in measured.columns:
         rates.append(cer().alias("cer"))
@@ -126,7 +129,7 @@ def bundle(measured: DataFrame, by: Sequence[str] = ("lang",)) -> DataFrame:
     ]
     if "avg_logprob" in measured.columns:
         rates.append(F.avg("avg_logprob").alias("avg_logprob_mean"))
-    return measured.groupBy(*by).agg(*rates)
+    return measured.groupBy(*by).agg(*rates, *more)
 
 
 def regression_report(measured: DataFrame) -> DataFrame:

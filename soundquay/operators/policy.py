@@ -16,11 +16,9 @@ def relative_gain(base: Column, other: Column) -> Column:
 def chain_effectiveness(measured: DataFrame) -> DataFrame:
     """Rates and mean latency per (lang, subtype, level, chain); clean rows keep a null level."""
     keys = ["lang", "subtype", "level", "chain"]
-    rates = bundle(measured, keys).select(*keys, "wer", "ker", F.col("n_utts").alias("n"))
-    latency = measured.groupBy(*keys).agg(F.avg("latency_ms").alias("latency_ms"))
-    same = [rates[k].eqNullSafe(latency[k]) for k in keys]
-    condition = same[0] & same[1] & same[2] & same[3]
-    return rates.join(latency, condition).select(rates["*"], latency["latency_ms"])
+    latency = F.avg("latency_ms").alias("latency_ms")
+    rates = bundle(measured, keys, [latency])
+    return rates.select(*keys, "wer", "ker", F.col("n_utts").alias("n"), "latency_ms")
 
 
 def delta_against_none(effect: DataFrame) -> DataFrame:
