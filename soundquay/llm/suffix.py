@@ -37,10 +37,10 @@ ANCHOR = 32
 GRAM = 35
 NAMED = 98
 _PARTS = (0, 33, 63)
+#: Cells that a task orders at once (about half a megabyte of text); anchors are kept whole.
+_CELLS = 4096
 #: Different cells of an anchor that one task orders; more are ordered in pieces, then together.
-CROWDED = 1000
-#: Cells that a task orders at once; anchors are kept whole.
-_CELLS = 16_384
+CROWDED = _CELLS
 _CHUNK = 1 << 23
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 24) - 1)
@@ -172,20 +172,24 @@ def order_cells(group, doc, first, last, data) -> tuple[np.ndarray, ...]:
 
 def _ordered(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Repeated runs of windows (data null); of anchors in pieces, also what stays first, with bytes."""
-    held: list[pd.DataFrame] = []
-    n = 0
+    held = None
     for part in parts:
-        held.append(part)
-        n += len(part)
-        if n >= _CELLS:
-            whole = pd.concat(held, ignore_index=True)
-            marks = (whole["anchor"] != whole["anchor"].iloc[-1]) | (whole["piece"] != whole["piece"].iloc[-1])
-            cut = int(np.flatnonzero(marks.to_numpy())[-1]) + 1 if marks.any() else 0
-            if cut:
-                yield _order_rows(whole.iloc[:cut])
-            held, n = [whole.iloc[cut:]], len(whole) - cut
-    if n:
-        yield _order_rows(pd.concat(held, ignore_index=True))
+        held = part if held is None else pd.concat([held, part], ignore_index=True)
+        # a run that is followed by another group is complete
+        while len(held) > _CELLS and (cut := _cut_at(held)):
+            yield _order_rows(held.iloc[:cut])
+            held = held.iloc[cut:].reset_index(drop=True)
+    if held is not None and len(held):
+        yield _order_rows(held)
+
+
+def _cut_at(rows: pd.DataFrame) -> int:
+    """Where to cut: the last border of groups within _CELLS rows, or else the first one; 0: none."""
+    anchor, piece = rows["anchor"].to_numpy(), rows["piece"].to_numpy()
+    borders = np.flatnonzero((anchor[1:] != anchor[:-1]) | (piece[1:] != piece[:-1])) + 1
+    if not len(borders):
+        return 0
+    return int(max(borders[0], borders[np.searchsorted(borders, _CELLS, "right") - 1] if borders[0] <= _CELLS else 0))
 
 
 def _order_rows(rows: pd.DataFrame) -> pd.DataFrame:
