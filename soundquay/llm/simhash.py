@@ -224,11 +224,11 @@ def _by_neighbours(hot: DataFrame) -> DataFrame:
 
 
 def _by_longer_keys(hot: DataFrame, bits: int) -> DataFrame:
-    """Links by keys of 2 * bits out of 3 * bits parts, of which any link shares at least one."""
-    parts = [p.tolist() for p in np.array_split(np.arange(BITS), 3 * bits)]
+    """Links by keys of three out of bits + 3 parts; any link leaves at least three parts equal."""
+    parts = [p.tolist() for p in np.array_split(np.arange(BITS), bits + 3)]
     keys = F.array(*[
         F.struct(F.lit(i).alias("i"), _key(F.col("fp"), [b for p in chosen for b in p]).alias("key"))
-        for i, chosen in enumerate(combinations(parts, 2 * bits))
+        for i, chosen in enumerate(combinations(parts, 3))
     ])
     rows = hot.select("seed", "fp", F.explode(keys).alias("k")).select("seed", "k.*", "fp")
     return _meet(rows, rows, bits)
@@ -236,7 +236,8 @@ def _by_longer_keys(hot: DataFrame, bits: int) -> DataFrame:
 
 def _meet(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
     a, b = left.withColumnRenamed("fp", "a"), right.withColumnRenamed("fp", "b")
-    return a.join(b, CELL).filter(_near("a", "b", bits) & F.expr("a <> b")).select("seed", "a", "b")
+    # both sides are exploded, which Spark's sizes do not show: never broadcast one of them
+    return a.hint("merge").join(b, CELL).filter(_near("a", "b", bits) & F.expr("a <> b")).select("seed", "a", "b")
 
 
 CELL = ["seed", "i", "key"]
