@@ -310,14 +310,19 @@ def report(docs: DataFrame) -> DataFrame:
 SKETCH = 128
 
 
+def set_key(shingles: np.ndarray) -> int:
+    """Hash, as a signed long, of a sorted set of shingles: texts with one set are one text."""
+    return _signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
+
+
 def _prints(words: int, seeds: int):
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
+    @F.pandas_udf("text_key long, prints array<long>")
+    def of(texts: pd.Series) -> pd.DataFrame:
         out = []
         for t in texts:
             hashes = shingle_hashes(t, words)
-            out.append([majority(remix(hashes, k)) for k in range(seeds)])
-        return pd.Series(out)
+            out.append((set_key(np.unique(hashes)), [majority(remix(hashes, k)) for k in range(seeds)]))
+        return pd.DataFrame(out, columns=["text_key", "prints"])
 
     return of
 
@@ -353,8 +358,8 @@ def near_groups(
     A text has ``seeds`` fingerprints from independent hashes of its shingles; texts within ``bits``
     bits in any of them are candidates, which widens what one fingerprint finds. A candidate pair is
     kept when the shingle sets of the two texts have a Jaccard similarity of at least
-    ``similarity``, measured on sketches (exact for short texts). Texts with the same fingerprints
-    under all seeds count as one text. Texts without words are one group. Null ids as in groups().
+    ``similarity``, measured on sketches (exact for short texts). Texts with the same set of shingles
+    count as one text; equal fingerprints only make candidates. Texts without words are one group. Null ids as in groups().
     """
     spark = docs.sparkSession
     work = Staged(spark, "near")
@@ -362,8 +367,8 @@ def near_groups(
     rows = work.keep(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body_key"),
-            _prints(words, seeds)(body).alias("prints"),
-        ).withColumn("text_key", F.xxhash64("prints")),
+            _prints(words, seeds)(body).alias("made"),
+        ).select("doc_id", "body_key", "made.*"),
         "fingerprints",
     )
     texts = work.keep(

@@ -163,6 +163,19 @@ def test_one_of_each_group_stays(spark):
     assert simhash.keep_one(spark.createDataFrame(rows, DOCS).limit(0)).count() == 0
 
 
+def kept_ids(spark, texts):
+    df = spark.createDataFrame([(i, t, "en", "s", None) for i, t in enumerate(texts)], DOCS)
+    return sorted(r["doc_id"] for r in simhash.keep_one(df).collect())
+
+
+def test_a_repeated_line_makes_no_copies(spark):
+    line = " ".join(f"line{i}" for i in range(35))
+    texts = [" ".join([line] * 40 + [f"t{k}x{i}" for i in range(104)]) for k in range(6)]
+    hashes = [simhash.shingle_hashes(t, 5) for t in texts[:2]]
+    assert simhash.majority(hashes[0]) == simhash.majority(hashes[1])
+    assert kept_ids(spark, texts + [texts[0]]) == [0, 1, 2, 3, 4, 5]
+
+
 def test_repeats(spark):
     rows = [(r[0], r[1]) for r in unique_ids()]
     rows += [(500, "ab" * 300), (501, "ab" * 80 + "c"), (-3, rows[0][1][20:260]), (502, rows[0][1][:99])]
