@@ -30,6 +30,7 @@ from pyspark.sql.types import DoubleType
 
 from soundquay.llm.components import components
 from soundquay.llm.tables import Staged
+from soundquay.operators.order import first_k
 
 BITS = 64
 SEED = 42
@@ -72,16 +73,6 @@ def majority(hashes: np.ndarray) -> int:
     return int.from_bytes(np.packbits(ones * 2 > len(hashes)).tobytes(), "big", signed=True)
 
 
-def remix(hashes: np.ndarray, k: int) -> np.ndarray:
-    """Another hash of the same shingles for each k; k = 0 leaves them."""
-    if not k:
-        return hashes
-    x = hashes + np.uint64((k * 0x9E3779B97F4A7C15) & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def fingerprint(text: Column, words: int) -> Column:
     """The 64-bit fingerprint of a text as a long; null and empty texts have fingerprint zero."""
 
@@ -243,13 +234,11 @@ def _meet(left: DataFrame, right: DataFrame, bits: int) -> DataFrame:
 CELL = ["seed", "i", "key"]
 
 
-def links(
-    prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL, exact_pairs: bool = False
-) -> DataFrame:
+def links(prints: DataFrame, bits: int, work: Staged, hot_cell: int = HOT_CELL) -> DataFrame:
     """Pairs a, b that connect all distinct fingerprints ``fp`` of a ``seed`` within ``bits`` bits.
 
     Every pair within ``bits`` bits is joined by these links, directly or over fingerprints within
-    that distance of each other; pairs may repeat. With ``exact_pairs`` every pair itself is there.
+    that distance of each other; pairs may repeat.
     """
     layout = plan(prints.filter("seed = 0"), bits)
     own = F.array(*[
@@ -269,7 +258,7 @@ def links(
         return _meet(probes, index, bits)
     hot = work.keep(probes.join(crowded, CELL, "left_semi").select("seed", "fp").distinct(), "hot")
     rest = _meet(probes.join(crowded, CELL, "left_anti"), index.join(crowded, CELL, "left_anti"), bits)
-    return rest.unionByName(_by_neighbours(hot) if bits == 2 and not exact_pairs else _by_longer_keys(hot, bits))
+    return rest.unionByName(_by_neighbours(hot) if bits == 2 else _by_longer_keys(hot, bits))
 
 
 def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
@@ -315,18 +304,62 @@ def set_key(shingles: np.ndarray) -> int:
     return _signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
 
 
-def _prints(words: int, seeds: int):
-    @F.pandas_udf("text_key long, prints array<long>")
+#: Shingles that two near copies must have in common among the first of each.
+SHARED = 3
+#: Texts in a cell up to which all its pairs are counted; larger ones go on in rounds.
+SMALL_CELL = 32
+#: Texts from which common shingles are told, sample texts they are in, and most of them.
+SAMPLE, COMMON, MOST_COMMON = 32_768, 3, 1_000_000
+
+
+def least_shared(n: Column, similarity: float) -> Column:
+    """The fewest shingles a set of n has in common with any set of that Jaccard similarity."""
+    return F.ceil(n * similarity - 1e-9)
+
+
+def _firsts(words: int, similarity: float, common):
+    """The key of a text, the size of its shingle set, and the first shingles of the set.
+
+    The order puts the common shingles of ``common`` (sorted hashes) last and is the same for all
+    texts. Two sets of the similarity have ``least`` shingles in common, so all but
+    ``least - SHARED`` of either, taken in one order, hold their SHARED first common ones.
+    """
+
+    @F.pandas_udf("text_key long, size int, firsts array<long>")
     def of(texts: pd.Series) -> pd.DataFrame:
-        out = []
+        last, out = common.value, []
         for t in texts:
-            hashes = shingle_hashes(t, words)
-            out.append((set_key(np.unique(hashes)), [majority(remix(hashes, k)) for k in range(seeds)]))
-        return pd.DataFrame(out, columns=["text_key", "prints"])
+            shingles = np.unique(shingle_hashes(t, words))
+            n = len(shingles)
+            take = n - max(0, int(np.ceil(n * similarity - 1e-9)) - SHARED)
+            is_last = np.zeros(n, bool)
+            if len(last) and n:
+                at = np.minimum(np.searchsorted(last, shingles), len(last) - 1)
+                is_last = last[at] == shingles
+            firsts = shingles[np.argsort(is_last, kind="stable")][:take]
+            out.append((set_key(shingles), n, firsts.view(np.int64)))
+        return pd.DataFrame(out, columns=["text_key", "size", "firsts"])
 
     return of
 
 
+def _common(docs: DataFrame, body: Column, words: int) -> np.ndarray:
+    """Sorted hashes of shingles that many texts hold, from a sample; they only set the order."""
+    n = docs.count()
+    if not n:
+        return np.zeros(0, np.uint64)
+
+    @F.pandas_udf("array<long>")
+    def of(texts: pd.Series) -> pd.Series:
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
+
+    part = F.pmod(F.xxhash64(body, F.lit(1)), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20))
+    sample = docs.filter(part).select(body.alias("body")).distinct()
+    counts = sample.select(F.explode(of("body")).alias("hash")).groupBy("hash").count()
+    found = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON)
+    return np.sort(found.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
+
+
 def _sketch(words: int):
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
@@ -349,50 +382,106 @@ def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
     return pd.Series(out)
 
 
-def near_groups(
-    docs: DataFrame, words: int = 5, bits: int = 4, seeds: int = 8, similarity: float = 0.8
+def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose texts have the similarity."""
+    return (
+        pairs.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("sa")), "a")
+        .join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("sb")), "b")
+        .filter(_similarity("sa", "sb") >= similarity)
+        .select("a", "b")
+    )
+
+
+def _sizes_fit(a: str, b: str, similarity: float) -> Column:
+    return F.least(a, b) >= least_shared(F.greatest(a, b), similarity)
+
+
+def _small_cells(cells: DataFrame, similarity: float) -> DataFrame:
+    """Pairs with SHARED shingles in common among the cells that hold few texts."""
+    a = cells.select("hash", F.col("text_key").alias("a"), F.col("size").alias("na"))
+    b = cells.select("hash", F.col("text_key").alias("b"), F.col("size").alias("nb"))
+    met = a.hint("merge").join(b, "hash").filter((F.col("a") < F.col("b")) & _sizes_fit("na", "nb", similarity))
+    need = F.least(F.lit(SHARED), least_shared(F.least("na", "nb"), similarity))
+    return met.groupBy("a", "b", "na", "nb").count().filter(F.col("count") >= need).select("a", "b")
+
+
+def _in_rounds(
+    cells: DataFrame, links: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float, work: Staged
 ) -> DataFrame:
+    """Go on with the cells of many texts: node and root over ``links`` and the pairs found here.
+
+    In each round the first texts of a cell meet all others of the cell that are not in their
+    component yet, and leave the cell; a cell ends when what is left is one component. So any two
+    texts of a cell were compared or are in one component. A group of near copies ends after a few
+    rounds; each round takes eight times as many first texts.
+    """
+    firsts = texts.select("text_key", "firsts")
+    many = 1
+    while True:
+        roots = work.keep(components(links, work), "roots")
+        now = cells.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn(
+            "root", F.coalesce("root", "text_key")
+        )
+        open_ = now.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
+        now = work.keep(now.join(open_.select("hash"), "hash", "left_semi"), "open")
+        if now.isEmpty():
+            return roots
+        heads = work.keep(first_k(now, ["hash"], ["text_key"], many), "heads")
+        a = heads.select("hash", F.col("text_key").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
+        b = now.select("hash", F.col("text_key").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+        pairs = (
+            a.hint("merge").join(b, "hash")
+            .filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", similarity))
+            .select("a", "b", F.least(F.lit(SHARED), least_shared(F.least("na", "nb"), similarity)).alias("need"))
+            .distinct()
+        )
+        pairs = (
+            pairs.join(firsts.select(F.col("text_key").alias("a"), F.col("firsts").alias("fa")), "a")
+            .join(firsts.select(F.col("text_key").alias("b"), F.col("firsts").alias("fb")), "b")
+            .filter(F.size(F.array_intersect("fa", "fb")) >= F.col("need")).select("a", "b")
+        )
+        found = work.keep(_alike(work.keep(pairs, "met"), sketches, similarity), "found")
+        links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
+        done = heads.groupBy("hash").agg(F.max("text_key").alias("last"))
+        cells = now.drop("root").join(done, "hash").filter("text_key > last").drop("last")
+        cells = work.keep(cells, "cells")
+        many *= 8
+
+
+def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """doc_id, body_key (hash of the text), root and component_id of every row of docs, by verified
     near copies; root names the group.
 
-    A text has ``seeds`` fingerprints from independent hashes of its shingles; texts within ``bits``
-    bits in any of them are candidates, which widens what one fingerprint finds. A candidate pair is
-    kept when the shingle sets of the two texts have a Jaccard similarity of at least
-    ``similarity``, measured on sketches (exact for short texts). Texts with the same set of shingles
-    count as one text; equal fingerprints only make candidates. Texts without words are one group. Null ids as in groups().
+    Two texts are linked when their sets of word shingles have a Jaccard similarity of at least
+    ``similarity``, measured on sketches (exact for short texts); groups are the components of all
+    these links. Texts meet when they share some of their first shingles in an order of all
+    shingles, which two such texts always do, so no pair is missed. Texts with the same set of
+    shingles count as one text. Texts without words are one group. Null ids as in groups().
     """
     spark = docs.sparkSession
     work = Staged(spark, "near")
     body = F.coalesce(F.col("text"), F.lit(""))
+    common = spark.sparkContext.broadcast(_common(docs, body, words))
     rows = work.keep(
         docs.select(
             F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body_key"),
-            _prints(words, seeds)(body).alias("made"),
+            _firsts(words, similarity, common)(body).alias("made"),
         ).select("doc_id", "body_key", "made.*"),
-        "fingerprints",
+        "rows",
     )
     texts = work.keep(
         rows.groupBy("text_key").agg(
-            F.first("prints").alias("prints"), F.min("doc_id").alias("least"),
+            F.first("size").alias("size"), F.first("firsts").alias("firsts"), F.min("doc_id").alias("least"),
             F.min(F.struct("doc_id", "body_key")).alias("owner"),
         ),
         "texts",
     )
-    of_seed = texts.select("text_key", F.posexplode("prints").alias("seed", "fp"))
-    #: texts that share a fingerprint form a chain to the least key; near fingerprints link these
-    least = work.keep(of_seed.groupBy("seed", "fp").agg(F.min("text_key").alias("key")), "distinct")
-    same = of_seed.join(least, ["seed", "fp"]).filter("text_key <> key").select(
-        F.col("key").alias("a"), F.col("text_key").alias("b")
-    )
-    near = (
-        links(least.select("seed", "fp"), bits, work, exact_pairs=True)
-        .join(least.select("seed", F.col("fp").alias("a"), F.col("key").alias("ka")), ["seed", "a"])
-        .join(least.select("seed", F.col("fp").alias("b"), F.col("key").alias("kb")), ["seed", "b"])
-        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))
-    )
-    pairs = same.unionByName(near)
-    pairs = work.keep(pairs.distinct(), "pairs")
-    involved = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).distinct()
+    places = texts.select("text_key", "size", F.explode("firsts").alias("hash"))
+    counts = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
+    cells = work.keep(places.hint("merge").join(counts, "hash"), "cells")
+    small, large = cells.filter(F.col("n") <= SMALL_CELL).drop("n"), cells.filter(F.col("n") > SMALL_CELL).drop("n")
+    pairs = work.keep(_small_cells(small, similarity), "pairs")
+    involved = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).union(large.select("text_key")).distinct()
     #: one document for each involved text
     owners = texts.join(involved, "text_key", "left_semi").select("text_key", "owner")
     mine = F.col("owner.doc_id").eqNullSafe(F.col("id")) & (F.col("owner.body_key") == F.xxhash64("body"))
@@ -403,13 +492,8 @@ def near_groups(
         .groupBy("text_key").agg(F.min("sketch").alias("sketch")),
         "sketches",
     )
-    near = (
-        pairs.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("sb")), "b")
-        .filter(_similarity("sa", "sb") >= similarity)
-        .select("a", "b")
-    )
-    roots = components(near, work)
+    near = work.keep(_alike(pairs, sketches, similarity), "near")
+    roots = _in_rounds(large, near, texts, sketches, similarity, work)
     placed = work.keep(
         texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         .select("text_key", "least", F.coalesce("root", "text_key").alias("root")),

@@ -176,6 +176,27 @@ def test_a_repeated_line_makes_no_copies(spark):
     assert kept_ids(spark, texts + [texts[0]]) == [0, 1, 2, 3, 4, 5]
 
 
+@pytest.mark.parametrize("small", [32, 1])
+def test_near_copies_against_all_pairs(spark, monkeypatch, small):
+    monkeypatch.setattr(simhash, "SMALL_CELL", small, raising=False)
+    rng = np.random.default_rng(4)
+    texts = []
+    for base in range(4):
+        words = sentence(base, 90).split()
+        for i in range(12):  # up to four changed words: similarities around the limit
+            mine = list(words)
+            for j in rng.choice(len(mine), rng.integers(1, 5), replace=False):
+                mine[j] = f"e{base}x{i}x{j}"
+            texts.append(" ".join(mine))
+    texts += ["", "one", "a b c d e f", "a b c d e g"]
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    groups = linked(sets, lambda a, b: len(a & b) >= 0.8 * len(a | b))
+    least = {}
+    for i, g in enumerate(groups):
+        least.setdefault(g, i)
+    assert kept_ids(spark, texts) == sorted(least.values())
+
+
 def test_repeats(spark):
     rows = [(r[0], r[1]) for r in unique_ids()]
     rows += [(500, "ab" * 300), (501, "ab" * 80 + "c"), (-3, rows[0][1][20:260]), (502, rows[0][1][:99])]
