@@ -26,7 +26,6 @@ import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from soundquay.llm.components import components
 from soundquay.llm.tables import Staged
@@ -295,10 +294,6 @@ def report(docs: DataFrame) -> DataFrame:
     return groups(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
-#: Least hashes of the shingles that stand for a text when a pair is verified.
-SKETCH = 128
-
-
 def set_key(shingles: np.ndarray) -> int:
     """Hash, as a signed long, of a sorted set of shingles: texts with one set are one text."""
     return _signed(xxhash.xxh64_intdigest(shingles.astype("<u8").tobytes(), SEED))
@@ -308,8 +303,8 @@ def set_key(shingles: np.ndarray) -> int:
 SHARED = 3
 #: Texts in a cell up to which all its pairs are counted; larger ones go on in rounds.
 SMALL_CELL = 32
-#: Texts from which common shingles are told, sample texts they are in, and most of them.
-SAMPLE, COMMON, MOST_COMMON = 32_768, 3, 1_000_000
+#: Texts from which common shingles are told, and how many of these hold one.
+SAMPLE, COMMON = 32_768, 3
 
 
 def least_shared(n: Column, similarity: float) -> Column:
@@ -349,45 +344,29 @@ def _common(docs: DataFrame, body: Column, words: int) -> np.ndarray:
     if not n:
         return np.zeros(0, np.uint64)
 
-    @F.pandas_udf("array<long>")
-    def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
-
     part = F.pmod(F.xxhash64(body, F.lit(1)), F.lit(1 << 20)) < int(min(1.0, SAMPLE / n) * (1 << 20))
     sample = docs.filter(part).select(body.alias("body")).distinct()
-    counts = sample.select(F.explode(of("body")).alias("hash")).groupBy("hash").count()
-    found = counts.filter(F.col("count") >= COMMON).orderBy(F.desc("count")).limit(MOST_COMMON)
+    counts = sample.select(F.explode(_sets(words)(F.col("body"))).alias("hash")).groupBy("hash").count()
+    found = counts.filter(F.col("count") >= COMMON)
     return np.sort(found.select("hash").toPandas()["hash"].to_numpy(np.int64).view(np.uint64))
 
 
-def _sketch(words: int):
+def _sets(words: int):
     @F.pandas_udf("array<long>")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([np.unique(shingle_hashes(t, words))[:SKETCH].astype(np.int64) for t in texts])
+        return pd.Series([np.unique(shingle_hashes(t, words)).view(np.int64) for t in texts])
 
     return of
 
 
-@F.pandas_udf(DoubleType())
-def _similarity(left: pd.Series, right: pd.Series) -> pd.Series:
-    """Jaccard similarity by the least hashes of the union; exact for sets of up to SKETCH shingles."""
-    out = []
-    for a, b in zip(left, right, strict=True):
-        a, b = np.asarray(a).astype(np.uint64), np.asarray(b).astype(np.uint64)
-        union = np.union1d(a, b)
-        if len(a) >= SKETCH or len(b) >= SKETCH:
-            union = union[:SKETCH]
-        both = np.intersect1d(a, b, assume_unique=True)
-        out.append(np.isin(both, union).sum() / len(union) if len(union) else 1.0)
-    return pd.Series(out)
-
-
-def _alike(pairs: DataFrame, sketches: DataFrame, similarity: float) -> DataFrame:
-    """The pairs a, b whose texts have the similarity."""
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The pairs a, b whose whole sets of shingles have the Jaccard similarity."""
+    both = F.size(F.array_intersect("sa", "sb"))
+    union = F.size("sa") + F.size("sb") - both
     return (
-        pairs.join(sketches.select(F.col("text_key").alias("a"), F.col("sketch").alias("sa")), "a")
-        .join(sketches.select(F.col("text_key").alias("b"), F.col("sketch").alias("sb")), "b")
-        .filter(_similarity("sa", "sb") >= similarity)
+        pairs.join(sets.select(F.col("text_key").alias("a"), F.col("shingles").alias("sa")), "a")
+        .join(sets.select(F.col("text_key").alias("b"), F.col("shingles").alias("sb")), "b")
+        .filter(both / union >= similarity)
         .select("a", "b")
     )
 
@@ -406,7 +385,7 @@ def _small_cells(cells: DataFrame, similarity: float) -> DataFrame:
 
 
 def _in_rounds(
-    cells: DataFrame, links: DataFrame, texts: DataFrame, sketches: DataFrame, similarity: float, work: Staged
+    cells: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float, work: Staged
 ) -> DataFrame:
     """Go on with the cells of many texts: node and root over ``links`` and the pairs found here.
 
@@ -440,7 +419,7 @@ def _in_rounds(
             .join(firsts.select(F.col("text_key").alias("b"), F.col("firsts").alias("fb")), "b")
             .filter(F.size(F.array_intersect("fa", "fb")) >= F.col("need")).select("a", "b")
         )
-        found = work.keep(_alike(work.keep(pairs, "met"), sketches, similarity), "found")
+        found = work.keep(_alike(work.keep(pairs, "met"), sets, similarity), "found")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         done = heads.groupBy("hash").agg(F.max("text_key").alias("last"))
         cells = now.drop("root").join(done, "hash").filter("text_key > last").drop("last")
@@ -453,7 +432,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     near copies; root names the group.
 
     Two texts are linked when their sets of word shingles have a Jaccard similarity of at least
-    ``similarity``, measured on sketches (exact for short texts); groups are the components of all
+    ``similarity``, measured on the whole sets; groups are the components of all
     these links. Texts meet when they share some of their first shingles in an order of all
     shingles, which two such texts always do, so no pair is missed. Texts with the same set of
     shingles count as one text. Texts without words are one group. Null ids as in groups().
@@ -485,15 +464,15 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     #: one document for each involved text
     owners = texts.join(involved, "text_key", "left_semi").select("text_key", "owner")
     mine = F.col("owner.doc_id").eqNullSafe(F.col("id")) & (F.col("owner.body_key") == F.xxhash64("body"))
-    sketches = work.keep(
+    sets = work.keep(
         docs.select(F.col("doc_id").cast("long").alias("id"), body.alias("body"))
         .join(owners, mine)
-        .select("text_key", _sketch(words)(F.col("body")).alias("sketch"))
-        .groupBy("text_key").agg(F.min("sketch").alias("sketch")),
-        "sketches",
+        .select("text_key", _sets(words)(F.col("body")).alias("shingles"))
+        .groupBy("text_key").agg(F.first("shingles").alias("shingles")),
+        "sets",
     )
-    near = work.keep(_alike(pairs, sketches, similarity), "near")
-    roots = _in_rounds(large, near, texts, sketches, similarity, work)
+    near = work.keep(_alike(pairs, sets, similarity), "near")
+    roots = _in_rounds(large, near, texts, sets, similarity, work)
     placed = work.keep(
         texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         .select("text_key", "least", F.coalesce("root", "text_key").alias("root")),

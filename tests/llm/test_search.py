@@ -197,6 +197,16 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, small):
     assert kept_ids(spark, texts) == sorted(least.values())
 
 
+def test_long_near_copies_are_decided_on_whole_sets(spark):
+    texts, want = [], []
+    for k in range(12):  # 596 shingles each; 530 / 662 is above 0.8, 529 / 663 below it
+        for changed in (66, 67):
+            words = [f"p{k}c{changed}w{i}" for i in range(600)]
+            texts += [" ".join(words), " ".join(words[:-changed] + [f"new{i}" for i in range(changed)])]
+            want += [len(texts) - 2] if changed == 66 else [len(texts) - 2, len(texts) - 1]
+    assert kept_ids(spark, texts) == want
+
+
 def test_repeats(spark):
     rows = [(r[0], r[1]) for r in unique_ids()]
     rows += [(500, "ab" * 300), (501, "ab" * 80 + "c"), (-3, rows[0][1][20:260]), (502, rows[0][1][:99])]
