@@ -8,7 +8,9 @@ spans of the added kinds (account numbers) must pass their checksum and reach th
 All steps are DataFrame functions. One regular expression walks a text for each kind: it starts
 where the last match ended and takes the gap before a match together with the match, so the
 lengths of the gaps give the positions, in code points. Quantifiers do not give back characters,
-and a match starts only where a run of its characters starts, so the walk is linear in the text.
+and a match starts only where a run of its characters starts, so the walk is linear in the text. An
+account number takes 4 characters in the walk and looks at a bounded run after them, which may hold
+words that follow it; each end of a word in the run is tried.
 """
 
 from __future__ import annotations
@@ -32,6 +34,9 @@ class Kind:
     #: score of a confirmed span without and with context
     score: tuple[float, float]
     base: bool = True
+    #: what a match consumes, when the pattern only looks ahead and ``check`` gives the span's length
+    head: str | None = None
+    head_chars: int = 0
 
 
 def _digits(text: Column) -> Column:
@@ -78,8 +83,21 @@ def _card(found: Column) -> Column:
 
 
 def _account(found: Column) -> Column:
-    plain = F.replace(found, F.lit(" "), F.lit(""))
-    return F.when(F.length(plain).between(15, 34), mod97(plain)).otherwise(False)
+    """Length of the longest start of a run that ends with a word and is an account number, or null.
+
+    The run may go on into the words after the number; its last character may be the one after it.
+    """
+    parts = F.split(found, " ")
+    starts = F.transform(
+        F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, F.lit(1), k), " ")
+    )
+
+    def good(start):
+        plain = F.replace(start, F.lit(" "), F.lit(""))
+        shaped = F.length(plain).between(15, 34) & plain.rlike("^[A-Z0-9]+$")
+        return F.when(shaped, mod97(plain)).otherwise(False)
+
+    return F.char_length(F.try_element_at(F.filter(starts, good), F.lit(-1)))
 
 
 #: The base patterns and limits of the contract, in its order, then the added kinds.
@@ -93,15 +111,17 @@ KINDS = (
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", None,
          r"\+[0-9]", lambda s: F.length(_digits(s)).between(9, 15), "phone|tel|call|mobile",
          (0.7, 1.0)),
-    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "A-Za-z0-9",
+    Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+", "A-Za-z0-9",
          r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", _account, "iban|account|bank|konto|compte|cuenta",
-         (0.8, 1.0), False),
+         (0.8, 1.0), False, "[A-Z]{2}[0-9]{2}", 4),
 )
 LEAST_SCORE = 0.5
 CONTEXT_CHARS = 40
 
 
 def _walk(kind: Kind) -> str:
+    if kind.head:
+        return rf"\G((?s:.*?)(?<![{kind.before}]))(?=({kind.pattern})){kind.head}"
     gap = "(?s:.*?)" if kind.before is None else f"|(?s:.*?)(?<![{kind.before}])"
     return rf"\G({gap})({kind.pattern})"
 
@@ -116,13 +136,19 @@ def _spans(text: str, kind: Kind) -> Column:
 
     def step(done, pair):
         start = done["at"] + F.char_length(pair["gap"])
-        stop = start + F.char_length(pair["found"])
+        length = kind.check(pair["found"]) if kind.head else F.char_length(pair["found"])
+        stop = start + length
         near = F.lower(F.right(pair["gap"], F.lit(CONTEXT_CHARS))).rlike(rf"\b(?:{kind.words})")
         score = F.when(near, kind.score[1]).otherwise(kind.score[0])
         span = F.struct(start.alias("start"), stop.alias("stop"), score.alias("score"))
-        good = F.coalesce(kind.check(pair["found"]), F.lit(False)) & (score >= LEAST_SCORE)
+        if kind.head:
+            last = F.coalesce(F.try_element_at(done["spans"], F.lit(-1))["stop"], F.lit(0))
+            sure = length.isNotNull() & (start >= last)
+        else:
+            sure = F.coalesce(kind.check(pair["found"]), F.lit(False))
+        good = sure & (score >= LEAST_SCORE)
         return F.struct(
-            stop.alias("at"),
+            (start + kind.head_chars if kind.head else stop).alias("at"),
             F.when(good, F.concat(done["spans"], F.array(span))).otherwise(done["spans"]).alias("spans"),
         )
 

@@ -92,6 +92,17 @@ def test_personal_data(spark):
     assert pii.report(docs.limit(0)).count() == 0
 
 
+def test_account_numbers_before_capitals_and_digits(spark):
+    de, gb = "DE89370400440532013000", "GB82 WEST 1234 5698 7654 32"
+    texts = [f"{de} Please pay", f"{gb} BIC DEUTDEFF", f"{gb} 12 EUR", f"{de} {gb} {de}", f"{gb}X", f"{de}5 NOW",
+             f"AB12 {de} A", f"é {gb}\nTHEN"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "i long, text string")
+    got = {r["i"]: [texts[r["i"]][s["start"]:s["stop"]] for s in r["pii_iban"]] for r in pii.find(docs).collect()}
+    assert got == {0: [de], 1: [gb], 2: [gb], 3: [de, gb, de], 4: [], 5: [], 6: [de], 7: [gb]}
+    clean = {r["i"]: r["text"] for r in pii.redact(docs).collect()}
+    assert clean[0] == "<iban> Please pay" and clean[1] == "<iban> BIC DEUTDEFF"
+
+
 def test_context_raises_scores(spark):
     docs = spark.createDataFrame([(1, "server 1.2.3.4"), (2, "xx 1.2.3.4")], "doc_id long, text string")
     got = {r["doc_id"]: r["pii_ip"][0]["score"] for r in pii.find(docs).collect()}
