@@ -14,28 +14,37 @@ from pyspark.sql import functions as F
 from soundquay.llm.slots import gapless
 from soundquay.llm.tables import Staged
 
-#: Lengths up to this many tokens stay as they are; longer ones round up to 1/128 of their power
-#: of two, so that the histogram has a bounded number of cells whatever the longest text is.
-EXACT_UP_TO = 256
-
-
 def word_count(text: str = "text") -> Column:
     """Tokens of a text: runs of characters without white space; null and empty texts have none."""
     trimmed = F.regexp_replace(F.coalesce(F.col(text), F.lit("")), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
     return F.when(trimmed == "", 0).otherwise(F.size(F.split(trimmed, r"[\x20\x09-\x0D]+"))).cast("long")
 
 
-def cell(length: Column) -> Column:
-    """The histogram cell of a length: the least allowed bucket bound that is not below it."""
-    step = F.pow(F.lit(2.0), F.floor(F.log2(length.cast("double"))) - 7).cast("long")
-    rounded = (F.ceil(length / step) * step).cast("long")
-    return F.when(length <= EXACT_UP_TO, F.greatest(length, F.lit(1))).otherwise(rounded).cast("long")
+def _least_costs(best: np.ndarray, lengths: np.ndarray, rows: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray]:
+    """For each j from ``first``: the least best[i] + lengths[j] * (rows of i+1..j) over i < j, and the least such i.
+
+    The costs are Monge, so that the least i never falls when j grows: divide and conquer.
+    """
+    n = len(lengths)
+    cost, at = np.full(n, np.iinfo(np.int64).max), np.full(n, -1)
+    todo = [(first, n - 1, 0, n - 1)]
+    while todo:
+        lo, hi, i_lo, i_hi = todo.pop()
+        if lo > hi:
+            continue
+        j = (lo + hi) // 2
+        stop = min(j - 1, i_hi) + 1
+        tried = best[i_lo:stop] + lengths[j] * (rows[j + 1] - rows[i_lo + 1 : stop + 1])
+        k = int(np.argmin(tried))
+        cost[j], at[j] = tried[k], i_lo + k
+        todo += [(lo, j - 1, i_lo, i_lo + k), (j + 1, hi, i_lo + k, i_hi)]
+    return cost, at
 
 
 def bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]:
     """Upper bounds of the buckets with the least padding; of equal ones, the smaller bounds.
 
-    best[j] is the least sum of padded lengths for the cells up to j; a bucket i+1..j pads the
+    best[j] is the least sum of padded lengths for the lengths up to j; a bucket i+1..j pads the
     documents in it to lengths[j].
     """
     lengths, rows = np.asarray(lengths, np.int64), np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
@@ -46,13 +55,10 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, n_buckets: int) -> list[int]
     best = lengths * rows[1:]
     back = np.full((k, n), -1)
     for b in range(1, k):
-        now = best.copy()
-        for j in range(b, n):
-            cost = best[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1])
-            i = int(np.argmin(cost))
-            if cost[i] < now[j]:
-                now[j], back[b, j] = cost[i], i
-        best = now
+        cost, at = _least_costs(best, lengths, rows, b)
+        better = cost < best
+        back[b, better] = at[better]
+        best = np.where(better, cost, best)
     out, j = [], n - 1
     for b in range(k - 1, -1, -1):
         if b == 0 or back[b, j] < 0:
@@ -79,11 +85,12 @@ def pack(
         F.col("doc_id").cast("long").alias("doc_id"),
         (word_count() if length is None else length).alias("n_tokens"),
     )
-    rows = rows.withColumn("cell", cell(F.col("n_tokens")))
+    rows = rows.withColumn("cell", F.greatest(F.col("n_tokens"), F.lit(1)).cast("long"))
     rows = rows.withColumn("order", F.md5(F.concat_ws(":", F.lit("pack"), F.col("doc_id"), F.col("n_tokens"))))
     staged = Staged(docs.sparkSession, "packing").keep(rows, "lengths")
-    cells = staged.groupBy("cell").count().orderBy("cell").collect()
-    edges = bounds(np.array([x["cell"] for x in cells]), np.array([x["count"] for x in cells]), n_buckets)
+    # distinct lengths only: d of them take d * d / 2 tokens of text at least
+    cells = staged.groupBy("cell").count().toPandas().sort_values("cell")
+    edges = bounds(cells["cell"].to_numpy(np.int64), cells["count"].to_numpy(np.int64), n_buckets)
     bucket, padded = F.lit(0), F.lit(1)
     for i, edge in reversed(list(enumerate(edges))):
         inside = F.col("cell") <= edge

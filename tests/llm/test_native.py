@@ -130,6 +130,26 @@ def test_bucket_bounds_are_optimal():
         assert cost(got) == best and len(got) <= k
 
 
+def test_least_costs_against_all_cuts():
+    rng = np.random.default_rng(2)
+    lengths, counts = np.sort(rng.choice(5000, 300, replace=False) + 1), rng.integers(1, 9, 300)
+    rows = np.concatenate([[0], np.cumsum(counts)])
+    best = lengths * rows[1:]
+    cost, at = packing._least_costs(best, lengths, rows, 1)
+    for j in range(1, 300):
+        tried = best[:j] + lengths[j] * (rows[j + 1] - rows[1 : j + 1])
+        assert cost[j] == tried.min() and at[j] == int(np.argmin(tried))
+
+
+def test_packing_of_long_texts_pads_no_more_than_needed(spark):
+    lengths = [300, 1170, 1170, 1171, 1173, 5001]
+    docs = spark.createDataFrame([(i, "w " * n) for i, n in enumerate(lengths)], "doc_id long, text string")
+    out = {r["doc_id"]: (r["padded_tokens"], r["batch_rows"]) for r in packing.pack(docs).collect()}
+    assert out == {i: (n, 8192 // n if n <= 8192 else 1) for i, n in enumerate(lengths)}
+    two = {r["n_tokens"]: r["padded_tokens"] for r in packing.pack(docs, n_buckets=2).collect()}
+    assert two == {300: 1173, 1170: 1173, 1171: 1173, 1173: 1173, 5001: 5001}
+
+
 @pytest.mark.parametrize("budget", [1, 64, 8192])
 def test_packing(spark, budget):
     docs = clashing(spark.createDataFrame(awkward(), DOCS))
