@@ -19,7 +19,7 @@ from zlib import crc32
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -91,7 +91,7 @@ def _passages(bits, alone, around: int):
     def of(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
             rows = []
-            for doc_id, text in zip(part["doc_id"], part["text"], strict=True):
+            for doc_id, body_key, text in zip(part["doc_id"], part["body_key"], part["text"], strict=True):
                 codes = words(text)
                 found = grams(codes)
                 at = np.flatnonzero(_hits(bits.value, found))
@@ -102,8 +102,8 @@ def _passages(bits, alone, around: int):
                     if len(seeds) > 1 or _hits(alone.value, seeds).any():
                         first = max(0, int(run[0]) - around)
                         piece = codes[first : int(run[-1]) + N + around]
-                        rows.append((doc_id, first, piece.astype(np.int64), seeds))
-            yield pd.DataFrame(rows, columns=["doc_id", "first_word", "codes", "seeds"])
+                        rows.append((doc_id, body_key, first, piece.astype(np.int64), seeds))
+            yield pd.DataFrame(rows, columns=["doc_id", "body_key", "first_word", "codes", "seeds"])
 
     return of
 
@@ -145,7 +145,7 @@ def _score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 for i, row in enumerate(take):
                     table[i, : len(same["codes"][row])] = same["codes"][row]
                 score, stop = align(item, table)
-                piece = same.loc[take, ["doc_id", "item_id", "first_word"]].copy()
+                piece = same.loc[take, ["doc_id", "body_key", "item_id", "first_word"]].copy()
                 piece["score"], piece["last_word"] = score.astype(np.int64), piece["first_word"] + stop
                 piece["similarity"] = score / (MATCH * len(item))
                 out.append(piece.drop(columns="first_word"))
@@ -154,6 +154,10 @@ def _score(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.concat(out)
 
 
+def body_key(text: str = "text") -> Column:
+    return F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+
+
 def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SIMILARITY) -> DataFrame:
     """Pairs of documents and test items whose texts align.
 
@@ -163,9 +167,16 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SIMILAR
     best passage for each pair. Texts without words match nothing; items of fewer than three words
     match by all their words. Rows with one doc_id count as one document, null ids included.
     """
+    best = F.max(F.struct("similarity", "score", "last_word")).alias("best")
+    scored = _aligned(docs, items, least)
+    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
+
+
+def _aligned(docs: DataFrame, items: DataFrame, least: float) -> DataFrame:
+    """Scored passages of at least ``least``: doc_id and body_key of the row, and the item's figures."""
     spark = docs.sparkSession
     work = Staged(spark, "decontaminate")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), body_key().alias("body_key"), "text")
 
     @F.pandas_udf("array<long>")
     def codes_of(column: pd.Series) -> pd.Series:
@@ -209,7 +220,7 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SIMILAR
     longest = tests.agg(F.max(F.size("item_codes"))).first()[0] or 0
     bits = spark.sparkContext.broadcast(_bit_map(seeds))
     alone = spark.sparkContext.broadcast(_bit_map(seeds.filter("few")))
-    shape = "doc_id long, first_word long, codes array<long>, seeds array<long>"
+    shape = "doc_id long, body_key long, first_word long, codes array<long>, seeds array<long>"
     passages = work.keep(
         texts.mapInPandas(_passages(bits, alone, longest), shape)
         .withColumn("passage", F.monotonically_increasing_id()),
@@ -221,17 +232,20 @@ def contaminated(docs: DataFrame, items: DataFrame, least: float = LEAST_SIMILAR
         .filter("few or n > 1")
         .select("passage", "item")
     )
-    scored = (
+    return (
         passages.drop("seeds").join(pairs, "passage").join(tests.drop("grams"), "item")
-        .select("doc_id", "item_id", "item", "first_word", "codes", "item_codes")
-        .mapInPandas(_score, "doc_id long, item_id long, score long, last_word long, similarity double")
+        .select("doc_id", "body_key", "item_id", "item", "first_word", "codes", "item_codes")
+        .mapInPandas(_score, "doc_id long, body_key long, item_id long, score long, last_word long, similarity double")
         .filter(F.col("similarity") >= least)
     )
-    best = F.max(F.struct("similarity", "score", "last_word")).alias("best")
-    return scored.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", "best.*")
 
 
 def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents without a contaminated passage, with all their columns."""
-    leaks = contaminated(docs, items).select(F.col("doc_id").alias("_leak")).distinct()
-    return docs.join(leaks, F.col("doc_id").eqNullSafe(F.col("_leak")), "left_anti")
+    """Documents without a contaminated passage, with all their columns.
+
+    Rows with one doc_id, or without an id, are told apart by their texts.
+    """
+    leaks = _aligned(docs, items, LEAST_SIMILARITY)
+    leaks = leaks.select(F.col("doc_id").alias("_leak"), F.col("body_key").alias("_body")).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & (body_key() == F.col("_body"))
+    return docs.join(leaks, same, "left_anti")

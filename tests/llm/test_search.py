@@ -288,3 +288,13 @@ def test_query_results(spark, sf_dir):
     whole = [np.floor(64 * np.asarray(v, np.float64)).astype(np.int64) for v in embeddings.embedding]
     found = QUERIES["op2_topk"](spark, sf_dir).select("query_id", "rank", "vec_id", "score")
     assert sorted(tuple(r) for r in found.collect()) == _best(embeddings.vec_id.tolist(), whole, 20, 20)
+
+
+def test_clean_rows_with_the_id_of_a_leak_stay(spark):
+    leak, clean = sentence(40, 40), [sentence(41 + i, 40).upper()[::-1] for i in range(3)]
+    rows = [(None, leak), (None, clean[0]), (7, leak), (7, clean[1]), (8, clean[2]), (9, None), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, leak)], "item_id long, text string")
+    got = [tuple(r) for r in decontaminate.keep_clean(docs, items).collect()]
+    assert sorted(got, key=str) == sorted([r for r in rows if r[1] != leak], key=str)
+    assert {r["doc_id"] for r in decontaminate.contaminated(docs, items).collect()} == {None, 7}
