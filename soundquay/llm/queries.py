@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from soundquay.llm import (
     decontaminate,
+    merkle,
     packing,
     pii,
     quality,
@@ -62,6 +63,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op12_merkle": op12_merkle,
 }
 
 SQL: dict[str, str] = {
@@ -80,4 +86,5 @@ SQL: dict[str, str] = {
     "op2_topk": sql.TOPK,
     "op4_suffix": sql.REPEATS,
     "op6_sharding": sql.SHARDS,
+    "op12_merkle": sql.MERKLE,
 }

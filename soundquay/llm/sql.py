@@ -91,3 +91,38 @@ SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard_region AS INTEGER) AS
   CAST(shard_rack AS INTEGER) AS rack, shard, CAST(row_number() OVER (PARTITION BY shard
   ORDER BY md5(doc_id || ':' || text_crc32 || ':' || size)) - 1 AS BIGINT) AS slot, grown_shard
 FROM grown_shard_3"""
+
+
+def _field(x: str) -> str:
+    return f"CASE WHEN {x} IS NULL THEN '-' ELSE strlen(CAST({x} AS VARCHAR)) || ':' || CAST({x} AS VARCHAR) END"
+
+
+def _leaf(n_chars: str) -> str:
+    return f"sha256({' || '.join(_field(x) for x in ('doc_id', 'source', 'lang', n_chars, 'text'))})"
+
+
+_PAIRS = """list_transform(range(0, (len(l) + 1) // 2), lambda i: sha256(l[2 * i + 1] || coalesce(l[2 * i + 2], '')))"""
+_SIBLING = """CASE WHEN (pos >> k) & 1 = 1 THEN 'L' ELSE 'R' END || coalesce(l[xor(pos >> k, 1) + 1], '')"""
+
+#: A level is a list; a sibling carries the side on which it stands.
+MERKLE = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS tbl),
+t AS (SELECT *, CAST(doc_id AS VARCHAR) AS t FROM documents),
+f AS (SELECT *, n_chars + CASE WHEN {_CRC} % 7 = 0 THEN 1 ELSE 0 END AS forged FROM t, crc),
+o AS (SELECT doc_id, coalesce('=' || lang, '') AS grp, {_leaf('n_chars')} AS leaf, {_leaf('forged')} AS claimed FROM f),
+n AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY doc_id NULLS FIRST, leaf, claimed) - 1 AS pos FROM o),
+lv AS (SELECT grp, 0 AS k, list(leaf ORDER BY pos) AS l FROM n GROUP BY grp
+  UNION ALL SELECT grp, k + 1, {_PAIRS} FROM lv WHERE len(l) > 1),
+g AS (SELECT grp, l[1] AS subroot, row_number() OVER (ORDER BY grp) - 1 AS pos FROM lv WHERE len(l) = 1),
+gl AS (SELECT 0 AS k, list(subroot ORDER BY pos) AS l FROM g
+  UNION ALL SELECT k + 1, {_PAIRS} FROM gl WHERE len(l) > 1),
+gs AS (SELECT grp, any_value(subroot) AS subroot, coalesce(list({_SIBLING} ORDER BY k) FILTER (len(l) > 1), []) AS above
+  FROM g, gl GROUP BY grp),
+s AS (SELECT n.grp, n.pos, any_value(doc_id) AS doc_id, any_value(leaf) AS leaf, any_value(claimed) AS claimed,
+  coalesce(list({_SIBLING} ORDER BY k) FILTER (len(l) > 1), []) AS own FROM n JOIN lv USING (grp) GROUP BY n.grp, n.pos),
+p AS (SELECT doc_id, leaf, claimed, subroot, list_concat(own, above) AS path FROM s JOIN gs USING (grp)),
+r AS (SELECT p.*, l[1] AS root, sha256(array_to_string(list_transform(path, lambda x: substr(x, 2)), '')) AS proof_sha256,
+  list_reduce(list_prepend(claimed, path), lambda h, x: sha256(
+    CASE WHEN x[1] = 'L' THEN substr(x, 2) || h ELSE h || substr(x, 2) END)) AS folded_root
+  FROM p, gl WHERE len(l) = 1)
+SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM r"""
