@@ -10,6 +10,7 @@ from soundquay.llm import (
     decontaminate,
     merkle,
     packing,
+    passages,
     pii,
     quality,
     sharding,
@@ -67,6 +68,10 @@ def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
 
+def op13_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.report(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op2_topk": op2_topk,
@@ -79,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
     "op12_merkle": op12_merkle,
+    "op13_passages": op13_passages,
 }
 
 SQL: dict[str, str] = {
@@ -87,4 +93,5 @@ SQL: dict[str, str] = {
     "op4_suffix": sql.REPEATS,
     "op6_sharding": sql.SHARDS,
     "op12_merkle": sql.MERKLE,
+    "op13_passages": sql.PASSAGES,
 }

@@ -126,3 +126,16 @@ r AS (SELECT p.*, l[1] AS root, sha256(array_to_string(list_transform(path, lamb
     CASE WHEN x[1] = 'L' THEN substr(x, 2) || h ELSE h || substr(x, 2) END)) AS folded_root
   FROM p, gl WHERE len(l) = 1)
 SELECT doc_id, leaf, subroot, root, proof_sha256, folded_root, folded_root = root AS verified FROM r"""
+
+PASSAGES = r"""WITH d AS (SELECT doc_id, row_number() OVER () AS d,
+  regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT d, unnest(range(1, len(w) + 1)) AS i, unnest(w) AS word FROM d),
+s AS (SELECT p.d, i, word, CASE WHEN i + 34 <= len(w) THEN md5(array_to_string(w[i:i + 34], ' ')) END AS s
+  FROM p JOIN d USING (d)),
+r AS (SELECT d, i, word, s IS NOT NULL AND count(*) OVER (PARTITION BY s) > 1 AS again FROM s),
+g AS (SELECT d, i, word, bool_or(again) OVER (PARTITION BY d ORDER BY i ROWS BETWEEN 34 PRECEDING AND CURRENT ROW) AS gone
+  FROM r),
+k AS (SELECT d, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
+  string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY d)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN k USING (d)"""
