@@ -13,6 +13,7 @@ from soundquay.llm import (
     passages,
     pii,
     quality,
+    repair,
     sharding,
     simhash,
     sql,
@@ -64,6 +65,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.report(table(spark, sf_dir, "conversations"))
+
+
 def op12_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.report(table(spark, sf_dir, "documents"))
 
@@ -83,6 +88,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_repair": op11_repair,
     "op12_merkle": op12_merkle,
     "op13_passages": op13_passages,
 }
