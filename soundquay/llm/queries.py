@@ -98,6 +98,7 @@ SQL: dict[str, str] = {
     "op2_topk": sql.TOPK,
     "op4_suffix": sql.REPEATS,
     "op6_sharding": sql.SHARDS,
+    "op11_repair": sql.REPAIR,
     "op12_merkle": sql.MERKLE,
     "op13_passages": sql.PASSAGES,
 }

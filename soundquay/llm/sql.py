@@ -139,3 +139,58 @@ k AS (SELECT d, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,
   string_agg(word, ' ' ORDER BY i) FILTER (NOT gone) AS kept FROM g GROUP BY d)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
 FROM d LEFT JOIN k USING (d)"""
+
+
+def _add(cost: str, edit: str, v: str) -> str:
+    """A value is its cost in nine digits and the edits, so that the least string is the least of both."""
+    return f"(lpad(CAST(CAST(left({v}, 9) AS INTEGER) + {cost} AS VARCHAR), 9, '0') || '{edit}' || substr({v}, 10))"
+
+
+def _edit(x: str) -> str:
+    """The least value ahead of a row in state x, without inserts."""
+    to, new = ("a", "Ra") if x == "u" else ("u", "Ru")
+    keeps = [(c, c) for c in ("s", "u") if x == "e"] or [(to, to)]
+    kept = [f"CASE WHEN NOT gone AND initial = '{c}' THEN {_add('more', 'K', f'v{y}')} END" for c, y in keeps]
+    moved = f"CASE WHEN NOT gone THEN {_add('3 + more', new, f'v{to}')} END"
+    return f"least({_add('4', 'D', f'v{x}')}, {', '.join([*kept, moved])}) AS w{x}"
+
+
+#: States: e nothing yet, s, u, a after such a row. A role that is inserted or given follows its edit.
+REPAIR = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i, range(8)),
+  lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, CAST(3988292384 AS BIGINT)) ELSE c >> 1 END)) AS tbl),
+b AS (SELECT coalesce(CAST(conv_id AS VARCHAR), '') AS key, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt,
+  coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS t FROM conversations),
+k AS (SELECT *, {_CRC} % 20 AS kind FROM b, crc),
+e AS (SELECT key, turn, CASE kind WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt,
+  unnest(range(CASE kind WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY turn NULLS FIRST, role, txt) AS i,
+  rtrim(txt, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS said FROM e),
+f AS (SELECT *, CASE WHEN said = '' THEN 'blank'
+  WHEN row_number() OVER (PARTITION BY key, role, txt ORDER BY i) > 1 THEN 'duplicate'
+  WHEN right(said, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, left(role, 1) AS initial,
+  lead(left(role, 1)) OVER (PARTITION BY key ORDER BY i) AS following FROM n),
+m AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone,
+  CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM f),
+r AS (SELECT key, max(i) + 1 AS i, '000000000' AS ve, '000000006IuIa' AS vs, '000000003Ia' AS vu, '000000000' AS va
+  FROM n GROUP BY key
+  UNION ALL SELECT key, i, least(we, {_add('3', 'Iu', f"least(wu, {_add('3', 'Ia', 'wa')})")}),
+    least(ws, {_add('3', 'Iu', f"least(wu, {_add('3', 'Ia', 'wa')})")}),
+    least(wu, {_add('3', 'Ia', 'wa')}), least(wa, {_add('3', 'Iu', 'wu')})
+  FROM (SELECT m.key, m.i, {', '.join(_edit(x) for x in 'esua')} FROM r JOIN m ON m.key = r.key AND m.i = r.i - 1)),
+p AS (SELECT key, CAST(left(ve, 9) AS BIGINT) AS cost, substr(ve, 10) AS code FROM r WHERE i = 1),
+x AS (SELECT key, unnest(regexp_extract_all(code, '[DIKR][ua]?')) AS edit,
+  unnest(range(len(regexp_extract_all(code, '[DIKR][ua]?')))) AS j FROM p),
+y AS (SELECT *, sum(CASE WHEN edit[1] = 'I' THEN 0 ELSE 1 END) OVER (PARTITION BY key ORDER BY j) AS i FROM x),
+z AS (SELECT y.key, sha256(string_agg(CASE right(edit, 1) WHEN 'u' THEN 'user' WHEN 'a' THEN 'assistant' ELSE role END
+  || ':' || CASE WHEN edit[1] = 'I' THEN '' ELSE txt END, chr(10) ORDER BY j)) AS digest
+  FROM y LEFT JOIN n ON n.key = y.key AND n.i = y.i WHERE edit <> 'D' GROUP BY y.key),
+g AS (SELECT key, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps,
+  count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated,
+  count(*) FILTER (following IS NOT NULL AND initial || following NOT IN ('su', 'ua', 'au')) AS illegal FROM m GROUP BY key),
+ids AS (SELECT DISTINCT conv_id, coalesce(CAST(conv_id AS VARCHAR), '') AS key FROM conversations)
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+  coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(cost, 0) AS cost,
+  coalesce(translate(code, 'ua', ''), '') AS audit, coalesce(digest, sha256('')) AS repaired_sha256
+FROM ids LEFT JOIN g USING (key) LEFT JOIN p USING (key) LEFT JOIN z USING (key)"""
