@@ -13,58 +13,90 @@ from soundquay.functions.text import tokens
 from soundquay.operators.order import first_k, number_rows
 
 
-def _substitutions(ref: list[str], hyp: list[str]) -> list[tuple[int, str, str]]:
-    """Replaced words ``(place in hyp, wrong, right)`` of one optimal alignment.
+#: First half width of the band; it doubles until the alignment fits.
+_BAND = 16
+
 
-    Bit-vector edit distance (Hyyro 2003) over the part between common head and tail, one pair
-    of vertical-difference vectors per hypothesis word. Reading back from the end, a deletion is
-    taken when it is optimal, then an insertion, then the diagonal.
+def _band_columns(left: list[str], right: list[str], half: int) -> tuple[list[tuple[int, int, int]], int]:
+    """Bit vectors of the rises and falls down each column, inside a band around the diagonal.
+
+    One (first row, rises, falls) per word of ``right`` (bit-vector edit distance, Hyyro 2003); a
+    bit is a row. Below the band a column counts as rising, above it a row counts as rising, so
+    values are never too small, and exact wherever a path of at most ``half`` edits runs.
     """
-    head = 0
-    while head < min(len(ref), len(hyp)) and ref[head] == hyp[head]:
-        head += 1
-    tail = 0
-    while tail < min(len(ref), len(hyp)) - head and ref[-1 - tail] == hyp[-1 - tail]:
-        tail += 1
-    left, right = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
-    if not left or not right:
-        return []
-    if len(left) == 1 and len(right) == 1:
-        return [(head, right[0], left[0])]
-    full = (1 << len(left)) - 1
     places: dict[str, int] = {}
     for i, word in enumerate(left):
         places[word] = places.get(word, 0) | (1 << i)
-    plus, minus = full, 0
+    width = min(2 * half + 1, len(left))
+    full = (1 << width) - 1
+    plus, minus, low = full, 0, 0
     columns = []
-    for word in right:
-        match = places.get(word, 0)
+    for j, word in enumerate(right):
+        if j - half > low and low + width < len(left):
+            low += 1
+            plus, minus = (plus >> 1) | (1 << (width - 1)), minus >> 1
+        match = (places.get(word, 0) >> low) & full
         diagonal = (((match & plus) + plus) ^ plus) | match | minus
         up = (minus | ~(diagonal | plus)) & full
         down = plus & diagonal
         up = ((up << 1) | 1) & full
         down = (down << 1) & full
         plus, minus = (down | ~(diagonal | up)) & full, up & diagonal & full
-        columns.append((plus, minus))
-    found = []
+        columns.append((low, plus, minus))
+    return columns, width
+
+
+def _walk_back(left: list[str], right: list[str], half: int) -> list[tuple[int, int]] | None:
+    """Places (left, right) of replaced words, last first; None if the path does not fit the band."""
+    columns, width = _band_columns(left, right, half)
+    found, cost = [], 0
     i, j = len(left), len(right)
-    while i and j:
-        bit = 1 << (i - 1)
-        if columns[j - 1][0] & bit:
-            i -= 1
-        elif j > 1 and columns[j - 2][1] & bit:
-            j -= 1
+    while i and j and cost <= half:
+        low, plus, _ = columns[j - 1]
+        at = i - 1 - low
+        if not 0 <= at < width:
+            return None
+        before, _, falls = columns[j - 2] if j > 1 else (0, 0, 0)
+        if plus >> at & 1:
+            i, cost = i - 1, cost + 1
+        elif i - 1 >= before and falls >> (i - 1 - before) & 1:
+            j, cost = j - 1, cost + 1
         else:
             i, j = i - 1, j - 1
             if left[i] != right[j]:
-                found.append((head + j, right[j], left[i]))
-    return found[::-1]
+                found.append((i, j))
+                cost += 1
+    return found if cost + i + j <= half else None
+
+
+def _substitutions(ref: list[str], hyp: list[str]) -> list[tuple[int, str, str]]:
+    """Replaced words ``(place in hyp, wrong, right)`` of one optimal alignment.
+
+    The part between common head and tail is aligned in a band that doubles until the path fits,
+    so time and memory follow the length times the number of edits. Reading back from the end, a
+    deletion is taken where it is optimal, then an insertion where the diagonal is worse, then the
+    diagonal.
+    """
+    head, least = 0, min(len(ref), len(hyp))
+    while head < least and ref[head] == hyp[head]:
+        head += 1
+    tail = 0
+    while tail < least - head and ref[-1 - tail] == hyp[-1 - tail]:
+        tail += 1
+    left, right = ref[head : len(ref) - tail], hyp[head : len(hyp) - tail]
+    if not left or not right:
+        return []
+    half = max(_BAND, abs(len(left) - len(right)))
+    while (found := _walk_back(left, right, half)) is None:
+        half *= 2
+    return [(head + j, right[j], left[i]) for i, j in reversed(found)]
 
 
 def substitutions(pairs: DataFrame, key: str = "utterance_id") -> DataFrame:
-    """One row per replaced word of the pairs ``key, lang, hyp, ref``.
+    """One row per replaced word of the pairs ``key, lang, hyp, ref``, whatever their lengths.
 
-    Equal pairs are dropped before Python sees a row; only ids and token arrays travel.
+    Pairs without edits are dropped, and those with one replaced word are read off in the JVM (no
+    other alignment is as short); all others are aligned in Arrow batches of ids and words.
     """
     worded = (
         pairs.select(
@@ -75,20 +107,25 @@ def substitutions(pairs: DataFrame, key: str = "utterance_id") -> DataFrame:
         )
         .filter((F.size("_ref") > 0) & (F.size("_hyp") > 0) & (F.col("_ref") != F.col("_hyp")))
     )
+    at = F.transform("_hyp", lambda h, i: F.struct(i.cast("long").alias("place"), h.alias("wrong"), F.get("_ref", i).alias("right")))
+    differing = F.when(F.size("_ref") == F.size("_hyp"), F.filter(at, lambda x: x["wrong"] != x["right"]))
+    split = worded.withColumn("_places", differing)
+    one = F.coalesce(F.size("_places") == 1, F.lit(False))
     key_type = dict(pairs.dtypes)[key]
 
     def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = [
                 (uid, lang, place, wrong, right)
-                for uid, lang, ref, hyp in batch.itertuples(index=False)
-                for place, wrong, right in _substitutions(list(ref), list(hyp))
+                for uid, lang, ref, hyp in zip(*(batch[c] for c in batch.columns), strict=True)
+                for place, wrong, right in _substitutions(ref.tolist(), hyp.tolist())
             ]
             yield pd.DataFrame(rows, columns=[key, "lang", "place", "wrong", "right"])
 
-    return worded.mapInPandas(
+    aligned = split.filter(~one).drop("_places").mapInPandas(
         align, f"`{key}` {key_type}, lang string, place long, wrong string, right string"
     )
+    return split.filter(one).select(key, "lang", F.inline("_places")).unionByName(aligned)
 
 
 def pair_counts(subs: DataFrame) -> DataFrame:

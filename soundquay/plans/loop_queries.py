@@ -182,46 +182,47 @@ def harvest_all(spark, sf_dir):
     return feedback.harvest(_evidence(spark, sf_dir), cap=None)
 
 
-# position-aligned pairs: a substitution is a place where the words differ
-_SUBS = f"""{q.pair_cte(aligned=True)},
+# Edit distances of the words between common head and tail, column by column, and the walk back from
+# the end: a deletion where it is optimal, an insertion where the diagonal is worse, the diagonal.
+_SUBS = f"""{q.pair_cte()},
 n AS (SELECT utterance_id, lang, {q.norm('ref', 'lang')} AS ref_n, {q.norm('hyp', 'lang')} AS hyp_n,
   hyp FROM v_pair),
-subs AS (SELECT utterance_id, lang, i AS place, hyp, hw[i + 1] AS wrong, rw[i + 1] AS right_ FROM (
-  SELECT utterance_id, lang, hyp, string_split(ref_n, ' ') AS rw, string_split(hyp_n, ' ') AS hw,
-    unnest(range(0, len(string_split(ref_n, ' ')))) AS i FROM n WHERE ref_n <> '' AND hyp_n <> '')
-  WHERE hw[i + 1] <> rw[i + 1])"""
-
-
-def _aligned(spark, sf_dir):
-    """Utterances whose damaged words keep their places (words that hold letters only)."""
-    return pairs(spark, sf_dir, aligned=True)
-
-
-_SAME = """same AS (SELECT utterance_id FROM n WHERE len(string_split(ref_n, ' ')) =
-  len(string_split(hyp_n, ' ')))"""
-
-
-def _same_length(both):
-    from soundquay.functions.text import tokens
-
-    n_ref = F.size(tokens(F.col("ref"), F.col("lang")))
-    n_hyp = F.size(tokens(F.col("hyp"), F.col("lang")))
-    return both.filter(n_ref == n_hyp)
+whole AS (SELECT utterance_id, string_split(ref_n, ' ') AS r, string_split(hyp_n, ' ') AS h FROM n
+  WHERE ref_n <> '' AND hyp_n <> '' AND ref_n <> hyp_n),
+headed AS (SELECT *, least(len(r), len(h)) AS most, coalesce(list_position(list_transform(
+  range(1, least(len(r), len(h)) + 1), lambda i: r[i] = h[i]), false) - 1, least(len(r), len(h))) AS head FROM whole),
+tailed AS (SELECT *, coalesce(list_position(list_transform(range(0, most - head),
+  lambda i: r[len(r) - i] = h[len(h) - i]), false) - 1, most - head) AS tail FROM headed),
+mid AS (SELECT utterance_id, head, r[head + 1:len(r) - tail] AS rw, h[head + 1:len(h) - tail] AS hw FROM tailed
+  WHERE len(r) > head + tail AND len(h) > head + tail),
+col AS (SELECT utterance_id, 0 AS j, range(0, len(rw) + 1) AS d FROM mid
+  UNION ALL SELECT utterance_id, j, list_transform(range(0, len(c)), lambda i: list_min(c[1:i + 1]) + i) FROM (
+    SELECT m.utterance_id, j + 1 AS j, list_prepend(j + 1, list_transform(range(1, len(rw) + 1),
+      lambda i: least(d[i + 1] + 1, d[i] + CASE WHEN rw[i] = hw[j + 1] THEN 0 ELSE 1 END) - i)) AS c
+    FROM col JOIN mid m USING (utterance_id) WHERE j < len(hw))),
+walk AS (SELECT utterance_id, len(rw) AS i, len(hw) AS j, len(rw) AS i0, 0 AS step FROM mid
+  UNION ALL SELECT utterance_id, CASE WHEN step = 2 THEN i ELSE i - 1 END, CASE WHEN step = 1 THEN j ELSE j - 1 END,
+    i AS i0, step FROM (SELECT w.utterance_id, w.i, w.j, CASE WHEN c.d[w.i + 1] = c.d[w.i] + 1 THEN 1
+      WHEN p.d[w.i + 1] = p.d[w.i] - 1 THEN 2 ELSE 3 END AS step
+    FROM walk w JOIN col c ON c.utterance_id = w.utterance_id AND c.j = w.j
+      JOIN col p ON p.utterance_id = w.utterance_id AND p.j = w.j - 1 WHERE w.i > 0 AND w.j > 0)),
+subs AS (SELECT utterance_id, lang, head + j AS place, hyp, hw[j + 1] AS wrong, rw[i + 1] AS right_
+  FROM walk JOIN mid USING (utterance_id) JOIN n USING (utterance_id) WHERE step = 3 AND hw[j + 1] <> rw[i + 1])"""
 
 
 @query(
     "A28 F5",
-    f"""WITH {_SUBS}, {_SAME} SELECT utterance_id, CAST(place AS BIGINT) AS place, wrong,
-  right_ AS "right" FROM subs JOIN same USING (utterance_id)""",
+    f"""WITH RECURSIVE {_SUBS} SELECT utterance_id, CAST(place AS BIGINT) AS place, wrong,
+  right_ AS "right" FROM subs""",
 )
 def aligned_substitutions(spark, sf_dir):
-    """Substitutions of the pairs whose words stand in place; the rest is tested by fixture."""
-    subs = mining.substitutions(_same_length(_aligned(spark, sf_dir)))
+    """Replaced words of all pairs, with inserted and dropped words between them."""
+    subs = mining.substitutions(pairs(spark, sf_dir))
     return subs.select("utterance_id", "place", "wrong", "right")
 
 
-_PAIRS = f"""{_SUBS}, {_SAME}, cnt AS (SELECT lang, wrong, right_, count(*) AS evidence
-  FROM subs JOIN same USING (utterance_id) GROUP BY ALL),
+_PAIRS = f"""{_SUBS}, cnt AS (SELECT lang, wrong, right_, count(*) AS evidence
+  FROM subs GROUP BY ALL),
 prec AS (SELECT *, CAST(evidence AS DOUBLE) / sum(evidence) OVER (PARTITION BY lang, wrong)
   AS precision FROM cnt),
 menu AS (SELECT 'x' || word AS wrong FROM (SELECT DISTINCT unnest(string_split(
@@ -243,7 +244,7 @@ def _menu_words(spark, sf_dir):
 
 
 def _mined(spark, sf_dir):
-    both = _same_length(_aligned(spark, sf_dir))
+    both = pairs(spark, sf_dir)
     # read several times below: align once
     subs = stage_table(mining.substitutions(both), "substitutions")
     return both, subs, mining.candidates(subs, _menu_words(spark, sf_dir))
@@ -251,7 +252,7 @@ def _mined(spark, sf_dir):
 
 @query(
     "A28 J7",
-    f"""WITH {_PAIRS} SELECT lang, wrong, right_ AS "right", evidence, precision FROM mined""",
+    f"""WITH RECURSIVE {_PAIRS} SELECT lang, wrong, right_ AS "right", evidence, precision FROM mined""",
 )
 def mined_confusions(spark, sf_dir):
     return _mined(spark, sf_dir)[2]
@@ -259,13 +260,13 @@ def mined_confusions(spark, sf_dir):
 
 _CONTEXT = f"""{_PAIRS}, ctx AS (SELECT * FROM (SELECT s.*, row_number() OVER (
   PARTITION BY s.lang, s.wrong, s.right_ ORDER BY s.utterance_id, s.place) AS rn FROM subs s
-  JOIN same USING (utterance_id) JOIN mined m ON m.lang = s.lang AND m.wrong = s.wrong
+  JOIN mined m ON m.lang = s.lang AND m.wrong = s.wrong
    AND m.right_ = s.right_) WHERE rn <= 5)"""
 
 
 @query(
     "A29",
-    f"""WITH {_CONTEXT}, w AS (SELECT c.lang, c.wrong, c.right_, c.rn, i, word FROM (
+    f"""WITH RECURSIVE {_CONTEXT}, w AS (SELECT c.lang, c.wrong, c.right_, c.rn, i, word FROM (
   SELECT *, generate_subscripts(hw, 1) AS i, unnest(hw) AS word FROM (SELECT c.*,
     string_split({q.norm('c.hyp', 'c.lang')}, ' ') AS hw FROM ctx c)) c WHERE word <> wrong),
 t AS (SELECT lang, wrong, right_, word, count(*) AS n, min(rn * 1000 + i) AS seen FROM w GROUP BY ALL),
@@ -284,7 +285,7 @@ def confusion_contexts(spark, sf_dir):
 
 @query(
     "A30",
-    f"""WITH {_PAIRS} SELECT 'mined-c1-' || printf('%03d', row_number() OVER (ORDER BY evidence DESC, lang,
+    f"""WITH RECURSIVE {_PAIRS} SELECT 'mined-c1-' || printf('%03d', row_number() OVER (ORDER BY evidence DESC, lang,
   wrong, right_) - 1) AS id, lang, wrong, right_ AS "right",
   'candidate' AS status, evidence AS evidence_count FROM mined""",
 )
@@ -299,7 +300,7 @@ def mined_rules(spark, sf_dir):
 
 @query(
     "A30",
-    f"""WITH {_CONTEXT} SELECT lang, wrong, right_ AS "right", hyp AS input, true AS fires FROM ctx
+    f"""WITH RECURSIVE {_CONTEXT} SELECT lang, wrong, right_ AS "right", hyp AS input, true AS fires FROM ctx
   WHERE rn = 1 UNION ALL SELECT lang, wrong, right_, 'TODO legit use of ' || wrong, false FROM mined""",
 )
 def case_skeletons(spark, sf_dir):
@@ -309,12 +310,11 @@ def case_skeletons(spark, sf_dir):
 
 @query(
     "J7",
-    f"""WITH {_PAIRS} SELECT lang, wrong, right_ AS "right", evidence FROM cnt
+    f"""WITH RECURSIVE {_PAIRS} SELECT lang, wrong, right_ AS "right", evidence FROM cnt
   WHERE wrong NOT IN (SELECT wrong FROM menu)""",
 )
 def pairs_without_menu_terms(spark, sf_dir):
-    both = _same_length(_aligned(spark, sf_dir))
-    counts = mining.pair_counts(mining.substitutions(both))
+    counts = mining.pair_counts(mining.substitutions(pairs(spark, sf_dir)))
     menu = _menu_words(spark, sf_dir).withColumnRenamed("term", "wrong")
     return counts.join(menu, ["lang", "wrong"], "left_anti").select(
         "lang", "wrong", "right", "evidence"
@@ -480,7 +480,7 @@ def resolved_reviews(spark, sf_dir):
 
 @query(
     "A45 F6",
-    q.cte("v_verdict", "v_tel", "v_utt", extra=f"{_ROUTED}, {_PROFILES}, {_EVIDENCE}, {_REASONS}, {_HARVEST}, {_PAIRS}")
+    q.cte("v_verdict", "v_tel", "v_utt", extra=f"{_ROUTED}, {_PROFILES}, {_EVIDENCE}, {_REASONS}, {_HARVEST}, {_PAIRS}", recursive=True)
     + """SELECT 'cycle-1' AS cycle_id, (SELECT least(500, count(*)) FROM work) AS n_harvested,
   (SELECT count(*) FROM routed WHERE route = 'training') AS n_training,
   (SELECT count(*) FROM routed WHERE route = 'training+miner') AS n_miner,

@@ -34,11 +34,11 @@ v_pair AS (
   FROM v_win)"""
 
 
-def cte(*names: str, extra: str = "") -> str:
+def cte(*names: str, extra: str = "", recursive: bool = False) -> str:
     parts = [f"{n} AS ({VIEWS[n].sql()})" for n in names]
     if extra:
         parts.append(extra)
-    return "WITH " + ",\n".join(parts) + "\n"
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n"
 
 
 def norm(text: str, lang: str) -> str:

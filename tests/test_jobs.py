@@ -37,11 +37,16 @@ def plain_alignment(ref, hyp):
     return found[::-1], d[-1][-1]
 
 
-def test_alignment_against_full_table():
+@pytest.mark.parametrize("band,longest", [(mining._BAND, 9), (1, 9), (1, 40), (2, 60)])
+def test_alignment_against_full_table(monkeypatch, band, longest):
+    """Also with bands that are too narrow at first."""
+    monkeypatch.setattr(mining, "_BAND", band)
     rng = random.Random(11)
-    for _ in range(800):
-        ref = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
-        hyp = [rng.choice("abcd") for _ in range(rng.randint(1, 9))]
+    for _ in range(400):
+        ref = [rng.choice("abcd") for _ in range(rng.randint(1, longest))]
+        hyp = [rng.choice("abcd") for _ in range(rng.randint(1, longest))]
+        if longest > 9:  # a damaged copy: few edits over a long text
+            hyp = [rng.choice("abcd") if rng.random() < 0.1 else w for w in ref if rng.random() > 0.1] or hyp
         head = 0
         while head < min(len(ref), len(hyp)) and ref[head] == hyp[head]:
             head += 1
@@ -52,6 +57,23 @@ def test_alignment_against_full_table():
         assert mining._substitutions(ref, hyp) == [(j + head, w, r) for j, w, r in want]
 
 
+def test_alignment_of_long_texts():
+    """A hundred thousand words with a few edits: the band keeps the work in proportion."""
+    ref = [f"w{i % 997}" for i in range(100_000)]
+    hyp = list(ref)
+    hyp[500], hyp[90_000] = "x", "y"
+    del hyp[40_000:40_005]
+    assert mining._substitutions(ref, hyp) == [(500, "x", ref[500]), (89_995, "y", ref[90_000])]
+
+
+def test_mining_takes_pairs_of_any_length(spark):
+    rows = [(1, "en", "we saw a cat", "we saw the big cat"), (2, "en", "a dog", "a dog"), (3, "en", "", "gone"),
+            (4, "en", "one more time please", "one time please"), (5, "en", "pay bee now", "pay me now"), (6, "en", None, "x")]
+    df = spark.createDataFrame(rows, "utterance_id int, lang string, hyp string, ref string")
+    got = sorted(tuple(r) for r in mining.substitutions(df).collect())
+    assert got == [(1, "en", 2, "a", "the"), (5, "en", 1, "bee", "me")]
+
+
 def test_mining_thresholds(spark):
     pairs = [(i, "es", "quiero un plazo grande", "quiero un plato grande") for i in range(6)]
     pairs += [(10 + i, "es", "la ropa", "la sopa") for i in range(4)]
