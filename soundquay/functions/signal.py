@@ -2,10 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -115,7 +113,7 @@ def overlay(bed: Column, voice: Column, rel_db: float) -> Column:
 
 
 def cut_clips(
-    df: DataFrame, signal: str, clip_len: int, hop: int, min_len: int
+    df: DataFrame, signal: str, clip_len: int | Column, hop: int, min_len: int | Column
 ) -> DataFrame:
     """One row per clip ``[i, i + clip_len)`` for i = 0, hop, ... while ``min_len`` samples remain."""
     last = F.size(signal) - min_len
@@ -125,11 +123,12 @@ def cut_clips(
     )
 
 
-def full_windows(df: DataFrame, signal: str, width: int, hop: int) -> DataFrame:
-    """Fixed windows; a short signal is zero-padded to one window."""
-    padded = F.when(
-        F.size(signal) < width, fit_length(F.col(signal), F.lit(width))
-    ).otherwise(F.transform(signal, lambda v: v.cast("double")))
+def full_windows(df: DataFrame, signal: str, width: int | Column, hop: int) -> DataFrame:
+    """Windows of ``width`` (one for all rows, or a column); a short signal is zero-padded to one."""
+    width = F.lit(width) if isinstance(width, int) else width
+    padded = F.when(F.size(signal) < width, fit_length(F.col(signal), width)).otherwise(
+        F.transform(signal, lambda v: v.cast("double"))
+    )
     return cut_clips(df.withColumn("_padded", padded), "_padded", width, hop, width).drop("_padded")
 
 
@@ -156,39 +155,40 @@ def decide(logits: Column, classes: list[str], min_confidence: float) -> tuple[C
     return subtype, confidence
 
 
-def _crossfade_loop(noise: np.ndarray, n: int, overlap: int) -> np.ndarray:
-    """Equal-power loop: every further copy starts ``overlap`` samples before the end."""
-    if len(noise) >= n or len(noise) == 0:
-        return noise
-    lap = min(overlap, len(noise) // 2)
-    if lap == 0:
-        return np.resize(noise, n)
-    step = len(noise) - lap
-    copies = -(-(n - len(noise)) // step) + 1
-    ramp = np.sin(np.linspace(0.0, np.pi / 2, lap)) ** 2
-    out = np.zeros(len(noise) + step * (copies - 1))
-    for k in range(copies):
-        part = noise.astype(np.float64).copy()
-        if k > 0:
-            part[:lap] *= ramp
-        if k < copies - 1:
-            part[-lap:] *= ramp[::-1]
-        out[k * step : k * step + len(part)] += part
-    return out[:n]
+def looped(x: Column, n: Column, overlap: int) -> Column:
+    """Loop a signal to ``n`` samples; each further copy fades in over the end of the one before.
+
+    A copy starts ``overlap`` samples (half the signal at most) before the end of the last, so a
+    sample belongs to two copies at most and is worked out from its place alone. A signal that is
+    long enough is left as it is.
+    """
+    half_pi = math.pi / 2
+
+    def samples(v: Column) -> Column:
+        size = F.size(v)
+        lap = F.least(F.lit(overlap), F.floor(size / 2).cast("int"))
+        step = size - lap
+        last = F.ceil((n - size) / step).cast("int")
+
+        def ramp(i: Column) -> Column:
+            return F.when(lap > 1, F.pow(F.sin(i * half_pi / (lap - 1)), 2)).otherwise(0.0)
+
+        def share(t: Column, k: Column) -> Column:
+            i = t - k * step
+            rise = F.when((k > 0) & (i < lap), ramp(i)).otherwise(1.0)
+            fall = F.when((k < last) & (i >= size - lap), ramp(size - 1 - i)).otherwise(1.0)
+            return F.when((k >= 0) & (k <= last) & (i < size), F.get(v, i) * rise * fall).otherwise(0.0)
+
+        def sample(t: Column) -> Column:
+            return let(F.floor(t / step).cast("int"), lambda k: share(t, k) + share(t, k - 1))
+
+        places = F.sequence(F.lit(0), n - 1)
+        repeated = F.transform(places, lambda t: F.get(v, F.pmod(t, size)))
+        return F.when((size >= n) | (size == 0), v).when(lap == 0, repeated).otherwise(F.transform(places, sample))
+
+    return let(F.transform(x, lambda v: v.cast("double")), samples)
 
 
 def loop_to_length(df: DataFrame, signal: str, length: str, overlap: int) -> DataFrame:
     """Loop short signals up to ``length`` samples with a squared cosine/sine crossfade."""
-    keep = [f"`{c}` {t}" for c, t in df.dtypes if c != signal]
-    schema = ", ".join(keep + [f"`{signal}` array<double>"])
-    order = [c for c in df.columns if c != signal] + [signal]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch[signal] = [
-                _crossfade_loop(np.asarray(x, dtype=np.float64), int(n), overlap)
-                for x, n in zip(batch[signal], batch[length], strict=True)
-            ]
-            yield batch[order]
-
-    return df.mapInPandas(run, schema)
+    return df.withColumn(signal, looped(F.col(signal), F.col(length).cast("int"), overlap))

@@ -12,6 +12,7 @@ from soundquay.plans.registry import query
 from soundquay.plans.views import view
 
 RATE = 16  # samples per second of the short test signals
+BED = 150  # samples of a bed: more than a voice has, so that the voice repeats
 
 _D = "list_transform(x, lambda v: v::DOUBLE)"
 
@@ -207,12 +208,12 @@ def rejoined_recordings(spark, sf_dir):
     return joined.select("vec_id", *_fingerprint("x"))
 
 
-_OVER = f"""bed AS (SELECT vec_id, split, list_transform(x, lambda v: v::DOUBLE * 9) AS b, row_number()
+_OVER = f"""bed AS (SELECT vec_id, split, list_transform(range(0, {BED}), lambda i: x[i % len(x) + 1]::DOUBLE * 9) AS b, row_number()
   OVER (PARTITION BY split ORDER BY vec_id) - 1 AS pos FROM v_sig WHERE label < 5),
-voice AS (SELECT vec_id, split, list_transform(x[1:40], lambda v: v::DOUBLE) AS x, row_number()
+voice AS (SELECT vec_id, split, list_transform(x, lambda v: v::DOUBLE) AS x, row_number()
   OVER (PARTITION BY split ORDER BY vec_id) - 1 AS idx, count(*) OVER (PARTITION BY split) AS n
   FROM v_sig WHERE label >= 5),
-pr AS (SELECT b.vec_id, b.b, list_transform(range(0, len(b.b)), lambda i: v.x[i % 40 + 1]) AS y
+pr AS (SELECT b.vec_id, b.b, list_transform(range(0, len(b.b)), lambda i: v.x[i % len(v.x) + 1]) AS y
   FROM bed b JOIN voice v ON v.split = b.split AND v.idx = b.pos % v.n),
 gg AS (SELECT *, {_rms('b')} * pow(10.0, -3.0 / 20) / {_rms('y')} AS gain FROM pr),
 raw AS (SELECT vec_id, list_transform(list_zip(b, y), lambda p: p[1] + gain * p[2]) AS r FROM gg),
@@ -226,13 +227,13 @@ def voice_over_bed(spark, sf_dir):
     """Voices dealt in turn over engine beds of the same split."""
     sig = view(spark, sf_dir, "v_sig")
     beds = number_rows(
-        sig.filter("label < 5").select("vec_id", "split", s.scale(F.col("x"), F.lit(9.0)).alias("bed")),
+        sig.filter("label < 5").select("vec_id", "split", s.scale(s.tile(F.col("x"), F.lit(BED)), F.lit(9.0)).alias("bed")),
         ["vec_id"],
         ["split"],
         "pos",
     )
     spoken = sig.filter("label >= 5").select(
-        "vec_id", "split", s.scale(F.slice("x", 1, 40), F.lit(1.0)).alias("voice")
+        "vec_id", "split", s.scale(F.col("x"), F.lit(1.0)).alias("voice")
     )
     voices = number_rows(spoken, ["vec_id"], ["split"], "idx").drop("vec_id")
     sizes = spoken.groupBy("split").agg(F.count(F.lit(1)).alias("n_voices"))
@@ -260,16 +261,16 @@ def fitted_lengths(spark, sf_dir):
     "G11",
     q.cte("v_sig")
     + f"""SELECT vec_id, CAST(i AS BIGINT) AS clip_start, {_fingerprint_sql('c')} FROM (SELECT vec_id, i,
-  list_slice(z, i + 1, i + 16) AS c FROM (SELECT vec_id, z, unnest(range(0, len(z) - 16 + 1, 8)) AS i
-  FROM (SELECT vec_id, list_transform(range(0, greatest(16, len(y))), lambda i:
-    coalesce(y[i + 1]::DOUBLE, 0.0)) AS z FROM (SELECT vec_id, x[1:(10 + vec_id % 40)] AS y FROM v_sig))))""",
+  list_slice(z, i + 1, i + w) AS c FROM (SELECT vec_id, z, w, unnest(range(0, len(z) - w + 1, 8)) AS i
+  FROM (SELECT vec_id, w, list_transform(range(0, greatest(w, len(x))), lambda i:
+    coalesce(x[i + 1]::DOUBLE, 0.0)) AS z FROM (SELECT vec_id, x, CASE WHEN vec_id % 5 = 0 THEN 80
+      ELSE 16 END AS w FROM v_sig))))""",
 )
 def classifier_windows(spark, sf_dir):
-    """Overlapping full windows; signals shorter than one window are padded."""
-    sig = view(spark, sf_dir, "v_sig").select(
-        "vec_id", F.slice("x", F.lit(1), (10 + F.col("vec_id") % 40).cast("int")).alias("x")
-    )
-    windows = s.full_windows(sig, "x", RATE, RATE // 2)
+    """Overlapping full windows; signals shorter than their window, one in five here, are padded."""
+    sig = view(spark, sf_dir, "v_sig")
+    width = F.when(F.col("vec_id") % 5 == 0, 5 * RATE).otherwise(RATE)
+    windows = s.full_windows(sig.select("vec_id", "x"), "x", width, RATE // 2)
     return windows.select(
         "vec_id", F.col("clip_start").cast("long").alias("clip_start"), *_fingerprint("clip")
     )
