@@ -1,6 +1,7 @@
 """Transcript correction: lexicon recovery, context-gated rewrite rules, and their merge.
 
-Candidates of both kinds are found by equality joins on exploded word groups (narrow apart from
+A lexicon and rules of a checked size are compiled and walked once per text (``matcher``). Larger
+ones stay tables, and the rest of this module applies: candidates of both kinds are found by equality joins on exploded word groups (narrow apart from
 the joins), gathered once per text, and resolved in order by one fold over the candidate array.
 Only texts with candidates take part in the gathering shuffle.
 """
@@ -20,11 +21,10 @@ from soundquay.functions.text import (
     raw_words,
 )
 from soundquay.functions.distance import similarity
+from soundquay.operators import matcher
 from soundquay.operators.lexicon import distance_share, group_keys, similar_enough, term_pieces
 from soundquay.sources.stage import stage_table
 
-MAX_RULE_WORDS = 8
-
 _HIT = (
     "struct<start:int,end:int,rule_id:string,before:string,after:string,confidence:double>"
 )
@@ -90,7 +90,10 @@ def lexicon_candidates(texts: DataFrame, terms: DataFrame, key: str) -> DataFram
     hit a term leave this step. A group can come up for several terms and pieces, best first in
     the order of ``far, ord``.
     """
-    dims = stage_table(terms.select("lang", "n", "norm", "ord", "canonical"), "lexicon")
+    # as text, in the order of the values: rules have no such number
+    text_ord = F.col("ord").cast("string")
+    ordered = text_ord if dict(terms.dtypes)["ord"] == "string" else F.lpad(text_ord, 20, "0")
+    dims = stage_table(terms.select("lang", "n", "norm", ordered.alias("ord"), "canonical"), "lexicon")
     pieces = stage_table(term_pieces(dims), "lexicon-pieces")
     whole = dims.select(
         "lang", F.col("norm").alias("gram"), F.length("norm").alias("_len"), "n"
@@ -126,7 +129,7 @@ def lexicon_candidates(texts: DataFrame, terms: DataFrame, key: str) -> DataFram
         "n",
         "exact",
         F.when(fuzzy, distance_share(F.col("gram"), F.col("norm"))).otherwise(0.0).alias("far"),
-        F.col("ord").cast("string").alias("ord"),
+        "ord",
         F.when(fuzzy, F.col("canonical")).alias("after"),
         F.when(fuzzy, F.round(sure, 3)).alias("confidence"),
     )
@@ -143,13 +146,6 @@ def prepare_rules(rules: DataFrame, mode: str) -> DataFrame:
     return (
         rules.filter(F.col("status").isin(*statuses))
         .withColumn("wrong_words", wrong)
-        .withColumn(
-            "wrong_words",
-            F.when(
-                F.size("wrong_words") > MAX_RULE_WORDS,
-                F.raise_error(F.concat(F.lit("rule phrase too long: "), F.col("id"))),
-            ).otherwise(F.col("wrong_words")),
-        )
         .withColumn("any_of", F.transform("context_any", fold))
         .withColumn("none_of", F.transform("context_none", fold))
         .select(
@@ -180,7 +176,8 @@ def context_allows(any_of: Column, none_of: Column, window: Column) -> Column:
 
 def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) -> DataFrame:
     """Places where a rule's words stand and its context gates pass."""
-    ready = prepare_rules(rules, mode)
+    ready = stage_table(prepare_rules(rules, mode), "rules")
+    longest = ready.agg(F.max(F.size("wrong_words"))).first()[0] or 1
     reach = fixed.CONTEXT_REACH
 
     # each word carries only its neighbourhood, so long texts stay linear in size
@@ -192,7 +189,7 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
                 lambda w, i: F.struct(
                     i.alias("start"),
                     w.alias("word"),
-                    F.slice(words, i + 1, MAX_RULE_WORDS).alias("ahead"),
+                    F.slice(words, i + 1, longest).alias("ahead"),
                     F.slice(
                         words,
                         F.greatest(i - reach, F.lit(0)) + 1,
@@ -204,7 +201,6 @@ def rule_candidates(texts: DataFrame, rules: DataFrame, key: str, mode: str) ->
         )
 
     words = texts.select(key, "lang", F.inline(let(raw_words(F.col("text")), places)))
-    ready = stage_table(ready, "rules")
     n = F.size("wrong_words")
     return (
         words.join(ready, ["lang", "word"])
@@ -314,10 +310,16 @@ def correct(
 ) -> DataFrame:
     """Add ``corrections`` and ``corrected``; in ``log_only`` the text stays as it is.
 
-    Works as a transform: ``df.transform(correct, terms, rules, "replace")``. Keys may repeat: texts
-    are told apart by key and text.
+    Works as a transform: ``df.transform(correct, terms, rules, "replace")``. With a lexicon and
+    rules that can be compiled, texts are read once and not shuffled, and ``key`` is not used; else
+    keys may repeat, and texts are told apart by key and text.
     """
-    columns = texts.columns
+    columns = [c for c in texts.columns if c not in ("corrections", "corrected")]
+    rows = matcher.compiled(terms, rules, mode) if terms is not None or rules is not None else None
+    if rows is not None:
+        made = texts.select(*columns, matcher.matched(texts, rows, CORRECTIONS).alias("_made"))
+        text = F.col("_made.corrected") if mode == "replace" else F.col("text")
+        return made.select(*columns, F.col("_made.corrections").alias("corrections"), text.alias("corrected"))
     body = F.hex(F.xxhash64("lang", "text"))
     texts = texts.withColumn("_row", F.concat_ws(" ", F.col(key).cast("string"), body))
     key = "_row"

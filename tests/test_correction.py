@@ -9,6 +9,7 @@ from golden_data import CASES, MENU, RULES
 from pyspark.sql import functions as F
 
 from soundquay.functions.distance import indel_distance, similarity, word_edits
+from soundquay.operators import matcher
 from soundquay.operators.correction import correct
 from soundquay.operators.lexicon import best_terms, similar_pairs
 from soundquay.operators.terms import bilingual_prompt, initial_prompt, lexicon, menu_terms
@@ -30,6 +31,13 @@ def rules(spark):
     )
 
 
+@pytest.fixture(params=["compiled", "joined"], autouse=True)
+def way(request, monkeypatch):
+    """Both ways of ``correct``: the compiled matcher and the joins for large tables."""
+    if request.param == "joined":
+        monkeypatch.setattr(matcher, "MOST_ENTRIES", 0)
+
+
 def run(spark, menu, rules, texts, mode):
     df = spark.createDataFrame(
         [(i, lang, text) for i, (lang, text) in enumerate(texts)],
@@ -185,3 +193,56 @@ def test_texts_with_one_key_do_not_mix(spark, menu, rules):
     assert out.columns == ["utterance_id", "lang", "text", "corrections", "corrected"]
     got = {r["text"]: r["corrected"] for r in out.collect()}
     assert out.count() == 4 and got == {text: fixed for (_, text), (fixed, _) in zip(texts, apart)}
+
+
+def test_phrases_of_any_length(spark, menu):
+    """A rule of twelve words, overlapping phrases, and a rule that is part of another."""
+    long = "one two three four five six seven eight nine ten eleven twelve"
+    made = [(0, "r0", "en", long, "dozen", [], [], "active"), (1, "r1", "en", "five six", "56", [], [], "active"),
+            (2, "r2", "en", "six seven", "67", [], [], "active"), (3, "r3", "en", "b", "B2", ["a"], ["c d"], "active")]
+    rules = spark.createDataFrame(
+        made, "rule_ord int, id string, lang string, wrong string, right string, "
+        "context_any array<string>, context_none array<string>, status string")
+    got = run(spark, menu, rules, [("en", f"so {long} go"), ("en", "five six seven"), ("en", "six seven five six seven"),
+                                   ("en", "a b c d"), ("en", "a b c e"), ("en", "x b")], "replace")
+    assert [g[0] for g in got] == ["so dozen go", "56 seven", "67 56 seven", "a b c d", "a B2 c e", "x b"]
+
+
+def test_both_ways_agree(spark, monkeypatch):
+    """Random texts over damaged terms, with rules between them: the same corrections either way."""
+    import random
+
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdeghilmnoprst") for _ in range(rng.randint(4, 9))) for _ in range(40)]
+    terms = sorted({" ".join(rng.sample(words, rng.choice([1, 1, 2, 3]))) for _ in range(30)})
+    lex = spark.createDataFrame([("en", len(t.split()), t, i, t.title()) for i, t in enumerate(terms)],
+                                "lang string, n int, norm string, ord int, canonical string")
+    rules = spark.createDataFrame(
+        [(i, f"r{i}", "en", " ".join(rng.sample(words, rng.choice([1, 2]))), f"R{i}", rng.sample(words, rng.choice([0, 8])),
+          rng.sample(words, 1), "active") for i in range(12)],
+        "rule_ord int, id string, lang string, wrong string, right string, context_any array<string>, "
+        "context_none array<string>, status string")
+
+    def damaged(word):
+        i = rng.randrange(len(word))
+        return rng.choice([word, word, word[:i] + word[i + 1:], word[:i] + "z" + word[i:], word.title()])
+
+    texts = [" ".join(damaged(w) for t in rng.sample(terms, 4) for w in t.split()) + " " + " ".join(rng.sample(words, 5))
+             for _ in range(150)]
+    df = spark.createDataFrame([(i, "en", t) for i, t in enumerate(texts)], "utterance_id int, lang string, text string")
+
+    def rows():
+        return sorted(map(str, df.transform(correct, lex, rules, "replace").collect()))
+
+    monkeypatch.setattr(matcher, "MOST_ENTRIES", 0)
+    joined = rows()
+    monkeypatch.setattr(matcher, "MOST_ENTRIES", 1000)
+    assert rows() == joined
+
+
+def test_compiled_way_does_not_shuffle(spark, menu, rules):
+    from soundquay.operators.terms import lexicon as made
+
+    df = spark.createDataFrame([(1, "es", "papas fritaz")], "utterance_id int, lang string, text string")
+    plan = df.transform(correct, made(menu), rules, "replace")._jdf.queryExecution().toString()
+    assert ("Exchange" in plan) == (matcher.MOST_ENTRIES == 0)
