@@ -317,7 +317,9 @@ def correct(
     columns = [c for c in texts.columns if c not in ("corrections", "corrected")]
     rows = matcher.compiled(terms, rules, mode) if terms is not None or rules is not None else None
     if rows is not None:
-        made = texts.select(*columns, matcher.matched(texts, rows, CORRECTIONS).alias("_made"))
+        # unfolded from an array of one: Spark leaves a UDF unplanned whose argument holds lambdas
+        pair = F.inline(F.array(F.struct(F.col("text").alias("_text"), F.col("lang").alias("_lang"))))
+        made = texts.select(*columns, pair).withColumn("_made", matcher.matched(texts, rows, CORRECTIONS))
         text = F.col("_made.corrected") if mode == "replace" else F.col("text")
         return made.select(*columns, F.col("_made.corrections").alias("corrections"), text.alias("corrected"))
     body = F.hex(F.xxhash64("lang", "text"))

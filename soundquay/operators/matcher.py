@@ -281,7 +281,7 @@ _ready: dict[int, Matcher] = {}
 
 
 def matched(texts: DataFrame, rows: tuple[list, list], shape: str) -> Column:
-    """``corrections`` (of the type ``shape``) and ``corrected`` of the columns text and lang."""
+    """``corrections`` (of the type ``shape``) and ``corrected`` of the columns _text and _lang."""
     spark = texts.sparkSession
     shared = spark.sparkContext.broadcast(rows)
     number = id(shared)
@@ -300,4 +300,5 @@ def matched(texts: DataFrame, rows: tuple[list, list], shape: str) -> Column:
             plain.append(rewritten(raw, hits) if raw and code in fixed.LANGS else t)
         return pd.DataFrame({"corrections": found, "corrected": plain})
 
-    return of(F.col("text"), F.col("lang"))
+    # nondeterministic: not copied to each place above that reads a field of the result
+    return of.asNondeterministic()(F.col("_text"), F.col("_lang"))
