@@ -303,6 +303,8 @@ def set_key(shingles: np.ndarray) -> int:
 SHARED = 3
 #: Texts in a cell up to which all its pairs are counted; larger ones go on in rounds.
 SMALL_CELL = 32
+#: Growth of the sizes from one class to the next, in cells of many texts.
+CLASS_RATIO = 1.05
 #: Texts from which common shingles are told, and how many of these hold one.
 SAMPLE, COMMON = 32_768, 3
 
@@ -384,15 +386,54 @@ def _small_cells(cells: DataFrame, similarity: float) -> DataFrame:
     return met.groupBy("a", "b", "na", "nb").count().filter(F.col("count") >= need).select("a", "b")
 
 
+def _overlap(na: Column, nb: Column, similarity: float) -> Column:
+    """The fewest common shingles of two sets of these sizes and the similarity."""
+    return F.ceil((na + nb) * (similarity / (1 + similarity)) - 1e-9)
+
+
+def _can_reach(n: Column, pos: Column, other: Column, similarity: float) -> Column:
+    """Whether a set of n can be similar to one of ``other``, if they first meet at ``pos`` of its order.
+
+    Of the earlier shingles, at most SHARED - 1 are common: those met in small cells.
+    """
+    return n - pos + (SHARED - 1) >= _overlap(n, other, similarity)
+
+
+def _size_class(n: Column) -> Column:
+    return F.floor(F.log(n.cast("double")) / float(np.log(CLASS_RATIO))).cast("int")
+
+
+def _by_size(cells: DataFrame, similarity: float) -> DataFrame:
+    """Cells of many texts cut by the size classes of the shorter and the longer text of a pair.
+
+    A text comes as the shorter one (side 0) and as the longer one (side 1) for each class of a
+    partner that it can still reach from the place of the shingle in its order. Texts that hold
+    much of their own ahead of a common shingle reach none, and drop out.
+    """
+    n, pos, k = F.col("size"), F.col("pos"), F.col("class")
+    floor = F.greatest(F.floor(F.pow(F.lit(CLASS_RATIO), k) - 1e-3).cast("long"), F.lit(1))
+    own = _size_class(n)
+    least = F.greatest(least_shared(n, similarity), F.lit(1))
+    most = F.floor(n / similarity + 1e-9)
+    shorter = cells.withColumn("class", F.explode(F.sequence(own, _size_class(most)))).filter(
+        _can_reach(n, pos, F.greatest(n, floor), similarity)
+    ).select(F.xxhash64("hash", own, k).alias("cell"), "text_key", "size", "pos", F.lit(0).alias("side"))
+    longer = cells.withColumn("class", F.explode(F.sequence(_size_class(least), own))).filter(
+        _can_reach(n, pos, F.greatest(least, floor), similarity)
+    ).select(F.xxhash64("hash", k, own).alias("cell"), "text_key", "size", "pos", F.lit(1).alias("side"))
+    return shorter.unionByName(longer)
+
+
 def _in_rounds(
     cells: DataFrame, links: DataFrame, texts: DataFrame, sets: DataFrame, similarity: float, work: Staged
 ) -> DataFrame:
     """Go on with the cells of many texts: node and root over ``links`` and the pairs found here.
 
-    In each round the first texts of a cell meet all others of the cell that are not in their
+    In each round the first shorter texts of a cell meet its longer ones that are not in their
     component yet, and leave the cell; a cell ends when what is left is one component. So any two
-    texts of a cell were compared or are in one component. A group of near copies ends after a few
-    rounds; each round takes eight times as many first texts.
+    texts of a cell that can be similar by their sizes and the place of the shingle were compared
+    or are in one component. A group of near copies ends after a few rounds; each round takes eight
+    times as many texts.
     """
     firsts = texts.select("text_key", "firsts")
     many = 1
@@ -401,17 +442,24 @@ def _in_rounds(
         now = cells.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn(
             "root", F.coalesce("root", "text_key")
         )
-        open_ = now.groupBy("hash").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi")
-        now = work.keep(now.join(open_.select("hash"), "hash", "left_semi"), "open")
+        ends = [f(F.when(F.col("side") == x, F.col("root"))) for x in (0, 1) for f in (F.min, F.max)]
+        open_ = now.groupBy("cell").agg(*[e.alias(c) for e, c in zip(ends, ("lo0", "hi0", "lo1", "hi1"), strict=True)])
+        open_ = open_.filter("lo0 is not null and lo1 is not null and (lo0 <> hi0 or lo1 <> hi1 or lo0 <> lo1)")
+        now = work.keep(now.join(open_.select("cell"), "cell", "left_semi"), "open")
         if now.isEmpty():
             return roots
-        heads = work.keep(first_k(now, ["hash"], ["text_key"], many), "heads")
-        a = heads.select("hash", F.col("text_key").alias("a"), F.col("size").alias("na"), F.col("root").alias("ra"))
-        b = now.select("hash", F.col("text_key").alias("b"), F.col("size").alias("nb"), F.col("root").alias("rb"))
+        heads = work.keep(first_k(now.filter("side = 0"), ["cell"], ["text_key"], many), "heads")
+        a = heads.select("cell", *[F.col(c).alias(x) for c, x in (("text_key", "a"), ("size", "na"), ("pos", "pa"), ("root", "ra"))])
+        b = now.filter("side = 1").select(
+            "cell", *[F.col(c).alias(x) for c, x in (("text_key", "b"), ("size", "nb"), ("pos", "pb"), ("root", "rb"))]
+        )
+        na, nb = F.col("na"), F.col("nb")
         pairs = (
-            a.hint("merge").join(b, "hash")
-            .filter((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", similarity))
-            .select("a", "b", F.least(F.lit(SHARED), least_shared(F.least("na", "nb"), similarity)).alias("need"))
+            a.hint("merge").join(b, "cell")
+            .filter((na < nb) | ((na == nb) & (F.col("a") < F.col("b"))))
+            .filter((F.col("ra") != F.col("rb")) & _sizes_fit("na", "nb", similarity))
+            .filter(_can_reach(na, F.col("pa"), nb, similarity) & _can_reach(nb, F.col("pb"), na, similarity))
+            .select("a", "b", F.least(F.lit(SHARED), least_shared(na, similarity)).alias("need"))
             .distinct()
         )
         pairs = (
@@ -421,8 +469,8 @@ def _in_rounds(
         )
         found = work.keep(_alike(work.keep(pairs, "met"), sets, similarity), "found")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
-        done = heads.groupBy("hash").agg(F.max("text_key").alias("last"))
-        cells = now.drop("root").join(done, "hash").filter("text_key > last").drop("last")
+        done = heads.groupBy("cell").agg(F.max("text_key").alias("last"))
+        cells = now.drop("root").join(done, "cell").filter("side = 1 or text_key > last").drop("last")
         cells = work.keep(cells, "cells")
         many *= 8
 
@@ -455,7 +503,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         ),
         "texts",
     )
-    places = texts.select("text_key", "size", F.explode("firsts").alias("hash"))
+    places = texts.select("text_key", "size", F.posexplode("firsts").alias("pos", "hash"))
     counts = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
     cells = work.keep(places.hint("merge").join(counts, "hash"), "cells")
     small, large = cells.filter(F.col("n") <= SMALL_CELL).drop("n"), cells.filter(F.col("n") > SMALL_CELL).drop("n")
@@ -472,7 +520,7 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         "sets",
     )
     near = work.keep(_alike(pairs, sets, similarity), "near")
-    roots = _in_rounds(large, near, texts, sets, similarity, work)
+    roots = _in_rounds(work.keep(_by_size(large, similarity), "sized"), near, texts, sets, similarity, work)
     placed = work.keep(
         texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         .select("text_key", "least", F.coalesce("root", "text_key").alias("root")),

@@ -197,6 +197,45 @@ def test_near_copies_against_all_pairs(spark, monkeypatch, small):
     assert kept_ids(spark, texts) == sorted(least.values())
 
 
+def plain_least(texts):
+    sets = [frozenset(simhash.shingle_hashes(t, 5).tolist()) for t in texts]
+    holders = {}
+    for i, x in enumerate(sets):
+        for h in x or {None}:
+            holders.setdefault(h, []).append(i)
+    near = {(i, j) for own in holders.values() for i in own for j in own if i < j
+            and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    groups = linked(list(range(len(texts))), lambda a, b: (min(a, b), max(a, b)) in near)
+    least = {}
+    for i, g in enumerate(groups):
+        least.setdefault(g, i)
+    return sorted(least.values())
+
+
+@pytest.mark.parametrize("small,sample", [(2, 3), (8, 3), (8, 10**9)])
+def test_near_copies_with_a_line_in_every_text(spark, monkeypatch, small, sample):
+    """Texts that are mostly one line, with and without near copies; also with a useless order of shingles."""
+    monkeypatch.setattr(simhash, "SMALL_CELL", small)
+    monkeypatch.setattr(simhash, "COMMON", sample)
+    rng = np.random.default_rng(6)
+    line = sentence(50, 60)
+    texts = []
+    for i in range(60):
+        own = sentence(100 + i // 2, int(rng.integers(2, 40))).split()
+        if i % 2:
+            own[int(rng.integers(len(own)))] = f"e{i}"
+        texts.append(f"{' '.join(own)} {line}")
+    texts += [line, f"x {line}", f"{line} y", " ".join(line.split()[:50])]
+    assert kept_ids(spark, texts) == plain_least(texts)
+
+
+def test_near_copies_of_the_whole_table(spark, sf_dir, monkeypatch):
+    monkeypatch.setattr(simhash, "SMALL_CELL", 4)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect()
+    texts = [r["text"] for r in docs]
+    assert kept_ids(spark, texts) == plain_least(texts)
+
+
 def test_long_near_copies_are_decided_on_whole_sets(spark):
     texts, want = [], []
     for k in range(12):  # 596 shingles each; 530 / 662 is above 0.8, 529 / 663 below it
