@@ -14,12 +14,13 @@ def held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int) -> DataFrame:
-    """Texts with a label (0.0 or 1.0) of at most ``max_rows`` labelled documents of the training folds.
+    """At most ``max_rows`` rows of the training folds: texts with a label (0.0 or 1.0).
 
     The sample is the labelled documents with the smallest hashes of their ids, so it does not
     depend on the order of rows. Its ids are at most max_rows numbers of 8 bytes: that bound lets
-    the join broadcast them, and the documents are not shuffled. A document with several labels
-    takes the largest; null labels and null ids are left out.
+    the join broadcast them, and the documents are not shuffled. Where ids repeat, the rows with
+    the smallest hashes of id and text stay. A document with several labels takes the largest;
+    null labels and null ids are left out.
     """
     ids = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).alias("label"))
@@ -32,4 +33,5 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, max_rows: int)
     texts = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")
     )
-    return texts.join(F.broadcast(ids), "doc_id")
+    rows = texts.join(F.broadcast(ids), "doc_id")
+    return rows.orderBy(F.xxhash64("doc_id", "text"), "doc_id", "text").limit(max_rows)
