@@ -3,7 +3,8 @@
 Every kind has a pattern that proposes leftmost spans without overlap, a check of the span
 (checksum, number of digits, value range) that drops it or confirms it, and words that raise its
 score when they stand shortly before it. Spans of the base kinds stay whatever their score is;
-spans of the added kinds (account numbers) must pass their checksum and reach the least score.
+spans of the added kinds must reach LEAST_SCORE: account numbers have a checksum and do so by
+themselves, social security numbers have none and need words ahead of them.
 
 All steps are DataFrame functions. One regular expression walks a text for each kind: it starts
 where the last match ended and takes the gap before a match together with the match, so the
@@ -114,6 +115,9 @@ KINDS = (
     Kind("iban", r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+", "A-Za-z0-9",
          r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]", _account, "iban|account|bank|konto|compte|cuenta",
          (0.8, 1.0), False, "[A-Z]{2}[0-9]{2}", 4),
+    # numbers of this form are common and have no check digit: only the words before them decide
+    Kind("ssn", r"(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "0-9-",
+         r"[0-9]{3}-[0-9]{2}-[0-9]{4}", lambda s: F.lit(True), "ssn|social security", (0.3, 0.8), False),
 )
 LEAST_SCORE = 0.5
 CONTEXT_CHARS = 40
@@ -158,20 +162,20 @@ def _spans(text: str, kind: Kind) -> Column:
     return F.when(body.rlike(kind.hint), walked).otherwise(empty)
 
 
-def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS) -> DataFrame:
-    """Add one column ``pii_<kind>`` with the spans (start, stop, score) of each kind.
+def find(docs: DataFrame, text: str = "text", kinds: tuple[Kind, ...] = KINDS, prefix: str = "pii_") -> DataFrame:
+    """Add one column ``pii_<kind>`` (or of another prefix; such a column is replaced) with the spans (start, stop, score) of each kind.
 
     ``start`` and ``stop`` count code points, ``stop`` is exclusive. A null text counts as empty
     and has no spans. Other columns stay as they are; of the added kinds, spans that overlap a
     base span are left out.
     """
-    out = docs.withColumns({f"pii_{k.name}": _spans(text, k) for k in kinds if k.base})
-    base = F.flatten(F.array(*[F.col(f"pii_{k.name}") for k in kinds if k.base]))
+    out = docs.withColumns({f"{prefix}{k.name}": _spans(text, k) for k in kinds if k.base})
+    base = F.flatten(F.array(*[F.col(f"{prefix}{k.name}") for k in kinds if k.base]))
     added = {}
     for k in kinds:
         if not k.base:
             clear = lambda s: ~F.exists(base, lambda b: (b["start"] < s["stop"]) & (s["start"] < b["stop"]))
-            added[f"pii_{k.name}"] = F.filter(_spans(text, k), clear)
+            added[f"{prefix}{k.name}"] = F.filter(_spans(text, k), clear)
     return out.withColumns(added) if added else out
 
 
@@ -183,12 +187,13 @@ def _named(kind: Kind) -> Column:
 
 
 def report(docs: DataFrame) -> DataFrame:
-    """Counts, digest and list of the spans of each document (one row for each row of docs)."""
+    """Counts, digest, list and scores of the spans of each document (one row for each row of docs)."""
     found = find(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     base = F.array_join(F.concat(*[_named(k) for k in KINDS if k.base]), ",")
     rest = F.array_join(F.concat(*[_named(k) for k in KINDS]), ",")
     counts = [F.size(f"pii_{k.name}").cast("long").alias(f"n_{k.name}") for k in KINDS]
-    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), rest.alias("spans"))
+    scores = F.flatten(F.array(*[F.transform(f"pii_{k.name}", lambda s: s["score"]) for k in KINDS]))
+    return found.select("doc_id", *counts, F.sha2(base, 256).alias("base_sha256"), rest.alias("spans"), scores.alias("scores"))
 
 
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
@@ -197,14 +202,17 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     A run of overlapping spans gets the kind that starts first (the first listed among those).
     Texts without spans, empty and null ones stay as they are.
     """
-    found = find(docs, text)
+    prefix = "_pii_"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix = f"_{prefix}"
+    found = find(docs, text, prefix=prefix)
 
     def tagged(i, kind):
         def tag(s):
             return F.struct(s["start"].alias("start"), F.lit(i).alias("i"),
                             s["stop"].alias("stop"), F.lit(f"<{kind.name}>").alias("tag"))
 
-        return F.transform(F.col(f"pii_{kind.name}"), tag)
+        return F.transform(F.col(f"{prefix}{kind.name}"), tag)
 
     all_spans = F.flatten(F.array(*[tagged(i, k) for i, k in enumerate(KINDS)]))
     ordered = F.array_sort(all_spans)
@@ -224,4 +232,4 @@ def redact(docs: DataFrame, text: str = "text") -> DataFrame:
         return F.concat(F.array_join(done["out"], ""), F.substring(body, done["at"] + 1, F.char_length(body)))
 
     clean = F.when(F.size(all_spans) > 0, F.aggregate(ordered, zero, step, close)).otherwise(body)
-    return found.withColumn(text, clean).drop(*[f"pii_{k.name}" for k in KINDS])
+    return found.withColumn(text, clean).drop(*[f"{prefix}{k.name}" for k in KINDS])
