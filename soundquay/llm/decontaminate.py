@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from soundquay.llm.tables import Staged
+from soundquay.llm.tables import Staged, unused
 
 N = 3
 #: An item's neighbouring n-grams of which the rarest is always a seed.
@@ -246,6 +246,7 @@ def keep_clean(docs: DataFrame, items: DataFrame) -> DataFrame:
     Rows with one doc_id, or without an id, are told apart by their texts.
     """
     leaks = _aligned(docs, items, LEAST_SIMILARITY)
-    leaks = leaks.select(F.col("doc_id").alias("_leak"), F.col("body_key").alias("_body")).distinct()
-    same = F.col("doc_id").cast("long").eqNullSafe(F.col("_leak")) & (body_key() == F.col("_body"))
+    leak, body = unused(docs, "_leak"), unused(docs, "_body")
+    leaks = leaks.select(F.col("doc_id").alias(leak), F.col("body_key").alias(body)).distinct()
+    same = F.col("doc_id").cast("long").eqNullSafe(F.col(leak)) & (body_key() == F.col(body))
     return docs.join(leaks, same, "left_anti")

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay.llm.labelled import held_out, training_rows
-from soundquay.llm.tables import Staged
+from soundquay.llm.tables import Staged, unused
 
 STATISTICS = (
     "chars_log", "words_log", "word_chars", "longest_word_log", "upper_share", "digit_share",
@@ -149,11 +149,9 @@ def fit(
 
 def scored(docs: DataFrame, model: Model, out: str = "score", text: str = "text") -> DataFrame:
     """docs with the score in ``out``; the other columns stay as they are."""
-    return (
-        docs.withColumn("_statistics", statistics(F.col(text)))
-        .withColumn(out, model.score(F.col("_statistics")))
-        .drop("_statistics")
-    )
+    name = unused(docs, "_statistics")
+    known = docs.withColumn(name, statistics(F.col(text)))
+    return known.withColumn(out, model.score(F.col(name))).drop(name)
 
 
 LEAST_SCORE = 0.3

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from soundquay.llm.components import components
-from soundquay.llm.tables import Staged
+from soundquay.llm.tables import Staged, unused
 from soundquay.operators.order import first_k
 
 BITS = 64
@@ -545,9 +545,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     texts = work.keep(texts.filter("row <> top or n > 1").select("row", (F.col("row") == F.col("top")).alias("stays")), "copies")
 
     def mine(part: DataFrame) -> tuple[DataFrame, object]:
-        named = part.select(F.col("row.doc_id").alias("_id"), F.col("row.body_key").alias("_body"))
+        own, key = unused(docs, "_id"), unused(docs, "_body")
+        named = part.select(F.col("row.doc_id").alias(own), F.col("row.body_key").alias(key))
         body = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-        return named, F.col("doc_id").cast("long").eqNullSafe(F.col("_id")) & (body == F.col("_body"))
+        return named, F.col("doc_id").cast("long").eqNullSafe(F.col(own)) & (body == F.col(key))
 
     gone, is_gone = mine(texts.filter("not stays"))
     left = docs.join(gone, is_gone, "left_anti")

@@ -11,6 +11,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name that ``df`` does not have."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 class Staged:
     """Intermediate tables of one operator call, as Parquet below the shared checkpoint folder.
 
@@ -39,3 +47,10 @@ class Staged:
         jvm = self.spark._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
+    def settle(self) -> None:
+        """Let Spark delete the shuffle files of steps that are done and written.
+
+        It does so when the driver's garbage is collected, which may take long on a quiet driver.
+        """
+        self.spark._jvm.System.gc()
