@@ -14,14 +14,15 @@ A word goes when a window of LENGTH consecutive words that covers it also starts
 4. Matching statistics. Stretches stream through the automaton of their shard: the length of the
    longest repeated string that ends at each word. Where it reaches LENGTH the words go.
 
-An automaton is sent to the task that streams the stretches of its shard, ahead of them; a
-broadcast to every task would send all documents through all shards, which grows with the square of
+The anchor tells which shard a stretch can match, so the automaton of a shard is needed in the
+task of that shard only and is not broadcast to the others: all documents through all automata
+would be work that grows with the square of the corpus, and all automata together are larger than
 the corpus. Memory of a task is bounded by the words of one shard.
 """
 
 from __future__ import annotations
 
-import pickle
+from collections import Counter
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -37,13 +38,15 @@ from soundquay.llm.tables import Staged
 LENGTH = 35
 GRAM = 8
 #: Words of a shard, about; an anchor stays in one shard.
-SHARD_WORDS = 1 << 17
+SHARD_WORDS = 1 << 15
 #: Different stretches of an anchor from which each window becomes a stretch of its own.
 CROWDED = 500
 _CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 24) - 1)
-_POWERS = np.cumprod(np.full(1 << 12, _M2, np.uint64))
+_WORDS_KEPT = 1 << 18
+#: Words on one side of the anchor that every window has at least on one of its sides.
+_SIDE = (LENGTH - GRAM + 1) // 2
 
 
 def words_of(text: str) -> list[bytes]:
@@ -63,16 +66,25 @@ def _borders(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([[0], stops[:-1] + 1]), stops
 
 
+class _Hashes(dict):
+    """Hashes of words, each worked out once; forgotten when there are many."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= _WORDS_KEPT:
+            self.clear()
+        made = self[word] = xxhash.xxh64_intdigest(word)
+        return made
+
+
+_hash_of = _Hashes()
+
+
 def _word_hashes(words: list[bytes]) -> np.ndarray:
-    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.uint64)
-    sizes = np.fromiter(map(len, words), np.int64, len(words))
-    starts = np.cumsum(sizes) - sizes
-    place = np.arange(len(raw)) - np.repeat(starts, sizes)
-    return _mixed(np.add.reduceat((raw + np.uint64(1)) * _POWERS[place & (len(_POWERS) - 1)], starts))
+    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
 
 
-def stretches(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """First and last window and anchor of the stretches of a document, by chunks."""
+def stretches(words: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
+    """First and last window, anchor and its place of the stretches of a document, by chunks."""
     for at in range(0, len(words) - LENGTH + 1, _CHUNK):
         h = _word_hashes(words[at : at + _CHUNK + LENGTH - 1])
         n = len(h)
@@ -90,7 +102,7 @@ def stretches(words: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.n
         where = (least & _LOW).astype(np.int64)
         first = np.concatenate([[0], np.flatnonzero(np.diff(where)) + 1])
         last = np.concatenate([first[1:], [len(where)]]) - 1
-        yield first + at, last + at, grams[where[first]].view(np.int64)
+        yield first + at, last + at, grams[where[first]].view(np.int64), where[first] + at
 
 
 def _hashed(plain: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
@@ -99,12 +111,13 @@ def _hashed(plain: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
     return np.array([of(plain[a:b]) for a, b in pairs], np.uint64).view(np.int64)
 
 
-_STRETCH = "anchor long, same long, doc long, first int, size int"
+#: ``off``: words of the stretch ahead of its anchor
+_STRETCH = "anchor long, same long, doc long, first int, size int, off int"
 
 
 def _frame(out: list[tuple]) -> pd.DataFrame:
-    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 5
-    return pd.DataFrame(dict(zip(("anchor", "same", "doc", "first", "size"), columns, strict=True)))
+    columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 6
+    return pd.DataFrame(dict(zip(("anchor", "same", "doc", "first", "size", "off"), columns, strict=True)))
 
 
 def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -117,9 +130,9 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             plain = b" ".join(words)
             starts, stops = _borders(words)
-            for first, last, anchor in stretches(words):
+            for first, last, anchor, place in stretches(words):
                 same = _hashed(plain, starts[first], stops[last + LENGTH - 1])
-                out.append((anchor, same, np.full(len(first), doc), first, last - first + 1))
+                out.append((anchor, same, np.full(len(first), doc), first, last - first + 1, place - first))
         yield _frame(out)
 
 
@@ -133,7 +146,8 @@ def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             starts, stops = _borders(words)
             first = np.concatenate([np.arange(x["first"], x["first"] + x["size"]) for x in spans])
             same = _hashed(plain, starts[first], stops[first + LENGTH - 1])
-            out.append((same, same, np.full(len(first), doc), first, np.ones(len(first), np.int64)))
+            none = np.zeros(len(first), np.int64)
+            out.append((same, same, np.full(len(first), doc), first, none + 1, none))
         yield _frame(out)
 
 
@@ -145,8 +159,8 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             words = words_of(text)
             for x in spans:
                 data = b" ".join(words[x["first"] : x["first"] + x["size"] + LENGTH - 1])
-                rows.append((x["shard"], x["anchor"], x["same"], x["n"], data))
-        yield pd.DataFrame(rows, columns=["shard", "anchor", "same", "n", "data"])
+                rows.append((x["shard"], x["anchor"], x["same"], x["n"], x["off"], data))
+        yield pd.DataFrame(rows, columns=["shard", "anchor", "same", "n", "off", "data"])
 
 
 @dataclass
@@ -164,16 +178,13 @@ class Automaton:
         symbols: dict[bytes, int] = {}
         length, link, step, places = [0], [-1], [{}], [0]
 
-        def state(depth: int, suffix: int, moves: dict[int, int]) -> int:
-            length.append(depth)
-            link.append(suffix)
-            step.append(moves)
-            places.append(0)
-            return len(length) - 1
-
         def split(p: int, c: int, q: int) -> int:
             """The state of the strings of q that are one longer than those of p."""
-            twin = state(length[p] + 1, link[q], dict(step[q]))
+            twin = len(length)
+            length.append(length[p] + 1)
+            link.append(link[q])
+            step.append(dict(step[q]))
+            places.append(0)
             link[q] = twin
             while p >= 0 and step[p].get(c) == q:
                 step[p][c] = twin
@@ -182,49 +193,35 @@ class Automaton:
 
         for words, n in texts:
             last = 0
-            for word in words:
-                c = symbols.setdefault(word, len(symbols))
+            for c in [symbols.setdefault(w, len(symbols)) for w in words]:
                 q = step[last].get(c)
+                depth = length[last] + 1
                 if q is not None:  # the string is there from an earlier text
-                    last = q if length[q] == length[last] + 1 else split(last, c, q)
+                    last = q if length[q] == depth else split(last, c, q)
                 else:
-                    new, p = state(length[last] + 1, 0, {}), last
-                    while p >= 0 and c not in step[p]:
-                        step[p][c] = new
+                    new, p = len(length), last
+                    length.append(depth)
+                    link.append(0)
+                    step.append({})
+                    places.append(0)
+                    while p >= 0 and (q := step[p].setdefault(c, new)) == new:
                         p = link[p]
                     if p >= 0:
-                        q = step[p][c]
                         link[new] = q if length[q] == length[p] + 1 else split(p, c, q)
                     last = new
                 places[last] += n
-        for v in sorted(range(1, len(length)), key=length.__getitem__, reverse=True):
-            if link[v] > 0:
-                places[link[v]] += places[v]
+        depths, links, found = np.array(length), np.array(link), np.array(places, np.int64)
+        order = np.argsort(-depths, kind="stable")
+        for level in np.split(order, np.flatnonzero(np.diff(depths[order])) + 1)[:-1]:
+            np.add.at(found, links[level], found[level])
         # suffixes and prefixes of repeated strings are repeated: the rest stays connected
-        kept = [v for v in range(len(length)) if v == 0 or places[v] > 1]
-        number = {v: i for i, v in enumerate(kept)}
-        moves = [{c: number[q] for c, q in step[v].items() if q in number} for v in kept]
-        return cls(symbols, [length[v] for v in kept], [number.get(link[v], -1) for v in kept], moves)
-
-    def to_bytes(self) -> bytes:
-        states = np.repeat(np.arange(len(self.step)), [len(x) for x in self.step]).astype(np.int32)
-        on = np.fromiter((c for x in self.step for c in x), np.int32, len(states))
-        to = np.fromiter((q for x in self.step for q in x.values()), np.int32, len(states))
-        used = np.unique(on)  # symbols of strings that were left out go too
-        names = list(self.symbols)
-        words = b" ".join([names[i] for i in used.tolist()])
-        on = np.searchsorted(used, on).astype(np.int32)
-        whole = (np.array(self.length, np.int32), np.array(self.link, np.int32), states, on, to)
-        return pickle.dumps((words, *whole))
-
-    @classmethod
-    def from_bytes(cls, data: bytes) -> Automaton:
-        words, length, link, states, on, to = pickle.loads(data)
-        step: list[dict[int, int]] = [{} for _ in range(len(length))]
-        for v, c, q in zip(states.tolist(), on.tolist(), to.tolist(), strict=True):
-            step[v][c] = q
-        symbols = {w: i for i, w in enumerate(words.split(b" "))} if words else {}
-        return cls(symbols, length.tolist(), link.tolist(), step)
+        kept = found > 1
+        kept[0] = True
+        number = np.where(kept, np.cumsum(kept) - 1, -1)
+        to = number.tolist()
+        moves = [{c: to[q] for c, q in step[v].items() if to[q] >= 0} for v in np.flatnonzero(kept).tolist()]
+        suffix = np.where(links >= 0, number[links], -1)
+        return cls(symbols, depths[kept].tolist(), suffix[kept].tolist(), moves)
 
     def matching(self, words: Sequence[bytes]) -> list[int]:
         """For each word the length of the longest string kept that ends there."""
@@ -243,36 +240,48 @@ class Automaton:
         return out
 
 
-def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, list[tuple]]]:
-    """Runs of rows of one shard, from rows in the order of their shards."""
+def _shards(parts: Iterator[pd.DataFrame]) -> Iterator[list[tuple]]:
+    """The rows of each shard, from rows in the order of their shards; a shard is bounded."""
     shard, held = None, []
     for part in parts:
         for row in part.itertuples(index=False, name=None):
             if row[0] != shard and held:
-                yield shard, held
+                yield held
                 held = []
             shard = row[0]
             held.append(row)
     if held:
-        yield shard, held
+        yield held
 
 
-def _automata(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for shard, rows in _shards(parts):
-        made = Automaton.of([(data.split(b" "), n) for _, n, data in rows])
-        yield pd.DataFrame({"shard": [shard], "data": [made.to_bytes()]})
+def _sides(anchor: int, off: int, words: list[bytes]) -> list[tuple]:
+    """The anchor with _SIDE words ahead of it, and with as many behind it; a window holds one of them."""
+    out = []
+    if off >= _SIDE:
+        out.append((anchor, b" ".join(words[off - _SIDE : off + GRAM])))
+    if len(words) - off >= GRAM + _SIDE:
+        out.append((anchor, b" ".join(words[off : off + GRAM + _SIDE]), "behind"))
+    return out
 
 
 def _matched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Runs of repeated windows of stretches; the automaton of a shard comes ahead of them."""
-    automaton = None
-    for part in parts:
+    """Runs of repeated windows of the stretches of each shard, from rows in the order of shards.
+
+    A stretch with one place can only share a window with one that also has the same words at one
+    side of the anchor; without such a one it holds no repeated window and is left out.
+    """
+    for rows in _shards(parts):
+        texts = [(anchor, same, n, off, data.split(b" ")) for _, anchor, same, n, off, data in rows]
+        seen = Counter(side for anchor, _, _, off, words in texts for side in _sides(anchor, off, words))
+        used = [
+            (anchor, same, n, words)
+            for anchor, same, n, off, words in texts
+            if n > 1 or any(seen[side] > 1 for side in _sides(anchor, off, words))
+        ]
+        automaton = Automaton.of([(words, n) for _, _, n, words in used])
         out = []
-        for anchor, same, data, ahead in zip(part["anchor"], part["same"], part["data"], part["ahead"], strict=True):
-            if ahead:
-                automaton = Automaton.from_bytes(data)
-                continue
-            found = np.array(automaton.matching(data.split(b" "))[LENGTH - 1 :]) >= LENGTH
+        for anchor, same, _, words in used:
+            found = np.array(automaton.matching(words)[LENGTH - 1 :]) >= LENGTH
             edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
             if len(edges):
                 out.append((anchor, same, edges[::2].tolist(), (edges[1::2] - 1).tolist()))
@@ -294,18 +303,20 @@ def _spans(places: DataFrame, *more: str) -> DataFrame:
 
 def _firsts(found: DataFrame) -> DataFrame:
     """Different stretches with one place and the number of all places."""
-    place = F.min(F.struct("doc", "first", "size")).alias("top")
+    place = F.min(F.struct("doc", "first", "size", "off")).alias("top")
     return found.groupBy("anchor", "same").agg(place, F.count("*").alias("n"))
 
 
 def open_stretches(texts: DataFrame, work: Staged) -> tuple[DataFrame, DataFrame]:
     """Stretches with an anchor that occurs again, and the different ones of them with counts."""
-    found = work.keep(texts.select("doc", "text").mapInPandas(_scan, _STRETCH), "stretches")
-    often = work.keep(found.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
-    found = work.keep(join_counted(found, often, ["anchor"], "n").drop("n"), "open")
+    whole, path = work.put(texts.select("doc", "text").mapInPandas(_scan, _STRETCH), "stretches")
+    often = work.keep(whole.groupBy("anchor").agg(F.count("*").alias("n")).filter("n > 1"), "anchors")
+    found = work.keep(join_counted(whole, often, ["anchor"], "n").drop("n"), "open")
+    work.drop(path)
     firsts = work.keep(_firsts(found), "different")
     crowded = firsts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter(f"m > {CROWDED}")
     crowded = work.keep(crowded, "crowded")
+    work.settle()
     if crowded.isEmpty():
         return found, firsts
     spans = _spans(join_counted(found, crowded, ["anchor"], "n"))
@@ -323,27 +334,18 @@ def repeated_windows(texts: DataFrame, work: Staged) -> DataFrame:
     found, firsts = open_stretches(texts, work)
     words = firsts.agg(F.sum(F.col("top.size") + LENGTH - 1)).first()[0] or 0
     shard = F.pmod(F.xxhash64("anchor"), F.lit(int(words) // SHARD_WORDS + 1)).cast("int")
-    spans = _spans(firsts.select("anchor", "same", "n", "top.*", shard.alias("shard")), "shard", "anchor", "same", "n")
-    cut = work.keep(
-        texts.select("doc", "text").join(spans, "doc").mapInPandas(
-            _cut, "shard int, anchor long, same long, n long, data binary"
-        ),
-        "reference",
+    spans = _spans(
+        firsts.select("anchor", "same", "n", "top.*", shard.alias("shard")), "shard", "anchor", "same", "n", "off"
     )
-    automata = work.keep(
-        cut.select("shard", "n", "data").repartition("shard").sortWithinPartitions("shard").mapInPandas(
-            _automata, "shard int, data binary"
-        ),
-        "automata",
+    cut = texts.select("doc", "text").join(spans, "doc").mapInPandas(
+        _cut, "shard int, anchor long, same long, n long, off int, data binary"
     )
-    none = F.lit(0).cast("long")  # no nulls: pandas would turn the keys into floats
-    ahead = automata.select("shard", none.alias("anchor"), none.alias("same"), "data", F.lit(True).alias("ahead"))
-    stream = cut.drop("n").withColumn("ahead", F.lit(False)).unionByName(ahead)
     runs = (
-        stream.repartition("shard").sortWithinPartitions("shard", F.desc("ahead")).select("anchor", "same", "data", "ahead")
+        cut.repartition("shard").sortWithinPartitions("shard")
         .mapInPandas(_matched, "anchor long, same long, starts array<int>, stops array<int>")
     )
     runs = work.keep(runs.join(firsts.select("anchor", "same", "n"), ["anchor", "same"]), "runs")
+    work.settle()
     places = join_counted(found, runs, ["anchor", "same"], "n")
     each = places.select("doc", "first", F.explode(F.arrays_zip("starts", "stops")).alias("_r"))
     return each.select("doc", (F.col("first") + F.col("_r.starts")).alias("first"), (F.col("first") + F.col("_r.stops")).alias("last"))
