@@ -8,12 +8,29 @@ from pyspark.sql import functions as F
 from soundquay.functions.bind import let
 
 
-#: Characters that can stand for a word; a pair with more distinct words is an error.
+#: Characters that can stand for a word; a pair with more distinct words on both sides is an error.
 MOST_SYMBOLS = 1_000_000
+#: Widths of the band in which a distance is looked for, one after the other.
+_BANDS = (16, 256, 4096)
+
+
+def edit_distance(a: Column, b: Column) -> Column:
+    """Edit distance of two strings, in time that follows the length times the number of edits.
+
+    A band around the diagonal is tried first; it grows until the distance fits.
+    """
+
+    def within(x: Column, y: Column, bands: tuple[int, ...]) -> Column:
+        if not bands:
+            return F.levenshtein(x, y)
+        found = F.levenshtein(x, y, bands[0])
+        return let(found, lambda d: F.when(d >= 0, d).otherwise(within(x, y, bands[1:])))
+
+    return let(F.struct(a.alias("a"), b.alias("b")), lambda p: within(p["a"], p["b"], _BANDS))
 
 
 def word_symbols(words: Column, vocabulary: Column) -> Column:
-    """Write each word as one character: its place in ``vocabulary``.
+    """Write each word as one character: its place in ``vocabulary``, or one for all other words.
 
     Built through UTF-32 so that a pair may hold a million distinct words; places past the
     surrogate block are moved behind it.
@@ -27,12 +44,16 @@ def word_symbols(words: Column, vocabulary: Column) -> Column:
 
 
 def word_edits(ref: Column, hyp: Column) -> Column:
-    """Word-level edit distance of two token arrays (inserts, deletes, replacements)."""
-    too_many = F.raise_error(f"a pair holds more than {MOST_SYMBOLS} distinct words").cast("int")
+    """Word-level edit distance of two token arrays (inserts, deletes, replacements).
+
+    Words of one side only match nothing and need no symbol of their own; those of ``hyp`` are
+    written as blanks, so that they differ from those of ``ref``.
+    """
+    too_many = F.raise_error(f"both sides of a pair hold more than {MOST_SYMBOLS} distinct words").cast("int")
     distance = let(
-        F.array_distinct(F.concat(ref, hyp)),
+        F.array_intersect(ref, hyp),
         lambda v: F.when(F.size(v) > MOST_SYMBOLS, too_many).otherwise(
-            F.levenshtein(word_symbols(ref, v), word_symbols(hyp, v))
+            edit_distance(word_symbols(ref, v), F.translate(word_symbols(hyp, v), "\u00ff", " "))
         ),
     )
     return (
@@ -45,7 +66,7 @@ def word_edits(ref: Column, hyp: Column) -> Column:
 
 
 def char_edits(ref: Column, hyp: Column) -> Column:
-    return F.when(ref == hyp, F.lit(0)).otherwise(F.levenshtein(ref, hyp)).cast("long")
+    return F.when(ref == hyp, F.lit(0)).otherwise(edit_distance(ref, hyp)).cast("long")
 
 
 _WORD_BITS = 60

@@ -68,6 +68,28 @@ def number_rows(
     return ranked.select(*out)
 
 
+def running_max(
+    df: DataFrame, order: Sequence[str], within: Sequence[str], value: str, out: str = "so_far"
+) -> DataFrame:
+    """Add ``out``, the largest ``value`` of the earlier rows in ``order`` (null: none), inside ``within``.
+
+    Rows are dealt in order as for ``number_rows``: the largest value of each partition is carried
+    over to the partitions behind it, so a group may hold any share of the rows.
+    """
+    within = list(within)
+    hashable = [name for name, kind in df.dtypes if "map<" not in kind]
+    keyed = df.withColumn("_tie", F.xxhash64(*hashable)).withColumn("_group", F.to_json(F.struct(*within)))
+    dealt = keyed.repartitionByRange("_group", *order, "_tie")
+    placed = stage_table(dealt.withColumn("_bucket", F.spark_partition_id()), "swept")
+    behind = Window.partitionBy("_group").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = placed.groupBy("_group", "_bucket").agg(F.max(value).alias("_top")).select(
+        "_group", "_bucket", F.max("_top").over(behind).alias("_carried")
+    )
+    local = Window.partitionBy("_group", "_bucket").orderBy(*order, "_tie").rowsBetween(Window.unboundedPreceding, -1)
+    joined = placed.join(carried, ["_group", "_bucket"])
+    return joined.select(*df.columns, F.greatest("_carried", F.max(value).over(local)).alias(out))
+
+
 def values_at_shares(
     df: DataFrame, value: str, shares: dict[str, float], within: Sequence[str] = ()
 ) -> DataFrame:

@@ -11,7 +11,7 @@ from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import table, utterances, view
 from soundquay.sources import manifests, tables, telemetry, transcripts
-from soundquay.sources.stage import work_folder
+from soundquay.sources.stage import stage_table, work_folder
 
 
 @query(
@@ -23,10 +23,10 @@ from soundquay.sources.stage import work_folder
   FROM v_any""",
 )
 def manifest_read(spark, sf_dir):
-    rows = view(spark, sf_dir, "v_any").withColumn("keywords", F.lit(None).cast("array<string>"))
-    folded = manifests.fold_nan(rows).withColumn(
-        "keywords", F.coalesce("keywords", F.array().cast("array<string>"))
-    )
+    """A manifest file with NaN for missing numbers and without keyword lists, read with its schema."""
+    path = work_folder(spark, "manifest")
+    manifests.write_manifest(view(spark, sf_dir, "v_any"), path)
+    folded = manifests.read_manifest(spark, path)
     return folded.select(
         "utterance_id",
         "lang",
@@ -41,8 +41,10 @@ def manifest_read(spark, sf_dir):
     q.cte("v_bank") + "SELECT clip_id, subtype, recording_id FROM v_bank WHERE split = 'eval'",
 )
 def noise_bank_eval_split(spark, sf_dir):
-    bank = view(spark, sf_dir, "v_bank")
-    return bank.filter(F.col("split") == "eval").select("clip_id", "subtype", "recording_id")
+    """The bank written by split and subtype; only the files of one split are read."""
+    path = work_folder(spark, "noise-bank")
+    manifests.write_noise_bank(view(spark, sf_dir, "v_bank").drop("vec_id"), path)
+    return manifests.read_noise_bank(spark, path, "eval").select("clip_id", "subtype", "recording_id")
 
 
 def _telemetry_frame(spark, sf_dir):
@@ -139,16 +141,22 @@ def _lines(spark, sf_dir):
     )
 
 
+def _written(spark, sf_dir, value):
+    """An index as text files in folders, as collections come."""
+    path = work_folder(spark, "index")
+    folder = F.pmod(F.xxhash64(value), F.lit(4)).alias("fold")
+    _lines(spark, sf_dir).select(value, folder).write.partitionBy("fold").text(path)
+    return path
+
+
 @query("S5", _LINES + "SELECT utterance_id AS file_id, text FROM v_line WHERE seg_no % 5 <> 4")
 def transcript_index_tabs(spark, sf_dir):
-    lines = _lines(spark, sf_dir).select(F.col("tab_value").alias("value"))
-    return transcripts.parse_tab_index(lines)
+    return transcripts.read_tab_index(spark, _written(spark, sf_dir, "tab_value"))
 
 
 @query("S6", _LINES + "SELECT utterance_id AS file_id, text FROM v_line WHERE seg_no % 5 <> 4")
 def transcript_index_words(spark, sf_dir):
-    lines = _lines(spark, sf_dir).select(F.col("word_value").alias("value"))
-    return transcripts.parse_word_index(lines)
+    return transcripts.read_word_index(spark, _written(spark, sf_dir, "word_value"))
 
 
 @query(
@@ -163,9 +171,7 @@ def audio_with_transcripts(spark, sf_dir):
     utts = utterances(spark, sf_dir)
     labelled = utts.join(table(spark, sf_dir, "labels").select("doc_id"), "doc_id")
     files = labelled.select(F.concat(F.lit("fold/"), "utterance_id", F.lit(".flac")).alias("path"))
-    index = transcripts.parse_tab_index(
-        _lines(spark, sf_dir).select(F.col("tab_value").alias("value"))
-    )
+    index = transcripts.read_tab_index(spark, _written(spark, sf_dir, "tab_value"))
     return transcripts.join_transcripts(files, index).select(
         "file_id", "path", F.length("text").cast("long").alias("n_chars")
     )
@@ -275,18 +281,24 @@ def dataset_summary(spark, sf_dir):
     "S13 P26",
     q.cte("v_rec")
     + """SELECT 'run-20240101T000000Z-0.1.0' AS run_id, lang,
-  round(CAST(sum(word_edits) AS DOUBLE) / sum(ref_words), 6) AS wer, count(*) AS n_utts
+  round(CAST(sum(word_edits) AS DOUBLE) / sum(ref_words), 6) AS wer, count(*) AS n_utts,
+  CAST(1337 AS BIGINT) AS seed, true AS same_as_log
   FROM v_rec GROUP BY lang""",
 )
 def metric_run_log(spark, sf_dir):
-    """Append a run with its metrics document to the log, then read the document back."""
+    """A run's report as a JSON document, read back typed and held against its row in the log."""
     path = work_folder(spark, "metric-runs")
-    rates = bundle(view(spark, sf_dir, "v_rec"))
-    tables.append_run(rates, path, "run-20240101T000000Z-0.1.0", "0.1.0", "scored")
-    runs = spark.read.parquet(path)
+    reports = work_folder(spark, "reports")
+    run = ("run-20240101T000000Z-0.1.0", "0.1.0", "scored")
+    rates = stage_table(bundle(view(spark, sf_dir, "v_rec")), "rates")
+    tables.append_run(rates, path, *run)
+    tables.write_report(rates, reports, *run, 1337)
     document = F.from_json("metrics_json", "map<string, struct<wer: double, n_utts: bigint>>")
-    return runs.select("run_id", F.explode(document).alias("lang", "m")).select(
-        "run_id", "lang", F.round("m.wer", 6).alias("wer"), "m.n_utts"
+    logged = spark.read.parquet(path).select("run_id", F.explode(document).alias("lang", "logged"))
+    report = tables.read_reports(spark, reports).select("run_id", "seed", F.explode("metrics").alias("lang", "m"))
+    same = (F.col("m.wer") == F.col("logged.wer")) & (F.col("m.n_utts") == F.col("logged.n_utts"))
+    return report.join(logged, ["run_id", "lang"]).select(
+        "run_id", "lang", F.round("m.wer", 6).alias("wer"), "m.n_utts", "seed", same.alias("same_as_log")
     )
 
 

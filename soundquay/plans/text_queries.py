@@ -6,12 +6,12 @@ from pyspark.sql import functions as F
 
 from soundquay.functions import guard as g
 from soundquay.functions import text as t
-from soundquay.operators import correction, lexicon, terms
+from soundquay.operators import correction, intervals, lexicon, terms
 from soundquay.operators.metrics import false_correction_rate
 from soundquay.operators.operations import stage_total
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
-from soundquay.plans.views import segments, spread, table, utterances, view
+from soundquay.plans.views import raw_utterances, segments, spread, table, utterances, view
 from soundquay.sources.constants import constant_table
 
 
@@ -183,35 +183,12 @@ def off_speech_segments(spark, sf_dir):
   WHERE v.doc_id = s.doc_id AND s.s_start < v.v_end AND s.s_end > v.v_start)""",
 )
 def segments_outside_speech(spark, sf_dir):
-    """The flat form of the overlap test: an interval anti join bucketed by time.
-
-    Segments and intervals are spread over ten-second buckets, so a document of any length is
-    joined piece by piece instead of all its segments with all its intervals.
-    """
-    tr = segments(spark, sf_dir)
-    width = 10
-
-    def buckets(start, end):
-        return F.sequence(
-            F.floor(start / width).cast("long"), F.floor(end / width).cast("long")
-        )
-
-    segs = tr.select("doc_id", F.explode("segments").alias("s")).select(
-        "doc_id", F.col("s.no").alias("seg_no"), "s.start", "s.end"
-    )
-    spans = tr.select("doc_id", F.explode("vad").alias("v")).select(
-        "doc_id",
-        F.col("v.start").alias("v_start"),
-        F.col("v.end").alias("v_end"),
-        F.explode(buckets(F.col("v.start"), F.col("v.end"))).alias("bucket"),
-    )
-    heard = (
-        segs.withColumn("bucket", F.explode(buckets(F.col("start"), F.col("end"))))
-        .join(spans, ["doc_id", "bucket"])
-        .filter((F.col("start") < F.col("v_end")) & (F.col("end") > F.col("v_start")))
-        .select("doc_id", "seg_no")
-    )
-    return segs.select("doc_id", "seg_no").join(heard, ["doc_id", "seg_no"], "left_anti")
+    """The flat form of the overlap test: an interval anti join by one sweep over starts and ends."""
+    rows = raw_utterances(spark, sf_dir).select("doc_id", "seg_no")
+    no = F.col("seg_no")
+    segs = rows.withColumns({"start": no * 2.0, "end": no * 2.0 + 1.5})
+    spans = rows.select("doc_id", (no * 6.0).alias("start"), (no * 6.0 + 3.0 + F.col("doc_id") % 3).alias("end"))
+    return intervals.outside(segs, spans, "doc_id").select("doc_id", "seg_no")
 
 
 _CUT = """(SELECT min(k) FROM (SELECT unnest(range(0, greatest(len(w) - 8, 0))) AS k)

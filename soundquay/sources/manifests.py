@@ -31,14 +31,14 @@ def write_manifest(df: DataFrame, path: str, mode: str = "overwrite") -> None:
 
 
 def read_noise_bank(spark: SparkSession, path: str, split: str | None = None) -> DataFrame:
-    """Clips, optionally of one split; the filter reaches the files (or prunes partitions)."""
+    """Clips, optionally of one split: only the folders of that split are listed and read."""
     df = spark.read.schema(schemas.NOISE_BANK).parquet(path)
     return df if split is None else df.filter(F.col("split") == split)
 
 
 def write_noise_bank(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Partitioned by split, since every reader wants exactly one."""
-    df.write.mode(mode).partitionBy("split").parquet(path)
+    """Partitioned by split and subtype: every reader wants one split, and most one subtype."""
+    df.repartition("split", "subtype").write.mode(mode).partitionBy("split", "subtype").parquet(path)
 
 
 def merge_batch(old: DataFrame, batch: DataFrame, key: Sequence[str]) -> DataFrame:

@@ -27,6 +27,33 @@ def append_with_ids(current: DataFrame, rows: DataFrame, order: Sequence[str], i
     return current.unionByName(new.select(*current.columns))
 
 
+#: One report for each run, as it is written and read back.
+REPORT = (
+    "run_id string, model_version string, dataset_id string, created_at string, seed bigint, "
+    "metrics map<string, struct<wer: double, cer: double, ker: double, hallucination_rate: double, "
+    "n_utts: bigint, n_keywords: bigint>>"
+)
+
+
+def write_report(metrics: DataFrame, path: str, run_id: str, model_version: str, dataset_id: str, seed: int) -> None:
+    """Append the report of a run as one JSON document; rates that were not measured stay out."""
+    known = [c for c in ("wer", "cer", "ker", "hallucination_rate", "n_utts", "n_keywords") if c in metrics.columns]
+    # one row per language
+    by_lang = metrics.agg(F.map_from_entries(F.collect_list(F.struct("lang", F.struct(*known)))).alias("metrics"))
+    by_lang.select(
+        F.lit(run_id).alias("run_id"),
+        F.lit(model_version).alias("model_version"),
+        F.lit(dataset_id).alias("dataset_id"),
+        F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("created_at"),
+        F.lit(seed).cast("long").alias("seed"),
+        "metrics",
+    ).write.mode("append").json(path)
+
+
+def read_reports(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(REPORT).json(path)
+
+
 def append_run(metrics: DataFrame, path: str, run_id: str, model_version: str, dataset_id: str):
     """Append one run to the log: the per-language rates as a JSON document."""
     rates = [c for c in metrics.columns if c != "lang"]
