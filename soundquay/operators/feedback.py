@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import hashlib
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -227,27 +228,41 @@ def resolve_reviews(queue: DataFrame, resolutions: DataFrame) -> DataFrame:
     )
 
 
+def fingerprint(tables: Sequence[DataFrame]) -> str:
+    """A digest of the contents of tables, whatever the order of their rows."""
+    marks = []
+    for df in tables:
+        columns = sorted(c for c, kind in df.dtypes if "map<" not in kind)
+        row = df.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*columns).cast("decimal(38,0)"))).first()
+        marks.append(f"{columns}:{row[0]}:{row[1]}")
+    return hashlib.md5("|".join(marks).encode()).hexdigest()
+
+
 class CycleStages:
-    """Steps of a cycle kept as Parquet tables under ``root/<cycle_id>/<step>``.
+    """Steps of a cycle kept as Parquet tables under ``root/<cycle_id>/<step>/<inputs>``.
 
-    A finished step (marked by the job's ``_SUCCESS`` file) is read back instead of computed, so
-    an interrupted cycle goes on where it stopped, also after executors or the driver were lost.
+    A step names the tables it reads, and its own table is filed under their fingerprint. A finished
+    step (marked by the job's ``_SUCCESS`` file) is read back instead of computed, so an interrupted
+    cycle goes on where it stopped, also after executors or the driver were lost; when an input
+    has changed, the step and those that read its result are computed again, as far as results differ.
     """
 
     def __init__(self, spark: SparkSession, root: str, cycle_id: str) -> None:
         self.spark = spark
         self.base = f"{root.rstrip('/')}/{cycle_id}"
+        self.built: list[str] = []
 
-    def _is_done(self, step: str) -> bool:
+    def _is_done(self, path: str) -> bool:
         jvm = self.spark.sparkContext._jvm
-        marker = jvm.org.apache.hadoop.fs.Path(f"{self.base}/{step}/_SUCCESS")
+        marker = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
         fs = marker.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         return fs.exists(marker)
 
-    def run(self, step: str, build: Callable[[], DataFrame]) -> DataFrame:
-        path = f"{self.base}/{step}"
-        if not self._is_done(step):
+    def run(self, step: str, build: Callable[[], DataFrame], *inputs: DataFrame) -> DataFrame:
+        path = f"{self.base}/{step}/{fingerprint(inputs)}"
+        if not self._is_done(path):
             build().write.mode("overwrite").parquet(path)
+            self.built.append(step)
         return self.spark.read.parquet(path)
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from soundquay import fixed
-from soundquay.operators import feedback, gates, mining
+from soundquay.operators import feedback, gates, metrics, mining
 from soundquay.plans import sqltext as q
 from soundquay.plans.registry import query
 from soundquay.plans.views import pairs, table, utterances, view
@@ -221,8 +221,8 @@ def aligned_substitutions(spark, sf_dir):
     return subs.select("utterance_id", "place", "wrong", "right")
 
 
-_PAIRS = f"""{_SUBS}, cnt AS (SELECT lang, wrong, right_, count(*) AS evidence
-  FROM subs GROUP BY ALL),
+def _mined_sql(subs: str) -> str:
+    return f"""cnt AS (SELECT lang, wrong, right_, count(*) AS evidence FROM {subs} GROUP BY ALL),
 prec AS (SELECT *, CAST(evidence AS DOUBLE) / sum(evidence) OVER (PARTITION BY lang, wrong)
   AS precision FROM cnt),
 menu AS (SELECT 'x' || word AS wrong FROM (SELECT DISTINCT unnest(string_split(
@@ -231,6 +231,9 @@ mined AS (SELECT lang, wrong, right_, evidence, round(precision, 3) AS precision
   WHERE evidence >= 5 AND precision >= 0.9 AND wrong NOT IN (SELECT wrong FROM menu))"""
 
 
+_PAIRS = f"""{_SUBS}, {_mined_sql('subs')}"""
+
+
 def _menu_words(spark, sf_dir):
     from soundquay.functions.text import tokens
 
@@ -478,40 +481,88 @@ def resolved_reviews(spark, sf_dir):
     return out.select("id", "status", "reviewer_note")
 
 
+# The chain: utterances are transcribed, doubtful ones harvested and judged; what is judged feeds the
+# miner, the training pool and the shadow run of a candidate that hears the mined pairs right.
+_CHAIN = f"""{_SUBS},
+heard AS (SELECT p.utterance_id, p.lang, p.ref, p.hyp, CAST(split_part(p.utterance_id, '-', 1) AS BIGINT) AS doc,
+  CAST(split_part(p.utterance_id, '-', 2) AS BIGINT) AS seg, guard_fired FROM v_pair p),
+reasons AS (SELECT utterance_id, utterance_id AS transcription_id, concat_ws(',',
+  CASE WHEN (doc * 7 + seg) % 30 > 6 THEN 'low_logprob' END, CASE WHEN guard_fired THEN 'guard_flags' END) AS reasons
+  FROM heard),
+{_HARVEST},
+judged AS (SELECT h.*, CASE (doc + seg) % 3 WHEN 0 THEN CASE WHEN doc % 4 <> 0 THEN 'training' ELSE 'review' END
+    WHEN 1 THEN CASE WHEN doc % 5 > 0 THEN 'training+miner' ELSE 'review' END ELSE 'review' END AS route
+  FROM heard h JOIN work w ON w.transcription_id = h.utterance_id),
+picked AS (SELECT s.* FROM subs s JOIN judged USING (utterance_id) WHERE route = 'training+miner'),
+{_mined_sql('picked')},
+said AS (SELECT j.*, {q.words('ref_n')} AS rw, {q.words('hyp_n')} AS hw FROM judged j JOIN (
+  SELECT utterance_id, ref_n, hyp_n FROM n) USING (utterance_id)),
+scored AS (SELECT *, levenshtein({q.words_to_symbols('rw', 'vocab')}, {q.words_to_symbols('hw', 'vocab')}) AS edits
+  FROM (SELECT *, list_distinct(list_concat(rw, hw)) AS vocab FROM said WHERE len(rw) > 0)),
+shadow AS (SELECT CAST(sum(edits) AS DOUBLE) / sum(len(rw)) AS prod_wer,
+  CAST(sum(CASE WHEN route = 'training+miner' THEN 0 ELSE edits END) AS DOUBLE) / sum(len(rw)) AS cand_wer FROM scored)"""
+
+
 @query(
     "A45 F6",
-    q.cte("v_verdict", "v_tel", "v_utt", extra=f"{_ROUTED}, {_PROFILES}, {_EVIDENCE}, {_REASONS}, {_HARVEST}, {_PAIRS}", recursive=True)
-    + """SELECT 'cycle-1' AS cycle_id, (SELECT least(500, count(*)) FROM work) AS n_harvested,
-  (SELECT count(*) FROM routed WHERE route = 'training') AS n_training,
-  (SELECT count(*) FROM routed WHERE route = 'training+miner') AS n_miner,
-  (SELECT count(*) FROM routed WHERE route = 'review') AS n_review,
+    q.cte("v_tel", extra=f"{_PROFILES}, {_CHAIN}", recursive=True)
+    + """SELECT 'cycle-1' AS cycle_id, (SELECT count(*) FROM work) AS n_harvested,
+  (SELECT count(*) FROM judged WHERE route = 'training') AS n_training,
+  (SELECT count(*) FROM judged WHERE route = 'training+miner') AS n_miner,
+  (SELECT count(*) FROM judged WHERE route = 'review') AS n_review,
   (SELECT count(*) FROM mined) AS n_candidates,
   (SELECT count(*) FROM (SELECT share, lag(share) OVER (PARTITION BY store_id ORDER BY week) AS p
     FROM prof) WHERE share >= 2 * p) AS n_noise_flags,
-  (SELECT round(sum(duration_s) / 3600, 6) FROM v_utt) AS pool_hours,
-  (SELECT sum(duration_s) / 3600 >= 5 FROM v_utt) AS retrain, true AS promote""",
+  (SELECT round(sum(len(string_split(ref, ' '))) * 0.4 / 3600, 6) FROM judged WHERE route <> 'review') AS pool_hours,
+  (SELECT sum(len(string_split(ref, ' '))) * 0.4 / 3600 >= 5 FROM judged WHERE route <> 'review') AS retrain,
+  (SELECT cand_wer <= prod_wer FROM shadow) AS promote""",
 )
 def cycle_summary(spark, sf_dir):
-    """The weekly cycle over stage tables: each step is stored, a finished step is read back."""
+    """The weekly cycle: each step reads the table of the step before and is stored by its inputs."""
     stages = feedback.CycleStages(spark, work_folder(spark, "cycles"), "cycle-1")
-    work = stages.run("harvest", lambda: feedback.harvest(_evidence(spark, sf_dir)))
-    routes = stages.run("judge", lambda: feedback.route_counts(_routed(spark, sf_dir)))
-    mined = stages.run("mine", lambda: _mined(spark, sf_dir)[2])
-    flags = stages.run(
-        "noise", lambda: feedback.noise_shift_flags(_profiles(spark, sf_dir)).drop("counts")
+    return _cycle(stages, _transcribed(spark, sf_dir), view(spark, sf_dir, "v_tel"), _menu_words(spark, sf_dir))
+
+
+def _transcribed(spark, sf_dir):
+    doc, seg = [F.split_part("utterance_id", F.lit("-"), F.lit(i)).cast("long") for i in (1, 2)]
+    flags = F.when(F.col("guard_fired"), F.array(F.lit("vad_dropped"))).otherwise(F.array().cast("array<string>"))
+    return pairs(spark, sf_dir).drop("keywords").select(
+        "utterance_id", F.col("utterance_id").alias("transcription_id"), "lang", "ref", "hyp", doc.alias("doc"),
+        seg.alias("seg"), flags.alias("guard_flags"), (-((doc * 7 + seg) % 30) / 10.0).alias("avg_logprob"),
+        F.lit(0).alias("n_rules"), F.lit(None).cast("string").alias("verdict"),
     )
-    retrain = stages.run(
-        "retrain", lambda: feedback.retrain_trigger(view(spark, sf_dir, "v_utt"))
+
+
+def _judged(work, heard):
+    """A scripted judge over the harvested transcriptions, and where each of them goes."""
+    n = (F.col("doc") + F.col("seg")) % 3
+    asked = heard.drop("verdict").join(work.select("transcription_id"), "transcription_id")
+    verdict = F.when(n == 0, "correct").when(n == 1, "minor_errors").otherwise("wrong")
+    reference = F.when((n == 1) & (F.col("doc") % 5 > 0), F.col("ref"))
+    route = feedback.route(verdict, reference, F.col("doc") % 4 != 0, F.lit(0.9))
+    return asked.select("utterance_id", "lang", "hyp", "ref", "avg_logprob", verdict.alias("verdict"), route.alias("route"))
+
+
+def _cycle(stages, heard, telemetry, menu):
+    heard = stages.run("transcribe", lambda: heard, heard)
+    work = stages.run("harvest", lambda: feedback.harvest(heard, cap=None), heard)
+    judged = stages.run("judge", lambda: _judged(work, heard), work, heard)
+    routes = stages.run("route", lambda: feedback.route_counts(judged), judged)
+    confused = stages.run("align", lambda: mining.substitutions(judged.filter("route = 'training+miner'")), judged)
+    mined = stages.run("mine", lambda: mining.candidates(confused, menu), confused, menu)
+    profiles = stages.run("profile", lambda: feedback.noise_profiles(telemetry).drop("counts"), telemetry)
+    flags = stages.run("noise", lambda: feedback.noise_shift_flags(profiles), profiles)
+    kept = judged.filter("route <> 'review'").select(
+        (F.size(F.split("ref", " ")) * 0.4).alias("duration_s")
     )
-    shadow = table(spark, sf_dir, "orders").agg(
-        F.lit(0.10).alias("prod_wer"),
-        (F.lit(0.09) + F.count(F.lit(1)) * 0).alias("cand_wer"),
-        F.lit(-0.4).alias("prod_logprob"),
-        F.lit(-0.4).alias("cand_logprob"),
+    retrain = stages.run("retrain", lambda: feedback.retrain_trigger(kept), judged)
+    shadow = judged.select(
+        "lang", "ref", F.col("hyp").alias("prod_hyp"),
+        F.when(F.col("route") == "training+miner", F.col("ref")).otherwise(F.col("hyp")).alias("cand_hyp"),
+        F.col("avg_logprob").alias("prod_logprob"), F.col("avg_logprob").alias("cand_logprob"),
     )
-    decision = stages.run("promote", lambda: gates.shadow_gate(shadow).select("promote"))
-    # a second run of a finished step reads the table it left behind
-    work = stages.run("harvest", lambda: work.limit(0))
+    measured = stages.run("shadow", lambda: metrics.paired_model_metrics(shadow), judged)
+    decision = stages.run("promote", lambda: gates.shadow_gate(measured).select("promote"), measured)
     out = feedback.cycle_summary("cycle-1", work, routes, mined, flags, retrain, decision)
     return out.withColumn("pool_hours", F.round("pool_hours", 6))
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime as dt
 import random
 from collections import deque
 
@@ -150,6 +151,31 @@ def test_stage_is_not_computed_twice(spark, tmp_path):
     assert other.run("harvest", lambda: spark.range(2)).count() == 2
 
 
+def test_changed_inputs_rebuild_what_follows(spark, tmp_path):
+    from soundquay.plans import loop_queries as loop
+
+    rows = [(f"{d:09d}-{s:06d}", f"{d:09d}-{s:06d}", "en", "one two three", "one too three", d, s, [], -1.0, 0, None)
+            for d in range(12) for s in range(6)]
+    schema = ("utterance_id string, transcription_id string, lang string, ref string, hyp string, doc long, seg long, "
+              "guard_flags array<string>, avg_logprob double, n_rules int, verdict string")
+    tel = spark.createDataFrame([("s", dt.datetime(2024, 1, 1), "AA")], "store_id string, ts timestamp, noise_pred string")
+    menu = spark.createDataFrame([], "lang string, term string")
+
+    def cycle(rows):
+        stages = feedback.CycleStages(spark, str(tmp_path), "c")
+        return loop._cycle(stages, spark.createDataFrame(rows, schema), tel, menu).first().asDict(), stages.built
+
+    first, built = cycle(rows)
+    assert len(built) == 11 and first["n_candidates"] == 1 and first["promote"] and first["n_harvested"] == 72
+    again, built = cycle(rows[::-1])
+    assert again == first and built == []
+    changed = [(*r[:4], "one tu three", *r[5:]) if r[5] == 1 else r for r in rows]
+    other, built = cycle(changed)
+    assert built[:2] == ["transcribe", "harvest"] and "profile" not in built and "noise" not in built
+    quiet = [(*r[:8], -0.1, *r[9:]) for r in rows]
+    assert cycle(quiet)[0]["n_harvested"] == 1  # the control sample alone
+
+
 def test_harvest_counts(spark):
     rows = [(i, f"utt-{i:03d}", -0.2, [], 0, None) for i in range(96)]
     rows += [(96, "utt-096", -0.9, [], 0, None), (97, "utt-097", -0.2, ["vad_dropped"], 0, None)]
