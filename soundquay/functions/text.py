@@ -8,6 +8,7 @@ rewrite looks across a blank, which is cheaper than one call per token.
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import Column
@@ -15,44 +16,71 @@ from pyspark.sql import functions as F
 
 from soundquay.functions.bind import let
 
-# Marks that carry a composed Latin, Greek or Cyrillic letter; the tables below are derived
-# from the Unicode database rather than listed.
+# The tables below are derived from the Unicode database rather than listed.
 _INNER_APOSTROPHE = "\ue000"  # private-use stand-ins while a text is being rewritten
 _ENYE = "\ue001"
 _SEPARATOR = "\ue004"
-_LETTER_BLOCKS = ((0x00C0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000))
+_HANGUL = range(0xAC00, 0xD7A4)  # composed and taken apart by arithmetic
+_VOWELS, _FINALS = 21, 28
+#: Cheap tests that spare most texts the rest: no form changes ASCII, none composes below U+0300.
+_BEYOND_ASCII, _BEYOND_LATIN = r"[^\x00-\x7f]", r"[\x{300}-\x{10ffff}]"
+
+
+def _letters() -> Iterator[str]:
+    """All characters but the surrogates and Hangul syllables."""
+    return (chr(c) for c in range(0xA0, 0x30000) if not 0xD800 <= c < 0xE000 and c not in _HANGUL)
+
+
+def _class(chars: Iterable[str]) -> str:
+    """A regular expression of single characters, as ranges."""
+    ranges: list[list[int]] = []
+    for code in sorted(map(ord, chars)):
+        if ranges and code == ranges[-1][1] + 1:
+            ranges[-1][1] = code
+        else:
+            ranges.append([code, code])
+    return "[" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
 
 
 @lru_cache(maxsize=1)
-def _compositions() -> tuple[tuple[str, str], ...]:
-    pairs = []
-    for low, high in _LETTER_BLOCKS:
-        for code in range(low, high):
-            char = chr(code)
-            parts = unicodedata.normalize("NFD", char)
-            if len(parts) > 1 and unicodedata.normalize("NFC", parts) == char:
-                pairs.append((parts, char))
-    return tuple(pairs)
+def _canonical() -> tuple[tuple, tuple, tuple, str]:
+    """Full decompositions, primary compositions, classes of marks, and what NFC changes by itself."""
+    apart, pairs, marks, changed = [], [], [], []
+    for char in _letters():
+        parts = unicodedata.normalize("NFD", char)
+        if parts != char:
+            apart.append((char, parts))
+            own = unicodedata.decomposition(char).split()
+            if len(own) == 2 and unicodedata.normalize("NFC", char) == char:
+                pairs.append((chr(int(own[0], 16)) + chr(int(own[1], 16)), char))
+        if unicodedata.combining(char):
+            marks.append((char, str(unicodedata.combining(char))))
+        if unicodedata.normalize("NFC", char) != char:
+            changed.append(char)
+    return tuple(apart), tuple(pairs), tuple(marks), _class(changed)
 
 
 @lru_cache(maxsize=1)
-def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...]]:
-    """One-to-one letters (for ``translate``) and one-to-many expansions."""
-    source, target, longer = [], [], []
-    for low, high in ((0x00A0, 0x0250), (0x0370, 0x0530), (0x1E00, 0x2000), (0xFB00, 0xFB07)):
-        for code in range(low, high):
-            char = chr(code)
-            plain = "".join(
-                c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
-            )
-            if plain == char or not plain:
-                continue
-            if len(plain) == 1:
-                source.append(char)
-                target.append(plain)
-            else:
-                longer.append((char, plain))
-    return "".join(source), "".join(target), tuple(longer)
+def _foldings() -> tuple[str, str, tuple[tuple[str, str], ...], str, str]:
+    """One-to-one letters (for ``translate``), one-to-many expansions, their class, that of the marks."""
+    source, target, longer, marks = [], [], [], []
+    for char in _letters():
+        if unicodedata.combining(char):
+            marks.append(char)
+            continue
+        plain = "".join(
+            c for c in unicodedata.normalize("NFKD", char) if not unicodedata.combining(c)
+        )
+        if plain == char:
+            continue
+        if not plain:  # a mark in another width
+            marks.append(char)
+        elif len(plain) == 1:
+            source.append(char)
+            target.append(plain)
+        else:
+            longer.append((char, plain))
+    return "".join(source), "".join(target), tuple(longer), _class(c for c, _ in longer), _class(marks)
 
 
 def _literal_map(pairs: tuple[tuple[str, str], ...]) -> Column:
@@ -61,16 +89,78 @@ def _literal_map(pairs: tuple[tuple[str, str], ...]) -> Column:
     return F.str_to_map(F.lit(packed), F.lit("\ue003"), F.lit("\ue002"))
 
 
+def _character(code: Column) -> Column:
+    return F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+
+
+def _characters(text: Column) -> Column:
+    return F.filter(F.split(text, ""), lambda c: c != "")
+
+
+def _compose_unit(unit: Column) -> Column:
+    """Canonical form of a letter with its marks: taken apart, marks in order of class, put together."""
+    apart, pairs, marks, _ = (_literal_map(x) if isinstance(x, tuple) else x for x in _canonical())
+    parts = F.flatten(F.transform(_characters(unit), lambda c: _characters(F.coalesce(F.element_at(apart, c), c))))
+    classed = F.transform(parts, lambda c: F.struct(c.alias("c"), F.coalesce(F.element_at(marks, c).cast("int"), F.lit(0)).alias("k")))
+
+    def ordered(all_: Column) -> Column:
+        # marks move inside the run that follows a character of class 0
+        return F.array_sort(F.transform(all_, lambda x, i: F.struct(
+            F.size(F.filter(F.slice(all_, 1, i + 1), lambda y: y["k"] == 0)).alias("run"),
+            x["k"].alias("k"), i.alias("i"), x["c"].alias("c"))))
+
+    def step(done: Column, x: Column) -> Column:
+        joined = F.element_at(pairs, F.concat(done["base"], x["c"]))
+        free = (done["last"] < x["k"]) | (done["rest"] == "")
+        starts = x["k"] == 0
+        kept = F.concat(done["out"], done["base"], done["rest"])
+
+        def choose(composed: Column, base: Column, rest: Column, last: Column, out: Column) -> Column:
+            return F.struct(out.alias("out"), base.alias("base"), rest.alias("rest"), last.alias("last"))
+
+        return (
+            F.when(free & joined.isNotNull(), choose(joined, joined, done["rest"], done["last"], done["out"]))
+            .when(starts, choose(joined, x["c"], F.lit(""), F.lit(0), kept))
+            .otherwise(choose(joined, done["base"], F.concat(done["rest"], x["c"]), x["k"], done["out"]))
+        )
+
+    zero = F.struct(F.lit("").alias("out"), F.lit("").alias("base"), F.lit("").alias("rest"), F.lit(0).alias("last"))
+    return let(classed, lambda all_: F.aggregate(
+        ordered(all_), zero, step, lambda d: F.concat(d["out"], d["base"], d["rest"])))
+
+
+def _compose_hangul(text: Column) -> Column:
+    """Conjoining letters to syllables."""
+    parts = "[\u1100-\u1112][\u1161-\u1175][\u11a8-\u11c2]?|[\uac00-\ud7a3][\u11a8-\u11c2]?|(?s:.)"
+
+    def syllable(u: Column) -> Column:
+        first, second = F.ascii(u), F.ascii(F.substring(u, 2, 1))
+        from_letters = (
+            _HANGUL.start + ((first - 0x1100) * _VOWELS + (second - 0x1161)) * _FINALS
+            + F.when(F.length(u) == 3, F.ascii(F.substring(u, 3, 1)) - 0x11A7).otherwise(0)
+        )
+        open_ = (first - _HANGUL.start) % _FINALS == 0
+        return (
+            F.when(F.length(u) == 1, u)
+            .when(first < 0x1200, _character(from_letters))
+            .when(open_, _character(first + second - 0x11A7))
+            .otherwise(u)
+        )
+
+    return F.array_join(F.transform(F.regexp_extract_all(text, F.lit(parts), F.lit(0)), syllable), "")
+
+
 def nfc(text: Column) -> Column:
-    """Compose letter + mark sequences. Rows without any combining mark pass untouched."""
-    table = _literal_map(_compositions())
+    """Composed form. Rows without combining marks or characters that the form replaces pass untouched."""
+    changed = _canonical()[3]
 
     def compose(value: Column) -> Column:
         units = F.regexp_extract_all(value, F.lit(r"(?s)(\P{M}\p{M}*|\p{M}+)"), F.lit(1))
-        composed = F.array_join(
-            F.transform(units, lambda u: F.coalesce(F.element_at(table, u), u)), ""
-        )
-        return F.when(value.rlike(r"\p{M}"), composed).otherwise(value)
+        composed = F.array_join(F.transform(units, lambda u: F.when(
+            (F.length(u) == 1) & ~u.rlike(changed), u).otherwise(_compose_unit(u))), "")
+        marked = F.when(value.rlike(rf"\p{{M}}|{changed}"), composed).otherwise(value)
+        whole = let(marked, lambda v: F.when(v.rlike("[\u1161-\u1175\u11a8-\u11c2]"), _compose_hangul(v)).otherwise(v))
+        return F.when(value.rlike(_BEYOND_LATIN), whole).otherwise(value)
 
     return let(text, compose)
 
@@ -122,17 +212,27 @@ def tokens(text: Column, lang: Column) -> Column:
 
 def fold_diacritics(text: Column) -> Column:
     """Compatibility-decompose and drop the marks: ``café`` -> ``cafe``, ``ñ`` -> ``n``."""
-    source, target, longer = _foldings()
+    source, target, longer, expands, marks = _foldings()
     table = _literal_map(longer)
-    chars = "[" + "".join(c for c, _ in longer) + "]"
+
+    def letters(c: Column) -> Column:
+        code = F.ascii(c) - _HANGUL.start
+        first, second, third = F.floor(code / (_VOWELS * _FINALS)), F.floor(code / _FINALS) % _VOWELS, code % _FINALS
+        return F.when(F.ascii(c).between(_HANGUL.start, _HANGUL.stop - 1), F.concat(
+            _character(first + 0x1100), _character(second + 0x1161),
+            F.when(third > 0, _character(third + 0x11A7)).otherwise(""))).otherwise(c)
 
     def finish(folded: Column) -> Column:
         expanded = F.array_join(
-            F.transform(F.split(folded, ""), lambda c: F.coalesce(F.element_at(table, c), c)), ""
+            F.transform(_characters(folded), lambda c: letters(F.coalesce(F.element_at(table, c), c))), ""
         )
-        return F.when(folded.rlike(chars), expanded).otherwise(folded)
+        return F.when(folded.rlike(rf"{expands}|[\uac00-\ud7a3]"), expanded).otherwise(folded)
+
+    def fold(plain: Column) -> Column:
+        rest = let(F.regexp_replace(plain, marks, ""), finish)
+        return F.when(plain.rlike(_BEYOND_ASCII), rest).otherwise(plain)
 
-    return let(F.regexp_replace(F.translate(text, source, target), r"\p{M}+", ""), finish)
+    return let(F.when(text.rlike(_BEYOND_ASCII), F.translate(text, source, target)).otherwise(text), fold)
 
 
 def _fold_keeping_enye(text: Column) -> Column:
