@@ -7,9 +7,9 @@ distance. Distances of all rows to many pivots are computed once; by the triangl
 
 Rows are dealt into blocks around their nearest pivot, with the range of distances to every pivot.
 A first round searches the most promising block of each query and gives it a score to beat; a
-second round sends the query to the blocks whose bound can beat it. Inside a block candidates are
-evaluated in the order of their bounds until no bound can beat the k-th best. Bounds are floats
-with a margin for rounding; scores are exact integers.
+second round sends the query to the blocks whose bound can beat it. Inside a block the candidates
+with the best bounds are evaluated first, then all whose bound can still reach the k-th best of
+these. Bounds are floats with a margin for rounding; scores are exact integers.
 """
 
 from __future__ import annotations
