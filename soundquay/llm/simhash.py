@@ -432,11 +432,11 @@ def _in_rounds(
     In each round the first shorter texts of a cell meet its longer ones that are not in their
     component yet, and leave the cell; a cell ends when what is left is one component. So any two
     texts of a cell that can be similar by their sizes and the place of the shingle were compared
-    or are in one component. A group of near copies ends after a few rounds; each round takes eight
+    or are in one component. A group of near copies ends after a few rounds; each round takes three
     times as many texts.
     """
     firsts = texts.select("text_key", "firsts")
-    many = 1
+    many, old = 1, []
     while True:
         roots = work.keep(components(links, work), "roots")
         now = cells.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left").withColumn(
@@ -445,10 +445,13 @@ def _in_rounds(
         ends = [f(F.when(F.col("side") == x, F.col("root"))) for x in (0, 1) for f in (F.min, F.max)]
         open_ = now.groupBy("cell").agg(*[e.alias(c) for e, c in zip(ends, ("lo0", "hi0", "lo1", "hi1"), strict=True)])
         open_ = open_.filter("lo0 is not null and lo1 is not null and (lo0 <> hi0 or lo1 <> hi1 or lo0 <> lo1)")
-        now = work.keep(now.join(open_.select("cell"), "cell", "left_semi"), "open")
+        now, now_path = work.put(now.join(open_.select("cell"), "cell", "left_semi"), "open")
+        for path in old:
+            work.drop(path)
+        work.settle()
         if now.isEmpty():
             return roots
-        heads = work.keep(first_k(now.filter("side = 0"), ["cell"], ["text_key"], many), "heads")
+        heads, heads_path = work.put(first_k(now.filter("side = 0"), ["cell"], ["text_key"], many), "heads")
         a = heads.select("cell", *[F.col(c).alias(x) for c, x in (("text_key", "a"), ("size", "na"), ("pos", "pa"), ("root", "ra"))])
         b = now.filter("side = 1").select(
             "cell", *[F.col(c).alias(x) for c, x in (("text_key", "b"), ("size", "nb"), ("pos", "pb"), ("root", "rb"))]
@@ -467,12 +470,15 @@ def _in_rounds(
             .join(firsts.select(F.col("text_key").alias("b"), F.col("firsts").alias("fb")), "b")
             .filter(F.size(F.array_intersect("fa", "fb")) >= F.col("need")).select("a", "b")
         )
-        found = work.keep(_alike(work.keep(pairs, "met"), sets, similarity), "found")
+        met, met_path = work.put(pairs, "met")
+        found = work.keep(_alike(met, sets, similarity), "found")
         links = roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(found)
         done = heads.groupBy("cell").agg(F.max("text_key").alias("last"))
         cells = now.drop("root").join(done, "cell").filter("side = 1 or text_key > last").drop("last")
-        cells = work.keep(cells, "cells")
-        many *= 8
+        cells, path = work.put(cells, "cells")
+        for done_path in (now_path, heads_path, met_path):
+            work.drop(done_path)
+        old, many = [path], many * 3
 
 
 def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -503,9 +509,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         ),
         "texts",
     )
+    work.settle()
     places = texts.select("text_key", "size", F.posexplode("firsts").alias("pos", "hash"))
     counts = places.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1")
-    cells = work.keep(places.hint("merge").join(counts, "hash"), "cells")
+    cells, cells_path = work.put(places.hint("merge").join(counts, "hash"), "cells")
+    work.settle()
     small, large = cells.filter(F.col("n") <= SMALL_CELL).drop("n"), cells.filter(F.col("n") > SMALL_CELL).drop("n")
     pairs = work.keep(_small_cells(small, similarity), "pairs")
     involved = pairs.select(F.col("a").alias("text_key")).union(pairs.select("b")).union(large.select("text_key")).distinct()
@@ -519,8 +527,11 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
         .groupBy("text_key").agg(F.first("shingles").alias("shingles")),
         "sets",
     )
+    sized = work.keep(_by_size(large, similarity), "sized")
+    work.drop(cells_path)
+    work.settle()
     near = work.keep(_alike(pairs, sets, similarity), "near")
-    roots = _in_rounds(work.keep(_by_size(large, similarity), "sized"), near, texts, sets, similarity, work)
+    roots = _in_rounds(sized, near, texts, sets, similarity, work)
     placed = work.keep(
         texts.join(roots.withColumnRenamed("node", "text_key"), "text_key", "left")
         .select("text_key", "least", F.coalesce("root", "text_key").alias("root")),
