@@ -16,7 +16,7 @@ which at most 65 fingerprints meet; for other distances the cell is cut by longe
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -269,8 +269,20 @@ def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     and are never the smallest; a group of null ids only has a null component_id.
     """
     work = Staged(docs.sparkSession, "simhash")
+    rows, placed = _placed(docs, words, bits, work)
+    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
+    of_print = work.keep(placed.join(least, "root").select("fp", "component_id"), "components")
+    return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
+
+
+def _placed(docs: DataFrame, words: int, bits: int, work: Staged) -> tuple[DataFrame, DataFrame]:
+    """The rows with their fingerprints, and for each fingerprint its least id and its root."""
+    body = F.coalesce(F.col("text"), F.lit(""))
     rows = work.keep(
-        docs.select(F.col("doc_id").cast("long").alias("doc_id"), fingerprint(F.col("text"), words).alias("fp")),
+        docs.select(
+            F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(body).alias("body_key"),
+            fingerprint(F.col("text"), words).alias("fp"),
+        ),
         "fingerprints",
     )
     prints = work.keep(
@@ -280,10 +292,13 @@ def groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
     placed = prints.drop("seed").join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
         "root", F.coalesce("root", "fp")
     )
-    placed = work.keep(placed, "placed")
-    least = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    of_print = work.keep(placed.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of_print, "fp").select("doc_id", "fp", "component_id")
+    return rows, work.keep(placed, "placed")
+
+
+def print_groups(docs: DataFrame, words: int = 3, bits: int = 2) -> DataFrame:
+    """doc_id, body_key (hash of the text) and root of every row of docs; root names its group of groups()."""
+    rows, placed = _placed(docs, words, bits, Staged(docs.sparkSession, "prints"))
+    return rows.join(placed.select("fp", "root"), "fp").select("doc_id", "body_key", "root")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -542,15 +557,17 @@ def near_groups(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> Dat
     return rows.join(of_text, "text_key").select("doc_id", "body_key", "root", "component_id")
 
 
-def keep_one(docs: DataFrame) -> DataFrame:
+def keep_one(docs: DataFrame, grouped: Callable[[DataFrame], DataFrame] = near_groups) -> DataFrame:
     """One document of each group of near copies, that with the smallest doc_id, with all columns.
 
+    ``grouped`` tells the groups: near_groups by whole shingle sets, print_groups by fingerprints.
+
     Where that id has several texts in the group, one of them stays, and of rows that repeat it one.
     Rows without an id come last: one of them stays when no row of their group has an id.
     """
     work = Staged(docs.sparkSession, "kept")
     rows = F.struct(F.col("doc_id").isNull().alias("bare"), "doc_id", "body_key")
-    placed = work.keep(near_groups(docs).select("root", rows.alias("row")), "placed")
+    placed = work.keep(grouped(docs).select("root", rows.alias("row")), "placed")
     top = placed.groupBy("root").agg(F.min("row").alias("top"))
     texts = placed.groupBy("root", "row").agg(F.count("*").alias("n")).join(top, "root")
     texts = work.keep(texts.filter("row <> top or n > 1").select("row", (F.col("row") == F.col("top")).alias("stays")), "copies")

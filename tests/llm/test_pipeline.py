@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
+from soundquay.llm import simhash
 
 from .corpora import DOCS, awkward, sentence
 
@@ -56,3 +57,15 @@ def test_stages_keep_the_columns_and_redact(spark, tables):
 
 def test_pipeline_of_an_empty_table(spark, tables):
     assert corpus_pipeline.run(spark, tables(spark, [])).count() == 0
+
+
+def test_near_copies_are_the_groups_of_the_fingerprints(spark, tables):
+    """The stage keeps the least document of each component that op9 finds, and no other."""
+    line = " ".join(f"line{i}" for i in range(35))
+    same_print = [(500 + k, " ".join([line] * 40 + [f"t{k}x{i}" for i in range(104)]), "en", "s", 1) for k in range(2)]
+    edited = [(600 + k, sentence(6, 400) + f" e{k}", "en", "s", 1) for k in range(4)]
+    docs = spark.createDataFrame([*same_print, *edited, (700, sentence(7, 60), "en", "s", 1)], DOCS)
+    want = {r["component_id"] for r in simhash.report(docs).collect()}
+    assert want < {r["doc_id"] for r in docs.collect()}
+    kept = corpus_pipeline.near_copies_stage(spark, docs, "").collect()
+    assert sorted(r["doc_id"] for r in kept) == sorted(want)
