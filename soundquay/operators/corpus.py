@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -132,6 +133,29 @@ def sample_cells(
     return first_k(df, cell, [md5_order(F.col(key), seed), F.col(key)], per_cell)
 
 
+def sample_distinct(
+    df: DataFrame, cell: Sequence[str], key: str, per_cell: int, seed: int = fixed.SEED
+) -> DataFrame:
+    """The same for the distinct keys of each cell (columns ``cell`` and ``key``).
+
+    Each task keeps the first distinct keys of its own rows while it reads them, so it holds a
+    batch and ``per_cell`` rows of each cell, and only these are dealt out, made distinct and ranked.
+    """
+    rows = df.select(*cell, key, md5_order(F.col(key), seed).alias("_order"))
+
+    def firsts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept = None
+        for batch in batches:
+            batch = batch if kept is None else pd.concat([kept, batch])
+            batch = batch.drop_duplicates().sort_values(["_order", key])
+            kept = batch.groupby(list(cell), dropna=False, sort=False).head(per_cell)
+        if kept is not None:
+            yield kept
+
+    few = rows.mapInPandas(firsts, rows.schema).distinct()
+    return first_k(few, cell, ["_order", key], per_cell).drop("_order")
+
+
 def control_sample(
     df: DataFrame, key: str, share: float = fixed.CONTROL_SHARE, seed: int = fixed.SEED
 ) -> DataFrame:

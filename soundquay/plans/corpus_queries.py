@@ -121,9 +121,7 @@ def cell_samples(spark, sf_dir):
         "noise_level",
         F.concat_ws("-", "l_orderkey", "l_linenumber").alias("uid"),
     )
-    return corpus.sample_cells(
-        rec.distinct(), ["lang", "noise_subtype", "noise_level"], "uid", 6
-    )
+    return corpus.sample_distinct(rec, ["lang", "noise_subtype", "noise_level"], "uid", 6)
 
 
 _BANK_KNOWN = "bank AS (SELECT * FROM v_bank WHERE subtype <> 'ZZ' AND split = 'eval')"
