@@ -15,15 +15,19 @@ from collections.abc import Iterator, Sequence
 from decimal import ROUND_HALF_UP, Decimal
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import StructType
 
 from soundquay import fixed
 
 #: Rows of lexicon and rules together that are compiled (some 20 MB in each worker).
 MOST_ENTRIES = 100_000
 _MEMO = 1 << 17
+#: Characters of a text whose result is kept; rows that are held as Python objects at a time.
+_SHORT, _SLICE = 128, 256
 _WORD = re.compile(r"[^ \t\n\x0b\f\r]+")
 _APOSTROPHE = re.compile(r"(?<=[^\W_])['’](?=[^\W_])")
 _INNER = "\ue000"  # stands for an inner apostrophe meanwhile
@@ -242,6 +246,19 @@ class Matcher:
             out.append((i, i + n, rule_id, _cased(raw[i], right), 1.0))
         return out
 
+    def made(self, text: str | None, lang: str | None) -> tuple[Sequence[tuple], str | None]:
+        """Corrections of a text and the corrected text; short texts, which repeat, are worked out once."""
+        return self._short(text, lang) if text is not None and len(text) <= _SHORT else self._made(text, lang)
+
+    @lru_cache(maxsize=_MEMO)
+    def _short(self, text: str, lang: str | None) -> tuple[Sequence[tuple], str | None]:
+        return self._made(text, lang)
+
+    def _made(self, text: str | None, lang: str | None) -> tuple[Sequence[tuple], str | None]:
+        raw = _WORD.findall(text) if text is not None else []
+        hits = self.corrections(raw, lang) if raw and lang is not None else []
+        return hits, rewritten(raw, hits) if raw and lang in fixed.LANGS else text
+
     def corrections(self, raw: list[str], lang: str) -> list[tuple]:
         found: list[tuple] = []
         if lang in self.terms:
@@ -286,19 +303,23 @@ def matched(texts: DataFrame, rows: tuple[list, list], shape: str) -> Column:
     shared = spark.sparkContext.broadcast(rows)
     number = id(shared)
     names = ("start", "end", "rule_id", "before", "after", "confidence")
+    hits_type = to_arrow_type(StructType.fromDDL(f"c {shape}")["c"].dataType)
 
-    @F.pandas_udf(f"corrections {shape}, corrected string")
-    def of(text: pd.Series, lang: pd.Series) -> pd.DataFrame:
+    @F.arrow_udf(StructType.fromDDL(f"corrections {shape}, corrected string"))
+    def of(text: pa.Array, lang: pa.Array) -> pa.Array:
         if number not in _ready:  # once for each worker
             _ready.clear()
             _ready[number] = Matcher(*shared.value)
-        matcher, found, plain = _ready[number], [], []
-        for t, code in zip(text, lang, strict=True):
-            raw = _WORD.findall(t) if t is not None else []
-            hits = matcher.corrections(raw, code) if raw and code is not None else []
-            found.append([dict(zip(names, h, strict=True)) for h in hits])
-            plain.append(rewritten(raw, hits) if raw and code in fixed.LANGS else t)
-        return pd.DataFrame({"corrections": found, "corrected": plain})
+        matcher, out = _ready[number], []
+        for at in range(0, len(text), _SLICE):  # few rows as Python objects at a time
+            found, plain = [], []
+            for t, code in zip(text.slice(at, _SLICE).to_pylist(), lang.slice(at, _SLICE).to_pylist(), strict=True):
+                hits, new = matcher.made(t, code)
+                found.append([dict(zip(names, h, strict=True)) for h in hits])
+                plain.append(new)
+            parts = [pa.array(found, hits_type), pa.array(plain, pa.string())]
+            out.append(pa.StructArray.from_arrays(parts, ["corrections", "corrected"]))
+        return pa.concat_arrays(out) if out else pa.array([], pa.struct({"corrections": hits_type, "corrected": pa.string()}))
 
     # nondeterministic: not copied to each place above that reads a field of the result
     return of.asNondeterministic()(F.col("_text"), F.col("_lang"))
