@@ -7,6 +7,7 @@ rewrite looks across a blank, which is cheaper than one call per token.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -19,7 +20,7 @@ from soundquay.functions.bind import let
 # The tables below are derived from the Unicode database rather than listed.
 _INNER_APOSTROPHE = "\ue000"  # private-use stand-ins while a text is being rewritten
 _ENYE = "\ue001"
-_SEPARATOR = "\ue004"
+SEPARATOR = "\ue004"
 _HANGUL = range(0xAC00, 0xD7A4)  # composed and taken apart by arithmetic
 _VOWELS, _FINALS = 21, 28
 #: Cheap tests that spare most texts the rest: no form changes ASCII, none composes below U+0300.
@@ -190,10 +191,10 @@ def normalized_words(raw: Column, lang: Column, fold: bool = False) -> Column:
     The words are cleaned as one string with a separator between them: one pass per text
     instead of one call per word. A word may come out empty or as several words.
     """
-    joined = F.array_join(raw, _SEPARATOR)
-    cleaned = F.regexp_replace(_clean(joined, lang, _SEPARATOR), f" ?{_SEPARATOR} ?", _SEPARATOR)
+    joined = F.array_join(raw, SEPARATOR)
+    cleaned = F.regexp_replace(_clean(joined, lang, SEPARATOR), f" ?{SEPARATOR} ?", SEPARATOR)
     plain = fold_diacritics(cleaned) if fold else cleaned
-    return F.slice(F.split(plain, _SEPARATOR), F.lit(1), F.size(raw))  # no words, no parts
+    return F.slice(F.split(plain, SEPARATOR), F.lit(1), F.size(raw))  # no words, no parts
 
 
 def split_words(text: Column) -> Column:
@@ -305,29 +306,60 @@ _EN_REWRITES = (
 
 def en_key(words: Column) -> Column:
     """English sound key of each blank-separated word; a word without a key keeps its letters."""
-    plain = fold_diacritics(F.lower(words))
-    out = plain
-    for pattern, replacement in _EN_REWRITES:
-        out = F.regexp_replace(out, pattern, replacement)
-    out = F.translate(out, "bdfgjklmnpqrstvz", "BTFKJKLMNPKRSTFS")
-    out = F.regexp_replace(out, r"(?<=[^ ])[^A-Z0 ]+", "")
-    out = F.upper(F.regexp_replace(out, r"[^A-Z0aeiou ]", ""))
-    keyless = F.concat(F.lit(" "), out, F.lit(" ")).contains("  ")
-    filled = F.array_join(
-        F.zip_with(
-            F.split(out, " "),
-            F.split(plain, " "),
-            lambda key, word: F.when(key == "", word).otherwise(key),
-        ),
-        " ",
-    )
-    return F.when(keyless, filled).otherwise(out)
+
+    def rewritten(plain: Column) -> Column:
+        out = plain
+        for pattern, replacement in _EN_REWRITES:
+            out = F.regexp_replace(out, pattern, replacement)
+        out = F.translate(out, "bdfgjklmnpqrstvz", "BTFKJKLMNPKRSTFS")
+        out = F.regexp_replace(out, r"(?<=[^ ])[^A-Z0 ]+", "")
+        return F.upper(F.regexp_replace(out, r"[^A-Z0aeiou ]", ""))
+
+    def filled(plain: Column, out: Column) -> Column:
+        keyless = F.concat(F.lit(" "), out, F.lit(" ")).contains("  ")
+        keyed = F.array_join(
+            F.zip_with(
+                F.split(out, " "),
+                F.split(plain, " "),
+                lambda key, word: F.when(key == "", word).otherwise(key),
+            ),
+            " ",
+        )
+        return F.when(keyless, keyed).otherwise(out)
+
+    return let(fold_diacritics(F.lower(words)), lambda plain: let(rewritten(plain), lambda out: filled(plain, out)))
 
 
 def phonetic_key(words: Column, lang: Column) -> Column:
     return F.when(lang == "es", es_key(words)).otherwise(en_key(words))
 
 
+@lru_cache(maxsize=1)
+def _word_rewrites() -> dict[str, list[tuple[re.Pattern, str]]]:
+    made = {"es": _ES_REWRITES, "en": _EN_REWRITES}
+    return {lang: [(re.compile(a), b.replace("$", "\\")) for a, b in rules] for lang, rules in made.items()}
+
+
+_EN_LETTERS = str.maketrans("bdfgjklmnpqrstvz", "BTFKJKLMNPKRSTFS")
+
+
+@lru_cache(maxsize=1 << 17)
+def word_key(word: str, lang: str) -> str:
+    """The sound key of one word in the form that sound_letters() gives it, by the same rewrites."""
+    out = word
+    for pattern, replacement in _word_rewrites()["es" if lang == "es" else "en"]:
+        out = pattern.sub(replacement, out)
+    if lang != "es":
+        out = re.sub(r"(?<=[^ ])[^A-Z0 ]+", "", out.translate(_EN_LETTERS))
+        out = re.sub(r"[^A-Z0aeiou ]", "", out).upper() or word
+    return out
+
+
+def sound_letters(words: Column, lang: Column) -> Column:
+    """Words as the rewrites of the sound keys take them: lower case, without marks (Spanish keeps ñ)."""
+    return F.when(lang == "es", _fold_keeping_enye(F.lower(words))).otherwise(fold_diacritics(F.lower(words)))
+
+
 def match_case(source: Column, replacement: Column) -> Column:
     """Carry the casing of ``source`` over to ``replacement``."""
     first = F.substring(source, 1, 1)

@@ -8,43 +8,58 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
+from soundquay.functions.batches import char_distance, word_distance
 from soundquay.functions.bind import let
-from soundquay.functions.distance import char_edits, contains_run, word_edits
-from soundquay.functions.text import normalize, phonetic_key, split_words
+from soundquay.functions.distance import char_edits, word_edits
+from soundquay.functions.text import SEPARATOR, normalize, sound_letters, split_words, word_key
 
 
-def keyword_hits(
-    keywords: Column, hyp_norm: Column, lang: Column, sound: bool = True
-) -> Column:
-    """How many keywords occur in the hypothesis, word for word or sound for sound.
+def _padded(text: Column) -> Column:
+    return F.concat(F.lit(" "), text, F.lit(" "))
 
-    An empty keyword never counts as found. Sound keys are only worked out when some keyword
-    is missing word for word.
-    """
-    padded = F.concat(F.lit(" "), hyp_norm, F.lit(" "))
 
-    def present(run: Column) -> Column:
-        return padded.contains(F.concat(F.lit(" "), run, F.lit(" ")))
+def keyword_hits(keywords: Column, hyp_norm: Column, lang: Column, sound: bool = True) -> Column:
+    """How many keywords occur in the hypothesis word for word, and what is said besides.
 
-    def by_sound(missing: Column) -> Column:
-        keys = F.when(hyp_norm == "", F.array().cast("array<string>")).otherwise(
-            F.split(phonetic_key(hyp_norm, lang), " ")
-        )
-        runs = F.transform(missing, lambda k: F.split(phonetic_key(k, lang), " "))
-        found = let(keys, lambda ks: F.size(F.filter(runs, lambda run: contains_run(ks, run))))
-        return F.when(F.size(missing) > 0, found).otherwise(0)
+    A struct of ``exact`` and ``said``: the hypothesis and the keywords that it lacks, in the letters of
+    the sound keys with a separator between them; null where none is lacking, or without ``sound``.
+    An empty keyword never counts as found.
+    """
+    if not sound:
+        text = _padded(hyp_norm)
+        exact = F.filter(keywords, lambda k: let(normalize(k, lang), lambda n: (n != "") & text.contains(_padded(n))))
+        return F.struct(F.size(exact).cast("long").alias("exact"), F.lit(None).cast("string").alias("said"))
 
     def count(plain: Column) -> Column:
-        exact = F.size(F.filter(plain, lambda k: (k != "") & present(k)))
-        if not sound:
-            return exact
-        missing = F.filter(plain, lambda k: (k != "") & ~present(k))
-        return exact + let(missing, by_sound)
-
-    return let(F.transform(keywords, lambda k: normalize(k, lang)), count).cast("long")
+        there = let(_padded(hyp_norm), lambda text: F.transform(
+            F.filter(plain, lambda k: k != ""), lambda k: F.struct(k.alias("k"), text.contains(_padded(k)).alias("in"))))
+        return let(there, lambda ks: F.struct(
+            F.size(F.filter(ks, lambda k: k["in"])).cast("long").alias("exact"),
+            F.when(F.exists(ks, lambda k: ~k["in"]) & (hyp_norm != ""), sound_letters(F.concat_ws(
+                f" {SEPARATOR} ", F.array(hyp_norm), F.transform(F.filter(ks, lambda k: ~k["in"]), lambda k: k["k"])
+            ), lang)).alias("said"),
+        ))
+
+    return let(F.transform(keywords, lambda k: normalize(k, lang)), count)
+
+
+@F.arrow_udf(LongType())
+def keywords_by_sound(said: pa.Array, lang: pa.Array) -> pa.Array:
+    """How many of the keywords in ``said`` sound like words of the hypothesis in front of them."""
+    counts = []
+    for text, code in zip(said.to_pylist(), lang.to_pylist(), strict=True):
+        n = 0
+        if text is not None:
+            hyp, *runs = text.split(f" {SEPARATOR} ")
+            keys = [f" {' '.join([word_key(w, code) for w in x.split(' ')])} " for x in (hyp, *runs)]
+            n = sum(run in keys[0] for run in keys[1:])
+        counts.append(n)
+    return pa.array(counts, pa.int64())
 
 
 def measure(df: DataFrame, sound: bool = True) -> DataFrame:
@@ -62,29 +77,36 @@ def measure(df: DataFrame, sound: bool = True) -> DataFrame:
         if "keywords" in df.columns
         else F.array().cast("array<string>")
     )
+    recovered = F.lit(0).cast("long")
+    if "keywords" in df.columns:
+        # unfolded from an array of one: Spark leaves a UDF unplanned whose argument holds lambdas
+        hits = F.when(F.size(keywords) > 0, keyword_hits(keywords, F.col("_hyp"), F.col("lang"), sound))
+        words = words.select("*", F.inline(F.array(F.struct(hits.alias("_hits")))))
+        by_sound = keywords_by_sound(F.col("_hits.said"), F.col("lang")) if sound else F.lit(0)
+        recovered = F.coalesce(F.col("_hits.exact") + by_sound, F.lit(0)).cast("long")
     counted = (
         words.withColumn(
             "word_edits",
-            F.when(scored, word_edits(F.col("_ref_words"), F.col("_hyp_words"))).otherwise(0),
+            F.when(scored, word_distance(
+                F.col("_ref"), F.col("_hyp"), word_edits(F.col("_ref_words"), F.col("_hyp_words"))
+            )).otherwise(0),
         )
         .withColumn("ref_words", F.size("_ref_words").cast("long"))
         .withColumn(
-            "char_edits", F.when(scored, char_edits(F.col("_ref"), F.col("_hyp"))).otherwise(0)
+            "char_edits",
+            F.when(scored, char_distance(
+                F.col("_ref"), F.col("_hyp"), char_edits(F.col("_ref"), F.col("_hyp"))
+            )).otherwise(0),
         )
         .withColumn("ref_chars", F.length("_ref").cast("long"))
         .withColumn("n_keywords", F.size(keywords).cast("long"))
-        .withColumn(
-            "n_recovered",
-            F.when(
-                F.size(keywords) > 0, keyword_hits(keywords, F.col("_hyp"), F.col("lang"), sound)
-            ).otherwise(0),
-        )
+        .withColumn("n_recovered", recovered)
         .withColumn(
             "hallucinated",
             (((F.col("_ref") == "") & (F.col("_hyp") != "")) | fired).cast("long"),
         )
     )
-    return counted.drop("_ref", "_hyp", "_ref_words", "_hyp_words")
+    return counted.drop("_ref", "_hyp", "_ref_words", "_hyp_words", "_hits")
 
 
 def ratio(top: Column, bottom: Column) -> Column:

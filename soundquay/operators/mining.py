@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from soundquay import fixed
-from soundquay.functions.text import tokens
+from soundquay.functions.batches import MOST, replaced, words
+from soundquay.functions.text import normalize, tokens
 from soundquay.operators.order import first_k, number_rows
 
 
@@ -92,45 +95,58 @@ def _substitutions(ref: list[str], hyp: list[str]) -> list[tuple[int, str, str]]
     return [(head + j, right[j], left[i]) for i, j in reversed(found)]
 
 
+def _aligned(ref: pa.Array, hyp: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, pa.Array]:
+    """Row, place, wrong and right word of the replaced words of some pairs of normal forms."""
+    (left, m, right, n), known = words(ref, hyp)
+    wide = (m > MOST) | (n > MOST)
+    some = [np.where(wide, 0, x) for x in (m, n)]
+    short = [codes[np.repeat(~wide, x)] for codes, x in ((left, m), (right, n))]
+    row, i, j, long = replaced(short[0], some[0], short[1], some[1])
+    starts = [np.cumsum(x) - x for x in (m, n)]
+    out = [(row, j, right[starts[1][row] + j], left[starts[0][row] + i])]
+    for at in np.concatenate([long, np.flatnonzero(wide)]).tolist():
+        pair = [c[s[at] : s[at] + k[at]].tolist() for c, s, k in ((left, starts[0], m), (right, starts[1], n))]
+        found = np.array(_substitutions(*pair), np.int64).reshape(-1, 3)
+        out.append((np.full(len(found), at), *found.T))
+    row, place, wrong, right_ = (np.concatenate(x).astype(np.int64) for x in zip(*out, strict=True))
+    return row, place, known.take(pa.array(wrong - 1)), known.take(pa.array(right_ - 1))
+
+
 def substitutions(pairs: DataFrame, key: str = "utterance_id") -> DataFrame:
     """One row per replaced word of the pairs ``key, lang, hyp, ref``, whatever their lengths.
 
-    Pairs without edits are dropped, and those with one replaced word are read off in the JVM (no
-    other alignment is as short); all others are aligned in Arrow batches of ids and words.
+    Pairs without edits are dropped; all others are aligned in Arrow batches, the short ones together.
     """
-    worded = (
-        pairs.select(
-            key,
-            "lang",
-            tokens(F.col("ref"), F.col("lang")).alias("_ref"),
-            tokens(F.col("hyp"), F.col("lang")).alias("_hyp"),
-        )
-        .filter((F.size("_ref") > 0) & (F.size("_hyp") > 0) & (F.col("_ref") != F.col("_hyp")))
+    normal = pairs.select(
+        key,
+        "lang",
+        normalize(F.col("ref"), F.col("lang")).alias("_ref"),
+        normalize(F.col("hyp"), F.col("lang")).alias("_hyp"),
     )
-    at = F.transform("_hyp", lambda h, i: F.struct(i.cast("long").alias("place"), h.alias("wrong"), F.get("_ref", i).alias("right")))
-    differing = F.when(F.size("_ref") == F.size("_hyp"), F.filter(at, lambda x: x["wrong"] != x["right"]))
-    split = worded.withColumn("_places", differing)
-    one = F.coalesce(F.size("_places") == 1, F.lit(False))
     key_type = dict(pairs.dtypes)[key]
 
-    def align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def align(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [
-                (uid, lang, place, wrong, right)
-                for uid, lang, ref, hyp in zip(*(batch[c] for c in batch.columns), strict=True)
-                for place, wrong, right in _substitutions(ref.tolist(), hyp.tolist())
-            ]
-            yield pd.DataFrame(rows, columns=[key, "lang", "place", "wrong", "right"])
-
-    aligned = split.filter(~one).drop("_places").mapInPandas(
-        align, f"`{key}` {key_type}, lang string, place long, wrong string, right string"
-    )
-    return split.filter(one).select(key, "lang", F.inline("_places")).unionByName(aligned)
+            ref, hyp = batch.column(2), batch.column(3)
+            edited = pc.and_(pc.and_(pc.not_equal(ref, ""), pc.not_equal(hyp, "")), pc.not_equal(ref, hyp))
+            batch = batch.filter(edited)
+            if batch.num_rows:
+                row, place, wrong, right = _aligned(batch.column(2), batch.column(3))
+                rows = pa.array(row)
+                columns = [batch.column(0).take(rows), batch.column(1).take(rows), pa.array(place), wrong, right]
+                yield pa.RecordBatch.from_arrays(columns, [key, "lang", "place", "wrong", "right"])
+
+    return normal.mapInArrow(align, f"`{key}` {key_type}, lang string, place long, wrong string, right string")
+
+
+def evidence(subs: DataFrame) -> DataFrame:
+    """How often each (lang, wrong, right) was seen."""
+    return subs.groupBy("lang", "wrong", "right").agg(F.count(F.lit(1)).alias("evidence"))
 
 
 def pair_counts(subs: DataFrame) -> DataFrame:
     """Evidence and precision of each (lang, wrong, right)."""
-    counts = subs.groupBy("lang", "wrong", "right").agg(F.count(F.lit(1)).alias("evidence"))
+    counts = evidence(subs)
     totals = counts.groupBy("lang", "wrong").agg(F.sum("evidence").alias("_total"))
     return counts.join(totals, ["lang", "wrong"]).select(
         "lang", "wrong", "right", "evidence", (F.col("evidence") / F.col("_total")).alias("precision")
@@ -173,7 +189,7 @@ def context_terms(
     ctx: DataFrame, key: str = "utterance_id", keep: int = fixed.CONTEXT_TERMS
 ) -> DataFrame:
     """The most frequent neighbour words of the kept contexts, ties by first sight."""
-    words = ctx.select(
+    said = ctx.select(
         "lang",
         "wrong",
         "right",
@@ -181,7 +197,7 @@ def context_terms(
         "place",
         F.posexplode(tokens(F.col("hyp"), F.col("lang"))).alias("at", "word"),
     ).filter(F.col("word") != F.col("wrong"))
-    counts = words.groupBy("lang", "wrong", "right", "word").agg(
+    counts = said.groupBy("lang", "wrong", "right", "word").agg(
         F.count(F.lit(1)).alias("n"), F.min(F.struct(key, "place", "at")).alias("_first")
     )
     best = first_k(counts, ["lang", "wrong", "right"], [F.desc("n"), F.col("_first")], keep)

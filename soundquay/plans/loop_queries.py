@@ -317,7 +317,7 @@ def case_skeletons(spark, sf_dir):
   WHERE wrong NOT IN (SELECT wrong FROM menu)""",
 )
 def pairs_without_menu_terms(spark, sf_dir):
-    counts = mining.pair_counts(mining.substitutions(pairs(spark, sf_dir)))
+    counts = mining.evidence(mining.substitutions(pairs(spark, sf_dir)))
     menu = _menu_words(spark, sf_dir).withColumnRenamed("term", "wrong")
     return counts.join(menu, ["lang", "wrong"], "left_anti").select(
         "lang", "wrong", "right", "evidence"
