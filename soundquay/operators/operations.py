@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Iterator
+from itertools import pairwise
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -191,29 +194,58 @@ def latest_runs(runs: DataFrame, keep: int = 1) -> DataFrame:
 UNNAMED_STORE = "_anon"
 
 
-def _busy_slots(events: DataFrame, window_s: int, limit: int) -> DataFrame:
-    """Number the time slots of a store and find those where the limit could ever be reached.
+def _busy_runs(events: DataFrame, limit: int) -> DataFrame:
+    """The slots to walk, as _store, _slot and _run, the run of neighbouring slots they belong to.
 
-    Each event is copied into the next slot as well, so counting the events of the last window
-    needs only the rows of one (store, slot): a store with most of the traffic is spread over
-    all its slots.
+    A slot is as long as the window, so what counts for an event lies in its slot and in the one
+    before. Slots that hold no more than ``limit`` events with the slot before are quiet: nothing in
+    them can be rejected. The others are walked, in runs; a run starts with the quiet slot before it,
+    which gives the walk its first accepted times.
     """
-    width = window_s * 1_000_000
-    own = F.floor(F.col("_at") / width).cast("long")
-    spread = events.select(
-        "_store", "trace_id", "_at", own.alias("_own"), F.explode(F.array(own, own + 1)).alias("_slot")
-    )
-    recent = (
-        Window.partitionBy("_store", "_slot")
-        .orderBy("_at")
-        .rangeBetween(-width, 0)
-    )
-    counted = spread.withColumn("_n", F.count(F.lit(1)).over(recent) - 1)
-    return (
-        counted.filter(F.col("_slot") == F.col("_own"))
-        .groupBy("_store", "_slot")
-        .agg(F.max((F.col("_n") >= limit).cast("int")).alias("_busy"))
-    )
+    sizes = events.filter("_slot IS NOT NULL").groupBy("_store", "_slot").agg(F.count(F.lit(1)).alias("_n"))
+    # one row per store and slot that has events
+    in_order = Window.partitionBy("_store").orderBy("_slot")
+    near = F.col("_slot") - 1
+    ahead = F.when(F.lag("_slot").over(in_order) == near, F.lag("_n").over(in_order))
+    busy = sizes.withColumn("_busy", F.col("_n") + F.coalesce(ahead, F.lit(0)) > limit)
+    leads = (F.lead("_slot").over(in_order) == F.col("_slot") + 1) & F.lead("_busy").over(in_order)
+    kept = busy.withColumn("_lead", ~F.col("_busy") & F.coalesce(leads, F.lit(False))).filter("_busy OR _lead")
+    starts = F.col("_lead") | F.coalesce(F.lag("_slot").over(in_order) != near, F.lit(True))
+    return kept.select("_store", "_slot", F.sum(starts.cast("long")).over(in_order).alias("_run"))
+
+
+def _walk(window: int, limit: int):
+    """Accept the events of each run, from rows in the order of _store, _run, _at and trace_id."""
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, accepted = None, deque()
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            stores = batch.column("_store").to_numpy(zero_copy_only=False)
+            runs = batch.column("_run").to_numpy()
+            times = batch.column("_at").to_pylist()
+            changes = np.flatnonzero((stores[1:] != stores[:-1]) | (runs[1:] != runs[:-1])) + 1
+            ok = np.zeros(len(times), bool)
+            for start, stop in pairwise([0, *changes.tolist(), len(times)]):
+                if (stores[start], runs[start]) != current:
+                    current, accepted = (stores[start], runs[start]), deque()
+                i = start
+                while limit > 0 and i < stop:
+                    if len(accepted) == limit:  # all is rejected until the oldest one leaves the window
+                        i = bisect_right(times, accepted[0] + window, i, stop)
+                        if i == stop:
+                            break
+                        accepted.popleft()
+                    ok[i] = True
+                    accepted.append(times[i])
+                    i += 1
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("store_id"), batch.column("trace_id"), pa.array(ok)],
+                names=["store_id", "trace_id", "accepted"],
+            )
+
+    return walk
 
 
 def rate_limit(
@@ -225,59 +257,28 @@ def rate_limit(
     """Accept a request when fewer than ``limit`` were accepted in the last ``window_s`` seconds.
 
     Rejected requests do not count, so the rule is sequential, but only while a store is near the
-    limit: an event with fewer than ``limit`` events of any kind before it in the window is
-    accepted for sure. Runs of busy slots are found first; quiet slots need no Python, and each
-    run is walked on its own, starting from the quiet slot before it. The walk streams over
-    sorted batches and keeps at most ``limit`` times. Requests without a store are limited together,
-    under one name.
+    limit. Time slots in which nothing can be rejected are found by their counts and need no Python;
+    each run of other slots is walked on its own. The walk streams over sorted batches, keeps at
+    most ``limit`` times and goes from one accepted request to the next by bisection, so that its
+    work does not grow with the number of requests in a window. Requests without a store are limited
+    together, under one name; requests without a time are accepted.
     """
     width = window_s * 1_000_000
     at = F.unix_micros(F.col(time).cast("timestamp"))
     store = F.coalesce(F.col("store_id").cast("string"), F.lit(UNNAMED_STORE))
-    events = requests.select(store.alias("_store"), "store_id", "trace_id", at.alias("_at"))
-    slots = _busy_slots(events, window_s, limit)
-    # one row per store and slot that has events, far fewer than events
-    in_order = Window.partitionBy("_store").orderBy("_slot")
-    before = F.lag(F.when(F.col("_busy") == 1, F.col("_slot"))).over(in_order)
-    starts = (F.col("_busy") == 1) & ~F.coalesce(before == F.col("_slot") - 1, F.lit(False))
-    runs = slots.withColumn("_run", F.sum(starts.cast("long")).over(in_order))
-    busy = runs.filter("_busy = 1").select("_store", "_slot", "_run", F.lit(True).alias("_walk"))
-    # the slot in front of a run gives the walk its first accepted times
-    lead_in = (
-        busy.groupBy("_store", "_run")
-        .agg((F.min("_slot") - 1).alias("_slot"))
-        .select("_store", "_slot", "_run", F.lit(False).alias("_walk"))
-    )
-    slot = F.floor(F.col("_at") / width).cast("long")
-    placed = events.withColumn("_slot", slot)
-    walked_rows = placed.join(busy.unionByName(lead_in), ["_store", "_slot"])
-    quiet = placed.join(busy.select("_store", "_slot"), ["_store", "_slot"], "left_anti").select(
-        "store_id", "trace_id", F.lit(True).alias("accepted")
+    events = requests.select(store.alias("_store"), "store_id", "trace_id", at.alias("_at")).withColumn(
+        "_slot", F.floor(F.col("_at") / width).cast("long")
     )
+    placed = events.join(_busy_runs(events, limit), ["_store", "_slot"], "left")
+    quiet = placed.filter("_run IS NULL").select("store_id", "trace_id", F.lit(True).alias("accepted"))
     kinds = dict(requests.dtypes)
-
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        current, accepted = None, deque()
-        for batch in batches:
-            rows = []
-            for key, store, run, when, trace, walked in batch.itertuples(index=False):
-                if (key, run) != current:
-                    current, accepted = (key, run), deque()
-                while accepted and accepted[0] < when - width:
-                    accepted.popleft()
-                ok = len(accepted) < limit
-                if ok:
-                    accepted.append(when)
-                if walked:
-                    rows.append((None if pd.isna(store) else store, trace, ok))
-            yield pd.DataFrame(rows, columns=["store_id", "trace_id", "accepted"])
-
     walked = (
-        walked_rows.select("_store", "store_id", "_run", "_at", "trace_id", "_walk")
+        placed.filter("_run IS NOT NULL")
+        .select("_store", "store_id", "_run", "_at", "trace_id")
         .repartition("_store", "_run")
         .sortWithinPartitions("_store", "_run", "_at", "trace_id")
-        .mapInPandas(
-            walk,
+        .mapInArrow(
+            _walk(width, limit),
             f"store_id {kinds['store_id']}, trace_id {kinds['trace_id']}, accepted boolean",
         )
     )

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+import re
 from collections import deque
 
 import pytest
@@ -119,6 +120,34 @@ def test_rate_limit_against_a_loop(spark, limit, window):
     assert got == want and len(got) == len(rows)
 
 
+@pytest.mark.parametrize("limit", [0, 1, 3])
+def test_rate_limit_of_crowded_windows(spark, limit):
+    """Many requests in a window, equal times, no time and no store; no request looks at all of its window."""
+    rng = random.Random(limit)
+    rows = [("hot", i, 1_700_000_000_000_000 + rng.randrange(400_000) * 1000) for i in range(30_000)]
+    rows += [(None, 100_000 + i, 1_700_000_000_000_000 + i // 7 * 10_000_000) for i in range(300)]
+    rows += [("edge", 200_000 + i, 1_700_000_040_000_000 + i * 20_000_000) for i in range(20)]
+    lost = [("hot", 300_000, None), (None, 300_001, None)]
+    df = spark.createDataFrame(rows + lost, "store_id string, trace_id long, at long").select(
+        "store_id", "trace_id", F.timestamp_micros("at").alias("ts")
+    )
+    out = operations.rate_limit(df, window_s=60, limit=limit)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not re.search(r"RangeFrame, -?\d", plan)  # such a frame is counted anew for each row
+    got = out.collect()
+    held, want = {}, {300_000: True, 300_001: True}
+    for store, trace, at in sorted(rows, key=lambda r: (r[2], r[1])):
+        q = held.setdefault(store, deque())
+        while q and q[0] < at - 60_000_000:
+            q.popleft()
+        want[trace] = len(q) < limit
+        if want[trace]:
+            q.append(at)
+    assert {r["trace_id"]: r["accepted"] for r in got} == want and len(got) == len(rows) + 2
+    stores = {trace: store for store, trace, _ in rows + lost}
+    assert all(stores[r["trace_id"]] == r["store_id"] for r in got)
+
+
 def test_numbering_is_independent_of_buckets(spark):
     rows = [(f"k{i % 3}", i * 7919 % 1000, float(i % 5)) for i in range(1000)]
     df = spark.createDataFrame(rows, "g string, v int, w double")
