@@ -6,9 +6,10 @@ A word goes when a window of LENGTH consecutive words that covers it also starts
    have equal anchors. Neighbouring windows with one anchor form a stretch of the document. Only
    stretches whose anchor occurs again can repeat; equal stretches collapse to one with a count.
 2. Reference shards. The stretches are dealt into shards by their anchor, so that all places where
-   a window occurs lie in one shard, and a shard has a bounded number of words. For an anchor with
-   very many different stretches (a common line in many surroundings) each window becomes a
-   stretch with its own hash as the anchor.
+   a window occurs lie in one shard, and a shard has a bounded number of words. The stretches of an
+   anchor with very many different ones (a common line in many surroundings) are narrowed: cut by
+   the place of the anchor in the window into pieces whose windows share more words, which become
+   the anchor of the piece, until an anchor has few different pieces or a piece is one window.
 3. Automata. Each shard becomes a suffix automaton over words, with the number of places for each
    state; states with one place are left out, so that what it accepts are the repeated strings.
 4. Matching statistics. Stretches stream through the automaton of their shard: the length of the
@@ -44,7 +45,8 @@ CROWDED = 500
 _CHUNK = 1 << 18
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _LOW = np.uint64((1 << 24) - 1)
-_WORDS_KEPT = 1 << 18
+#: Places of the anchor in the windows of a piece, in each round of narrowing.
+_WIDTHS = (14, 7, 1)
 #: Words on one side of the anchor that every window has at least on one of its sides.
 _SIDE = (LENGTH - GRAM + 1) // 2
 
@@ -60,33 +62,38 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def _borders(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Start and stop of each word in the words joined by single spaces."""
-    stops = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    return np.concatenate([[0], stops[:-1] + 1]), stops
+def _borders(plain: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Start and stop of each word of words joined by single spaces."""
+    gaps = np.flatnonzero(np.frombuffer(plain, np.uint8) == 0x20)
+    return np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(plain)]])
 
 
-class _Hashes(dict):
-    """Hashes of words, each worked out once; forgotten when there are many."""
+#: The lowest n bytes.
+_BYTES = np.array([(1 << 8 * n) - 1 for n in range(9)], np.uint64)
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= _WORDS_KEPT:
-            self.clear()
-        made = self[word] = xxhash.xxh64_intdigest(word)
-        return made
 
-
-_hash_of = _Hashes()
-
-
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(_hash_of.__getitem__, words), np.uint64, len(words))
+def _word_hashes(plain: bytes, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
+    """Of the length and 8 bytes at the start, middle and end of each word: enough to choose anchors."""
+    eight = np.ndarray(len(plain) + 1, "<u8", plain + bytes(8), 0, (1,))
+    size = stops - starts
+    mask, spare = _BYTES[np.minimum(size, 8)], np.maximum(size - 8, 0)
+    h = _mixed((eight[starts] & mask) + size.astype(np.uint64) * _M2)
+    long = np.flatnonzero(spare)
+    at, more = starts[long], spare[long]
+    h[long] = _mixed(_mixed(h[long] ^ eight[at + more]) ^ eight[at + more // 2])
+    return h
 
 
 def stretches(words: list[bytes]) -> Iterator[tuple[np.ndarray, ...]]:
     """First and last window, anchor and its place of the stretches of a document, by chunks."""
-    for at in range(0, len(words) - LENGTH + 1, _CHUNK):
-        h = _word_hashes(words[at : at + _CHUNK + LENGTH - 1])
+    plain = b" ".join(words)
+    return _stretches(plain, *_borders(plain))
+
+
+def _stretches(plain: bytes, starts: np.ndarray, stops: np.ndarray) -> Iterator[tuple[np.ndarray, ...]]:
+    every = _word_hashes(plain, starts, stops)
+    for at in range(0, len(every) - LENGTH + 1, _CHUNK):
+        h = every[at : at + _CHUNK + LENGTH - 1]
         n = len(h)
         grams = h[: n - GRAM + 1].copy()
         for j in range(1, GRAM):
@@ -125,30 +132,20 @@ def _scan(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         out: list[tuple] = []
         for doc, text in zip(part["doc"], part["text"], strict=True):
-            words = words_of(text)
-            if len(words) < LENGTH:
+            plain = b" ".join(words_of(text))
+            starts, stops = _borders(plain)
+            if len(starts) < LENGTH:
                 continue
-            plain = b" ".join(words)
-            starts, stops = _borders(words)
-            for first, last, anchor, place in stretches(words):
+            for first, last, anchor, place in _stretches(plain, starts, stops):
                 same = _hashed(plain, starts[first], stops[last + LENGTH - 1])
                 out.append((anchor, same, np.full(len(first), doc), first, last - first + 1, place - first))
         yield _frame(out)
 
 
-def _windows(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Each window of some stretches as a stretch of its own."""
-    for part in parts:
-        out: list[tuple] = []
-        for doc, text, spans in zip(part["doc"], part["text"], part["spans"], strict=True):
-            words = words_of(text)
-            plain = b" ".join(words)
-            starts, stops = _borders(words)
-            first = np.concatenate([np.arange(x["first"], x["first"] + x["size"]) for x in spans])
-            same = _hashed(plain, starts[first], stops[first + LENGTH - 1])
-            none = np.zeros(len(first), np.int64)
-            out.append((same, same, np.full(len(first), doc), first, none + 1, none))
-        yield _frame(out)
+#: ``n``: places in all texts
+_PIECE = "anchor long, same long, n long, off int, data binary"
+#: ``shift``: first window of the piece in its stretch
+_NARROW = f"{_PIECE}, whole_anchor long, whole_same long, shift int"
 
 
 def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -156,11 +153,49 @@ def _cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for part in parts:
         rows = []
         for text, spans in zip(part["text"], part["spans"], strict=True):
-            words = words_of(text)
+            plain = b" ".join(words_of(text))
+            starts, stops = _borders(plain)
             for x in spans:
-                data = b" ".join(words[x["first"] : x["first"] + x["size"] + LENGTH - 1])
-                rows.append((x["shard"], x["anchor"], x["same"], x["n"], x["off"], data))
-        yield pd.DataFrame(rows, columns=["shard", "anchor", "same", "n", "off", "data"])
+                data = plain[starts[x["first"]] : stops[x["first"] + x["size"] + LENGTH - 2]]
+                rows.append((x["anchor"], x["same"], x["n"], x["off"], data))
+        yield pd.DataFrame(rows, columns=["anchor", "same", "n", "off", "data"])
+
+
+def pieces(data: bytes, off: int, width: int) -> list[tuple[bytes, int, int, int, bytes]]:
+    """The windows of a stretch, by the number of words ahead of the anchor in them.
+
+    As words that all windows of the piece hold, number of the piece, its first window, place of
+    the anchor in it, and its words. Equal windows have the anchor at the same place, so that they
+    lie in pieces of one number with the same common words.
+    """
+    starts, stops = (x.tolist() for x in _borders(data))
+    size = len(starts) - LENGTH + 1
+    out = []
+    for number in range((off - size + 1) // width, off // width + 1):
+        least, most = number * width, (number + 1) * width - 1
+        first, last = max(off - most, 0), min(off - least, size - 1)
+        common = data[starts[off - least] : stops[off - most + LENGTH - 1]]
+        out.append((common, number, first, off - first, data[starts[first] : stops[last + LENGTH - 1]]))
+    return out
+
+
+def _split(width: int):
+    def split(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Stretches, or pieces of such, in pieces whose windows share more words."""
+        of = xxhash.xxh64_intdigest
+        for part in parts:
+            rows = [
+                (of(common, number), of(data), n, off, data, whole_anchor, whole_same, shift + first)
+                for _, _, n, at, words, whole_anchor, whole_same, shift in part.itertuples(index=False, name=None)
+                for common, number, first, off, data in pieces(words, at, width)
+            ]
+            names = ["anchor", "same", "n", "off", "data", "whole_anchor", "whole_same", "shift"]
+            out = pd.DataFrame(rows, columns=names)
+            for name in ("anchor", "same"):
+                out[name] = out[name].to_numpy(np.uint64).view(np.int64)
+            yield out
+
+    return split
 
 
 @dataclass
@@ -264,28 +299,40 @@ def _sides(anchor: int, off: int, words: list[bytes]) -> list[tuple]:
     return out
 
 
+def _shared(off: int, words: list[bytes], sides: list[bool]) -> tuple[int, list[bytes]]:
+    """First window, and words, of the windows that hold a side of the anchor that is also elsewhere."""
+    ahead, behind = off >= _SIDE, len(words) - off >= GRAM + _SIDE
+    low = ahead and not sides[0]  # then only the windows with fewer than _SIDE words ahead are left
+    high = behind and not sides[-1]
+    first = max(off - _SIDE + 1, 0) if low else 0
+    return first, words[first : off - _SIDE + LENGTH if high else len(words)]
+
+
 def _matched(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Runs of repeated windows of the stretches of each shard, from rows in the order of shards.
 
-    A stretch with one place can only share a window with one that also has the same words at one
-    side of the anchor; without such a one it holds no repeated window and is left out.
+    A window of a stretch with one place can only stand elsewhere if the words at one side of the
+    anchor, of which it holds one, do; windows without such words are left out.
     """
     for rows in _shards(parts):
-        texts = [(anchor, same, n, off, data.split(b" ")) for _, anchor, same, n, off, data in rows]
-        seen = Counter(side for anchor, _, _, off, words in texts for side in _sides(anchor, off, words))
-        used = [
-            (anchor, same, n, words)
-            for anchor, same, n, off, words in texts
-            if n > 1 or any(seen[side] > 1 for side in _sides(anchor, off, words))
-        ]
-        automaton = Automaton.of([(words, n) for _, _, n, words in used])
+        texts = [(key, n, off, data.split(b" ")) for _, *key, n, off, data in rows]
+        sides = [_sides(key[0], off, words) for key, _, off, words in texts]
+        seen = Counter(side for x in sides for side in x)
+        used = []
+        for (key, n, off, words), mine in zip(texts, sides, strict=True):
+            again = [seen[side] > 1 for side in mine]
+            if n > 1:
+                used.append((key, n, 0, words))
+            elif any(again):
+                used.append((key, n, *_shared(off, words, again)))
+        automaton = Automaton.of([(words, n) for _, n, _, words in used])
         out = []
-        for anchor, same, _, words in used:
+        for key, _, first, words in used:
             found = np.array(automaton.matching(words)[LENGTH - 1 :]) >= LENGTH
-            edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]])))
+            edges = np.flatnonzero(np.diff(np.concatenate([[0], found.astype(np.int8), [0]]))) + first
             if len(edges):
-                out.append((anchor, same, edges[::2].tolist(), (edges[1::2] - 1).tolist()))
-        yield pd.DataFrame(out, columns=["anchor", "same", "starts", "stops"])
+                out.append((*key, edges[::2].tolist(), (edges[1::2] - 1).tolist()))
+        yield pd.DataFrame(out, columns=["anchor", "same", "narrow", "rows", "starts", "stops"])
 
 
 def _keyed(docs: DataFrame, work: Staged) -> DataFrame:
@@ -314,37 +361,81 @@ def open_stretches(texts: DataFrame, work: Staged) -> tuple[DataFrame, DataFrame
     found = work.keep(join_counted(whole, often, ["anchor"], "n").drop("n"), "open")
     work.drop(path)
     firsts = work.keep(_firsts(found), "different")
-    crowded = firsts.groupBy("anchor").agg(F.count("*").alias("m"), F.sum("n").alias("n")).filter(f"m > {CROWDED}")
-    crowded = work.keep(crowded, "crowded")
     work.settle()
-    if crowded.isEmpty():
-        return found, firsts
-    spans = _spans(join_counted(found, crowded, ["anchor"], "n"))
-    single = work.keep(texts.select("doc", "text").join(spans, "doc").mapInPandas(_windows, _STRETCH), "windows")
-    quiet = crowded.select("anchor")
-    again = _firsts(single).filter("n > 1")
-    return (
-        found.join(quiet, "anchor", "left_anti").unionByName(single),
-        work.keep(firsts.join(quiet, "anchor", "left_anti").unionByName(again), "all-different"),
+    return found, firsts
+
+
+def _cut_out(texts: DataFrame, firsts: DataFrame) -> DataFrame:
+    spans = _spans(firsts.select("anchor", "same", "n", "top.*"), "anchor", "same", "n", "off")
+    return texts.select("doc", "text").join(spans, "doc").mapInPandas(_cut, _PIECE)
+
+
+def narrowed(stretches: DataFrame, work: Staged) -> DataFrame:
+    """Pieces of different stretches, as _NARROW, with few different ones for each anchor.
+
+    A piece names the stretch it is of, and has its number of places. Pieces whose anchor occurs
+    once are left out: their windows do.
+    """
+    left = stretches.select(
+        "*", F.col("anchor").alias("whole_anchor"), F.col("same").alias("whole_same"), F.lit(0).alias("shift")
     )
+    done = []
+    for width in _WIDTHS:
+        made = work.keep(left.mapInPandas(_split(width), _NARROW), "pieces")
+        different = made.groupBy("anchor", "same").agg(F.sum("n").alias("n"), F.count("*").alias("rows"))
+        counts = different.groupBy("anchor").agg(
+            F.count("*").alias("m"), F.sum("n").alias("places"), F.sum("rows").alias("rows")
+        )
+        often = work.keep(counts.filter("places > 1").select("anchor", "m", "rows"), "piece-anchors")
+        again = work.keep(join_counted(made, often, ["anchor"], "rows").drop("rows"), "open-pieces")
+        crowded = (F.col("m") > CROWDED) & F.lit(width > 1)
+        done.append(again.filter(~crowded).drop("m").select(*made.columns))
+        left = again.filter(crowded).drop("m").select(*made.columns)
+        if left.isEmpty():
+            break
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def _lifted(matched: DataFrame, narrow: DataFrame) -> DataFrame:
+    """Runs of pieces as runs of the stretches they are of."""
+    found = matched.filter("narrow").select("anchor", "same", "rows", "starts", "stops")
+    both = join_counted(narrow.drop("off", "data"), found, ["anchor", "same"], "rows")
+    moved = [F.transform(name, lambda x: x + F.col("shift")).alias(name) for name in ("starts", "stops")]
+    whole = both.groupBy(F.col("whole_anchor").alias("anchor"), F.col("whole_same").alias("same"))
+    runs = whole.agg(F.first("n").alias("n"), F.collect_list(F.struct(*moved)).alias("runs"))
+    return runs.select("anchor", "same", "n", F.flatten("runs.starts").alias("starts"), F.flatten("runs.stops").alias("stops"))
 
 
 def repeated_windows(texts: DataFrame, work: Staged) -> DataFrame:
     """Rows doc, first, last: runs of windows that also start elsewhere."""
     found, firsts = open_stretches(texts, work)
     words = firsts.agg(F.sum(F.col("top.size") + LENGTH - 1)).first()[0] or 0
+    crowded = work.keep(firsts.groupBy("anchor").count().filter(f"count > {CROWDED}"), "crowded")
+    small = None
+    if not crowded.isEmpty():
+        many = join_counted(firsts, crowded, ["anchor"], "count")
+        small = narrowed(work.keep(_cut_out(texts, many), "cut"), work)
+        firsts = firsts.join(crowded, "anchor", "left_anti")
+    columns = ["anchor", "same", "narrow", "rows", "n", "off", "data"]
+    cut = _cut_out(texts, firsts).withColumns({"narrow": F.lit(False), "rows": F.col("n")}).select(*columns)
+    if small is not None:
+        different = small.groupBy("anchor", "same").agg(
+            F.lit(True).alias("narrow"), F.count("*").alias("rows"), F.sum("n").alias("n"),
+            F.first("off").alias("off"), F.first("data").alias("data"),
+        )
+        cut = cut.unionByName(different)
     shard = F.pmod(F.xxhash64("anchor"), F.lit(int(words) // SHARD_WORDS + 1)).cast("int")
-    spans = _spans(
-        firsts.select("anchor", "same", "n", "top.*", shard.alias("shard")), "shard", "anchor", "same", "n", "off"
-    )
-    cut = texts.select("doc", "text").join(spans, "doc").mapInPandas(
-        _cut, "shard int, anchor long, same long, n long, off int, data binary"
-    )
-    runs = (
-        cut.repartition("shard").sortWithinPartitions("shard")
-        .mapInPandas(_matched, "anchor long, same long, starts array<int>, stops array<int>")
+    matched = work.keep(
+        cut.select(shard.alias("shard"), *columns).repartition("shard").sortWithinPartitions("shard")
+        .mapInPandas(_matched, "anchor long, same long, narrow boolean, rows long, starts array<int>, stops array<int>"),
+        "matched",
     )
-    runs = work.keep(runs.join(firsts.select("anchor", "same", "n"), ["anchor", "same"]), "runs")
+    runs = matched.filter("not narrow").select("anchor", "same", F.col("rows").alias("n"), "starts", "stops")
+    if small is not None:
+        runs = work.keep(runs.unionByName(_lifted(matched, small)), "runs")
     work.settle()
     places = join_counted(found, runs, ["anchor", "same"], "n")
     each = places.select("doc", "first", F.explode(F.arrays_zip("starts", "stops")).alias("_r"))

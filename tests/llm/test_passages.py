@@ -101,3 +101,54 @@ def test_matching_statistics(texts):
                 for i in range(1, len(words) + 1)]
         assert automaton.matching(words) == want
     assert automaton.matching([b"z"]) == [0]
+
+
+def near_copies():
+    """Copies of one text with a changed word each, some of them twice, and a line in many surroundings."""
+    base, line = sentence(40, 120).split(" "), sentence(41, 12)
+    rows = []
+    for i in range(160):
+        words = list(base)
+        words[i * 37 % 120] = f"changed{i}"
+        rows.append((i, " ".join(words), "en", "s", 1))
+        rows.append((1000 + i, f"{sentence(2000 + i, 30)} {line} {sentence(4000 + i // 2, 30)}", "en", "s", 1))
+    return [*rows, *((3000 + i, rows[2 * i][1], "en", "s", 1) for i in range(5))]
+
+
+def test_narrowing_makes_few_rows(spark, monkeypatch):
+    """The stretches of crowded anchors are not taken apart into all their windows."""
+    monkeypatch.setattr(passages, "CROWDED", 30)
+    made = {}
+    real = passages.Staged.put
+
+    def put(self, df, name):
+        out = real(self, df, name)
+        made[name] = made.get(name, 0) + out[0].count()
+        if name == "cut":
+            sizes = F.size(F.split(F.decode("data", "UTF-8"), " ")) - passages.LENGTH + 1
+            made["all windows"] = out[0].agg(F.sum(sizes)).first()[0]
+        return out
+
+    monkeypatch.setattr(passages.Staged, "put", put)
+    rows = near_copies()
+    got = passages.report(spark.createDataFrame(rows, DOCS)).collect()
+    assert sorted([tuple(r) for r in got], key=str) == plain(rows)
+    assert made["cut"] > 100 and "windows" not in made
+    assert made["pieces"] < made["all windows"] / 2
+
+
+def test_pieces_hold_each_window_once():
+    words = [b"w%d" % i for i in range(passages.LENGTH + 27)]
+    for off, size in ((27, 28), (20, 5), (3, 2), (0, 1)):
+        data = b" ".join(words[: size + passages.LENGTH - 1])
+        for width in (14, 7, 1):
+            seen = []
+            for common, number, first, at, held in passages.pieces(data, off, width):
+                n = len(held.split(b" ")) - passages.LENGTH + 1
+                assert held.split(b" ") == words[first : first + n + passages.LENGTH - 1] and at == off - first
+                for p in range(first, first + n):
+                    assert (off - p) // width == number
+                    assert common in b" ".join(words[p : p + passages.LENGTH])
+                    seen.append(p)
+                assert len(common.split(b" ")) == passages.LENGTH - width + 1
+            assert sorted(seen) == list(range(size))
