@@ -2,20 +2,23 @@
 
 Vectors become points of a Euclidean space with one more coordinate, sqrt(M^2 - |x|^2) for the
 rows and 0 for the queries (M: the largest norm), where a larger inner product is a smaller
-distance. Distances of all rows to many pivots are computed once; by the triangle inequality
+distance. Distances of all rows to many pivots make a table; by the triangle inequality
 |d(q, p) - d(x, p)| is a lower bound of d(q, x) for each pivot p, and the greatest one counts.
 
 Rows are dealt into blocks around their nearest pivot, with the range of distances to every pivot.
 A first round searches the most promising block of each query and gives it a score to beat; a
-second round sends the query to the blocks whose bound can beat it. Inside a block the candidates
-with the best bounds are evaluated first, then all whose bound can still reach the k-th best of
-these. Bounds are floats with a margin for rounding; scores are exact integers.
+second round sends the query to the other blocks whose bound can beat it. Inside a block, queries
+near the same pivot go together: rows whose bounds rule them out for all of these are left out, and
+the scores of the others are one matrix product. Vectors travel in the narrowest integer type that
+holds all components, without their line of the table, which a task works out again sooner than it
+could be moved. Bounds are floats with a margin for rounding; scores are exact integers.
 """
 
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -26,9 +29,13 @@ PIVOTS = 48
 #: Rows and queries that meet in one task at most (blocks of rows, groups of queries).
 BLOCK_ROWS = 2048
 GROUP_QUERIES = 4096
-#: Queries whose bounds are computed at once; rows evaluated first in a block.
-_PIECE = 64
+#: Queries whose bounds and scores are computed at once.
+_QUERIES_AT_ONCE = 256
+#: Blocks of rows with their queries that a task searches one after another, about.
+_BLOCKS_A_TASK = 4
 _FOUND = "query_id long, vec_id long, score long"
+#: A score to beat where there is none.
+_NONE = np.iinfo(np.int64).min
 
 
 def whole(vector: Column, scale: int = 64) -> Column:
@@ -38,19 +45,25 @@ def whole(vector: Column, scale: int = 64) -> Column:
     return F.when(vector.isNotNull() & ~bad, F.transform(x, lambda v: F.floor(v * scale).cast("long")))
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
+def _matrix(vectors: pa.Array | pa.ChunkedArray, width: int) -> np.ndarray:
     """Rows of a common width; shorter vectors count as followed by zeros."""
+    if isinstance(vectors, pa.ChunkedArray):
+        vectors = vectors.combine_chunks()
     out = np.zeros((len(vectors), width), np.int64)
-    for i, v in enumerate(vectors):
-        out[i, : len(v)] = v
+    out[np.arange(width) < pc.list_value_length(vectors).to_numpy()[:, None]] = vectors.flatten().to_numpy()
     return out
 
 
-def _scores(q: np.ndarray, x: np.ndarray, x_float: np.ndarray, top: float) -> np.ndarray:
-    """Exact inner products of one query with rows; top bounds the absolute value of a component of x."""
-    if float(np.abs(q).max(initial=0)) * top * max(1, len(q)) < 2.0**53:
-        return (x_float @ q.astype(np.float64)).astype(np.int64)
-    return (x.astype(object) @ q.astype(object)).astype(np.int64)
+def _lists(table: np.ndarray) -> pa.Array:
+    """The rows of a matrix as lists."""
+    kind = pa.list_(pa.from_numpy_dtype(table.dtype))
+    return pa.FixedSizeListArray.from_arrays(table.ravel(), table.shape[1]).cast(kind)
+
+
+def _exact(q: np.ndarray, x: np.ndarray) -> type:
+    """The fastest type in which the inner products of q and x are exact."""
+    most = np.prod([np.abs(m.astype(np.float64)).max(initial=0) for m in (q, x)]) * q.shape[1]
+    return np.float32 if most < 2**24 else np.float64 if most < 2**53 else object
 
 
 class Space:
@@ -82,72 +95,64 @@ class Space:
 def _search(space: Space, k: int):
     """Search one block of rows for one group of queries; ``floor`` is a score to beat or to equal."""
 
-    def of(queries: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+    def of(queries: pa.Table, rows: pa.Table) -> pa.Table:
+        out = [[np.zeros(0, np.int64)] * 3]
         if len(queries) and len(rows):
-            rows = rows.sort_values("vec_id", kind="stable")
+            rows = rows.sort_by("vec_id")
             x, ids = _matrix(rows["v"], space.width), rows["vec_id"].to_numpy()
-            x_float, top = x.astype(np.float64), float(np.abs(x).max(initial=0))
-            table = np.stack(rows["far"].to_numpy()).astype(np.float32).T.copy()
             asked = _matrix(queries["v"], space.width)
-            far, sizes = space.queries(asked).astype(np.float32), (asked.astype(np.float64) ** 2).sum(1)
-            who = queries["query_id"].to_numpy()
-            floors = queries["floor"].fillna(-np.inf).to_numpy(np.float64)
-            for at in range(0, len(asked), _PIECE):
-                some = slice(at, at + _PIECE)
-                lower = np.zeros((len(asked[some]), len(ids)), np.float32)
-                gap = np.empty_like(lower)
-                for j in range(len(table)):
-                    np.abs(np.subtract(table[j], far[some, j : j + 1], out=gap), out=gap)
-                    np.maximum(lower, gap, out=lower)
-                most = space.most(sizes[some, None], lower.astype(np.float64))
-                for i, q in enumerate(asked[some]):
-                    found = _best(q, who[at + i], most[i], floors[at + i], ids, x, x_float, top, k)
-                    out.append((np.full(len(found[0]), who[at + i]), *found))
-        cols = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3
-        return pd.DataFrame(dict(zip(("query_id", "vec_id", "score"), cols, strict=True)))
+            far, far_rows = space.queries(asked), space.rows(x).T.astype(np.float32, order="C")
+            order = np.lexsort((far.min(axis=1), far.argmin(axis=1)))
+            asked, far = asked[order], far[order].astype(np.float32)
+            who = queries["query_id"].to_numpy()[order]
+            floors = pc.fill_null(queries["floor"], _NONE).to_numpy()[order]
+            sizes = (asked.astype(np.float64) ** 2).sum(1)
+            kind = _exact(asked, x)
+            asked, x = asked.astype(kind), x.astype(kind)
+            for at in range(0, len(asked), _QUERIES_AT_ONCE):
+                some = slice(at, at + _QUERIES_AT_ONCE)
+                least, most = far[some].min(axis=0)[:, None], far[some].max(axis=0)[:, None]
+                lower = np.maximum(least - far_rows, far_rows - most).max(axis=0)
+                near = space.most(sizes[some].max(), lower) >= floors[some].min()
+                near = slice(None) if near.all() else np.flatnonzero(near)
+                i, j, scores = _best(asked[some] @ x[near].T, who[some], ids[near], floors[some], k)
+                out.append([who[some][i], ids[near][j], scores.astype(np.int64)])
+        return pa.table(dict(zip(("query_id", "vec_id", "score"), map(np.concatenate, zip(*out, strict=True)), strict=True)))
 
     return of
 
 
-def _best(q, query_id, most, need, ids, x, x_float, top, k):
-    """The k best rows of a block for one query: the rows with the best bounds first, then, against
-    the k-th best of these, all whose bound can still reach it."""
-    best_ids, best = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    open_ = np.flatnonzero((most >= need) & (ids != query_id))
-    while len(open_):
-        piece, open_ = open_, open_[:0]
-        if not len(best) and len(piece) > 4 * _PIECE:
-            order = np.argpartition(-most[piece], _PIECE)
-            piece, open_ = piece[order[:_PIECE]], piece[order[_PIECE:]]
-        best = np.concatenate([best, _scores(q, x[piece], x_float[piece], top)])
-        best_ids = np.concatenate([best_ids, ids[piece]])
-        if len(best) > k:
-            near = np.flatnonzero(best >= np.partition(best, -k)[-k])
-            order = near[np.lexsort((best_ids[near], -best[near]))[:k]]
-            best, best_ids = best[order], best_ids[order]
-        if len(best) == k:
-            need = max(need, float(best.min()))
-            open_ = open_[most[open_] >= need]
-    return best_ids, best
-
-
-def _route(space: Space, blocks: list[tuple[int, np.ndarray, np.ndarray]]):
-    """For each query the blocks (by number) with the largest score each may hold, best first."""
-    numbers = np.array([b for b, _, _ in blocks])
-    near = np.stack([lo for _, lo, _ in blocks])
-    far = np.stack([hi for _, _, hi in blocks])
-
-    @F.pandas_udf("array<struct<block:int,most:double>>")
-    def of(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            q = _matrix([v], space.width)
-            d = space.queries(q)[0]
-            lower = np.maximum(np.maximum(near - d, d - far), 0.0).max(axis=1)
-            most = space.most(float((q.astype(np.float64) ** 2).sum()), lower)
-            out.append([{"block": int(numbers[i]), "most": float(most[i])} for i in np.argsort(-most, kind="stable")])
-        return pd.Series(out)
+def _best(scores: np.ndarray, who: np.ndarray, ids: np.ndarray, floors: np.ndarray, k: int):
+    """Places and values of the k best scores of each query (row) that reach its floor, without rows
+    of its own id. ids ascend; of equal scores the first count."""
+    own = np.searchsorted(ids, who), np.searchsorted(ids, who, "right")
+    for i in np.flatnonzero(own[0] < own[1]):
+        scores[i, own[0][i] : own[1][i]] = -np.inf
+    floors = floors.astype(scores.dtype)
+    free = np.flatnonzero(floors == _NONE)
+    if len(free) and len(ids) > k:
+        floors[free] = np.maximum(floors[free], np.partition(scores[free], -k, axis=1)[:, -k])
+    good = scores >= floors[:, None]
+    i, j = np.divmod(np.flatnonzero(good), max(1, len(ids)))
+    many = np.flatnonzero(np.bincount(i, minlength=len(who)) > k)
+    if len(many):
+        some = scores[many]
+        kth = np.partition(some, -k, axis=1)[:, [-k]]
+        above, equal = some > kth, some == kth
+        good[many] = above | (equal & (equal.cumsum(axis=1) <= k - above.sum(axis=1, keepdims=True)))
+        i, j = np.divmod(np.flatnonzero(good), len(ids))
+    return i, j, scores[i, j]
+
+
+def _route(space: Space, ranges: list[tuple[np.ndarray, np.ndarray]]):
+    """For each query the largest score that each block may hold."""
+
+    @F.arrow_udf("array<double>")
+    def of(vectors: pa.Array) -> pa.Array:
+        q = _matrix(vectors, space.width)
+        d, sizes = space.queries(q), (q.astype(np.float64) ** 2).sum(1)
+        most = [space.most(sizes, np.maximum(lo - d, d - hi).max(axis=1)) for lo, hi in ranges]
+        return _lists(np.stack(most, axis=1))
 
     return of
 
@@ -165,72 +170,82 @@ def largest_products(
     rows = work.keep(rows.filter("v is not null and vec_id is not null").select("vec_id", "v"), "rows")
     queries = work.keep(queries.filter("v is not null and query_id is not null").select("query_id", "v"), "queries")
     size = F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
-    facts = rows.agg(F.max(size), F.max(F.size("v")), F.count("*")).first()
-    widest = queries.agg(F.max(F.size("v")), F.count("*")).first()
-    if not facts[2] or not widest[1]:
+    least, most = F.coalesce(F.min(F.array_min("v")), F.lit(0)), F.coalesce(F.max(F.array_max("v")), F.lit(0))
+    facts, asking = (
+        side.agg(F.count("*").alias("n"), F.max(F.size("v")).alias("width"), least.alias("least"), most.alias("most"),
+                 F.max(size).alias("size")).first()
+        for side in (rows, queries)
+    )
+    if not facts["n"] or not asking["n"]:
         return work.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    width = max(facts[1], widest[0], 1)
-    chosen = rows.orderBy(F.xxhash64("v"), "vec_id").limit(pivots).collect()
-    space = Space(_matrix([x["v"] for x in chosen], width), float(facts[0]))
+    width = max(facts["width"], asking["width"], 1)
+    narrow = f"array<{_narrowest(min(facts['least'], asking['least']), max(facts['most'], asking['most']))}>"
+    #: distinct vectors, since copies of a pivot bound nothing more
+    spread = rows.select(F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(pivots)
+    chosen = rows.join(F.broadcast(spread), F.xxhash64("v") == F.col("h")).dropDuplicates(["h"]).orderBy("h").select("v").toArrow()
+    space = Space(_matrix(chosen["v"], width), float(facts["size"]))
 
-    @F.pandas_udf("array<double>")
-    def far(vectors: pd.Series) -> pd.Series:
-        return pd.Series([*space.rows(_matrix(vectors, width))])
+    @F.arrow_udf("array<float>")
+    def far(vectors: pa.Array) -> pa.Array:
+        return _lists(space.rows(_matrix(vectors, width)).astype(np.float32))
 
-    table = work.keep(rows.withColumn("far", far("v")), "pivot-table")
     nearest = F.array_position("far", F.array_min("far")).cast("int") - 1
-    table = table.withColumn("pivot", nearest)
-    ranges = [F.min(F.get("far", F.lit(j))).alias(f"lo{j}") for j in range(len(chosen))]
-    ranges += [F.max(F.get("far", F.lit(j))).alias(f"hi{j}") for j in range(len(chosen))]
-    near = table.groupBy("pivot").agg(F.count("*").alias("n"), *ranges).orderBy("pivot").collect()
-    blocks = [
-        (x["pivot"], np.array([x[f"lo{j}"] for j in range(len(chosen))]), np.array([x[f"hi{j}"] for j in range(len(chosen))]))
-        for x in near
-    ]
-    cuts = F.create_map(*[F.lit(y) for x in near for y in (x["pivot"], -(-x["n"] // BLOCK_ROWS))])
-    groups = max(1, -(-widest[1] // GROUP_QUERIES))
-    each_group = F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))
-    dealt = table.select(
-        "vec_id", "v", "far", F.col("pivot").alias("block"),
-        F.pmod(F.xxhash64("vec_id", F.lit(1)), cuts[F.col("pivot")]).cast("int").alias("cut"),
-        each_group.alias("part"),
-    )
-    asked = work.keep(
-        queries.select(
-            "query_id", "v", _route(space, blocks)("v").alias("route"),
-            F.pmod(F.xxhash64("query_id", F.lit(2)), F.lit(groups)).cast("int").alias("part"),
-        ),
-        "routes",
-    )
-
-    def round_(sent: DataFrame) -> DataFrame:
+    table = rows.select("vec_id", F.col("v").cast(narrow).alias("v"), far("v").alias("far"))
+    table = work.keep(table.withColumn("block", nearest), "pivot-table")
+    ranges = [F.array(*[of(F.get("far", F.lit(j))) for j in range(len(chosen))]) for of in (F.min, F.max)]
+    near = table.groupBy("block").agg(F.count("*"), *ranges).orderBy("block").collect()
+    cuts = {block: -(-n // BLOCK_ROWS) for block, n, _, _ in near}
+    route = _route(space, [(np.array(lo), np.array(hi)) for _, _, lo, hi in near])
+    asked = queries.select("query_id", F.col("v").cast(narrow).alias("v"), route("v").alias("route"))
+    best = F.array_position("route", F.array_max("route")).cast("int") - 1
+    numbers = F.array(*[F.lit(block) for block in cuts])
+    asked = work.keep(asked.withColumn("best", F.get(numbers, best)), "routes")
+
+    def round_(sent: DataFrame, groups: dict[int, int]) -> DataFrame:
+        """Search the blocks that queries are sent to; ``groups`` counts the groups of queries by block."""
         keys = ["block", "cut", "part"]
-        return sent.groupBy(*keys).cogroup(dealt.groupBy(*keys)).applyInPandas(_search(space, k), _FOUND)
+        of_block = {
+            name: F.create_map(*[F.lit(y) for x in counts.items() for y in x])[F.col("block")]
+            for name, counts in (("cuts", cuts), ("groups", groups))
+        }
+        sent = sent.withColumn("part", F.pmod(F.xxhash64("query_id", F.lit(2)), of_block["groups"]).cast("int"))
+        sent = sent.withColumn("cut", F.explode(F.sequence(F.lit(0), of_block["cuts"] - 1)))
+        dealt = table.select(
+            "vec_id", "v", "block", F.pmod(F.xxhash64("vec_id", F.lit(1)), of_block["cuts"]).cast("int").alias("cut"),
+            F.explode(F.sequence(F.lit(0), of_block["groups"] - 1)).alias("part"),
+        )
+        #: the work of a task is far from its bytes, by which Spark would merge partitions
+        meetings = sum(cuts[block] * n for block, n in groups.items())
+        least = int(work.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = min(meetings, max(least, meetings // _BLOCKS_A_TASK))
+        sent, dealt = (side.repartition(tasks, *keys).groupBy(*keys) for side in (sent, dealt))
+        return sent.cogroup(dealt).applyInArrow(_search(space, k), _FOUND)
 
-    #: one block for each query; queries spread over the cuts of a block with many rows
-    first = asked.withColumn("block", F.col("route")[0]["block"]).withColumn(
-        "cut", F.pmod(F.xxhash64("query_id", F.lit(3)), cuts[F.col("block")]).cast("int")
-    )
-    seeds = work.keep(
-        round_(first.select("query_id", "v", "block", "cut", "part", F.lit(None).cast("double").alias("floor"))), "seeds"
-    )
-    floors = seeds.groupBy("query_id").agg(F.min("score").alias("floor"), F.count("*").alias("n"))
-    floors = floors.select("query_id", F.when(F.col("n") >= k, F.col("floor")).cast("double").alias("floor"))
+    best_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+
+    def ranked(found: DataFrame) -> DataFrame:
+        return found.withColumn("rank", F.row_number().over(best_first).cast("int")).filter(F.col("rank") <= k)
+
+    homes = asked.groupBy(F.col("best").alias("block")).count().collect()
+    first = asked.select("query_id", "v", F.col("best").alias("block"), F.lit(None).cast("long").alias("floor"))
+    seeds = work.keep(round_(first, {block: -(-n // GROUP_QUERIES) for block, n in homes}), "seeds")
+    floors = ranked(seeds).groupBy("query_id").agg(F.max(F.when(F.col("rank") == k, F.col("score"))).alias("floor"))
     sent = (
         asked.join(floors, "query_id", "left")
-        .withColumn("r", F.explode("route"))
-        .filter("floor is null or r.most >= floor")
-        .withColumn("block", F.col("r.block"))
-        .withColumn("cut", F.explode(F.sequence(F.lit(0), cuts[F.col("block")].cast("int") - 1)))
-        .select("query_id", "v", "block", "cut", "part", "floor")
-    )
-    found = round_(sent)
-    best_first = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return (
-        found.withColumn("rank", F.row_number().over(best_first).cast("int"))
-        .filter(F.col("rank") <= k)
-        .select("query_id", "rank", "vec_id", "score")
+        .select("query_id", "v", "best", "floor", F.posexplode("route").alias("place", "most"))
+        .withColumn("block", F.get(numbers, F.col("place")))
+        .filter("block <> best and (floor is null or most >= floor)")
+        .select("query_id", "v", "block", "floor")
     )
+    groups = -(-asking["n"] // GROUP_QUERIES)
+    found = round_(sent, dict.fromkeys(cuts, groups)).unionByName(seeds)
+    return ranked(found).select("query_id", "rank", "vec_id", "score")
+
+
+def _narrowest(least: int, most: int) -> str:
+    """The smallest integer type of Spark that holds values from ``least`` to ``most``."""
+    fits = (kind for kind, bits in (("smallint", 15), ("int", 31)) if -(2**bits) <= least and most < 2**bits)
+    return next(fits, "bigint")
 
 
 def report(embeddings: DataFrame, every: int = 20, k: int = 20) -> DataFrame:

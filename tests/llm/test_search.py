@@ -114,6 +114,74 @@ def test_search_of_few_and_huge_vectors(spark):
     assert topk.report(df.limit(0)).count() == 0
 
 
+def test_search_deals_narrow_vectors_without_their_distances(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, rng.normal(size=8).tolist()) for i in range(200)]
+    found = topk.report(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=20, k=5)
+    plan = found._jdf.queryExecution().executedPlan()
+    search = next(line for line in plan.toString().splitlines() if "FlatMapCoGroups" in line)
+    assert "far" not in search and "block" in search
+    dealt = [line for line in plan.toString().splitlines() if "Exchange hashpartitioning(block" in line]
+    assert len(dealt) == 2 and all("REPARTITION_BY_NUM" in line for line in dealt)
+    scans = [line for line in plan.toString().splitlines() if "FileScan" in line]
+    assert scans and not any("far:" in line or "v:array<bigint>" in line for line in scans)
+
+
+@pytest.mark.parametrize("size", [30, 2**15, 2**31])
+def test_search_in_every_integer_type(spark, monkeypatch, size):
+    monkeypatch.setattr(topk, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(topk, "GROUP_QUERIES", 3)
+    rng = np.random.default_rng(size % 97)
+    high = min(size, 2**30) + 1
+    vectors = [*rng.integers(-high, high, (90, 4)), np.array([size, -size, 0, 1]), np.array([-size, size, 1, 0])]
+    rows = [(i, [int(c) for c in v]) for i, v in enumerate(vectors)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.largest_products(df, df.filter("vec_id % 3 = 0").withColumnRenamed("vec_id", "query_id"), 6)
+    ids = [i for i, _ in rows]
+    assert sorted(tuple(r) for r in got.collect()) == _best(ids, [np.array(v) for _, v in rows], 3, 6)
+
+
+def test_copies_of_a_vector_give_one_pivot(spark, monkeypatch):
+    seen, space = [], topk.Space
+    monkeypatch.setattr(topk, "Space", lambda pivots, reach: seen.append(pivots) or space(pivots, reach))
+    rows = [(i, [i // 40, 7 - i // 40]) for i in range(400)]
+    df = spark.createDataFrame(rows, "vec_id long, v array<long>")
+    got = topk.largest_products(df, df.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id"), 4, pivots=8)
+    assert sorted(tuple(r) for r in got.collect()) == _best(range(400), [np.array(v) for _, v in rows], 50, 4)
+    assert len(np.unique(seen[0], axis=0)) == 8
+
+
+@pytest.mark.parametrize("kind", [np.float32, np.float64, object])
+def test_best_scores_of_a_piece(kind):
+    rng = np.random.default_rng(11)
+    ids = np.sort(rng.integers(0, 40, 60))
+    who = np.arange(30, 50)
+    scores = rng.integers(-3, 4, (20, 60))
+    floors = np.where(who % 2, topk._NONE, rng.integers(-3, 4, 20))
+    i, j, values = topk._best(scores.astype(kind), who, ids, floors, 5)
+    got = [(a, ids[b], int(v)) for a, b, v in zip(i, j, values)]
+    want = []
+    for a in range(20):
+        fit = sorted((-scores[a, b], ids[b]) for b in range(60) if scores[a, b] >= floors[a] and ids[b] != who[a])
+        want += [(a, b, -s) for s, b in fit[:5]]
+    assert sorted(got) == sorted(want)
+
+
+def test_piece_leaves_out_rows_ruled_out_by_their_bounds(monkeypatch):
+    import pyarrow as pa
+
+    x = np.array([[60, 0], [59, 3], [-60, 2], [-59, -4]])
+    space = topk.Space(x, float((x**2).sum(axis=1).max()))
+    rows = pa.table({"vec_id": [1, 2, 3, 4], "v": x.tolist()})
+    queries = pa.table({"query_id": [7, 8], "v": [[60, 0], [58, 1]], "floor": pa.array([3000, 3000], pa.int64())})
+    scored, best = [], topk._best
+    monkeypatch.setattr(topk, "_best", lambda scores, who, ids, floors, k: scored.extend(ids) or best(scores, who, ids, floors, k))
+    found = topk._search(space, 2)(queries, rows).to_pylist()
+    assert scored == [1, 2]
+    assert sorted((r["query_id"], r["vec_id"], r["score"]) for r in found) == [
+        (7, 1, 3600), (7, 2, 3540), (8, 1, 3480), (8, 2, 3425)]
+
+
 def test_fingerprints_and_groups(spark):
     rows = unique_ids()
     docs = clashing(spark.createDataFrame(rows, DOCS), "fp", "seed", "root", "least")
